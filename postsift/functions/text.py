@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -55,31 +54,55 @@ def match_key(*cols: Column | str) -> Column:
 
 
 # -- keyword tests ------------------------------------------------------------
+# In all of them *text* is lower case already and cheap to read (a column, or the
+# variable of let), because it is read once per term.  The terms travel as one array
+# literal: a chain of OR tests would outgrow the size limit of generated code.
+def _terms(terms: Iterable[str]) -> Column:
+    return F.array(*[F.lit(t) for t in terms])
+
+
+def _word(term: str) -> str:
+    return r"(?U)\b" + re.escape(term) + r"\b"
+
+
 def has_term(text: Column, term: str, match: str = "substring") -> Column:
-    """*text* must be lower case already, so that it is lowered once per row."""
+    return text.rlike(_word(term)) if match == "word" else F.contains(text, F.lit(term))
+
+
+def any_term(text: Column, terms: Sequence[str], match: str = "substring") -> Column:
     if match == "word":
-        return text.rlike(r"(?U)\b" + re.escape(term) + r"\b")
-    return F.contains(text, F.lit(term))
+        return text.rlike("|".join(_word(t) for t in terms))
+    if len(terms) == 1:
+        return F.contains(text, F.lit(terms[0]))
+    return F.exists(_terms(terms), lambda t: F.contains(text, t))
 
 
-def any_term(text: Column, terms: Iterable[str], match: str = "substring") -> Column:
-    return reduce(lambda a, b: a | b, [has_term(text, t, match) for t in terms])
+def term_count(text: Column, terms: Sequence[str], match: str = "substring", enough: int | None = None) -> Column:
+    """Number of distinct terms present; each counts once however often it occurs.
 
+    Counting stops at *enough*: terms beyond it are not searched for.
+    """
+    if match == "word":
+        found = F.filter(_terms([_word(t) for t in terms]), lambda t: F.regexp_like(text, t))
+        return F.size(found) if enough is None else F.least(F.size(found), F.lit(enough))
 
-def term_count(text: Column, terms: Iterable[str], match: str = "substring") -> Column:
-    """Number of distinct terms present; each counts once however often it occurs."""
-    return reduce(lambda a, b: a + b, [has_term(text, t, match).cast("int") for t in terms])
+    def add(seen: Column, term: Column) -> Column:
+        more = seen + F.contains(text, term).cast("int")
+        return more if enough is None else F.when(seen >= enough, seen).otherwise(more)
+
+    return F.aggregate(_terms(terms), F.lit(0), add)
 
 
 def term_list(text: Column, terms: Sequence[str], match: str = "substring") -> Column:
-    """The terms present, in dictionary order and spelling; *text* is lower case."""
-    found = [F.when(has_term(text, t.lower(), match), F.lit(t)) for t in terms]
-    return F.array_compact(F.array(*found))
+    """The terms present, in dictionary order and spelling."""
+    if match == "word":
+        return F.filter(_terms(terms), lambda t: F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), F.lower(t), F.lit(r"\E\b"))))
+    return F.filter(_terms(terms), lambda t: F.contains(text, F.lower(t)))
 
 
 def first_term(text: Column, terms: Sequence[str], match: str = "substring") -> Column:
     """The first term of the list that is present, else NULL."""
-    return F.coalesce(*[F.when(has_term(text, t, match), F.lit(t)) for t in terms])
+    return F.get(term_list(text, terms, match), F.lit(0))
 
 
 # -- HTML ---------------------------------------------------------------------
@@ -236,7 +259,7 @@ def unfence(c: Column | str) -> Column:
 
 
 def _decode_object(c: Column | str, schema: str) -> tuple[Column, Column]:
-    body = unfence(c)
+    body = strip(unfence(c))
     parsed = F.from_json(body, schema + ", _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     valid = F.coalesce(parsed["_bad"].isNull() & parsed.isNotNull() & body.startswith("{"), F.lit(False))
     return parsed, valid

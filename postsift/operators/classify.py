@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from postsift.config import DEFAULT_RULES, Rules
 from postsift.functions.parse import seconds_after
-from postsift.functions.text import any_term, as_text, col_of, first_term
+from postsift.functions.text import any_term, as_text, col_of, first_term, let
 
 
-def _ordered(text: Column, steps, match: str, start: Column | None = None):
-    out = start
+def _ordered(text: Column, steps, match: str) -> Column:
+    """CASE over (label, terms) steps, first match wins; the caller adds the default."""
+    out = None
     for label, terms in steps:
         test = any_term(text, terms, match)
         out = F.when(test, F.lit(label)) if out is None else out.when(test, F.lit(label))
@@ -19,28 +20,26 @@ def _ordered(text: Column, steps, match: str, start: Column | None = None):
 
 def role_category(title: Column | str, rules: Rules = DEFAULT_RULES) -> Column:
     """First category with a phrase in the title; then the looser phrases; then the default."""
-    text = F.lower(as_text(title))
-    steps = _ordered(text, rules.role_phrases.items(), rules.match)
-    return _ordered(text, rules.role_fallbacks, rules.match, steps).otherwise(F.lit(rules.default_role))
+    steps = (*rules.role_phrases.items(), *rules.role_fallbacks)
+    return let(F.lower(as_text(title)), lambda t: _ordered(t, steps, rules.match).otherwise(F.lit(rules.default_role)))
 
 
 def job_type(current: Column | str, title: Column | str, description: Column | str, rules: Rules = DEFAULT_RULES) -> Column:
     """A valid stated type wins; otherwise phrases in title and description decide."""
     stated = F.replace(F.lower(as_text(current)), F.lit(" "), F.lit("_"))
     text = F.lower(F.concat_ws(" ", as_text(title), as_text(description)))
-    start = F.when(stated.isin(*rules.job_types), stated)
-    return _ordered(text, rules.job_type_phrases, rules.match, start).otherwise(F.lit(rules.default_job_type))
+    derived = let(
+        text, lambda t: _ordered(t, rules.job_type_phrases, rules.match).otherwise(F.lit(rules.default_job_type))
+    )
+    return F.when(stated.isin(*rules.job_types), stated).otherwise(derived)
 
 
 def type_label(raw: Column | str, default: str = "contract") -> Column:
     """Map a portal's free-text type label."""
-    text = F.lower(as_text(raw))
-    return (
-        F.when(any_term(text, ("contract to hire", "c2h")), F.lit("contract_to_hire"))
-        .when(any_term(text, ("contract",)), F.lit("contract"))
-        .when(any_term(text, ("full", "permanent")), F.lit("full_time"))
-        .otherwise(F.lit(default))
+    steps = (
+        ("contract_to_hire", ("contract to hire", "c2h")), ("contract", ("contract",)), ("full_time", ("full", "permanent")),
     )
+    return let(F.lower(as_text(raw)), lambda t: _ordered(t, steps, "substring").otherwise(F.lit(default)))
 
 
 def iso_utc(ts: Column) -> Column:
@@ -58,7 +57,7 @@ def reject_reason(
 ) -> Column:
     """Text of the first rule a row breaks, NULL for a row that passes.  Unknown values pass."""
     text = F.lower(F.concat_ws(" ", as_text(title), as_text(description)))
-    word = first_term(text, rules.excluded_terms, rules.match)
+    word = let(text, lambda t: first_term(t, rules.excluded_terms, rules.match))
     cutoff = seconds_after(as_of, F.lit(-3600 * rules.max_age_hours))
     tests = [
         F.when(
@@ -104,6 +103,9 @@ def filter_pass(df: DataFrame, as_of: Column, rules: Rules = DEFAULT_RULES, metr
 
 def keyword_gate(text: Column | str, any_of: tuple[str, ...], and_any_of: tuple[str, ...] = ()) -> Column:
     """True when the text has a term of the first list and, if given, one of the second."""
-    lowered = F.lower(as_text(col_of(text)))
-    test = any_term(lowered, any_of)
-    return test & any_term(lowered, and_any_of) if and_any_of else test
+
+    def test(lowered: Column) -> Column:
+        first = any_term(lowered, any_of)
+        return first & any_term(lowered, and_any_of) if and_any_of else first
+
+    return let(F.lower(as_text(col_of(text))), test)

@@ -148,7 +148,8 @@ def source_rollup(df: DataFrame, source: str = "source", total_label: str = "TOT
     """Rows per source, 'Prefix:x' counted under 'Prefix', and a total row."""
     label = F.split_part(F.col(source), F.lit(":"), F.lit(1))
     return (
-        df.rollup(label.alias("label"))
+        df.select(label.alias("label"))
+        .rollup("label")
         .agg(F.count(F.lit(1)).alias("rows"), F.grouping("label").alias("all"))
         .select(F.when(F.col("all") == 1, F.lit(total_label)).otherwise(F.col("label")).alias("name"), "rows")
     )

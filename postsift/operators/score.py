@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift import config as C
 from postsift.functions.parse import age_seconds
-from postsift.functions.text import any_term, as_text, term_count
+from postsift.functions.text import any_term, as_text, let, term_count
 
 PARTS = ("title", "keywords", "freshness", "applicants", "easy_apply", "remote", "salary", "company")
 
@@ -33,23 +35,37 @@ def score_parts(as_of: Column, rules: C.Rules = C.DEFAULT_RULES) -> Column:
     def flag(test: Column, points: int) -> Column:
         return F.when(test, F.lit(points)).otherwise(F.lit(0))
 
+    def title_points(text: Column) -> Column:
+        return (
+            F.when(any_term(text, rules.core_title_terms, rules.match), F.lit(C.CORE_TITLE_POINTS))
+            .when(any_term(text, rules.tech_title_terms, rules.match), F.lit(C.TECH_TITLE_POINTS))
+            .otherwise(F.lit(0))
+        )
+
+    def keyword_points(text: Column) -> Column:
+        enough = -(-C.TERM_POINTS_CAP // C.TERM_POINTS)
+        hits = term_count(text, rules.description_terms, rules.match, enough)
+        return F.least(hits * C.TERM_POINTS, F.lit(C.TERM_POINTS_CAP))
+
     return F.struct(
-        F.when(any_term(title, rules.core_title_terms, rules.match), F.lit(C.CORE_TITLE_POINTS))
-        .when(any_term(title, rules.tech_title_terms, rules.match), F.lit(C.TECH_TITLE_POINTS))
-        .otherwise(F.lit(0)).alias("title"),
-        F.least(term_count(description, rules.description_terms, rules.match) * C.TERM_POINTS, F.lit(C.TERM_POINTS_CAP)).alias("keywords"),
+        let(title, title_points).alias("title"),
+        let(description, keyword_points).alias("keywords"),
         fresh.alias("freshness"),
         F.when(count.isNull(), F.lit(C.APPLICANT_UNKNOWN_POINTS)).otherwise(crowd).alias("applicants"),
         flag(F.col("easy_apply").eqNullSafe(F.lit(True)), C.EASY_APPLY_POINTS).alias("easy_apply"),
-        flag(any_term(location, rules.remote_terms, rules.match), C.REMOTE_POINTS).alias("remote"),
+        flag(let(location, lambda t: any_term(t, rules.remote_terms, rules.match)), C.REMOTE_POINTS).alias("remote"),
         pay_points.alias("salary"),
-        flag(any_term(company, rules.preferred_companies, rules.match), C.COMPANY_POINTS).alias("company"),
+        flag(let(company, lambda t: any_term(t, rules.preferred_companies, rules.match)), C.COMPANY_POINTS).alias("company"),
     )
 
 
 def add_score(df: DataFrame, as_of: Column, rules: C.Rules = C.DEFAULT_RULES, keep_parts: bool = False) -> DataFrame:
-    """Add *score*, the capped sum of all parts."""
-    out = df.withColumn("_parts", score_parts(as_of, rules))
+    """Add *score*, the capped sum of all parts.
+
+    The parts go through a one-element explode: a later filter on the score is then not
+    pushed below them, which would search every text a second time.
+    """
+    out = df.select("*", F.explode(F.array(score_parts(as_of, rules))).alias("_parts"))
     total = sum((F.col(f"_parts.{p}") for p in PARTS), F.lit(0))
     out = out.withColumn("score", F.least(total, F.lit(C.SCORE_CAP)))
     return out.withColumnRenamed("_parts", "score_parts") if keep_parts else out.drop("_parts")

@@ -9,8 +9,8 @@ Neither form below compares all pairs:
 * ``lsh`` gives rows block keys from random planes and settles all blocks at once.
   In each round a row may become a leader when it is among the first *prefix*
   undecided rows in all its blocks and no earlier one of those is near.  Rows then
-  meet only the new leaders of their blocks, so a block that holds a third of the
-  data costs rows x leaders and not rows squared.  Within the blocks the result is
+  meet only the new leaders of their blocks, in chunks of bounded size, so a block
+  that holds a third of the data costs rows x leaders and not rows squared.  Within the blocks the result is
   that of the sequential rule; *recall* sets how many blocks a row gets.
 
 Rows with equal vectors always share their fate, so they are collapsed first.
@@ -31,7 +31,7 @@ from postsift.session import cut_lineage, new_path
 
 def first_leaders(
     df: DataFrame, id_col: str, vector: str, tau: float = SIMILARITY, *, blocking: str = "lsh",
-    chunk: int = 2048, recall: float = 0.999, bits: int | None = None, prefix: int = 32, seed: int = 7,
+    chunk: int = 2048, recall: float = 0.999, bits: int | None = None, prefix: int = 1024, seed: int = 7,
 ) -> DataFrame:
     """(id, leader) for one row per distinct vector; leader is NULL for kept rows.
 
@@ -44,16 +44,17 @@ def first_leaders(
     if blocking == "exact":
         return _scan_leaders(rows, tau, chunk)
     if blocking == "lsh":
-        return _block_leaders(rows, tau, recall, bits, prefix, seed)
+        return _block_leaders(rows, tau, recall, bits, prefix, 4 * chunk, seed)
     raise ValueError(f"unknown blocking {blocking!r}")
 
 
 # -- exact --------------------------------------------------------------------
 def _settle_head(tau: float):
     def run(batches):
-        head = pd.concat(list(batches), ignore_index=True)  # at most one chunk of rows
-        if head.empty:
+        parts = [batch for batch in batches if not batch.empty]  # at most one chunk of rows in all
+        if not parts:
             return
+        head = pd.concat(parts, ignore_index=True)
         head = head.sort_values("id", ignore_index=True)
         near = unit_rows(head["vec"])
         near = near @ near.T >= tau
@@ -121,65 +122,91 @@ def _block_keys(bands: int, bits: int, seed: int):
     return keys
 
 
-def _near(tau: float):
-    def run(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            left, right = unit_rows(batch["vec"]), unit_rows(batch["other_vec"])
-            yield batch.loc[np.einsum("ij,ij->i", left, right) >= tau, ["id", "other"]]
+def _waiting(tau: float):
+    """Rows of one block front that have an earlier near row in it."""
+
+    def run(front: pd.DataFrame) -> pd.DataFrame:
+        front = front.sort_values("id")
+        matrix = unit_rows(front["vec"])
+        near = np.tril(matrix @ matrix.T >= tau, k=-1).any(axis=1)
+        return front.loc[near & front["covered"].to_numpy(), ["id"]]
 
     return run
 
 
-def _near_pairs(pairs: DataFrame, rows: DataFrame, tau: float) -> DataFrame:
-    """Verify candidate (id, other, other_vec); several blocks may name the same pair."""
-    once = pairs.repartition("id").groupBy("id", "other").agg(F.any_value("other_vec").alias("other_vec"))
-    return once.join(rows, "id").select("id", "vec", "other", "other_vec").mapInPandas(_near(tau), "id BIGINT, other BIGINT")
+def _meet(tau: float):
+    """The first new leader that each row of one block chunk is near to."""
+
+    def run(rows: pd.DataFrame, lead: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or lead.empty:
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "found": pd.Series(dtype="int64")})
+        lead = lead.sort_values("l_id")
+        ids = lead["l_id"].to_numpy()
+        near = unit_rows(rows["vec"]) @ unit_rows(lead["l_vec"]).T >= tau
+        near &= ids[None, :] < rows["before"].to_numpy()[:, None]
+        hit = near.any(axis=1)
+        return pd.DataFrame({"id": rows["id"].to_numpy()[hit], "found": ids[near.argmax(axis=1)[hit]]})
+
+    return run
+
 
+def _blocks(rows: DataFrame, bands: int, bits: int, seed: int, chunk: int) -> DataFrame:
+    """(block, id, chunk, chunks) for all blocks of two rows or more.
 
-def _block_leaders(rows: DataFrame, tau: float, recall: float, bits: int | None, prefix: int, seed: int) -> DataFrame:
+    A block with more than *chunk* rows is spread over several chunks, so no task ever
+    holds more of it than that.
+    """
+    keyed = rows.select("id", F.posexplode(_block_keys(bands, bits, seed)("vec")).alias("band", "key"))
+    keyed = cut_lineage(keyed.select("id", F.struct("band", "key").alias("block")), "keys")
+    sizes = keyed.groupBy("block").count().where("count > 1")
+    sizes = sizes.select("block", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
+    return keyed.join(sizes, "block").select("block", "id", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), "chunks")
+
+
+def _block_leaders(
+    rows: DataFrame, tau: float, recall: float, bits: int | None, prefix: int, chunk: int, seed: int
+) -> DataFrame:
     count = rows.count()
     if count == 0:
         return rows.select("id", F.lit(None).cast("bigint").alias("leader"))
     # unrelated rows share a block with chance 2^-bits: keep that near one row per block
     bits = bits or min(60, max(8, math.ceil(math.log2(count))))
-    bands = bands_for(tau, bits, recall)
-    keyed = rows.select("id", F.posexplode(_block_keys(bands, bits, seed)("vec")).alias("band", "key"))
-    blocks = cut_lineage(keyed.select("id", F.struct("band", "key").alias("block")), "blocks")
-    state = rows.select("id", F.lit(None).cast("bigint").alias("leader"), F.lit(False).alias("kept"))
+    blocks = cut_lineage(_blocks(rows, bands_for(tau, bits, recall), bits, seed, chunk), "blocks")
+    needed = cut_lineage(blocks.groupBy("id").agg(F.count(F.lit(1)).alias("needed")), "needed")
+    # a row alone in all its blocks is kept at once
+    state = rows.select("id").join(needed, "id", "left").select(
+        "id", F.lit(None).cast("bigint").alias("leader"), F.col("needed").isNull().alias("kept")
+    )
     state = cut_lineage(state, "state")
     order = Window.partitionBy("block").orderBy("id")
     while True:
         open_rows = state.where(F.col("leader").isNull() & ~F.col("kept")).select("id")
         if open_rows.isEmpty():
             break
-        # the first undecided rows of every block (the limit runs before the shuffle)
-        front = (
-            blocks.join(open_rows, "id", "left_semi")
-            .withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= prefix)
-            .select("block", "id")
-        )
-        front = cut_lineage(front, "front")
-        covered = front.groupBy("id").count().where(F.col("count") == bands).select("id")
-        earlier = front.join(rows, "id").select("block", F.col("id").alias("other"), F.col("vec").alias("other_vec"))
-        pairs = front.join(covered, "id", "left_semi").join(earlier, "block").where(F.col("other") < F.col("id"))
-        waits = _near_pairs(pairs.select("id", "other", "other_vec"), rows, tau).select("id").distinct()
+        # the first undecided rows of every block; the limit runs before the shuffle
+        front = blocks.select("block", "id").join(open_rows, "id", "left_semi")
+        front = cut_lineage(front.withColumn("place", F.row_number().over(order)).where(F.col("place") <= prefix).drop("place"), "front")
+        covered = front.groupBy("id").count().join(needed, "id").where(F.col("count") == F.col("needed")).select("id")
+        ahead = front.join(covered.withColumn("covered", F.lit(True)), "id", "left").join(rows, "id")
+        ahead = ahead.select("block", "id", "vec", F.coalesce("covered", F.lit(False)).alias("covered"))
+        waits = ahead.groupBy("block").applyInPandas(_waiting(tau), "id BIGINT").distinct()
         leaders = cut_lineage(covered.join(waits, "id", "left_anti"), "new")
         # every row meets the new leaders of its blocks; the earliest near one wins
-        lead = blocks.join(leaders, "id", "left_semi").join(rows, "id")
-        lead = lead.select("block", F.col("id").alias("other"), F.col("vec").alias("other_vec"))
-        followers = blocks.join(state.where(~F.col("kept")).select("id", "leader"), "id")
-        pairs = followers.join(lead, "block").where(
-            (F.col("other") < F.col("id")) & (F.col("leader").isNull() | (F.col("other") < F.col("leader")))
+        lead = blocks.join(leaders, "id", "left_semi")
+        spread = lead.select("block", "id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(rows, "id")
+        # new names for the same columns: both sides of the cogroup come from one table
+        spread = spread.toDF(*[f"l_{c}" for c in spread.columns])
+        others = state.where(~F.col("kept")).join(leaders, "id", "left_anti")
+        others = others.select("id", F.least("id", "leader").alias("before"))
+        met = blocks.select("block", "id", "chunk").join(lead.select("block").distinct(), "block", "left_semi")
+        met = met.join(others, "id").join(rows, "id").select("block", "chunk", "id", "before", "vec")
+        found = (
+            met.groupBy("block", "chunk").cogroup(spread.groupBy("l_block", "l_chunk"))
+            .applyInPandas(_meet(tau), "id BIGINT, found BIGINT").groupBy("id").agg(F.min("found").alias("found"))
         )
-        found = _near_pairs(pairs.select("id", "other", "other_vec"), rows, tau).groupBy("id").agg(F.min("other").alias("found"))
         state = cut_lineage(
             state.join(found, "id", "left").join(leaders.select("id", F.lit(True).alias("new")), "id", "left").select(
-                "id",
-                F.when(F.col("new").isNull(), F.least("leader", "found")).alias("leader"),
-                (F.col("kept") | F.coalesce(F.col("new"), F.lit(False))).alias("kept"),
+                "id", F.least("leader", "found").alias("leader"), (F.col("kept") | F.col("new").isNotNull()).alias("kept")
             ),
             "state",
         )
