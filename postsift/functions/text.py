@@ -13,14 +13,14 @@ WHITESPACE = (
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Named entities decoded without Python.  "&amp;" has to stay last.
+# Named entities decoded without Python.
 ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©",
-    "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&hellip;": "…",
-    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
-    "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&pound;": "£",
-    "&times;": "×", "&deg;": "°", "&amp;": "&",
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©", "reg": "®", "trade": "™",
+    "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "times": "×",
+    "deg": "°", "amp": "&",
 }
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);"
 
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
 PHONE = r"(?U)[+]?[\d\s\-()]{10,15}"
@@ -110,35 +110,35 @@ def strip_tags(c: Column | str) -> Column:
     return F.regexp_replace(col_of(c), "<[^>]+>", " ")
 
 
-def _decode_numeric(text: Column, prefix: str, base: int) -> Column:
-    digits = "[0-9]{1,7}" if base == 10 else "[0-9a-fA-F]{1,6}"
-
-    def put(acc: Column, code: Column) -> Column:
-        number = F.conv(code, base, 10).cast("int")
-        # 38 is '&' itself: left for the named step, so that nothing is decoded twice
-        char = (
-            F.when(number == 38, F.lit("&amp;"))
-            .when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("�"))
-            .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-        )
-        return F.replace(acc, F.concat(F.lit(prefix), code, F.lit(";")), char)
-
-    def decode(whole: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(whole, F.lit(f"{prefix}({digits});"), F.lit(1)))
-        return F.when(F.contains(whole, F.lit(prefix)), F.aggregate(codes, whole, put)).otherwise(whole)
-
-    return let(text, decode)
+def _entity_char(code: Column) -> Column:
+    """The character of '#38', '#x26' or 'amp'; NULL for an unknown name."""
+    number = (
+        F.when(F.lower(code).startswith("#x"), F.conv(F.substring(code, 3, 6), 16, 10))
+        .when(code.startswith("#"), F.substring(code, 2, 7))
+        .try_cast("int")
+    )
+    char = F.when(
+        (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("\ufffd")
+    ).otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    named = F.create_map(*[F.lit(v) for pair in ENTITIES.items() for v in pair])
+    return F.when(number.isNotNull(), char).otherwise(F.try_element_at(named, code))
 
 
 def unescape(c: Column | str) -> Column:
-    """Decode numeric entities and the named ones in :data:`ENTITIES`."""
+    """Decode numeric entities and the named ones in :data:`ENTITIES`.
+
+    One pass finds the entities that occur.  Those for '&' are put in last, so that
+    nothing is decoded twice.
+    """
 
     def decode(text: Column) -> Column:
-        out = text
-        for prefix, base in (("&#x", 16), ("&#X", 16), ("&#", 10)):
-            out = _decode_numeric(out, prefix, base)
-        for name, char in ENTITIES.items():
-            out = F.replace(out, F.lit(name), F.lit(char))
+        codes = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)))
+        known = F.filter(
+            F.transform(codes, lambda k: F.struct(F.concat(F.lit("&"), k, F.lit(";")).alias("mark"), _entity_char(k).alias("char"))),
+            lambda e: e["char"].isNotNull(),
+        )
+        put = let(known, lambda es: F.concat(F.filter(es, lambda e: e["char"] != "&"), F.filter(es, lambda e: e["char"] == "&")))
+        out = F.aggregate(put, text, lambda acc, e: F.replace(acc, e["mark"], e["char"]))
         return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
     return let(col_of(c), decode)
