@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Characters that count as white space at the ends of a text.
 WHITESPACE = (
@@ -37,6 +37,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, **cells: Column) -> DataFrame:
+    """Add columns that the optimizer will neither inline nor compute a second time.
+
+    A one-element array of a struct is turned into columns: filters on them stay above
+    it, so a costly text search is not repeated below the filter.
+    """
+    row = F.struct(*[cell.alias(name) for name, cell in cells.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def as_text(c: Column | str, is_array: bool = False) -> Column:
     """NULL becomes '', an array becomes a ', ' joined text, anything else its text form."""
     c = col_of(c)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postsift import config as C
-from postsift.functions.text import as_text, has_term, known_amount, let
+from postsift.functions.text import as_text, computed_once, has_term, known_amount, let
 from postsift.operators.publish import top_k
 
 
@@ -97,7 +97,7 @@ def skill_demand(
     hits = let(text, lambda t: F.transform(F.array(*[F.lit(k) for k in lowered]), lambda k: F.contains(t, k)))
     if match == "word":
         hits = let(text, lambda t: F.array(*[has_term(t, k, match) for k in lowered]))
-    base = df.select(F.col(order_by).alias("_at"), F.explode(F.array(hits)).alias("_hits"))
+    base = computed_once(df, _hits=hits).select(F.col(order_by).alias("_at"), "_hits")
     for i, skill in enumerate(skills):
         hit = F.get("_hits", F.lit(i))
         slots += [F.count_if(hit).alias(f"n{i}"), F.min(F.when(hit, F.col("_at"))).alias(f"f{i}")]

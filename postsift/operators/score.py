@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift import config as C
 from postsift.functions.parse import age_seconds
-from postsift.functions.text import any_term, as_text, let, term_count
+from postsift.functions.text import any_term, as_text, computed_once, let, term_count
 
 PARTS = ("title", "keywords", "freshness", "applicants", "easy_apply", "remote", "salary", "company")
 
@@ -60,12 +60,8 @@ def score_parts(as_of: Column, rules: C.Rules = C.DEFAULT_RULES) -> Column:
 
 
 def add_score(df: DataFrame, as_of: Column, rules: C.Rules = C.DEFAULT_RULES, keep_parts: bool = False) -> DataFrame:
-    """Add *score*, the capped sum of all parts.
-
-    The parts go through a one-element explode: a later filter on the score is then not
-    pushed below them, which would search every text a second time.
-    """
-    out = df.select("*", F.explode(F.array(score_parts(as_of, rules))).alias("_parts"))
+    """Add *score*, the capped sum of all parts."""
+    out = computed_once(df, _parts=score_parts(as_of, rules))
     total = sum((F.col(f"_parts.{p}") for p in PARTS), F.lit(0))
     out = out.withColumn("score", F.least(total, F.lit(C.SCORE_CAP)))
     return out.withColumnRenamed("_parts", "score_parts") if keep_parts else out.drop("_parts")

@@ -101,3 +101,58 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(comment_id, text): one forum comment per order."""
     out = postings(spark, sf_dir).withColumn("o_orderkey", F.col("id"))
     return out.select(F.col("id").alias("comment_id"), F.expr(COMMENT).alias("text"))
+
+
+# -- feed payloads: one JSON text per order, in the shape of each feed --------
+_T = "CASE WHEN id % 23 = 0 THEN '' ELSE title END"
+_ISO_Z = "date_format(posted_date, \"yyyy-MM-dd'T'HH:mm:ss\") || 'Z'"
+_HIGH = "CASE WHEN id % 2 = 0 THEN salary + 1001 END"
+
+FEED_PAYLOADS = {
+    "Dice": f"""named_struct('data', array(named_struct('title', {_T}, 'companyName', company,
+        'jobLocation', CASE WHEN id % 2 = 0 THEN named_struct('displayName', location) END, 'detailsPageUrl', url,
+        'easyApply', easy_apply, 'isRemote', id % 4 = 1, 'salary', '$' || (id % 90 + 20) || ' per hour',
+        'postedDate', {_ISO_Z}, 'summary', description)))""",
+    "Arbeitnow": f"""named_struct('data', array(named_struct('slug', url, 'title', {_T}, 'company_name', company,
+        'location', CASE WHEN id % 3 > 0 THEN location ELSE '' END, 'url', url || '?id=' || id, 'remote', true, 'tags', array('x', source),
+        'description', description, 'created_at', unix_seconds(CAST(posted_date AS TIMESTAMP)))))""",
+    "Adzuna": f"""named_struct('results', array(named_struct('title', {_T}, 'company', named_struct('display_name', company),
+        'location', named_struct('display_name', location), 'redirect_url', url, 'description', description,
+        'salary_min', salary, 'salary_max', {_HIGH}, 'created', {_ISO_Z})))""",
+    "Remotive": f"""named_struct('jobs', array(named_struct('title', {_T}, 'company_name', company,
+        'candidate_required_location', CASE WHEN id % 3 > 0 THEN location END, 'salary', '$' || (id % 90 + 20) || ',000 / month',
+        'url', url, 'publication_date', {_ISO_Z}, 'description', description)))""",
+    "Himalayas": f"""named_struct('jobs', array(named_struct('title', {_T}, 'companyName', company,
+        'locationRestrictions', CASE id % 3 WHEN 0 THEN array() WHEN 1 THEN array(location) ELSE array(location, 'Anywhere') END,
+        'salaryMin', salary, 'salaryMax', {_HIGH}, 'applicationLink', CASE WHEN id % 2 = 0 THEN url END, 'url', url,
+        'publishedAt', {_ISO_Z}, 'description', description)))""",
+    "Jobicy": f"""named_struct('jobs', array(named_struct('jobTitle', {_T}, 'companyName', company,
+        'jobGeo', CASE WHEN id % 3 > 0 THEN location END, 'annualSalaryMin', salary, 'url', url,
+        'pubDate', date_format(posted_date, 'yyyy-MM-dd HH:mm:ss'), 'jobDescription', description)))""",
+    "Jooble": f"""named_struct('jobs', array(named_struct('title', {_T}, 'company', company,
+        'location', CASE WHEN id % 3 > 0 THEN location END, 'salary', '1,' || (id % 900 + 100) || ' a week', 'link', url,
+        'updated', CASE WHEN id % 2 = 0 THEN {_ISO_Z} ELSE (id % 20) || ' days ago' END, 'snippet', description)))""",
+    "WorkingNomads": f"""array(named_struct('title', {_T}, 'company', company, 'location', CASE WHEN id % 3 > 0 THEN location ELSE '' END,
+        'url', url, 'pub_date', {_ISO_Z}, 'description', description))""",
+    "USAJobs": f"""named_struct('SearchResult', named_struct('SearchResultItems', array(named_struct('MatchedObjectDescriptor',
+        named_struct('PositionTitle', {_T}, 'PublicationStartDate', {_ISO_Z}, 'PositionLocation',
+        CASE WHEN id % 3 > 0 THEN array(named_struct('LocationName', location)) ELSE array() END, 'PositionRemuneration',
+        array(named_struct('MinimumRange', salary, 'MaximumRange', {_HIGH})), 'OrganizationName', company, 'PositionURI', url,
+        'QualificationSummary', description)))))""",
+    "TheMuse": f"""named_struct('results', array(named_struct('name', {_T}, 'publication_date', {_ISO_Z},
+        'locations', CASE WHEN id % 3 > 0 THEN array(named_struct('name', location)) ELSE array() END,
+        'company', named_struct('name', company), 'refs', named_struct('landing_page', url), 'contents', description)))""",
+    "RemoteOK": f"""array(named_struct('legal', 'notice', 'id', NULL, 'position', 'not a row', 'company', '', 'location', '', 'url', '',
+        'tags', array(''), 'salary_min', NULL, 'salary_max', NULL, 'epoch', NULL, 'applicants', NULL),
+        named_struct('legal', '', 'id', '' || id, 'position', {_T}, 'company', company,
+        'location', CASE WHEN id % 3 > 0 THEN location ELSE '' END, 'url', CASE WHEN url <> '' THEN url END,
+        'tags', array('x', source), 'salary_min', salary, 'salary_max', {_HIGH},
+        'epoch', unix_seconds(CAST(posted_date AS TIMESTAMP)), 'applicants', CAST(id % 50 AS INT)))""",
+}
+
+
+def feed_payloads(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """(seq, payload) in the shape of one feed; every 97th payload is cut off in the middle."""
+    rows = postings(spark, sf_dir).select("seq", F.to_json(F.expr(FEED_PAYLOADS[source])).alias("payload"))
+    broken = F.left("payload", F.lit(20))
+    return rows.withColumn("payload", F.when(F.col("seq") % 97 == 0, broken).otherwise(F.col("payload")))

@@ -192,7 +192,7 @@ FEEDS: dict[str, FeedSpec] = {
             "PublicationStartDate:STRING, PositionLocation:ARRAY<STRUCT<LocationName:STRING>>, "
             "PositionRemuneration:ARRAY<STRUCT<MinimumRange:STRING, MaximumRange:STRING>>, OrganizationName:STRING, "
             "PositionURI:STRING, QualificationSummary:STRING>>>>",
-            lambda payload: payload["SearchResult.SearchResultItems"],
+            lambda payload: payload["SearchResult"]["SearchResultItems"],
             {
                 "title": _text(_D + "PositionTitle"), "company": _text(_D + "OrganizationName", "US Government"),
                 "location": lambda x, now: F.coalesce(F.get(x[_D + "PositionLocation"], F.lit(0))["LocationName"], F.lit("United States")),

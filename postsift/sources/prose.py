@@ -30,12 +30,9 @@ def extract_forum_posts(
 
     The cheap length and keyword gates run before any field is extracted.
     """
-    rows = (
-        df.where(F.length(text) >= C.FORUM_MIN_CHARS)
-        .select(F.col(comment_id).alias("comment_id"), T.plain_text(text, entities).alias("_t"))
-        .where(keyword_gate("_t", relevant, signals))
-        .withColumn("_l", F.lower("_t"))
-    )
+    rows = df.where(F.length(text) >= C.FORUM_MIN_CHARS).select(F.col(comment_id).alias("comment_id"), F.col(text).alias("_raw"))
+    rows = T.computed_once(rows, _t=T.plain_text("_raw", entities)).where(keyword_gate("_t", relevant, signals))
+    rows = T.computed_once(rows, _l=F.lower("_t"))
     body = F.col("_t")
     remote = F.col("_l").rlike(r"(?U)\bremote\b")
     location = F.when(remote, F.lit("Remote")).otherwise(T.pipe_field(body, 2))
