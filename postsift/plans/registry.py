@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from postsift.plans import q_core, q_sources, q_text  # noqa: F401
+    from postsift.plans import q_board, q_core, q_sources, q_state, q_text  # noqa: F401
