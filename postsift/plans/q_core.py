@@ -281,3 +281,24 @@ def dedup_semantic_blocks(spark, sf):
     vectors = enrich.embed_text(docs, "doc_id", F.col("text"))
     rows = docs.select("doc_id", F.col("n_chars").cast("int").alias("salary")).join(vectors, "doc_id", "left")
     return similarity.dedup_semantic(rows, "doc_id", "embedding", blocking="lsh").select("doc_id", "salary")
+
+
+# -- the whole run ------------------------------------------------------------
+_ALL = ("title", "company", "location", "url", "source", "applicants", "posted_date", "llm_score", "job_type", "scraped_at", "notified", "applied", "saved")
+_MERGED = ", ".join(f"coalesce(h.{c}, CASE WHEN h.salary IS NULL THEN d.{c} END) AS {c}" for c in _ALL)
+_UNIQUE = f"""{O.P.replace('p AS (', 'p_raw AS (', 1)}, {_KEYED.replace('FROM p)', 'FROM p_raw)')},
+    h AS ({_FIRST.format(w='true')}), d AS ({_FIRST.format(w='salary IS NOT NULL')}), e AS ({_FIRST.format(w='easy_apply IS NOT NULL')}), x AS ({_FIRST.format(w="description <> ''")}),
+    p AS (SELECT h.id, {_MERGED}, coalesce(h.salary, d.salary) AS salary, e.easy_apply,
+     CASE WHEN h.description IS NOT NULL THEN h.description WHEN h.salary IS NULL AND d.description IS NOT NULL AND (x.id IS NULL OR d.id <= x.id) THEN d.description
+          ELSE x.description END AS description FROM h LEFT JOIN d ON h.k = d.k LEFT JOIN e ON h.k = e.k LEFT JOIN x ON h.k = x.k)"""
+
+
+@query("run_top500", O.with_(
+    _UNIQUE + O.SCORED.removeprefix(O.P), f"SELECT id, title, company, location, salary, role_category, job_type, score FROM s WHERE {O.REASON} IS NULL ORDER BY score DESC, id LIMIT 500"))
+def run_top500(spark, sf):
+    """Dedup, classify, filter, score and rank: the main path of a run."""
+    from postsift.plans.daily import prepare
+
+    out = prepare(V.postings(spark, sf), V.as_of(), ("id",))
+    cols = ("id", "title", "company", "location", "salary", "role_category", "job_type", "score")
+    return publish.top_k(out.select(*cols), C.GRID_ROWS, F.desc("score"), "id")
