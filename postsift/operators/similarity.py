@@ -122,34 +122,61 @@ def _block_keys(bands: int, bits: int, seed: int):
     return keys
 
 
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values in sorted arrays."""
+    edges = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    return list(zip([0, *edges], [*edges, len(keys[0])]))
+
+
 def _waiting(tau: float):
-    """Rows of one block front that have an earlier near row in it."""
+    """Rows that have an earlier near row in the front of one of their blocks.
+
+    One call handles a pack of several blocks: a call per block would cost more than
+    its arithmetic.
+    """
 
-    def run(front: pd.DataFrame) -> pd.DataFrame:
-        front = front.sort_values("id")
-        matrix = unit_rows(front["vec"])
-        near = np.tril(matrix @ matrix.T >= tau, k=-1).any(axis=1)
-        return front.loc[near & front["covered"].to_numpy(), ["id"]]
+    def run(pack: pd.DataFrame) -> pd.DataFrame:
+        pack = pack.sort_values(["block", "id"], ignore_index=True)
+        matrix, waits = unit_rows(pack["vec"]), np.zeros(len(pack), bool)
+        for start, end in _runs(pack["block"].to_numpy()):
+            part = matrix[start:end]
+            waits[start:end] = np.tril(part @ part.T >= tau, k=-1).any(axis=1)
+        return pack.loc[waits & pack["covered"].to_numpy(), ["id"]]
 
     return run
 
 
 def _meet(tau: float):
-    """The first new leader that each row of one block chunk is near to."""
+    """The first new leader that each row is near to, over a pack of block chunks."""
 
     def run(rows: pd.DataFrame, lead: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or lead.empty:
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "found": pd.Series(dtype="int64")})
-        lead = lead.sort_values("l_id")
-        ids = lead["l_id"].to_numpy()
-        near = unit_rows(rows["vec"]) @ unit_rows(lead["l_vec"]).T >= tau
-        near &= ids[None, :] < rows["before"].to_numpy()[:, None]
-        hit = near.any(axis=1)
-        return pd.DataFrame({"id": rows["id"].to_numpy()[hit], "found": ids[near.argmax(axis=1)[hit]]})
+        ids, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(rows) and len(lead):
+            rows = rows.sort_values(["block", "chunk"], ignore_index=True)
+            lead = lead.sort_values(["l_block", "l_chunk", "l_id"], ignore_index=True)
+            left, right = unit_rows(rows["vec"]), unit_rows(lead["l_vec"])
+            lead_ids, before = lead["l_id"].to_numpy(), rows["before"].to_numpy()
+            block, chunk = rows["block"].to_numpy(), rows["chunk"].to_numpy()
+            l_block, l_chunk = lead["l_block"].to_numpy(), lead["l_chunk"].to_numpy()
+            where = {(l_block[a], l_chunk[a]): (a, b) for a, b in _runs(l_block, l_chunk)}
+            for start, end in _runs(block, chunk):
+                at = where.get((block[start], chunk[start]))
+                if at is None:
+                    continue
+                heads = lead_ids[at[0]:at[1]]
+                near = (left[start:end] @ right[at[0]:at[1]].T >= tau) & (heads[None, :] < before[start:end, None])
+                hit = near.any(axis=1)
+                ids.append(rows["id"].to_numpy()[start:end][hit])
+                found.append(heads[near.argmax(axis=1)[hit]])
+        return pd.DataFrame({"id": np.concatenate(ids), "found": np.concatenate(found)})
 
     return run
 
 
+def _pack(packs: int, *cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(packs))
+
+
 def _blocks(rows: DataFrame, bands: int, bits: int, seed: int, chunk: int) -> DataFrame:
     """(block, id, chunk, chunks) for all blocks of two rows or more.
 
@@ -157,7 +184,7 @@ def _blocks(rows: DataFrame, bands: int, bits: int, seed: int, chunk: int) -> Da
     holds more of it than that.
     """
     keyed = rows.select("id", F.posexplode(_block_keys(bands, bits, seed)("vec")).alias("band", "key"))
-    keyed = cut_lineage(keyed.select("id", F.struct("band", "key").alias("block")), "keys")
+    keyed = cut_lineage(keyed.select("id", F.xxhash64("band", "key").alias("block")), "keys")
     sizes = keyed.groupBy("block").count().where("count > 1")
     sizes = sizes.select("block", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     return keyed.join(sizes, "block").select("block", "id", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), "chunks")
@@ -172,6 +199,7 @@ def _block_leaders(
     # unrelated rows share a block with chance 2^-bits: keep that near one row per block
     bits = bits or min(60, max(8, math.ceil(math.log2(count))))
     blocks = cut_lineage(_blocks(rows, bands_for(tau, bits, recall), bits, seed, chunk), "blocks")
+    packs = max(1, blocks.count() // chunk)
     needed = cut_lineage(blocks.groupBy("id").agg(F.count(F.lit(1)).alias("needed")), "needed")
     # a row alone in all its blocks is kept at once
     state = rows.select("id").join(needed, "id", "left").select(
@@ -189,7 +217,7 @@ def _block_leaders(
         covered = front.groupBy("id").count().join(needed, "id").where(F.col("count") == F.col("needed")).select("id")
         ahead = front.join(covered.withColumn("covered", F.lit(True)), "id", "left").join(rows, "id")
         ahead = ahead.select("block", "id", "vec", F.coalesce("covered", F.lit(False)).alias("covered"))
-        waits = ahead.groupBy("block").applyInPandas(_waiting(tau), "id BIGINT").distinct()
+        waits = ahead.groupBy(_pack(packs, "block")).applyInPandas(_waiting(tau), "id BIGINT").distinct()
         leaders = cut_lineage(covered.join(waits, "id", "left_anti"), "new")
         # every row meets the new leaders of its blocks; the earliest near one wins
         lead = blocks.join(leaders, "id", "left_semi")
@@ -201,7 +229,7 @@ def _block_leaders(
         met = blocks.select("block", "id", "chunk").join(lead.select("block").distinct(), "block", "left_semi")
         met = met.join(others, "id").join(rows, "id").select("block", "chunk", "id", "before", "vec")
         found = (
-            met.groupBy("block", "chunk").cogroup(spread.groupBy("l_block", "l_chunk"))
+            met.groupBy(_pack(packs, "block", "chunk")).cogroup(spread.groupBy(_pack(packs, "l_block", "l_chunk")))
             .applyInPandas(_meet(tau), "id BIGINT, found BIGINT").groupBy("id").agg(F.min("found").alias("found"))
         )
         state = cut_lineage(

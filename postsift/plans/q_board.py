@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postsift import config as C
 from postsift.functions import text as T
-from postsift.operators import analytics, board, classify, dedup, publish
+from postsift.operators import analytics, board, classify, dedup, publish, score
 from postsift.plans import oracle as O, views as V
 from postsift.plans.q_core import classified, scored
 from postsift.plans.q_sources import social
@@ -32,13 +32,20 @@ def tab_applied(spark, sf):
     return board.grid_filter(scored(spark, sf), spec).select(*_CARD)
 
 
-@query("grid_sort", O.with_(O.SCORED, """SELECT 'score' AS sorted_by, id FROM (SELECT id FROM s ORDER BY coalesce(llm_score, score) DESC, id LIMIT 500)
-    UNION ALL SELECT 'salary', id FROM (SELECT id FROM s ORDER BY coalesce(salary, 0) DESC, id LIMIT 500)
-    UNION ALL SELECT 'date', id FROM (SELECT id FROM s ORDER BY posted_date DESC NULLS LAST, id LIMIT 500)"""))
+@query("grid_sort", O.with_(O.SCORED, "SELECT id, CAST(coalesce(llm_score, score) AS INT) AS shown_score FROM s ORDER BY 2 DESC, 1 LIMIT 500"))
 def grid_sort(spark, sf):
-    rows = scored(spark, sf).select("id", "score", "llm_score", "salary", "posted_date")
-    parts = [board.grid_sort(rows, by, "id").select(F.lit(by).alias("sorted_by"), "id") for by in ("score", "salary", "date")]
-    return dedup.union_sources(*parts)
+    out = board.grid_sort(scored(spark, sf).select("id", "score", "llm_score"), "score", "id")
+    return out.select("id", score.preferred_score().alias("shown_score"))
+
+
+@query("grid_sort_salary", O.with_(O.P, "SELECT id, salary FROM p ORDER BY coalesce(salary, 0) DESC, id LIMIT 500"))
+def grid_sort_salary(spark, sf):
+    return board.grid_sort(V.postings(spark, sf).select("id", "salary"), "salary", "id")
+
+
+@query("grid_sort_date", O.with_(O.P, "SELECT id, posted_date FROM p ORDER BY posted_date DESC NULLS LAST, id LIMIT 500"))
+def grid_sort_date(spark, sf):
+    return board.grid_sort(V.postings(spark, sf).select("id", "posted_date"), "date", "id")
 
 
 @query("posts_filter", O.with_(O.SOCIAL, """SELECT seq, author_name, score FROM sp WHERE contact_email <> '' AND score >= 35

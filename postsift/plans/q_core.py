@@ -119,7 +119,7 @@ def filter_easy_only(spark, sf):
 @query("keyword_gate", f"""SELECT doc_id FROM documents
     WHERE {O.any_of('lower(text)', C.FORUM_RELEVANT_TERMS)} AND {O.any_of('lower(text)', ('the', 'license', '|'))}""")
 def keyword_gate(spark, sf):
-    docs = V.table(spark, sf, "documents")
+    docs = V.texts(spark, sf, "documents", "doc_id")
     return docs.where(classify.keyword_gate("text", C.FORUM_RELEVANT_TERMS, ("the", "license", "|"))).select("doc_id")
 
 
@@ -192,7 +192,7 @@ _TERMS = ("the", "tion", "reth", "license", "go", "llm", "etl", "|")
     array_to_string(list_filter([{', '.join(O.quote(t) for t in _TERMS)}], lambda t: contains(lower(text), t)), ',') AS hits FROM documents""")
 def keyword_hits(spark, sf):
     text = F.col("_l")
-    docs = V.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("_l"))
+    docs = V.texts(spark, sf, "documents", "doc_id").select("doc_id", F.lower("text").alias("_l"))
     return docs.select("doc_id", T.term_count(text, _TERMS).alias("n_hits"), F.array_join(T.term_list(text, _TERMS), ",").alias("hits"))
 
 
@@ -231,7 +231,7 @@ def skill_gap(spark, sf):
     g AS (SELECT skill, count(*) AS mentions, min(doc_id * 100 + pos) AS f FROM u GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 30)
     SELECT skill, mentions, round(mentions / max(mentions) OVER (), 6) AS intensity, round(0.3 + 0.7 * mentions / max(mentions) OVER (), 6) AS opacity FROM g""")
 def skills_heatmap(spark, sf):
-    docs = V.table(spark, sf, "documents").select("doc_id", T.term_list(F.lower("text"), _TERMS).alias("skills"))
+    docs = V.texts(spark, sf, "documents", "doc_id").select("doc_id", T.term_list(F.lower("text"), _TERMS).alias("skills"))
     out = analytics.skills_heatmap(docs, "doc_id")
     return out.withColumns({"intensity": F.round("intensity", 6), "opacity": F.round("opacity", 6)})
 
@@ -277,7 +277,7 @@ def embed_local(spark, sf):
 @query("dedup_semantic_blocks")
 def dedup_semantic_blocks(spark, sf):
     """Similarity dedup of all documents on local vectors, by blocks."""
-    docs = V.table(spark, sf, "documents")
+    docs = V.texts(spark, sf, "documents", "doc_id")
     vectors = enrich.embed_text(docs, "doc_id", F.col("text"))
     rows = docs.select("doc_id", F.col("n_chars").cast("int").alias("salary")).join(vectors, "doc_id", "left")
     return similarity.dedup_semantic(rows, "doc_id", "embedding", blocking="lsh").select("doc_id", "salary")

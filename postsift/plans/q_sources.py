@@ -126,7 +126,7 @@ def _unescaped(c: str) -> str:
 def page_fields(spark, sf):
     from postsift.functions.text import url_origin
 
-    return V.table(spark, sf, "pages").select(
+    return V.texts(spark, sf, "pages", "page_id").select(
         "page_id", html.first_text("html", html.element("h2", "job-title"), html.element("h1")).alias("title"),
         html.first_text("html", html.element("div", "ad")).alias("ad"),
         html.first_link("html", url_origin("url"), html.attribute("a", "href")).alias("link"))
@@ -140,7 +140,7 @@ _LINKS = f"""SELECT page_id, CAST(i - 1 AS INT) AS position, {_ORIGIN} || links[
 def page_links(spark, sf):
     from postsift.functions.text import url_origin
 
-    return html.page_links(V.table(spark, sf, "pages"), "page_id", "html", url_origin("url"))
+    return html.page_links(V.texts(spark, sf, "pages", "page_id"), "page_id", "html", url_origin("url"))
 
 
 @query("page_cards", f"""SELECT page_id, CAST(i - 1 AS INT) AS position, {_unescaped("titles[i]")} AS title, {_ORIGIN} || {_unescaped("links[i]")} AS link FROM
@@ -150,7 +150,7 @@ def page_cards(spark, sf):
     from postsift.functions.text import url_origin
 
     rules = html.CardRules(cards=("div.job-card", "nav li"), texts={"title": ("h2 a", "a")}, links={"link": ("h2 a", "a[href]")})
-    return html.extract_cards(V.table(spark, sf, "pages"), rules, url_origin("url"))
+    return html.extract_cards(V.texts(spark, sf, "pages", "page_id"), rules, url_origin("url"))
 
 
 # -- prose --------------------------------------------------------------------
@@ -189,7 +189,7 @@ _SKILLS = f"[{', '.join(O.quote(s) for s in C.PROFILE_SKILLS)}]"
 @query("profile_extract", f"""SELECT doc_id, '' AS name, regexp_extract(text, '{_EMAIL}') AS email, trim(regexp_extract(text, '[+]?[\\d\\s\\-()]{{10,15}}'), E' \\t\\n\\r') AS phone,
     'Data Engineer' AS title, CAST(0 AS INT) AS years_experience, array_to_string(list_filter({_SKILLS}, lambda s: contains(lower(text), lower(s))), ',') AS skills FROM documents""")
 def profile_extract(spark, sf):
-    out = prose.extract_profiles(V.table(spark, sf, "documents"), "doc_id", "text")
+    out = prose.extract_profiles(V.texts(spark, sf, "documents", "doc_id"), "doc_id", "text")
     return out.drop("companies", "education", "summary").withColumn("skills", F.array_join("skills", ","))
 
 

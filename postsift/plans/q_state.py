@@ -12,6 +12,7 @@ from postsift.plans import oracle as O, views as V
 from postsift.plans.q_board import stages
 from postsift.plans.q_core import scored
 from postsift.plans.registry import query
+from postsift.session import cut_lineage
 
 # Older orders are what is stored, newer ones the batch that arrives.
 _CUT = "TIMESTAMP '1998-04-01 00:00:00'"
@@ -176,5 +177,7 @@ def length_model(prompts: pd.Series) -> pd.Series:
     || 'Answer with JSON only: {"score": 0-100, "reason": "", "summary": "", "skills": []}') % 101 AS INT) END AS llm_score,
     CASE WHEN t.id IS NOT NULL THEN 'length' END AS llm_reason, CASE WHEN t.id IS NOT NULL THEN 'a,b' ELSE '' END AS skills FROM s LEFT JOIN t ON s.id = t.id""").replace("\n, t AS", ", t AS"))
 def enrich_topn(spark, sf):
-    out = enrich.enrich_top(scored(spark, sf), "id", length_model)
+    # the scored rows are read twice (top n, join back): store them once
+    rows = cut_lineage(scored(spark, sf).select("id", "score", "title", "company", "location", "job_type", "salary", "description"), "scored")
+    out = enrich.enrich_top(rows, "id", length_model)
     return out.select("id", "llm_score", "llm_reason", F.array_join("skills", ",").alias("skills"))

@@ -109,7 +109,7 @@ _EMAIL = "[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9.-]+"
 
 @query("extract_email", f"SELECT doc_id, regexp_extract(text, '{_EMAIL}') AS email FROM documents")
 def extract_email(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", T.first_email("text").alias("email"))
+    return V.texts(spark, sf, "documents", "doc_id").select("doc_id", T.first_email("text").alias("email"))
 
 
 @query("extract_url", O.with_(
@@ -126,18 +126,18 @@ for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'
 
 @query("strip_html", f"SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim({_ENT}, E' \\t\\n\\r\u00a0') AS t FROM pages)")
 def strip_html(spark, sf):
-    out = V.table(spark, sf, "pages").select("page_id", T.plain_text("html").alias("t"))
+    out = V.texts(spark, sf, "pages", "page_id").select("page_id", T.plain_text("html").alias("t"))
     return out.select("page_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
 
 
 @query("strip_html_full", f"SELECT page_id, md5(t) AS digest FROM (SELECT page_id, trim({_ENT}, E' \\t\\n\\r\u00a0') AS t FROM pages)")
 def strip_html_full(spark, sf):
-    return V.table(spark, sf, "pages").select("page_id", F.md5(T.plain_text("html", "full")).alias("digest"))
+    return V.texts(spark, sf, "pages", "page_id").select("page_id", F.md5(T.plain_text("html", "full")).alias("digest"))
 
 
 @query("url_clean", """SELECT page_id, split_part(url, '?', 1) AS clean, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/x/' || page_id AS joined FROM pages""")
 def url_clean(spark, sf):
-    pages = V.table(spark, sf, "pages")
+    pages = V.texts(spark, sf, "pages", "page_id")
     return pages.select("page_id", T.url_without_query("url").alias("clean"), T.absolute_url(F.concat(F.lit("/x/"), "page_id"), T.url_origin("url")).alias("joined"))
 
 
@@ -149,14 +149,14 @@ _REPLY = """CASE doc_id % 5 WHEN 0 THEN '{"score": ' || (n_chars % 101) || ', "r
     CASE doc_id % 5 WHEN 0 THEN 'r' || doc_id WHEN 1 THEN '' WHEN 2 THEN 'only' END AS reason, CASE doc_id % 5 WHEN 0 THEN 's' WHEN 1 THEN '' WHEN 2 THEN '' END AS summary,
     CASE doc_id % 5 WHEN 0 THEN 'a,b' || lang ELSE '' END AS skills FROM documents""")
 def model_reply_parse(spark, sf):
-    out = V.table(spark, sf, "documents").select("doc_id", F.expr(_REPLY.replace("\n{", "\\n{").replace("}\n", "}\\n")).alias("t")).select("doc_id", T.model_reply("t").alias("m"))
+    out = V.texts(spark, sf, "documents", "doc_id").select("doc_id", F.expr(_REPLY.replace("\n{", "\\n{").replace("}\n", "}\\n")).alias("t")).select("doc_id", T.model_reply("t").alias("m"))
     return out.select("doc_id", "m.score", "m.reason", "m.summary", F.array_join("m.skills", ",").alias("skills"))
 
 
 @query("skills_json", f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE len(h) END AS n_back, '[' || array_to_string(list_transform(h, lambda x: '"' || x || '"'), ',') || ']' AS encoded
     FROM (SELECT doc_id, list_filter(['the', 'tion', 'go'], lambda t: contains(lower(text), t)) AS h FROM documents)""")
 def skills_json(spark, sf):
-    docs = V.table(spark, sf, "documents").select("doc_id", T.term_list(F.lower("text"), ("the", "tion", "go")).alias("h"))
+    docs = V.texts(spark, sf, "documents", "doc_id").select("doc_id", T.term_list(F.lower("text"), ("the", "tion", "go")).alias("h"))
     docs = docs.select("doc_id", T.skills_to_json("h").alias("encoded"))
     broken = F.when(F.col("doc_id") % 7 == 0, F.lit("[oops")).otherwise(F.col("encoded"))
     return docs.select("doc_id", F.size(T.skills_from_json(broken)).cast("bigint").alias("n_back"), "encoded")

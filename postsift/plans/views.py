@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from postsift.session import spread
+
 AS_OF = "2001-08-01 06:00:00"
 
 # Column expressions over orders, customer, nation and documents.
@@ -75,10 +77,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are costly to process."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = documents.select(F.max("doc_id") + 1).scalar()
-    orders = table(spark, sf_dir, "orders").withColumn("_doc", F.col("o_orderkey") % size)
+    orders = texts(spark, sf_dir, "orders", "o_orderkey").withColumn("_doc", F.col("o_orderkey") % size)
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     return (
@@ -94,7 +101,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(*[F.expr(e).alias(c) for c, e in POST.items()])
+    return texts(spark, sf_dir, "conversations", "conv_id").select(*[F.expr(e).alias(c) for c, e in POST.items()])
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,13 @@ def cut_lineage(df: DataFrame, purpose: str = "round") -> DataFrame:
     path = new_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan of few, small files as many partitions as there are cores.
+
+    For costly per-row work over a small table.  A table with enough file splits (any
+    large one) is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
