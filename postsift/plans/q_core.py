@@ -116,11 +116,12 @@ def filter_easy_only(spark, sf):
     return classify.with_reasons(V.postings(spark, sf), V.as_of(), rules).select("id", "reason")
 
 
-@query("keyword_gate", f"""SELECT doc_id FROM documents
-    WHERE {O.any_of('lower(text)', C.FORUM_RELEVANT_TERMS)} AND {O.any_of('lower(text)', ('the', 'license', '|'))}""")
+@query("keyword_gate", O.with_(
+    f"{O.P}, cm AS (SELECT id AS comment_id, {O.COMMENT.replace('o_orderkey', 'id')} AS text FROM p)",
+    f"SELECT comment_id FROM cm WHERE {O.any_of('lower(text)', C.FORUM_RELEVANT_TERMS)} AND {O.any_of('lower(text)', C.FORUM_SIGNAL_TERMS)}"))
 def keyword_gate(spark, sf):
-    docs = V.texts(spark, sf, "documents", "doc_id")
-    return docs.where(classify.keyword_gate("text", C.FORUM_RELEVANT_TERMS, ("the", "license", "|"))).select("doc_id")
+    gate = classify.keyword_gate("text", C.FORUM_RELEVANT_TERMS, C.FORUM_SIGNAL_TERMS)
+    return V.comments(spark, sf).where(gate).select("comment_id")
 
 
 # -- score --------------------------------------------------------------------

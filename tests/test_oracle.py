@@ -17,5 +17,5 @@ def con():
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     ok, note = compare.compare(spark, con, SF, name)
-    # grid_filter is narrow enough to be empty on the smallest tables
-    assert ok or (name == "grid_filter" and "diff" not in note and " vs " not in note), note
+    # the listing filter is narrow enough to find nothing in the smallest tables
+    assert ok or (name == "grid_filter" and note.startswith("n=0")), note
