@@ -108,7 +108,8 @@ def parse_iso(c: Column | str, fallback: Column | None = None, tz: str = "wall")
     wall = F.regexp_replace(c, _OFFSET, "$1")
     parsed = F.when(wall.rlike(_ISO), wall.try_cast("timestamp_ntz"))
     if tz == "convert":
-        parsed = F.when(wall.rlike(_ISO), F.to_utc_timestamp(c.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz"))
+        shifted = parse_epoch(F.unix_micros(c.try_cast("timestamp")) / F.lit(1_000_000).cast("decimal(7,0)"), F.lit(None).cast("timestamp_ntz"))
+        parsed = F.when((wall != c) & wall.rlike(_ISO), shifted).otherwise(parsed)
     return parsed if fallback is None else F.coalesce(parsed, fallback)
 
 
@@ -125,7 +126,7 @@ def parse_rfc822(c: Column | str, fallback: Column) -> Column:
 
 def parse_epoch(c: Column | str, fallback: Column) -> Column:
     """Seconds since 1970 to a UTC clock reading."""
-    seconds = col_of(c).try_cast("bigint")
+    seconds = col_of(c).try_cast("decimal(18,6)")
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     usable = seconds.between(-62_135_596_800, 253_402_300_799)
     return F.coalesce(F.when(usable, seconds_after(start, seconds)), fallback)
@@ -167,8 +168,13 @@ def parse_relative(c: Column | str, as_of: Column, style: str = "general") -> Co
 
 
 def age_seconds(ts: Column | str, as_of: Column) -> Column:
-    """Exact age with microseconds as DECIMAL; negative for a future time."""
-    return (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(col_of(ts).cast("timestamp"))) / F.lit(1_000_000)
+    """Exact age with microseconds as DECIMAL; negative for a future time.
+
+    Taken from the interval between two clock readings, so no time zone takes part.
+    """
+    age = as_of - col_of(ts)
+    units = (("DAY", 86_400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))
+    return sum((F.extract(F.lit(unit), age) * size for unit, size in units), F.lit(0))
 
 
 def age_days(ts: Column | str, as_of: Column) -> Column:

@@ -28,36 +28,34 @@ def dedup_exact(
     A single aggregate: copies meet already before the shuffle, so a key that holds a
     third of all rows sends one partial row per task.
     """
-    names = df.columns
+    names = [c for c in df.columns if c != description]
     order = order_struct(order_by)
     key = match_key("title", "company", "location") if key is None else key
     if treat_empty_as_null:
         df = df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c, t in df.dtypes if t == "string"})
-    whole = F.struct(*names)
-    text = F.struct(F.col(description).alias("text"))
-    has_pay, has_text = F.col(salary).isNotNull(), F.length(description) > 0
+    # The long text travels once: head and donor only note whether theirs is '' (known
+    # but empty), because any other text of theirs is the first one there is.
+    is_empty = F.coalesce(F.length(description) == 0, F.lit(False))
+    row = F.struct(*names, is_empty.alias("_empty"))
+    text = F.struct(F.struct(*order_by).alias("at"), F.col(description).alias("text"))
 
     def first(value: Column, when: Column | None = None) -> Column:
         """min_by over the rows that qualify: a NULL order key is never the minimum."""
         return F.min_by(value, order if when is None else F.when(when, order))
 
     grouped = df.groupBy(key.alias("_key")).agg(
-        first(whole).alias("_head"),
-        first(whole, has_pay).alias("_donor"),
+        first(row).alias("_head"),
+        first(row, F.col(salary).isNotNull()).alias("_donor"),
         first(F.col(easy_apply), F.col(easy_apply).isNotNull()).alias("_easy"),
-        first(F.struct(F.struct(*order_by).alias("at"), text.alias("v")), has_text).alias("_text"),
+        first(text, F.length(description) > 0).alias("_text"),
     )
     donates = F.col(f"_head.{salary}").isNull() & F.col("_donor").isNotNull()
-    # the donor itself may carry an empty, non-null description that comes earlier
-    donor_first = donates & F.col(f"_donor.{description}").isNotNull() & (
-        F.col("_text").isNull() | (F.struct(*[F.col(f"_donor.{c}") for c in order_by]) <= F.col("_text.at"))
-    )
+    donor_at = F.struct(*[F.col(f"_donor.{c}") for c in order_by])
+    donor_empties = donates & F.col("_donor._empty") & (F.col("_text").isNull() | (donor_at < F.col("_text.at")))
     merged = {c: F.coalesce(F.col(f"_head.{c}"), F.when(donates, F.col(f"_donor.{c}"))) for c in names}
     merged[easy_apply] = F.col("_easy")
-    merged[description] = F.coalesce(
-        F.col(f"_head.{description}"), F.when(donor_first, F.col(f"_donor.{description}")), F.col("_text.v.text")
-    )
-    return grouped.select(*[merged[c].alias(c) for c in names])
+    merged[description] = F.when(F.col("_head._empty") | donor_empties, F.lit("")).otherwise(F.col("_text.text"))
+    return grouped.select(*[merged[c].alias(c) for c in df.columns])
 
 
 def distinct_first(df: DataFrame, key: str, order_by: Sequence[str], blank: str = "drop") -> DataFrame:

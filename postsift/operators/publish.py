@@ -34,8 +34,9 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFra
 
 def anti_new(batch: DataFrame, existing: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     """Batch rows whose key is not stored yet, the first one per key."""
-    fresh = batch.join(existing.select(key), key, "left_anti").select(*batch.columns)
-    return distinct_first(fresh, key, order_by, blank="keep_one")
+    # one row per key first: a key that fills the batch then costs the join one row
+    first = distinct_first(batch, key, order_by, blank="keep_one")
+    return first.join(existing.select(key), key, "left_anti").select(*batch.columns)
 
 
 def export_rows(df: DataFrame) -> DataFrame:
@@ -55,11 +56,15 @@ def write_export(df: DataFrame, existing: DataFrame, path: str, order_by: Sequen
     export_rows(anti_new(df, existing, "url", order_by)).write.mode("append").option("header", True).csv(path)
 
 
-def digest(df: DataFrame, tie_break: str, n: int = C.DIGEST_ROWS) -> DataFrame:
-    """The n best rows with rank, pay text, colour band and the totals of the header line."""
+def digest(df: DataFrame, tie_break: str, n: int = C.DIGEST_ROWS, total: Column | None = None) -> DataFrame:
+    """The n best rows with rank, pay text, colour band and the totals of the header line.
+
+    *total* is the number of rows if the caller knows it; counting them reads *df* again.
+    """
     order = (F.desc("score"), F.col(tie_break))
     top = numbered(top_k(df, n, *order), *order)
-    totals = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    if total is None:
+        total = df.agg(F.count(F.lit(1))).scalar()
     return top.select(
         "rank", tie_break, "title", "company", "location", "score",
         T.money("salary", "Not listed", "/yr").alias("salary_text"),
@@ -67,7 +72,7 @@ def digest(df: DataFrame, tie_break: str, n: int = C.DIGEST_ROWS) -> DataFrame:
         F.coalesce("easy_apply", F.lit(False)).alias("easy_badge"),
         T.band("score", DIGEST_BANDS, DIGEST_LOWEST).alias("colour"),
         T.as_text("url").alias("url"),
-        totals.scalar().alias("total_rows"),
+        total.alias("total_rows"),
         F.count(F.lit(1)).over(Window.partitionBy()).alias("shown_rows"),
     )
 

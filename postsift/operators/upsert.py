@@ -140,3 +140,13 @@ def write_snapshot(df: DataFrame, path: str, version: int, sort_by: str = "score
     where = f"{path}/v={version}"
     df.sortWithinPartitions("role_category", F.desc(sort_by)).write.mode("overwrite").partitionBy("role_category").parquet(where)
     return where
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "url", buckets: int = 200) -> None:
+    """Write a snapshot as a table bucketed by its key.
+
+    An upsert into such a table shuffles the batch only; the stored rows are joined where
+    they lie.  Choose *buckets* so that one bucket fits a task (a few hundred MB), and not
+    below spark.sql.shuffle.partitions: with fewer, Spark shuffles both sides for more tasks.
+    """
+    df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)

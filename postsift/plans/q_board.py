@@ -120,7 +120,8 @@ def kpi_stats(spark, sf):
     coalesce(strftime(posted_date, '%b %d, %Y'), '') AS posted_text, coalesce(easy_apply, false) AS easy_badge,
     CASE WHEN score >= 65 THEN '#22c55e' WHEN score >= 40 THEN '#f59e0b' ELSE '#ef4444' END AS colour, url, (SELECT count(*) FROM s) AS total_rows, count(*) OVER () AS shown_rows FROM t""").replace("\n, t AS", ", t AS"))
 def digest_top10(spark, sf):
-    return publish.digest(scored(spark, sf), "id")
+    total = V.postings(spark, sf).agg(F.count(F.lit(1))).scalar()
+    return publish.digest(scored(spark, sf), "id", total=total)
 
 
 @query("alerts_top15", O.with_(O.SCORED, "SELECT id, CAST(coalesce(llm_score, 0) + score AS INT) AS combined FROM s ORDER BY 2 DESC, 1 LIMIT 15"))

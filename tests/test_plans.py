@@ -70,5 +70,28 @@ def test_spread_leaves_large_inputs_alone(spark):
     assert "Exchange" in plan(spread(spark.range(0, 10, 1, 1), "id"))
 
 
+def test_upsert_into_buckets_moves_the_batch_only(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from postsift.operators import upsert
+
+    rows = V.postings(spark, SF).where("url <> ''").withColumn("score", F.lit(1))
+    stored = dedup.distinct_first(rows, "url", ("id",))
+    upsert.write_bucketed(stored, "stored_postings", str(tmp_path / "t"), buckets=8)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        batch = spark.read.parquet(f"{SF}/orders.parquet").selectExpr(
+            "o_orderkey AS seq", "concat('https://example.com/p/', o_orderkey) AS url", "CAST(2 AS INT) AS score", "'t' AS title")
+        df = upsert.upsert_metadata(spark.table("stored_postings"), batch, ("seq",))
+        text = plan(df)
+        join = text.index("SortMergeJoin")
+        stored_side = text[join:text.index("stored_postings")]
+        assert "FullOuter" in text and "Exchange" not in stored_side
+        assert df.count() > stored.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE stored_postings")
+
+
 def test_every_query_names_its_sql_or_a_reason():
     assert set(registry.QUERIES) - set(registry.ORACLE) == {"embed_local", "dedup_semantic_blocks"}
