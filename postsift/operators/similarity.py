@@ -29,18 +29,30 @@ from postsift.functions.vector import bands_for, has_length, planes, unit_rows
 from postsift.session import cut_lineage, new_path
 
 
-def first_leaders(
-    df: DataFrame, id_col: str, vector: str, tau: float = SIMILARITY, *, blocking: str = "lsh",
-    chunk: int = 2048, recall: float = 0.999, bits: int | None = None, prefix: int = 1024, seed: int = 7,
-) -> DataFrame:
+def first_leaders(df: DataFrame, id_col: str, vector: str, tau: float = SIMILARITY, **how) -> DataFrame:
     """(id, leader) for one row per distinct vector; leader is NULL for kept rows.
 
-    *id_col* is a BIGINT that is unique and gives the order.
+    *id_col* is a BIGINT that is unique and gives the order.  Options in *how*:
+    blocking "lsh" or "exact"; chunk, the rows one task compares at a time; and for blocks
+    recall (chance that a pair at *tau* meets), bits per key, prefix and seed.
     """
+    return _leaders_of(_vectors(df, id_col, vector), tau, **how)
+
+
+def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, vec) of the rows that can match.  Stored, because a vector column is often the
+    result of costly functions and is read several times."""
+    stored = cut_lineage(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vec")), "vectors")
+    return stored.where(has_length("vec"))
+
+
+def _leaders_of(
+    vectors: DataFrame, tau: float = SIMILARITY, blocking: str = "lsh", chunk: int = 2048, recall: float = 0.999,
+    bits: int | None = None, prefix: int = 1024, seed: int = 7,
+) -> DataFrame:
     if not 0.0 < tau < 1.0:
         raise ValueError("tau has to lie between 0 and 1")
-    rows = df.where(has_length(vector)).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vec"))
-    rows = cut_lineage(rows.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"), "vectors")
+    rows = cut_lineage(vectors.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"), "distinct")
     if blocking == "exact":
         return _scan_leaders(rows, tau, chunk)
     if blocking == "lsh":
@@ -79,9 +91,8 @@ def _match_head(ids: np.ndarray, matrix: np.ndarray, tau: float):
             if batch.empty:
                 continue
             near = unit_rows(batch["vec"]) @ matrix.T >= tau
-            first = near.argmax(axis=1)
-            leader = np.where(near.any(axis=1), ids[first], -1)
-            batch["leader"] = pd.array([None if k < 0 else k for k in leader], dtype="Int64")
+            leader = pd.Series(ids[near.argmax(axis=1)], dtype="Int64", index=batch.index)
+            batch["leader"] = leader.where(near.any(axis=1))
             yield batch[["id", "vec", "leader"]]
 
     return run
@@ -247,8 +258,8 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, tau: float = SIMILARI
 
     Copies of one vector yield one row each, never all their pairs.
     """
-    fate = first_leaders(df, id_col, vector, tau, **how)
-    rows = df.where(has_length(vector)).select(F.col(id_col).alias("id"), F.col(vector).alias("vec"))
+    rows = _vectors(df, id_col, vector)
+    fate = _leaders_of(rows, tau, **how)
     heads = rows.join(fate, "id").select("vec", F.col("id").alias("head"), "leader")
     # one head per vector; a vector that many rows share is split by the adaptive skew join
     out = rows.join(heads, "vec").select("id", F.coalesce("leader", "head").alias("kept_id"))

@@ -153,6 +153,13 @@ def test_chain_keeps_both_ends(spark):
     assert [tuple(r) for r in links.collect()] == [(1, 0)]
 
 
+@pytest.mark.parametrize("how", [dict(blocking="exact", chunk=16), dict(blocking="lsh", bits=2, recall=0.999999)])
+def test_negative_ids(spark, how):
+    vectors = [(i - 150, v) for i, v in clustered(300, 12, 5, 0.1)]
+    links = similarity.similar_pairs(frame(spark, vectors), "id", "vec", **how)
+    assert dict(links.collect()) == {i: k for i, k in greedy(vectors, 0.97).items() if k is not None}
+
+
 def test_no_vectors(spark):
     df = frame(spark, [(0, None), (1, [0.0, 0.0])])
     for how in ("exact", "lsh"):
