@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from postsift.functions.text import col_of, first_int, first_match, let
+from postsift.functions.text import col_of, first_int, first_match, first_match_with, let
 
 # Working units per year.
 HOURS, DAYS, WEEKS, MONTHS = 2080, 260, 52, 12
@@ -68,8 +68,8 @@ def parse_salary(c: Column | str, style: str = "general") -> Column:
 def hashed_amount(c: Column | str) -> Column:
     """Pay inside prose: '$120k' gives 120000, '$150,000' gives 150000, else NULL."""
     c = col_of(c)
-    thousands = F.nullif(first_match(c, r"(?i)\$([0-9]{2,3})k", 1), F.lit("")).try_cast("int") * 1000
-    plain = F.replace(first_match(c, r"\$([0-9]{3},?[0-9]{3})", 1), F.lit(","), F.lit(""))
+    thousands = F.nullif(first_match_with(c, "$", r"(?i)\$([0-9]{2,3})k", 1), F.lit("")).try_cast("int") * 1000
+    plain = F.replace(first_match_with(c, "$", r"\$([0-9]{3},?[0-9]{3})", 1), F.lit(","), F.lit(""))
     return F.coalesce(thousands, F.nullif(plain, F.lit("")).try_cast("int"))
 
 

@@ -168,8 +168,20 @@ def first_match(c: Column | str, pattern: str, group: int = 0) -> Column:
     return F.coalesce(F.regexp_extract(col_of(c), pattern, group), F.lit(""))
 
 
+def first_match_with(c: Column | str, must: str, pattern: str, group: int = 0) -> Column:
+    """first_match for a pattern that needs the text *must*; the regular expression runs on
+    rows that have it, and a plain search settles all others."""
+    c = col_of(c)
+    return F.when(F.contains(c, F.lit(must)), first_match(c, pattern, group)).otherwise(F.lit(""))
+
+
+def has_word(text: Column, words: Sequence[str]) -> Column:
+    """True when one of the words stands alone in a lower case text.  Plain search first."""
+    return any_term(text, words) & any_term(text, words, match="word")
+
+
 def first_email(c: Column | str) -> Column:
-    return first_match(c, EMAIL)
+    return first_match_with(c, "@", EMAIL)
 
 
 def first_phone(c: Column | str) -> Column:
@@ -177,7 +189,7 @@ def first_phone(c: Column | str) -> Column:
 
 
 def first_url(c: Column | str) -> Column:
-    return F.regexp_replace(first_match(c, URL), r"[.,)>]+$", "")
+    return F.rtrim(first_match_with(c, "http", URL), F.lit(".,)>"))
 
 
 def first_int(c: Column | str) -> Column:

@@ -16,8 +16,8 @@ def _or(c: Column, default: str) -> Column:
 
 def forum_job_type(lowered: Column) -> Column:
     return (
-        F.when(lowered.rlike(r"(?U)\bcontract\b|\b1099\b|\bc2c\b"), F.lit("contract"))
-        .when(lowered.rlike("part.?time"), F.lit("part_time"))
+        F.when(T.has_word(lowered, ("contract", "1099", "c2c")), F.lit("contract"))
+        .when(F.contains(lowered, F.lit("part")) & lowered.rlike("part.?time"), F.lit("part_time"))
         .otherwise(F.lit("full_time"))
     )
 
@@ -34,7 +34,7 @@ def extract_forum_posts(
     rows = T.computed_once(rows, _t=T.plain_text("_raw", entities)).where(keyword_gate("_t", relevant, signals))
     rows = T.computed_once(rows, _l=F.lower("_t"))
     body = F.col("_t")
-    remote = F.col("_l").rlike(r"(?U)\bremote\b")
+    remote = T.has_word(F.col("_l"), ("remote",))
     location = F.when(remote, F.lit("Remote")).otherwise(T.pipe_field(body, 2))
     own = F.when(
         F.coalesce(F.col("comment_id").cast("string"), F.lit("")) != "",
