@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift import config as C
-from postsift.functions.text import as_text
+from postsift.functions.parse import days_label
+from postsift.functions.text import as_text, pretty_label
 from postsift.operators.publish import top_k
 from postsift.operators.score import preferred_score
 
@@ -89,6 +90,21 @@ def stage_assign(df: DataFrame, stages: DataFrame, id_col: str = "id") -> DataFr
     return df.join(own, id_col, "left").withColumn("stage", F.coalesce("_own", flags)).drop("_own")
 
 
+def untracked(staged: DataFrame, tie_break: str, n: int = 30) -> DataFrame:
+    """Rows without a stage, the first n in order."""
+    return top_k(staged.where(F.col("stage").isNull()), n, tie_break)
+
+
+def card_labels(as_of: Column) -> list[Column]:
+    """The derived texts of one card."""
+    return [
+        pretty_label(F.coalesce(F.nullif(F.col("job_type"), F.lit("")), F.lit(C.DEFAULT_JOB_TYPE)), "-").alias("type_label"),
+        pretty_label(F.coalesce(F.nullif(F.col("role_category"), F.lit("")), F.lit("other"))).alias("role_label"),
+        days_label("posted_date", as_of).alias("posted_label"),
+        F.slice("skills", 1, 6).alias("shown_skills"),
+    ]
+
+
 def stage_patches(stages: DataFrame) -> DataFrame:
     """Moving to applied or saved also sets that flag: the rows to feed to apply_patches."""
     hit = stages.where(F.col("status").isin("applied", "saved"))

@@ -34,11 +34,15 @@ def job_type(current: Column | str, title: Column | str, description: Column | s
     return F.when(stated.isin(*rules.job_types), stated).otherwise(derived)
 
 
-def type_label(raw: Column | str, default: str = "contract") -> Column:
+# Phrases of portal labels, first match wins.
+LABEL_STEPS = (
+    ("contract_to_hire", ("contract to hire", "c2h")), ("contract", ("contract",)), ("full_time", ("full", "permanent")),
+)
+CONTRACT_ONLY_STEPS = (("contract", ("contract",)),)
+
+
+def type_label(raw: Column | str, default: str = "contract", steps=LABEL_STEPS) -> Column:
     """Map a portal's free-text type label."""
-    steps = (
-        ("contract_to_hire", ("contract to hire", "c2h")), ("contract", ("contract",)), ("full_time", ("full", "permanent")),
-    )
     return let(F.lower(as_text(raw)), lambda t: _ordered(t, steps, "substring").otherwise(F.lit(default)))
 
 

@@ -51,6 +51,17 @@ def post_prompt_column(template: str = POST_PROMPT, text_chars: int = 1500) -> C
     return fill(template, author_name=T.as_text("author_name"), post_text=F.left(T.as_text("post_text"), F.lit(text_chars)))
 
 
+def letter_prompt_column(profile: str = "profile", template: str = LETTER_PROMPT) -> Column:
+    """Prompt of an application letter: posting columns plus a *profile* struct."""
+    p = F.col(profile)
+    return fill(
+        template, name=F.coalesce(p["name"], F.lit("the applicant")), profile_title=F.coalesce(p["title"], F.lit(C.PROFILE_DEFAULT_TITLE)),
+        years=F.coalesce(p["years_experience"], F.lit(0)).cast("string"),
+        skills=F.coalesce(F.array_join(F.slice(p["skills"], 1, 12), ", "), F.lit("")), summary=F.coalesce(p["summary"], F.lit("")),
+        description=F.left(T.as_text("description"), F.lit(600)), **{c: T.as_text(c) for c in ("title", "company", "location")},
+    )
+
+
 Answer = Callable[[pd.Series], pd.Series]
 
 

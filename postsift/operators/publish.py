@@ -19,7 +19,7 @@ ALERT_LOWEST = "🟠"
 CARD_BANDS = ((80, "green"), (60, "yellow"), (40, "orange"))
 CARD_LOWEST = "red"
 MODEL_BANDS = ((80, "green"), (60, "yellow"))
-MODEL_LOWEST = "slate"
+MODEL_LOWEST = "slate"  # also the bands of social posts
 
 
 def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
@@ -141,6 +141,35 @@ def post_alerts(posts: DataFrame, tie_break: str, n: int = C.POST_ALERT_ROWS, at
     return top_k(out, n, F.desc("has_email"), F.desc("score"), tie_break)
 
 
+def top_table(df: DataFrame, tie_break: str, n: int = 10) -> DataFrame:
+    """The n best rows as the printed table shows them."""
+    order = (F.desc("score"), F.col(tie_break))
+    return numbered(top_k(df, n, *order), *order).select(
+        "rank", "score", F.when(T.known_amount("llm_score"), F.col("llm_score").cast("string")).otherwise(F.lit("")).alias("model"),
+        F.left(T.as_text("title"), F.lit(34)).alias("title"), F.left(T.as_text("company"), F.lit(19)).alias("company"), "job_type",
+    )
+
+
+def run_message(
+    top: DataFrame, tie_break: str, raw: Column, kept: Column, new: Column, n: int = 5, heading: str = "🤖 *Run Complete*"
+) -> DataFrame:
+    """One row: the message after a run, with its counts and the n best rows.  Fixed message format."""
+    order = (F.desc("score"), F.col(tie_break))
+    line = F.concat(
+        F.col("rank").cast("string"), F.lit("\\. `"), F.col("score").cast("string"), F.lit("` ["), T.escape_markdown(T.as_text("title")),
+        F.lit(" @ "), T.escape_markdown(T.as_text("company")), F.lit("]("), T.as_text("url"), F.lit(")"),
+    )
+    best = numbered(top_k(top, n, *order), *order).select(F.struct("rank", line.alias("line")).alias("_r"))
+    # at most n rows meet here
+    lines = best.agg(F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["line"]).alias("lines"))
+    counts = [
+        F.concat(F.lit(label), value.cast("string"), F.lit("`"))
+        for label, value in (("📦 Raw collected: `", raw), ("✅ After filter:  `", kept), ("🆕 New in DB:     `", new))
+    ]
+    head = F.array(F.lit(heading), *counts, F.lit(""), F.lit(f"🏆 *Top {n} This Run:*"))
+    return lines.select(F.array_join(F.concat(head, "lines"), "\n").alias("message"))
+
+
 def run_summary(per_source: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:
     """(section, name, rows): counts per source label, then the size of each stage."""
     out = source_rollup(per_source).select(F.lit("source").alias("section"), "name", "rows")

@@ -102,3 +102,22 @@ def feedback_by_bucket(scored: DataFrame, feedback: DataFrame, id_col: str = "id
             (F.count_if("liked") / F.count(F.lit(1))).alias("like_rate"),
         )
     )
+
+
+def feedback_by_part(scored: DataFrame, feedback: DataFrame, id_col: str = "id") -> DataFrame:
+    """How often users liked rows that earned points of a rule part, and rows that did not.
+
+    Reads *score_parts* (see add_score(keep_parts=True)); one aggregate for all parts.
+    """
+    rows = scored.select(F.col(id_col).alias("job_id"), "score_parts").join(feedback.select("job_id", "liked"), "job_id")
+    slots = []
+    for part in PARTS:
+        earned = F.col(f"score_parts.{part}") > 0
+        slots += [
+            F.count_if(earned).alias(f"{part}_n"), F.count_if(earned & F.col("liked")).alias(f"{part}_l"),
+            F.count_if(~earned).alias(f"{part}_m"), F.count_if(~earned & F.col("liked")).alias(f"{part}_k"),
+        ]
+    cells = ", ".join(f"'{p}', {p}_n, {p}_l, {p}_m, {p}_k" for p in PARTS)
+    return rows.agg(*slots).selectExpr(
+        f"stack({len(PARTS)}, {cells}) AS (part, with_points, liked_with, without_points, liked_without)"
+    )

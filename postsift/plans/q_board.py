@@ -199,3 +199,42 @@ def stage_assign(spark, sf):
     f"SELECT CAST({i} AS INT) AS position, '{s}' AS stage, count(*) AS postings FROM sg WHERE stage = '{s}'" for i, s in enumerate(C.STAGES, 1))))
 def stage_counts(spark, sf):
     return board.stage_counts(board.stage_assign(V.postings(spark, sf), stages(spark, sf)))
+
+
+@query("untracked_top30", O.with_(f"{O.P}, {_STAGED}", "SELECT id FROM sg WHERE stage IS NULL ORDER BY id LIMIT 30"))
+def untracked_top30(spark, sf):
+    return board.untracked(board.stage_assign(V.postings(spark, sf), stages(spark, sf)), "id").select("id")
+
+
+@query("card_labels", O.with_(O.CLASS, f"""SELECT id, replace(job_type, '_', '-') AS type_label, replace(role_category, '_', ' ') AS role_label,
+    CASE WHEN d = 0 THEN 'Today' ELSE d || 'd ago' END AS posted_label, 'a,b,c,d,e,f' AS shown_skills
+    FROM (SELECT *, CAST(coalesce(floor({O.HOURS} / 24), 0) AS INT) AS d FROM c)"""))
+def card_labels(spark, sf):
+    rows = classified(spark, sf).withColumn("skills", F.split(F.lit("a,b,c,d,e,f,g"), ","))
+    return rows.select("id", *board.card_labels(V.as_of())).withColumn("shown_skills", F.array_join("shown_skills", ","))
+
+
+@query("run_top10", O.with_(O.SCORED, """SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank, score, CASE WHEN llm_score <> 0 THEN '' || llm_score ELSE '' END AS model,
+    left(title, 34) AS title, left(company, 19) AS company, job_type FROM s ORDER BY score DESC, id LIMIT 10"""))
+def run_top10(spark, sf):
+    return publish.top_table(scored(spark, sf), "id")
+
+
+@query("run_message", O.with_(O.SCORED, f"""SELECT '🤖 *Run Complete*' || chr(10) || '📦 Raw collected: `' || (SELECT count(*) FROM p) || '`' || chr(10) || '✅ After filter:  `' || (SELECT count(*) FROM c WHERE {O.REASON} IS NULL) || '`'
+    || chr(10) || '🆕 New in DB:     `' || (SELECT count(DISTINCT url) FROM p WHERE url <> '') || '`' || chr(10) || chr(10) || '🏆 *Top 5 This Run:*' || chr(10)
+    || string_agg(rank || '\\. `' || score || '` [' || {_esc('title')} || ' @ ' || {_esc('company')} || '](' || url || ')', chr(10) ORDER BY rank) AS message
+    FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""))
+def run_message(spark, sf):
+    rows = V.postings(spark, sf)
+    count = F.count(F.lit(1))
+    kept = classify.filter_pass(rows, V.as_of()).agg(count).scalar()
+    new = dedup.distinct_first(rows.select("id", "url"), "url", ("id",)).agg(count).scalar()
+    return publish.run_message(scored(spark, sf), "id", rows.agg(count).scalar(), kept, new)
+
+
+@query("feedback_by_part", O.with_(O.SCORED, " UNION ALL ".join(
+    f"""SELECT '{p}' AS part, count(*) FILTER (WHERE pt_{p} > 0) AS with_points, count(*) FILTER (WHERE pt_{p} > 0 AND quality = 1) AS liked_with,
+    count(*) FILTER (WHERE pt_{p} = 0) AS without_points, count(*) FILTER (WHERE pt_{p} = 0 AND quality = 1) AS liked_without FROM s JOIN labels ON id = doc_id""" for p in score.PARTS)))
+def feedback_by_part(spark, sf):
+    rated = V.table(spark, sf, "labels").select(F.col("doc_id").alias("job_id"), (F.col("quality") == 1).alias("liked"))
+    return score.feedback_by_part(scored(spark, sf, keep_parts=True), rated)

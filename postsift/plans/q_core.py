@@ -93,10 +93,13 @@ def classify_job_type(spark, sf):
 @query("type_label", O.with_(
     O.P,
     """SELECT id, CASE WHEN contains(l, 'contract to hire') OR contains(l, 'c2h') THEN 'contract_to_hire' WHEN contains(l, 'contract') THEN 'contract'
-    WHEN contains(l, 'full') OR contains(l, 'permanent') THEN 'full_time' ELSE 'contract' END AS job_type
+    WHEN contains(l, 'full') OR contains(l, 'permanent') THEN 'full_time' ELSE 'contract' END AS job_type,
+    CASE WHEN contains(l, 'contract') THEN 'contract' ELSE 'full_time' END AS two_way
     FROM (SELECT id, lower(coalesce(job_type, '')) AS l FROM p)"""))
 def type_label(spark, sf):
-    return V.postings(spark, sf).select("id", classify.type_label("job_type").alias("job_type"))
+    return V.postings(spark, sf).select(
+        "id", classify.type_label("job_type").alias("job_type"),
+        classify.type_label("job_type", "full_time", classify.CONTRACT_ONLY_STEPS).alias("two_way"))
 
 
 @query("reject_reasons", O.with_(O.P, f"SELECT id, {O.REASON} AS reason FROM p"))

@@ -170,6 +170,22 @@ def prompt_column(spark, sf):
     return V.postings(spark, sf).select("id", F.md5(enrich.prompt_column()).alias("prompt"))
 
 
+@query("post_prompt", """SELECT conv_id * 1000 + turn AS id, 'Extract the opening described in this post.' || chr(10) || 'Author: ' || role || ' ' || conv_id || chr(10) || 'Post: '
+    || left(text || CASE turn % 3 WHEN 0 THEN ' We''re hiring! Email me: user' || conv_id || '@mail.example.com' WHEN 1 THEN ' Apply now #hiring' ELSE '' END, 1500) || chr(10)
+    || 'Answer with JSON only: {"is_job_posting": true, "job_title": null, "company": null, "contact_name": null, "contact_email": null, "contact_linkedin": null, "role_category": null, "score": 0-100}' AS prompt FROM conversations""")
+def post_prompt(spark, sf):
+    return V.posts(spark, sf).select("id", enrich.post_prompt_column().alias("prompt"))
+
+
+@query("letter_prompt", O.with_(O.P, """SELECT id, md5('Write a short letter for this application.' || chr(10) || 'Applicant: Ann, Data Engineer, 0 years' || chr(10) || 'Skills: s1, s2, s3, s4, s5, s6, s7, s8, s9, s10, s11, s12' || chr(10) || 'Summary: '
+    || chr(10) || 'Title: ' || title || chr(10) || 'Company: ' || company || chr(10) || 'Location: ' || location || chr(10) || 'Description: ' || left(coalesce(description, ''), 600)) AS prompt FROM p"""))
+def letter_prompt(spark, sf):
+    skills = F.transform(F.sequence(F.lit(1), F.lit(13)), lambda i: F.concat(F.lit("s"), i.cast("string")))
+    none = F.lit(None).cast("string")
+    profile = F.struct(F.lit("Ann").alias("name"), none.alias("title"), F.lit(None).cast("int").alias("years_experience"), skills.alias("skills"), none.alias("summary"))
+    return V.postings(spark, sf).withColumn("profile", profile).select("id", F.md5(enrich.letter_prompt_column()).alias("prompt"))
+
+
 @query("freshness_gate", """WITH v AS (SELECT conv_id * 1000 + turn AS id, (conv_id + turn) % 8 AS k FROM conversations)
     SELECT id, k IN (0, 3, 5, 7) AS fresh, k IN (0, 3, 4, 5, 7) AS fresh_minutes FROM v""")
 def freshness_gate(spark, sf):

@@ -22,7 +22,7 @@ def normalize_tabular(df: DataFrame, as_of: Column, labels: dict[str, str] = C.S
         P.interval_salary("min_amount", "max_amount", clean["interval"]).alias("salary"),
         clean["job_url"].alias("url"), source.alias("source"),
         F.coalesce(P.parse_iso(F.col("date_posted").cast("string")), as_of).alias("posted_date"),
-        F.col("is_easy_apply").cast("boolean").alias("easy_apply"),
+        F.col("is_easy_apply").try_cast("boolean").alias("easy_apply"),
         T.first_int(F.col("num_applicants").cast("string")).alias("applicants"),
         F.left(clean["description"], F.lit(TEXT_CHARS)).alias("description"),
     ).where(F.length("title") > 0)

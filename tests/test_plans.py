@@ -28,7 +28,7 @@ def test_stays_in_the_jvm_without_cross_joins(spark, name):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-@pytest.mark.parametrize("name", ["jobs_top500", "digest_top10", "alerts_top15", "posts_top200", "posts_top20", "count_by_source_top8", "grid_sort", "run_top500"])
+@pytest.mark.parametrize("name", ["jobs_top500", "digest_top10", "alerts_top15", "posts_top200", "posts_top20", "count_by_source_top8", "grid_sort", "run_top500", "run_top10", "untracked_top30"])
 def test_top_k_does_not_sort_everything(spark, name):
     assert "TakeOrderedAndProject" in plan(registry.QUERIES[name](spark, SF))
 
