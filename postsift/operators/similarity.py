@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from postsift.config import SIMILARITY
 from postsift.functions.vector import bands_for, has_length, planes, unit_rows
-from postsift.session import cut_lineage, new_path
+from postsift.session import Rounds, cut_lineage, new_path
 
 
 def first_leaders(df: DataFrame, id_col: str, vector: str, tau: float = SIMILARITY, **how) -> DataFrame:
@@ -101,10 +101,10 @@ def _match_head(ids: np.ndarray, matrix: np.ndarray, tau: float):
 def _scan_leaders(rows: DataFrame, tau: float, chunk: int) -> DataFrame:
     spark = rows.sparkSession
     schema = "id BIGINT, vec " + dict(rows.dtypes)["vec"] + ", leader BIGINT"
-    done = new_path(spark, "leaders")
+    done, rounds = new_path(spark, "leaders"), Rounds(spark, "scan")
     rest = rows
     while True:
-        head = cut_lineage(rest.orderBy("id").limit(chunk).mapInPandas(_settle_head(tau), schema), "head")
+        head = rounds.keep(rest.orderBy("id").limit(chunk).mapInPandas(_settle_head(tau), schema), "head")
         last = head.agg(F.max("id")).first()[0]
         if last is None:
             break
@@ -112,9 +112,10 @@ def _scan_leaders(rows: DataFrame, tau: float, chunk: int) -> DataFrame:
         # at most *chunk* vectors travel with the closure
         new = head.where(F.col("leader").isNull()).orderBy("id").select("id", "vec").toPandas()
         probe = _match_head(new["id"].to_numpy(), unit_rows(new["vec"]), tau)
-        probed = cut_lineage(rest.where(F.col("id") > last).mapInPandas(probe, schema), "probed")
+        probed = rounds.keep(rest.where(F.col("id") > last).mapInPandas(probe, schema), "probed")
         probed.where(F.col("leader").isNotNull()).select("id", "leader").write.mode("append").parquet(done)
         rest = probed.where(F.col("leader").isNull()).select("id", "vec")
+    rounds.drop("head", "probed")
     if rows.isEmpty():
         return rows.select("id", F.lit(None).cast("bigint").alias("leader"))
     return spark.read.schema("id BIGINT, leader BIGINT").parquet(done)
@@ -188,17 +189,20 @@ def _pack(packs: int, *cols: str):
     return F.pmod(F.xxhash64(*cols), F.lit(packs))
 
 
-def _blocks(rows: DataFrame, bands: int, bits: int, seed: int, chunk: int) -> DataFrame:
+def _blocks(rows: DataFrame, bands: int, bits: int, seed: int, chunk: int, rounds: Rounds) -> DataFrame:
     """(block, id, chunk, chunks) for all blocks of two rows or more.
 
     A block with more than *chunk* rows is spread over several chunks, so no task ever
     holds more of it than that.
     """
     keyed = rows.select("id", F.posexplode(_block_keys(bands, bits, seed)("vec")).alias("band", "key"))
-    keyed = cut_lineage(keyed.select("id", F.xxhash64("band", "key").alias("block")), "keys")
+    keyed = rounds.keep(keyed.select("id", F.xxhash64("band", "key").alias("block")), "keys")
     sizes = keyed.groupBy("block").count().where("count > 1")
     sizes = sizes.select("block", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    return keyed.join(sizes, "block").select("block", "id", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), "chunks")
+    sized = keyed.join(sizes, "block")
+    blocks = rounds.keep(sized.select("block", "id", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), "chunks"), "blocks")
+    rounds.drop("keys")
+    return blocks
 
 
 def _block_leaders(
@@ -209,14 +213,15 @@ def _block_leaders(
         return rows.select("id", F.lit(None).cast("bigint").alias("leader"))
     # unrelated rows share a block with chance 2^-bits: keep that near one row per block
     bits = bits or min(60, max(8, math.ceil(math.log2(count))))
-    blocks = cut_lineage(_blocks(rows, bands_for(tau, bits, recall), bits, seed, chunk), "blocks")
+    rounds = Rounds(rows.sparkSession, "blocks")
+    blocks = _blocks(rows, bands_for(tau, bits, recall), bits, seed, chunk, rounds)
     packs = max(1, blocks.count() // chunk)
-    needed = cut_lineage(blocks.groupBy("id").agg(F.count(F.lit(1)).alias("needed")), "needed")
+    needed = rounds.keep(blocks.groupBy("id").agg(F.count(F.lit(1)).alias("needed")), "needed")
     # a row alone in all its blocks is kept at once
     state = rows.select("id").join(needed, "id", "left").select(
         "id", F.lit(None).cast("bigint").alias("leader"), F.col("needed").isNull().alias("kept")
     )
-    state = cut_lineage(state, "state")
+    state = rounds.keep(state, "state")
     order = Window.partitionBy("block").orderBy("id")
     while True:
         open_rows = state.where(F.col("leader").isNull() & ~F.col("kept")).select("id")
@@ -224,12 +229,12 @@ def _block_leaders(
             break
         # the first undecided rows of every block; the limit runs before the shuffle
         front = blocks.select("block", "id").join(open_rows, "id", "left_semi")
-        front = cut_lineage(front.withColumn("place", F.row_number().over(order)).where(F.col("place") <= prefix).drop("place"), "front")
+        front = rounds.keep(front.withColumn("place", F.row_number().over(order)).where(F.col("place") <= prefix).drop("place"), "front")
         covered = front.groupBy("id").count().join(needed, "id").where(F.col("count") == F.col("needed")).select("id")
         ahead = front.join(covered.withColumn("covered", F.lit(True)), "id", "left").join(rows, "id")
         ahead = ahead.select("block", "id", "vec", F.coalesce("covered", F.lit(False)).alias("covered"))
         waits = ahead.groupBy(_pack(packs, "block")).applyInPandas(_waiting(tau), "id BIGINT").distinct()
-        leaders = cut_lineage(covered.join(waits, "id", "left_anti"), "new")
+        leaders = rounds.keep(covered.join(waits, "id", "left_anti"), "new")
         # every row meets the new leaders of its blocks; the earliest near one wins
         lead = blocks.join(leaders, "id", "left_semi")
         spread = lead.select("block", "id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(rows, "id")
@@ -243,12 +248,13 @@ def _block_leaders(
             met.groupBy(_pack(packs, "block", "chunk")).cogroup(spread.groupBy(_pack(packs, "l_block", "l_chunk")))
             .applyInPandas(_meet(tau), "id BIGINT, found BIGINT").groupBy("id").agg(F.min("found").alias("found"))
         )
-        state = cut_lineage(
+        state = rounds.keep(
             state.join(found, "id", "left").join(leaders.select("id", F.lit(True).alias("new")), "id", "left").select(
                 "id", F.least("leader", "found").alias("leader"), (F.col("kept") | F.col("new").isNotNull()).alias("kept")
             ),
             "state",
         )
+    rounds.drop("blocks", "needed", "front", "new")
     return state.select("id", "leader")
 
 

@@ -47,14 +47,41 @@ def new_path(spark: SparkSession, purpose: str) -> str:
 
 
 def cut_lineage(df: DataFrame, purpose: str = "round") -> DataFrame:
-    """Write *df* to the shared folder and read it back.
+    """Write *df* to the shared folder and read it back."""
+    return Rounds(df.sparkSession, purpose).keep(df, "rows")
 
-    The files outlive the executors that wrote them, so a lost executor costs a
-    re-read and not a recomputation of all earlier rounds.
+
+class Rounds:
+    """Stored intermediate tables of an iterative job, in the shared folder.
+
+    The files outlive the executors that wrote them, so a lost executor costs a re-read
+    and not a recomputation of all earlier rounds.
     """
-    path = new_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.root, self._paths = spark, new_path(spark, purpose), {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table and read it back; the table it replaces is deleted afterwards."""
+        old, number = self._paths.get(name, (None, 0))
+        path = os.path.join(self.root, f"{name}-{number}")
+        df.write.parquet(path)
+        self._paths[name] = (path, number + 1)
+        if old:
+            self._delete(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            path, _ = self._paths.pop(name, (None, 0))
+            if path:
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
