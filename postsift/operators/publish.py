@@ -112,7 +112,7 @@ def post_alert_text() -> Column:
     esc = {c: T.escape_markdown(T.as_text(c)) for c in ("author_name", "author_headline", "extracted_title", "extracted_company")}
     profile, link, mail, url = (T.as_text(c) for c in ("author_profile_url", "contact_linkedin", "contact_email", "post_url"))
     text = T.escape_markdown(F.left(T.as_text("post_text"), F.lit(400)))
-    role = T.pretty_label(T.as_text("role_category"), title_case=True)
+    role = T.title_case(T.pretty_label(T.as_text("role_category")))
     at = F.when(_filled(esc["extracted_company"]), F.concat(F.lit(" @ "), esc["extracted_company"])).otherwise(F.lit(""))
     return _lines(
         F.concat(F.lit("📢 *LinkedIn Recruiter Post* — Score `"), F.col("score").cast("string"), F.lit("`")),

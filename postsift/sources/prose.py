@@ -31,8 +31,9 @@ def extract_forum_posts(
     The cheap length and keyword gates run before any field is extracted.
     """
     rows = df.where(F.length(text) >= C.FORUM_MIN_CHARS).select(F.col(comment_id).alias("comment_id"), F.col(text).alias("_raw"))
-    rows = T.computed_once(rows, _t=T.plain_text("_raw", entities)).where(keyword_gate("_t", relevant, signals))
+    rows = T.computed_once(rows, _t=T.plain_text("_raw", entities))
     rows = T.computed_once(rows, _l=F.lower("_t"))
+    rows = rows.where(T.any_term(F.col("_l"), relevant)).where(T.any_term(F.col("_l"), signals))
     body = F.col("_t")
     remote = T.has_word(F.col("_l"), ("remote",))
     location = F.when(remote, F.lit("Remote")).otherwise(T.pipe_field(body, 2))
@@ -75,11 +76,11 @@ def extract_social_posts(
     rows = rows.withColumn("_m", T.post_reply(F.lit(None).cast("string") if reply is None else F.col(reply)))
     rows = rows.where(F.coalesce(F.col("_m.is_job_posting"), looks_like_job("post_text")))
     profile = T.absolute_url(T.as_text("author_profile_url"), base_url)
-    author = T.as_text("author_name")
+    author = T.strip(T.as_text("author_name"))
     out = rows.select(
         *order_by,
         F.left("post_text", F.lit(C.POST_TEXT_CHARS)).alias("post_text"),
-        author.alias("author_name"), T.as_text("author_headline").alias("author_headline"), profile.alias("author_profile_url"),
+        author.alias("author_name"), T.strip(T.as_text("author_headline")).alias("author_headline"), profile.alias("author_profile_url"),
         T.as_text("_m.job_title").alias("extracted_title"), T.as_text("_m.company").alias("extracted_company"),
         F.coalesce(F.nullif(T.first_email("post_text"), F.lit("")), F.col("_m.contact_email"), F.lit("")).alias("contact_email"),
         F.coalesce(F.col("_m.contact_linkedin"), profile).alias("contact_linkedin"),

@@ -15,7 +15,7 @@ def normalize_tabular(df: DataFrame, as_of: Column, labels: dict[str, str] = C.S
     clean = {c: T.clean_missing(c) for c in ("title", "company", "location", "job_url", "description", "interval", "site")}
     site = F.lower(clean["site"])
     known = F.create_map(*[F.lit(v) for pair in labels.items() for v in pair])
-    source = F.coalesce(F.try_element_at(known, site), F.when(site == "", F.lit(default_source)), F.initcap(site))
+    source = F.coalesce(F.try_element_at(known, site), F.when(site == "", F.lit(default_source)), T.title_case(site))
     return df.select(
         *[F.col(c) for c in df.columns if c == "seq"],
         clean["title"].alias("title"), clean["company"].alias("company"), clean["location"].alias("location"),

@@ -67,8 +67,10 @@ def test_tabular(spark):
     schema = ("title STRING, site STRING, company STRING, location STRING, job_url STRING, description STRING, interval STRING, min_amount DOUBLE, max_amount DOUBLE, "
               "date_posted DATE, is_easy_apply BOOLEAN, num_applicants STRING")
     df = spark.createDataFrame(
-        [("T", "indeed", "nan", None, "u", "d", "hourly", 50.0, float("nan"), dt.date(2024, 3, 1), None, "Over 200"), ("nan", "x", "", "", "", "", "", None, None, None, None, None)], schema)
-    row, = tabular.normalize_tabular(df, as_of()).collect()
+        [("T", "indeed", "nan", None, "u", "d", "hourly", 50.0, float("nan"), dt.date(2024, 3, 1), None, "Over 200"),
+         ("S", "my_site2go", "", "", "v", "", "", None, None, None, True, None), ("nan", "x", "", "", "", "", "", None, None, None, None, None)], schema)
+    row, other = tabular.normalize_tabular(df, as_of()).collect()
+    assert (other.source, other.salary, other.posted_date) == ("My_Site2Go", None, NOW)
     assert (row.source, row.company, row.salary, row.posted_date, row.easy_apply, row.applicants) == ("Indeed", "", 104000, dt.datetime(2024, 3, 1), None, 200)
 
 
