@@ -258,6 +258,12 @@ def similar_pairs(spark, sf):
     return similarity.similar_pairs(V.table(spark, sf, "embeddings"), "vec_id", "embedding", _TAU, blocking="exact")
 
 
+@query("similar_pairs_blocks", f"WITH RECURSIVE {_GREEDY} SELECT id, leader AS kept_id FROM walk WHERE leader IS NOT NULL")
+def similar_pairs_blocks(spark, sf):
+    """The same pairs by blocks, with enough blocks that no near pair is missed at this low bound."""
+    return similarity.similar_pairs(V.table(spark, sf, "embeddings"), "vec_id", "embedding", _TAU, blocking="lsh", bits=2, recall=1 - 1e-7)
+
+
 def _paid_vectors(spark, sf):
     cells = (F.col("vec_id").alias("id"), "embedding", F.when(F.col("label") % 2 == 0, F.col("label") * 1000 + 1).cast("int").alias("salary"))
     return V.table(spark, sf, "embeddings").select(*cells, F.when(F.col("vec_id") % 3 > 0, F.concat(F.lit("t"), F.col("vec_id"))).alias("title"))

@@ -12,7 +12,7 @@ registry.load()
 
 # the only queries that are allowed to leave the JVM
 PYTHON = {
-    "similar_pairs", "dedup_semantic", "dedup_semantic_blocks", "enrich_topn", "strip_html_full", "page_cards",
+    "similar_pairs", "similar_pairs_blocks", "dedup_semantic", "dedup_semantic_blocks", "enrich_topn", "strip_html_full", "page_cards",
 }
 RUNS_A_STREAM = {"stream_6h_counts", "stream_dedup", "stream_ingest", "alert_once"}
 
