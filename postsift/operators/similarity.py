@@ -29,16 +29,6 @@ from postsift.functions.vector import bands_for, has_length, planes, unit_rows
 from postsift.session import Rounds, cut_lineage, new_path
 
 
-def first_leaders(df: DataFrame, id_col: str, vector: str, tau: float = SIMILARITY, **how) -> DataFrame:
-    """(id, leader) for one row per distinct vector; leader is NULL for kept rows.
-
-    *id_col* is a BIGINT that is unique and gives the order.  Options in *how*:
-    blocking "lsh" or "exact"; chunk, the rows one task compares at a time; and for blocks
-    recall (chance that a pair at *tau* meets), bits per key, prefix and seed.
-    """
-    return _leaders_of(_vectors(df, id_col, vector), tau, **how)
-
-
 def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(id, vec) of the rows that can match.  Stored, because a vector column is often the
     result of costly functions and is read several times."""
@@ -50,6 +40,7 @@ def _leaders_of(
     vectors: DataFrame, tau: float = SIMILARITY, blocking: str = "lsh", chunk: int = 2048, recall: float = 0.999,
     bits: int | None = None, prefix: int = 1024, seed: int = 7,
 ) -> DataFrame:
+    """(id, leader) for one row per distinct vector; leader is NULL for kept rows."""
     if not 0.0 < tau < 1.0:
         raise ValueError("tau has to lie between 0 and 1")
     rows = cut_lineage(vectors.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"), "distinct")
@@ -262,6 +253,10 @@ def _block_leaders(
 def similar_pairs(df: DataFrame, id_col: str, vector: str, tau: float = SIMILARITY, **how) -> DataFrame:
     """(id, kept_id): every row that is near to a row kept before it, with the first such row.
 
+    *id_col* is a BIGINT that is unique and gives the order.  Options in *how*: blocking
+    "lsh" or "exact"; chunk, the rows one task compares at a time; and for blocks recall
+    (the chance that a pair at *tau* meets), bits per key, prefix and seed.
+
     Copies of one vector yield one row each, never all their pairs.
     """
     rows = _vectors(df, id_col, vector)

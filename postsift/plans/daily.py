@@ -15,6 +15,7 @@ from postsift.operators.enrich import Answer, enrich_top
 from postsift.operators.score import add_score, high_score
 from postsift.operators.similarity import dedup_semantic
 from postsift.operators.upsert import upsert_metadata
+from postsift.schema import POSTING, conform
 
 
 @dataclass
@@ -57,7 +58,7 @@ def run(
         missing = {"llm_score": "int", "llm_reason": "string", "llm_summary": "string", "skills": "array<string>"}
         scored = scored.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in scored.columns})
     scored = scored.withColumn("scraped_at", as_of).persist()
-    snapshot = upsert_metadata(target, scored, order_by)
+    snapshot = upsert_metadata(conform(target, POSTING), scored, order_by)
     best = high_score(scored)
     exported = publish.export_rows(publish.anti_new(best, target, "url", order_by))
     open_rows = board.unnotified(snapshot, C.ALERT_SCORE)

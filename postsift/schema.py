@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
 # All timestamps are UTC wall clock (TIMESTAMP_NTZ): results never depend on the
 # session time zone.
 POSTING = """
@@ -55,3 +58,21 @@ OVERWRITE_POST = (
 EXPORT_HEADER = (
     "Title", "Company", "Location", "Salary", "Score", "Source", "Posted Date", "Easy Apply", "Applicants", "URL",
 )
+
+
+def conform(df: DataFrame, ddl: str) -> DataFrame:
+    """Exactly the columns and types of *ddl*.
+
+    A missing column is NULL, a list in a text column is joined by ', ', and a value that
+    does not fit its type becomes NULL; no row fails.
+    """
+    have = {f.name: f.dataType for f in df.schema.fields}
+    cells = []
+    for field in StructType.fromDDL(ddl).fields:
+        cell = F.col(field.name) if field.name in have else F.lit(None)
+        if isinstance(have.get(field.name), ArrayType) and isinstance(field.dataType, StringType):
+            cell = F.array_join(cell, ", ")
+        elif have.get(field.name) != field.dataType:
+            cell = cell.try_cast(field.dataType)
+        cells.append(cell.alias(field.name))
+    return df.select(*cells)

@@ -203,6 +203,30 @@ def test_stream_dedup_over_runs(spark, tmp_path):
     assert go() == ["u", "v", "w"]
 
 
+def test_conform(spark):
+    df = spark.createDataFrame([(1, ["NY", "LA"], "12", "x", dt.date(2024, 3, 1))], "id INT, location ARRAY<STRING>, salary STRING, applicants STRING, posted_date DATE")
+    out = S.conform(df, S.POSTING)
+    assert out.schema.simpleString() == spark.createDataFrame([], S.POSTING).schema.simpleString()
+    row = out.first()
+    assert (row.id, row.location, row.salary, row.applicants, row.posted_date, row.notes) == (1, "NY, LA", 12, None, dt.datetime(2024, 3, 1), None)
+
+
+def test_canonical_types(spark):
+    from postsift.plans import views as V
+    from postsift.sources import feeds, prose
+    from tests.conftest import SF
+
+    feed = feeds.normalize_feed(V.feed_payloads(spark, SF, "Dice"), feeds.FEEDS["Dice"], V.as_of())
+    assert set(S.FEED_COLUMNS) <= set(feed.columns)
+    social = prose.extract_social_posts(V.posts(spark, SF), V.as_of())
+    profiles = prose.extract_profiles(V.table(spark, SF, "documents"), "doc_id", "text")
+    for df, ddl in ((feed, S.POSTING), (social, S.SOCIAL_POST), (profiles, S.PROFILE)):
+        want = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], ddl).schema}
+        assert [f.name for f in df.schema if f.name in want and want[f.name] != f.dataType.simpleString()] == []
+    moved = spark.createDataFrame([(1, "offer")], S.STAGE)
+    assert moved.columns == ["job_id", "status"]
+
+
 def test_union_fills_missing_columns(spark):
     a, b = spark.createDataFrame([(1, "x")], "i INT, s STRING"), spark.createDataFrame([(2, True)], "i INT, f BOOLEAN")
     assert sorted(map(tuple, dedup.union_sources(a, b).collect())) == [(1, "x", None), (2, None, True)]
