@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from postsift.config import DEFAULT_RULES, Rules
 from postsift.functions.parse import seconds_after
-from postsift.functions.text import any_term, as_text, col_of, first_term, let
+from postsift.functions.text import any_term, as_text, col_of, computed_once, first_term, let
 
 
 def _ordered(text: Column, steps, match: str) -> Column:
@@ -24,12 +24,16 @@ def role_category(title: Column | str, rules: Rules = DEFAULT_RULES) -> Column:
     return let(F.lower(as_text(title)), lambda t: _ordered(t, steps, rules.match).otherwise(F.lit(rules.default_role)))
 
 
-def job_type(current: Column | str, title: Column | str, description: Column | str, rules: Rules = DEFAULT_RULES) -> Column:
-    """A valid stated type wins; otherwise phrases in title and description decide."""
+def rule_text(title: Column | str = "title", description: Column | str = "description") -> Column:
+    """The lower case text that the phrase rules search."""
+    return F.lower(F.concat_ws(" ", as_text(title), as_text(description)))
+
+
+def job_type(current: Column | str, text: Column | None = None, rules: Rules = DEFAULT_RULES) -> Column:
+    """A valid stated type wins; otherwise phrases in the rule text decide."""
     stated = F.replace(F.lower(as_text(current)), F.lit(" "), F.lit("_"))
-    text = F.lower(F.concat_ws(" ", as_text(title), as_text(description)))
     derived = let(
-        text, lambda t: _ordered(t, rules.job_type_phrases, rules.match).otherwise(F.lit(rules.default_job_type))
+        rule_text() if text is None else text, lambda t: _ordered(t, rules.job_type_phrases, rules.match).otherwise(F.lit(rules.default_job_type))
     )
     return F.when(stated.isin(*rules.job_types), stated).otherwise(derived)
 
@@ -55,13 +59,11 @@ def iso_utc(ts: Column) -> Column:
 
 
 def reject_reason(
-    as_of: Column, rules: Rules = DEFAULT_RULES, *, salary: str = "salary", title: str = "title",
-    description: str = "description", posted: str = "posted_date", applicants: str = "applicants",
-    easy_apply: str = "easy_apply",
+    as_of: Column, rules: Rules = DEFAULT_RULES, *, text: Column | None = None, salary: str = "salary",
+    posted: str = "posted_date", applicants: str = "applicants", easy_apply: str = "easy_apply",
 ) -> Column:
     """Text of the first rule a row breaks, NULL for a row that passes.  Unknown values pass."""
-    text = F.lower(F.concat_ws(" ", as_text(title), as_text(description)))
-    word = let(text, lambda t: first_term(t, rules.excluded_terms, rules.match))
+    word = let(rule_text() if text is None else text, lambda t: first_term(t, rules.excluded_terms, rules.match))
     cutoff = seconds_after(as_of, F.lit(-3600 * rules.max_age_hours))
     tests = [
         F.when(
@@ -80,29 +82,27 @@ def reject_reason(
     return F.coalesce(*tests)
 
 
-def classify(df: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def classify(df: DataFrame, rules: Rules = DEFAULT_RULES, text: Column | None = None) -> DataFrame:
     """Set role_category and job_type."""
-    return df.withColumns(
-        {
-            "role_category": role_category("title", rules),
-            "job_type": job_type("job_type" if "job_type" in df.columns else F.lit(None), "title", "description", rules),
-        }
-    )
+    current = "job_type" if "job_type" in df.columns else F.lit(None)
+    return df.withColumns({"role_category": role_category("title", rules), "job_type": job_type(current, text, rules)})
 
 
-def with_reasons(df: DataFrame, as_of: Column, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def with_reasons(df: DataFrame, as_of: Column, rules: Rules = DEFAULT_RULES, text: Column | None = None) -> DataFrame:
     """All rows with a *reason* column, for auditing what the filter removes."""
-    return df.withColumn("reason", reject_reason(as_of, rules))
+    return df.withColumn("reason", reject_reason(as_of, rules, text=text))
 
 
 def filter_pass(df: DataFrame, as_of: Column, rules: Rules = DEFAULT_RULES, metrics: Observation | None = None) -> DataFrame:
     """Classified rows that break no rule.  *metrics* collects the counts without another job."""
-    out = with_reasons(classify(df, rules), as_of, rules)
+    # the rule text is lowered once for the filter and the type rules
+    out = computed_once(df, _text=rule_text())
+    out = with_reasons(out, as_of, rules, F.col("_text"))
     if metrics is not None:
         out = out.observe(
             metrics, F.count(F.lit(1)).alias("read"), F.count_if(F.col("reason").isNotNull()).alias("removed")
         )
-    return out.where(F.col("reason").isNull()).drop("reason")
+    return classify(out.where(F.col("reason").isNull()), rules, F.col("_text")).drop("reason", "_text")
 
 
 def keyword_gate(text: Column | str, any_of: tuple[str, ...], and_any_of: tuple[str, ...] = ()) -> Column:

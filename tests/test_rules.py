@@ -52,7 +52,7 @@ def test_job_types(spark):
         ({"description": "subcontractor"}, "contract"), ({}, "full_time"), ({"job_type": "CONTRACT_TO_HIRE"}, "contract_to_hire"), ({"title": "part-time"}, "part_time"),
     ]
     df = rows(spark, *[c for c, _ in cases])
-    assert run(df, classify.job_type("job_type", "title", "description")) == [e for _, e in cases]
+    assert run(df, classify.job_type("job_type")) == [e for _, e in cases]
 
 
 def test_type_label(spark):
