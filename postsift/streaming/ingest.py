@@ -76,22 +76,28 @@ def alert_once_batches(root: str, sink: str, key: str = "url", at_least: int = C
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        best = batch.where(F.col("score") >= at_least)
+        # one row per key before the join: a key that fills the batch costs it one row
+        best = batch.where(F.col("score") >= at_least).groupBy(key).agg(F.max("score").alias("score"))
         latest = latest_version(spark, os.path.join(root, "sent"))
         if latest is not None and batch_id > 0:
             sent = spark.read.parquet(os.path.join(root, "sent")).where(F.col("v").cast("bigint") < batch_id)
             best = best.join(sent.select(key), key, "left_anti")
-        out = best.groupBy(key).agg(F.max("score").alias("score"))
-        out.write.mode("overwrite").parquet(os.path.join(sink, f"v={batch_id:020d}"))
-        out.select(key).write.mode("overwrite").parquet(snapshot_path(os.path.join(root, "sent"), batch_id))
+        best.write.mode("overwrite").parquet(os.path.join(sink, f"v={batch_id:020d}"))
+        best.select(key).write.mode("overwrite").parquet(snapshot_path(os.path.join(root, "sent"), batch_id))
 
     return apply
 
 
 # -- stateful operators -------------------------------------------------------
-def dedup_stream(df: DataFrame, key: str, time: str, late: str = LATE) -> DataFrame:
-    """First arrival per key; state older than the watermark is dropped."""
-    return df.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+def dedup_stream(df: DataFrame, key: str, time: str, late: str = LATE, salts: int = 16) -> DataFrame:
+    """First arrival per key; state older than the watermark is dropped.
+
+    Stream dedup has no map-side step, so one hot key would fill one task.  A first pass
+    per key and salt spreads it, and leaves at most one row per salt to the second pass.
+    """
+    names = df.columns
+    salted = df.withWatermark(time, late).withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
+    return salted.dropDuplicatesWithinWatermark([key, "_salt"]).dropDuplicatesWithinWatermark([key]).select(*names)
 
 
 def counts_per_run(df: DataFrame, time: str, source: str, every: str = RUN_EVERY, late: str | None = None) -> DataFrame:
