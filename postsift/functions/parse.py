@@ -136,6 +136,16 @@ def seconds_after(start: Column, seconds: Column) -> Column:
     return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
+def to_instant(clock: Column | str) -> Column:
+    """UTC clock reading (TIMESTAMP_NTZ) to TIMESTAMP, in any session time zone."""
+    return F.from_utc_timestamp(col_of(clock).cast("timestamp"), F.current_timezone())
+
+
+def to_clock(instant: Column | str) -> Column:
+    """TIMESTAMP to its UTC clock reading, in any session time zone."""
+    return F.to_utc_timestamp(col_of(instant), F.current_timezone()).cast("timestamp_ntz")
+
+
 _UNIT_SECONDS = {"s": 1, "h": 3600, "d": 86_400, "w": 604_800}
 _OLDEST_SECONDS = 60_000_000_000  # about 1900 years; anything older counts as unreadable
 _NOW_WORDS = {

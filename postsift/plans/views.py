@@ -113,6 +113,8 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- feed payloads: one JSON text per order, in the shape of each feed --------
 _T = "CASE WHEN id % 23 = 0 THEN '' ELSE title END"
 _ISO_Z = "date_format(posted_date, \"yyyy-MM-dd'T'HH:mm:ss\") || 'Z'"
+# seconds since 1970 of a UTC clock reading, in any session time zone
+_EPOCH = "unix_seconds(from_utc_timestamp(CAST(posted_date AS TIMESTAMP), current_timezone()))"
 _HIGH = "CASE WHEN id % 2 = 0 THEN salary + 1001 END"
 
 FEED_PAYLOADS = {
@@ -122,7 +124,7 @@ FEED_PAYLOADS = {
         'postedDate', {_ISO_Z}, 'summary', description)))""",
     "Arbeitnow": f"""named_struct('data', array(named_struct('slug', url, 'title', {_T}, 'company_name', company,
         'location', CASE WHEN id % 3 > 0 THEN location ELSE '' END, 'url', url || '?id=' || id, 'remote', true, 'tags', array('x', source),
-        'description', description, 'created_at', unix_seconds(CAST(posted_date AS TIMESTAMP)))))""",
+        'description', description, 'created_at', {_EPOCH})))""",
     "Adzuna": f"""named_struct('results', array(named_struct('title', {_T}, 'company', named_struct('display_name', company),
         'location', named_struct('display_name', location), 'redirect_url', url, 'description', description,
         'salary_min', salary, 'salary_max', {_HIGH}, 'created', {_ISO_Z})))""",
@@ -154,7 +156,7 @@ FEED_PAYLOADS = {
         named_struct('legal', '', 'id', '' || id, 'position', {_T}, 'company', company,
         'location', CASE WHEN id % 3 > 0 THEN location ELSE '' END, 'url', CASE WHEN url <> '' THEN url END,
         'tags', array('x', source), 'salary_min', salary, 'salary_max', {_HIGH},
-        'epoch', unix_seconds(CAST(posted_date AS TIMESTAMP)), 'applicants', CAST(id % 50 AS INT)))""",
+        'epoch', {_EPOCH}, 'applicants', CAST(id % 50 AS INT)))""",
 }
 
 

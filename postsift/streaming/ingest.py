@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from postsift import config as C
+from postsift.functions.parse import to_clock, to_instant
 from postsift.operators.upsert import upsert_metadata
 
 LATE = "48 hours"  # fixed value: age above which a row counts as late
@@ -96,17 +97,25 @@ def dedup_stream(df: DataFrame, key: str, time: str, late: str = LATE, salts: in
     per key and salt spreads it, and leaves at most one row per salt to the second pass.
     """
     names = df.columns
-    salted = df.withWatermark(time, late).withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
+    salted = _timed(df, time, late).withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
     return salted.dropDuplicatesWithinWatermark([key, "_salt"]).dropDuplicatesWithinWatermark([key]).select(*names)
 
 
+def _timed(df: DataFrame, time: str, late: str) -> DataFrame:
+    """Add *_at*, the event time with its watermark; a watermark needs a TIMESTAMP."""
+    at = to_instant(time) if dict(df.dtypes)[time] == "timestamp_ntz" else F.col(time)
+    return df.withColumn("_at", at).withWatermark("_at", late)
+
+
 def counts_per_run(df: DataFrame, time: str, source: str, every: str = RUN_EVERY, late: str | None = None) -> DataFrame:
-    """Rows per source and run bucket.  The same plan serves a table and a stream (with *late*)."""
+    """Rows per source and run bucket, as UTC clock readings: of a table, or with *late* of a stream."""
+    clock = dict(df.dtypes)[time] == "timestamp_ntz"
+    df = df.withColumn("_at", F.col(time) if clock else to_clock(time)) if late is None else _timed(df, time, late)
+    start, end = F.col("w.start"), F.col("w.end")
     if late is not None:
-        df = df.withWatermark(time, late)
+        start, end = to_clock(start), to_clock(end)
     return (
-        df.groupBy(F.window(time, every).alias("w"), F.col(source).alias("source"))
+        df.groupBy(F.window("_at", every).alias("w"), F.col(source).alias("source"))
         .agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.col("w.start").alias("run_start"), F.col("w.end").alias("run_end"), "source", "rows")
+        .select(start.alias("run_start"), end.alias("run_end"), "source", "rows")
     )
-
