@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postsift.llm import chat, decontaminate, sharding, url_rules
+from postsift.llm import bpe, chat, decontaminate, sharding, url_rules
 from postsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,19 @@ def op4(spark, sf):
     return sharding.place(docs, OP4_SHARDS).select("doc_id", "slot", "shard", "text_chars")
 
 
+def tokenizer() -> tuple[str, str]:
+    """The rank file's path and the pattern of the production tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op5_byte_bpe")
+def op5(spark, sf):
+    path, pattern = tokenizer()
+    return bpe.digests(bpe.encode(table(spark, sf, "documents"), path, pattern), path)
+
+
 OP6_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
