@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postsift.llm import bpe, chat, decontaminate, sharding, url_rules
+from postsift.llm import bpe, chat, decontaminate, quality_rules, resampling, sharding, toxicity, url_rules
 from postsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,16 @@ def op1(spark, sf):
     )
 
 
+@query("op2_importance_resampling")
+def op2(spark, sf):
+    """Target: the documents labelled good.  As many are drawn as the labels have good ones, in proportion."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    share = labels.agg(F.avg("quality")).first()[0] or 0.0
+    drawn = resampling.resample(docs, docs.join(good, "doc_id", "left_semi"), share=share)
+    return drawn.withColumn("kept", F.lit(True))
+
+
 # The template: <|turn|>role<|say|>text<|end|>; an example's whole text ends with its reply's <|end|>.
 OP3_SQL = r"""
 WITH t AS (
@@ -136,3 +146,17 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JO
 def op6(spark, sf):
     rules = spark.createDataFrame(OP6_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf, "pages"), rules)
+
+
+@query("op7_toxicity")
+def op7(spark, sf):
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+@query("op10_quality_rules")
+def op10(spark, sf):
+    judged = quality_rules.judge(table(spark, sf, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+    )
