@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postsift.llm import bpe, chat, decontaminate, quality_rules, resampling, sharding, toxicity, url_rules
+from postsift.llm import bpe, chat, decontaminate, html_template, quality_rules, resampling, sharding, toxicity, url_rules
 from postsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,11 @@ def op7(spark, sf):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
 
 
+@query("op8_html_extract")
+def op8(spark, sf):
+    return html_template.extract(table(spark, sf, "pages"))
+
+
 @query("op10_quality_rules")
 def op10(spark, sf):
     judged = quality_rules.judge(table(spark, sf, "documents"))
