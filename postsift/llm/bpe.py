@@ -300,18 +300,19 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
     return _decoded(encoded, path, id_col, ids_col, "text string, data binary", lambda ids, text, data: (text, data))
 
 
-def digests(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row: n_tokens, and SHA-256 digests of the ids in decimal, joined by spaces, and of the decoded bytes."""
+def digests(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids", keep_ids: bool = False) -> DataFrame:
+    """One row per row: n_tokens, and SHA-256 digests of the ids in decimal, joined by spaces, and of the decoded bytes;
+    with *keep_ids* also the ids."""
     from hashlib import sha256
 
     def made(ids, text, data):
         joined = " ".join(map(str, ids.tolist()))
         return len(ids), sha256(joined.encode()).hexdigest(), sha256(data).hexdigest()
 
-    return _decoded(encoded, path, id_col, ids_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", made)
+    return _decoded(encoded, path, id_col, ids_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", made, keep_ids)
 
 
-def _decoded(encoded: DataFrame, path: str, id_col: str, ids_col: str, fields: str, made) -> DataFrame:
+def _decoded(encoded: DataFrame, path: str, id_col: str, ids_col: str, fields: str, made, keep_ids: bool = False) -> DataFrame:
     ranks, key = _ranks(encoded, path)
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = [(f.split()[0], types[f.split()[1]]) for f in fields.split(", ")]
@@ -328,7 +329,9 @@ def _decoded(encoded: DataFrame, path: str, id_col: str, ids_col: str, fields: s
                 data = text.encode() if "�" not in text else b"".join(decoder.tokens[i] for i in ids.tolist())
                 rows.append(made(ids, text, data))
             columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), schema)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *(n for n, _ in schema)])
+            names = ["id", *(n for n, _ in schema), *["ids"] * keep_ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *[lists] * keep_ids], names=names)
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, {fields}").withColumnRenamed("id", id_col)
+    out = f"id {dict(rows.dtypes)['id']}, {fields}" + ", ids array<int>" * keep_ids
+    return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postsift.llm import bpe, chat, decontaminate, html_template, quality_rules, resampling, sharding, toxicity, url_rules
+from postsift.llm import bpe, chat, decontaminate, html_template, order_minhash, quality_rules, resampling, sharding, toxicity, url_rules
 from postsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,11 @@ def op8(spark, sf):
     return html_template.extract(table(spark, sf, "pages"))
 
 
+@query("op9_order_minhash")
+def op9(spark, sf):
+    return order_minhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op10_quality_rules")
 def op10(spark, sf):
     judged = quality_rules.judge(table(spark, sf, "documents"))
