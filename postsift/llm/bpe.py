@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 from postsift.llm.common import per_worker, small_batches
 
 #: Bounds on what a Python worker keeps: transducer states, checked token pairs, and encodings of pieces (twice).
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 50_000, 300_000, 250_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 250_000, 300_000, 100_000
 #: Longer texts are split into pieces by and by, to bound the pieces alive at once.
 LONG_CHARS, PART = 1_000_000, 100_000
+#: A node of the trie with at most so many tokens below it is searched for one that can follow.
+FEW_TOKENS = 200
 _NEVER = 1 << 60
 
 
@@ -43,15 +45,21 @@ class Merges:
         # node 0 is the root; (node * 256 + byte) to node, and the token that ends at a node
         self.trie: dict[int, int] = {}
         self.token_at: list[int] = [-1]
-        for token, rank in ranks.items():
+        # the tokens below a node are a range of all in byte order
+        self.sorted = [rank for _, rank in sorted(ranks.items())]
+        self.below: list[list[int]] = [[0, len(ranks)]]
+        for place, rank in enumerate(self.sorted):
             node = 0
-            for byte in token:
+            for byte in self.tokens[rank]:
                 node = self.trie.setdefault(node * 256 + byte, len(self.token_at))
                 if node == len(self.token_at):
                     self.token_at.append(-1)
+                    self.below.append([place, place])
+                self.below[node][1] = place + 1
             self.token_at[node] = rank
         self._ends: dict[int, tuple[list, list]] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._open: dict[tuple[int, int], bool] = {}
 
     def parts(self, data: bytes, until: int = 1) -> list[bytes]:
         """Merge the pair of lowest rank, the first of equals, until *until* parts or no pair is left."""
@@ -99,6 +107,18 @@ class Merges:
         return True
 
 
+    def may_follow(self, last: int, node: int) -> bool:
+        """False if no token below the node can follow *last*.  Nodes with many tokens are not searched."""
+        known = self._open.get((last, node))
+        if known is None:
+            if len(self._open) > MAX_PAIRS:
+                self._open.clear()
+            first, end = self.below[node]
+            known = end - first > FEW_TOKENS or any(self.adjacent(last, t) for t in self.sorted[first:end])
+            self._open[last, node] = known
+        return known
+
+
 class Transducer:
     """Encodes pieces of bytes.  A state maps a byte to (next state, tokens written)."""
 
@@ -121,10 +141,11 @@ class Transducer:
     def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
         """Follow all configurations over one byte."""
         trie, token_at, adjacent = self.merges.trie.get, self.merges.token_at, self.merges.adjacent
+        known, may_follow = self.merges._open.get, self.merges.may_follow
         after, closed = [], None
         for written, last, node in state["all"]:
             node = trie(node * 256 + byte)
-            if node is None:
+            if node is None or last >= 0 and not ((go := known((last, node))) or go is None and may_follow(last, node)):
                 continue
             after.append((written, last, node))
             # as encodings are unique, at most one configuration ends a token here

@@ -47,3 +47,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that *df* does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postsift.llm.common import small_batches, utf8, words
+from postsift.llm.common import small_batches, unused, utf8, words
 from postsift.session import Rounds
 
 SHINGLE = 5
@@ -289,32 +289,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     has no other.  Repeated rows are members of one class.  Other columns are ignored.
     """
     rounds = Rounds(docs.sparkSession, "near-duplicates")
-    members, _ = _classes(docs, id_col, text_col, rounds)
+    members = _classes(docs, id_col, text_col, rounds)
     classes = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return members.join(classes, "root").select(
         F.col("doc_id").alias(id_col), "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
     )
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_id, root) of every document, stored; and the roots of texts with a link."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, rounds: Rounds) -> DataFrame:
+    """(doc_id, text_id, root) of every document."""
     sketched = rounds.keep(_sketched(docs, id_col, text_col), "sketched")
     found = similar_links(sketched, docs, text_col, rounds)
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
     roots = components(edges, rounds)
-    members = sketched.select("doc_id", "text_id").join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
-    return members, roots
+    return sketched.select("doc_id", "text_id").join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, the one with the least id (nulls last, then by text), with all its columns as they
     are.  Of rows that repeat both id and text, one stays."""
     rounds = Rounds(docs.sparkSession, "near-duplicates")
-    members, _ = _classes(docs, id_col, text_col, rounds)
+    members = _classes(docs, id_col, text_col, rounds)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")).alias("first")
-    chosen = members.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_id").alias("__text"))
-    rows = docs.withColumns({"__id": F.col(id_col), "__text": text_id(text_col)}).dropDuplicates(["__id", "__text"])
-    same = rows["__text"].eqNullSafe(chosen["__text"]) & rows["__id"].eqNullSafe(chosen["__id"])
-    return rows.join(chosen, same, "left_semi").drop("__id", "__text")
+    name = unused(docs, "text_id")
+    chosen = members.groupBy("root").agg(first).select(F.col("first.doc_id").alias(id_col), F.col("first.text_id").alias(name))
+    rows = docs.withColumn(name, text_id(text_col)).dropDuplicates([id_col, name])
+    same = rows[name].eqNullSafe(chosen[name]) & rows[id_col].eqNullSafe(chosen[id_col])
+    return rows.join(chosen, same, "left_semi").drop(name)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postsift.llm.common import unused
+
 #: The table's size; a prime far above the number of shards.  It bounds what is broadcast.
 SLOTS = 65_537
 
@@ -65,7 +67,7 @@ def place(
     exactly *slots* rows, whatever the data.  An empty table gives no rows.
     """
     lookup = table_frame(df.sparkSession, shards, slots).select(F.col("slot").alias(slot_as), F.col("shard").alias(shard_as))
-    rows = df.drop(slot_as, shard_as).withColumn(slot_as, slot_column(key_col, slots))
+    rows = df.withColumn(slot_as, slot_column(key_col, slots)).drop(shard_as)
     return rows.join(F.broadcast(lookup), slot_as)
 
 
@@ -73,14 +75,15 @@ def write_shards(
     df: DataFrame, path: str, shards: Sequence[str], *, key_col: str = "doc_id", slots: int = SLOTS, files: int = 1,
     max_records: int = 1_000_000,
 ) -> None:
-    """Write one folder per shard, of *files* files or more.
+    """Write one folder `shard=name` per shard, of *files* files or more; a column named shard is replaced.
 
     The rows of a shard are dealt over *files* tasks by a hash of the whole row, so a key with a third of the rows does
     not fill one task, and a rerun task deals the same way.
     """
-    placed = place(df, shards, key_col=key_col, slots=slots, slot_as="__slot", shard_as="shard")
-    dealt = placed.withColumn("__part", F.pmod(F.xxhash64(*[c for c in placed.columns if c != "shard"]), F.lit(files)))
+    slot, part = unused(df, "slot"), unused(df, "part")
+    placed = place(df, shards, key_col=key_col, slots=slots, slot_as=slot, shard_as="shard")
+    dealt = placed.withColumn(part, F.pmod(F.xxhash64(*[c for c in placed.columns if c != "shard"]), F.lit(files)))
     (
-        dealt.repartition(len(shards) * files, "shard", "__part").drop("__slot", "__part")
+        dealt.repartition(len(shards) * files, "shard", part).drop(slot, part)
         .write.option("maxRecordsPerFile", max_records).partitionBy("shard").parquet(path)
     )
