@@ -7,6 +7,7 @@ without replacement with probabilities in proportion to their weights.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,10 +20,11 @@ from postsift.llm.common import per_worker, small_batches, utf8
 from postsift.session import cut_lineage
 
 #: Hash buckets of the n-grams: all that the models keep, whatever the corpus.
-BUCKETS = 1 << 16
+BUCKET_BITS = 14
+BUCKETS = 1 << BUCKET_BITS
 #: Words whose hashes a Python worker remembers; words hashed at once.
 KNOWN, SLICE = 300_000, 200_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _DOWN = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BUCKET_BITS)
 
 
 class Hasher:
@@ -42,8 +44,8 @@ class Hasher:
             part = words[at : at + SLICE + 1]  # one word more: the pair across the border
             own = np.fromiter(map(self.known.__getitem__, part), np.uint64, len(part))
             pairs = (own[:-1] * _MIX + own[1:]) * _MIX
-            yield (own[:SLICE] * _MIX >> np.uint64(48)).astype(np.int64)
-            yield (pairs >> np.uint64(48)).astype(np.int64)
+            yield (own[:SLICE] * _MIX >> _DOWN).astype(np.int64)
+            yield (pairs >> _DOWN).astype(np.int64)
 
 
 def _counts(docs: DataFrame, data: str) -> DataFrame:
@@ -102,7 +104,7 @@ def weigh(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
 def gumbel(name: object) -> float:
     """Standard Gumbel noise from a hash of an id."""
     text = b"" if name is None else str(name).encode()
-    uniform = ((zlib.crc32(text) << 20) + (zlib.crc32(b"#" + text) >> 12) + 0.5) / 2.0**52
+    uniform = ((int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big") >> 12) + 0.5) / 2.0**52
     return float(-np.log(-np.log(uniform)))
 
 
