@@ -6,9 +6,10 @@ form band keys, texts with a band key in common are candidates, and an alignment
 the longest common subsequence of their shingles over all shingles of both, LCS / (n1 + n2 - LCS).
 
 Candidates in a bucket are not paired with each other.  All are compared with the bucket's first text; only those that
-fail stay for another round, with the first of them.  A text that failed is also compared with texts that passed, unless
-the triangle inequality rules a link out (n1 + n2 - 2 LCS is a metric).  So a link between two texts of a bucket is
-found, or joins what is joined already, and a bucket of near copies costs as many comparisons as it has texts.
+fail stay for another round, with the first of them.  At the end, texts of a bucket that are still in different
+components are compared unless the triangle inequality rules a link out (n1 + n2 - 2 LCS is a metric).  So a link
+between two texts of a bucket is found, or would join what is joined already, and a bucket of near copies costs as many
+comparisons as it has texts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from postsift.llm.common import small_batches, unused, utf8, words
 from postsift.session import Rounds
@@ -29,6 +30,8 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 #: At similarity 0.8 a pick agrees with chance 0.64, a band of two picks with 0.41: 24 bands miss 3 pairs in a million.
 BANDS, PICKS = 24, 2
+#: Leaders of a bucket from its second round on; bridges tried at once from a text to another component.
+LEADERS, BRIDGES = 24, 16
 #: Shingles hashed at once; words whose hashes a task remembers.
 SLICE, KNOWN = 1 << 14, 300_000
 
@@ -224,38 +227,78 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return sides.mapInArrow(run, "a binary, b binary, similar boolean, apart long").unionByName(far)
 
 
-def similar_links(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Rounds) -> list[DataFrame]:
-    """Verified links (a, b) between different texts, enough to join all that are near copies; one table per round."""
-    part, whole = SIMILAR
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _meetings(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Rounds) -> DataFrame:
+    """(bucket, a, b, n_b, led, similar, apart): in each bucket, all texts against leaders.
+
+    In the first round a bucket has one leader, its least text.  Texts that are not near it stay, and later rounds take
+    the LEADERS first of them, until none is left: a bucket of at most LEADERS texts needs one more round.  led is
+    false where b is a leader itself.
+    """
     texts = sketched.groupBy("text_id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     open_rows = texts.select(F.explode("bands").alias("bucket"), "text_id", "n")
-    found, extra, number = [], None, 0
+    met, first = [], True
+    while True:
+        if first:
+            leaders = open_rows.groupBy("bucket").agg(F.min(F.struct("text_id", "n")).alias("lead"), F.count(F.lit(1)).alias("size"))
+            leaders = leaders.where("size > 1").select("bucket", F.col("lead.text_id").alias("a"), F.col("lead.n").alias("n_a"))
+            rows = open_rows.withColumn("place", F.lit(LEADERS + 1))
+        else:
+            place = F.row_number().over(Window.partitionBy("bucket").orderBy("text_id"))
+            rows = rounds.keep(open_rows.withColumn("place", place), "placed")
+            leaders = rows.where(F.col("place") <= LEADERS).select("bucket", F.col("text_id").alias("a"), F.col("n").alias("n_a"))
+        # leaders are the least texts, so a < b pairs each with all that are no leaders, and leaders with each other once
+        led = rows.join(leaders, "bucket").where("a < text_id").select(
+            "bucket", "a", "n_a", F.col("text_id").alias("b"), F.col("n").alias("n_b"), (F.col("place") > LEADERS).alias("led")
+        )
+        led = rounds.keep(led, "led")
+        checked = _verified(led.select("a", "n_a", "b", "n_b").distinct(), docs, text_col)
+        sides = rounds.keep(led.join(checked, ["a", "b"]).drop("n_a"), f"met-{len(met)}")
+        met.append(sides)
+        rest = sides.where("led").groupBy("bucket", F.col("b").alias("text_id"), F.col("n_b").alias("n")).agg(F.max("similar").alias("near"))
+        open_rows, first = rounds.keep(rest.where("NOT near").drop("near"), "rest"), False
+        if open_rows.isEmpty():
+            return _union(met)
+
+
+def near_roots(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Rounds) -> DataFrame:
+    """(text_id, root) of all texts that have a near copy.
+
+    After the meetings, texts near different leaders, or near a leader and near none, may still be linked with each
+    other.  Where their components differ and the distances to a leader allow a link, they are compared too: for each
+    text the BRIDGES likeliest of each other component, as long as there are any not yet compared.
+    """
+    part, whole = SIMILAR
+    met = _meetings(sketched, docs, text_col, rounds)
+    links, tested = met.where("similar").select("a", "b"), met.select("a", "b")
+    near = met.where("similar AND led").select("bucket", "a", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("apart").alias("near"))
+    far = met.where("NOT similar AND led").select("bucket", "a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("apart").alias("far"))
+    turn = 0
     while True:
-        leaders = open_rows.groupBy("bucket").agg(
-            F.min(F.struct("text_id", "n")).alias("lead"), F.count(F.lit(1)).alias("size")
-        ).where("size > 1").select("bucket", F.col("lead.text_id").alias("a"), F.col("lead.n").alias("n_a"))
-        led = rounds.keep(
-            open_rows.join(leaders, "bucket").select("bucket", "a", "n_a", F.col("text_id").alias("b"), F.col("n").alias("n_b")), "led"
+        roots = components(links, rounds)
+        named = {c: roots.select(F.col("text_id").alias(c), F.col("root").alias(f"root_{c}")) for c in "xy"}
+        sides = far.join(named["x"], "x", "left").withColumn("root_x", F.coalesce("root_x", "x"))
+        crossed = sides.join(near.join(named["y"], "y"), ["bucket", "a"]).where(
+            (F.col("root_x") != F.col("root_y")) & ((F.col("far") - F.col("near")) * (whole + part) <= (F.col("n_x") + F.col("n_y")) * (whole - part))
         )
-        pairs = led.where("a <> b").select("a", "n_a", "b", "n_b")
-        pairs = pairs.unionByName(extra) if extra is not None else pairs
-        checked = rounds.keep(_verified(pairs.distinct(), docs, text_col), f"checked-{number}")
-        number += 1
-        found.append(checked.where("similar").select("a", "b"))
-        # those that failed stay for another round, and meet those that passed where a link is possible
-        sides = led.where("a <> b").join(checked, ["a", "b"]).select("bucket", "b", "n_b", "similar", "apart")
-        failed = sides.where("NOT similar")
-        rest = rounds.keep(failed.select("bucket", F.col("b").alias("text_id"), F.col("n_b").alias("n"), "apart"), "rest")
-        if rest.isEmpty():
-            return found
-        passed = sides.where("similar").select("bucket", "b", "n_b", F.col("apart").alias("near"))
-        near_enough = (F.col("apart") - F.col("near")) * (whole + part) <= (F.col("n") + F.col("n_b")) * (whole - part)
-        crossed = rest.join(passed, "bucket").where(near_enough).select(
-            F.least("text_id", "b").alias("a"), F.when(F.col("text_id") < F.col("b"), F.col("n")).otherwise(F.col("n_b")).alias("n_a"),
-            F.greatest("text_id", "b").alias("b"), F.when(F.col("text_id") < F.col("b"), F.col("n_b")).otherwise(F.col("n")).alias("n_b"),
-        ).distinct()
-        extra = rounds.keep(crossed, "crossed")
-        open_rows = rest.select("bucket", "text_id", "n")
+        x_first = F.col("x") < F.col("y")
+        pairs = crossed.select(
+            "x", "root_y", (F.col("far") - F.col("near")).alias("gap"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+            F.when(x_first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(x_first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"),
+        ).join(tested, ["a", "b"], "left_anti")
+        likely = F.row_number().over(Window.partitionBy("x", "root_y").orderBy("gap", "a", "b"))
+        pairs = pairs.withColumn("place", likely).where(F.col("place") <= BRIDGES).select("a", "n_a", "b", "n_b").distinct()
+        checked = rounds.keep(_verified(pairs, docs, text_col), f"bridges-{turn}")
+        turn += 1
+        if checked.isEmpty():
+            return roots
+        links, tested = links.unionByName(checked.where("similar").select("a", "b")), tested.unionByName(checked.select("a", "b"))
 
 
 def components(edges: DataFrame, rounds: Rounds) -> DataFrame:
@@ -299,11 +342,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def _classes(docs: DataFrame, id_col: str, text_col: str, rounds: Rounds) -> DataFrame:
     """(doc_id, text_id, root) of every document."""
     sketched = rounds.keep(_sketched(docs, id_col, text_col), "sketched")
-    found = similar_links(sketched, docs, text_col, rounds)
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    roots = components(edges, rounds)
+    roots = near_roots(sketched, docs, text_col, rounds)
     return sketched.select("doc_id", "text_id").join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
 
 

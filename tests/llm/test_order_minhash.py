@@ -156,11 +156,29 @@ def test_large_group_makes_no_square(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     rounds = Rounds(spark, "test")
     sketched = rounds.keep(O._sketched(docs, "doc_id", "text"), "sketched")
-    found = O.similar_links(sketched, docs, "text", rounds)
-    assert sum(f.count() for f in found) < 40 * 1500
+    assert O._meetings(sketched, docs, "text", rounds).count() < 40 * 1500
     assert {r.class_id for r in O.near_duplicates(docs).collect()} == {0}
 
 
+def test_borderline_group(spark, monkeypatch):
+    """Copies that are near their base, and mostly not near each other: all belong together."""
+    monkeypatch.setattr(O, "LEADERS", 2)
+    monkeypatch.setattr(O, "BRIDGES", 1)
+    rnd = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 60):
+        text = list(base)
+        for at in rnd.sample(range(150), 3 if k % 3 else 2):
+            text[at] = f"x{rnd.random()}"
+        rows.append((k, " ".join(text)))
+    other = [f"v{k}" for k in range(150)]
+    rows += [(100 + k, " ".join(base[: 120 - k] + other[: 30 + k])) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.class_id, r.class_size) for r in O.near_duplicates(docs).collect()]
+    assert sorted(got) == sorted(plain_classes(rows))
+
+
 def test_components(spark):
     rnd = random.Random(6)
     names = [bytes([rnd.randrange(256) for _ in range(4)]) for _ in range(120)]
