@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from postsift.plans import registry  # noqa: E402
-from postsift.session import build_session  # noqa: E402
+from postsift.session import SCAN_TASKS_CONF, build_session  # noqa: E402
 
 HEADLINE = (
     "run_top500", "dedup_exact", "filter_pass", "score_total", "jobs_top500", "feed_normalize", "tabular_normalize",
@@ -29,7 +29,7 @@ def main() -> None:
     registry.load()
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g", SCAN_TASKS_CONF: cpus},
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()  # start the session before the clock

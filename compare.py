@@ -83,7 +83,7 @@ def main() -> int:
     registry.load()
     names = sys.argv[2:] or list(registry.QUERIES)
     spark = build_session(
-        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.postsift.scanTasks": "8"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf), 0

@@ -147,34 +147,40 @@ def to_clock(instant: Column | str) -> Column:
 
 
 _UNIT_SECONDS = {"s": 1, "h": 3600, "d": 86_400, "w": 604_800}
-_OLDEST_SECONDS = 60_000_000_000  # about 1900 years; anything older counts as unreadable
+_FIRST_DAY = "0001-01-01 00:00:00"  # the earliest time
+_MOST_UNITS = 100_000_000_000  # more than lie between it and any other time
 _NOW_WORDS = {
     "general": ("just", "now", "today", "moment"), "hour_day": ("today", "now", "just"), "words": ("just", "today"),
 }
 
 
 def parse_relative(c: Column | str, as_of: Column, style: str = "general") -> Column:
-    """'3 hours ago' and the like, counted back from *as_of*; unreadable text is *as_of*."""
+    """'3 hours ago' and the like, counted back from *as_of*; unreadable text is *as_of*.
+
+    A time before year 1 is NULL.
+    """
     text = F.lower(col_of(c))
     if style == "general":
-        number = first_match(text, r"([0-9]+)\s*([smhdw])", 1).try_cast("bigint")
+        digits = first_match(text, r"([0-9]+)\s*([smhdw])", 1)
         unit = first_match(text, r"([0-9]+)\s*([smhdw])", 2)
         # a bare "m" is a month of 30 days unless "min" appears somewhere
         size = F.when(unit == "m", F.when(F.contains(text, F.lit("min")), F.lit(60)).otherwise(F.lit(2_592_000)))
         for letter, seconds in _UNIT_SECONDS.items():
             size = size.when(unit == letter, F.lit(seconds))
     elif style == "hour_day":
-        number = first_match(text, r"([0-9]+)\s*([hd])", 1).try_cast("bigint")
+        digits = first_match(text, r"([0-9]+)\s*([hd])", 1)
         size = F.when(first_match(text, r"([0-9]+)\s*([hd])", 2) == "h", F.lit(3600)).otherwise(F.lit(86_400))
     else:  # "words": the unit word decides, one unit if no number is given
-        number = F.coalesce(first_int(text), F.lit(1)).cast("bigint")
+        digits = F.coalesce(F.nullif(first_match(text, "[0-9]+"), F.lit("")), F.lit("1"))
         size = F.when(F.contains(text, F.lit("hour")), F.lit(3600)).when(F.contains(text, F.lit("day")), F.lit(86_400))
     is_now = F.lit(False)
     for word in _NOW_WORDS[style]:
         is_now = is_now | F.contains(text, F.lit(word))
-    back = F.when(is_now, F.lit(0)).when(number <= _OLDEST_SECONDS, number * size)
-    back = F.when(back <= _OLDEST_SECONDS, back)
-    return seconds_after(as_of, -F.coalesce(back, F.lit(0)))
+    number = digits.try_cast("bigint")
+    back = F.when(number <= _MOST_UNITS, number * size)
+    back = F.when(back <= age_seconds(F.lit(_FIRST_DAY).cast("timestamp_ntz"), as_of), back)
+    back = F.when(is_now | (digits == "") | size.isNull(), F.lit(0)).otherwise(back)
+    return seconds_after(as_of, -back)
 
 
 def age_seconds(ts: Column | str, as_of: Column) -> Column:
@@ -184,7 +190,7 @@ def age_seconds(ts: Column | str, as_of: Column) -> Column:
     """
     age = as_of - col_of(ts)
     units = (("DAY", 86_400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))
-    return sum((F.extract(F.lit(unit), age) * size for unit, size in units), F.lit(0))
+    return sum((F.extract(F.lit(unit), age).cast("decimal(18,6)") * size for unit, size in units), F.lit(0))
 
 
 def age_days(ts: Column | str, as_of: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from html import unescape as unescape_one
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,14 +15,10 @@ WHITESPACE = (
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Named entities decoded without Python.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©", "reg": "®", "trade": "™",
-    "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "times": "×",
-    "deg": "°", "amp": "&",
-}
-ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);"
+# A character reference, as HTML 5 reads it.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# The names met most, looked up first.
+COMMON_NAMES = ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;")
 
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
 PHONE = r"(?U)[+]?[\d\s\-()]{10,15}"
@@ -120,35 +118,46 @@ def strip_tags(c: Column | str) -> Column:
     return F.regexp_replace(col_of(c), "<[^>]+>", " ")
 
 
-def _entity_char(code: Column) -> Column:
-    """The character of '#38', '#x26' or 'amp'; NULL for an unknown name."""
-    number = (
-        F.when(F.lower(code).startswith("#x"), F.conv(F.substring(code, 3, 6), 16, 10))
-        .when(code.startswith("#"), F.substring(code, 2, 7))
-        .try_cast("int")
+def _table(entries: dict[str, str]) -> Column:
+    """A literal map; one text literal, so that plans stay small."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in entries.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def _character(code: Column) -> Column:
+    """The text of '#38', '#x26;' or 'amp;'; NULL if it is no reference."""
+    # names that need no semicolon also count at the beginning of a longer one
+    loose = {name: char for name, char in html5.items() if not name.endswith(";")}
+    named = F.try_element_at(_table({n: html5[n] for n in COMMON_NAMES}), code)
+    begins = [
+        F.when(F.length(code) > n, F.concat(F.try_element_at(_table(loose), F.substring(code, 1, n)), F.substring(code, F.lit(n + 1), F.length(code))))
+        for n in range(max(map(len, loose)), 1, -1)
+    ]
+    named = F.coalesce(named, F.try_element_at(_table(dict(html5)), code), *begins)
+    hexadecimal = F.lower(code).startswith("#x")
+    digits = F.regexp_replace(F.regexp_replace(code, "^#[xX]?0*|;$", ""), "^$", "0")
+    number = F.when(F.length(digits) > 7, F.lit(0x110000)).otherwise(F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int"))
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    # the standard's exceptions: codes 128 to 159 mean Windows-1252, some stand for nothing
+    special = {str(n): unescape_one(f"&#{n};") for n in (0, 13, *range(1, 9), 11, *range(14, 32), *range(127, 160))}
+    nothing = [0xFDD0 + n for n in range(32)] + [plane * 0x10000 + n for plane in range(17) for n in (0xFFFE, 0xFFFF)]
+    value = (
+        F.when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(number.isin(nothing), F.lit("")).otherwise(F.coalesce(F.try_element_at(_table(special), number.cast("string")), plain))
     )
-    char = F.when(
-        (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("\ufffd")
-    ).otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-    named = F.create_map(*[F.lit(v) for pair in ENTITIES.items() for v in pair])
-    return F.when(number.isNotNull(), char).otherwise(F.try_element_at(named, code))
+    return F.when(code.startswith("#"), value).otherwise(named)
 
 
 def unescape(c: Column | str) -> Column:
-    """Decode numeric entities and the named ones in :data:`ENTITIES`.
+    """Decode every character reference as HTML 5 does; one pass, so nothing is decoded twice.
 
-    One pass finds the entities that occur.  Those for '&' are put in last, so that
-    nothing is decoded twice.
+    The text is cut at its references and put together again with their characters.
     """
 
     def decode(text: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)))
-        known = F.filter(
-            F.transform(codes, lambda k: F.struct(F.concat(F.lit("&"), k, F.lit(";")).alias("mark"), _entity_char(k).alias("char"))),
-            lambda e: e["char"].isNotNull(),
-        )
-        put = let(known, lambda es: F.concat(F.filter(es, lambda e: e["char"] != "&"), F.filter(es, lambda e: e["char"] == "&")))
-        out = F.aggregate(put, text, lambda acc, e: F.replace(acc, e["mark"], e["char"]))
+        marks = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+        chars = F.transform(marks, lambda m: let(m, lambda k: F.coalesce(_character(k), F.concat(F.lit("&"), k))))
+        between = F.split(text, REFERENCE)
+        out = F.array_join(F.zip_with(between, chars, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
         return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
     return let(col_of(c), decode)

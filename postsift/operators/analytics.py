@@ -62,9 +62,9 @@ def kpi_analytics(df: DataFrame, posts: DataFrame) -> DataFrame:
         _half_up(pay / 1000).cast("bigint").alias("avg_salary_k"), F.count_if("applied").alias("applied"),
         F.count_if("saved").alias("saved"),
     )
-    both = _posts_counts(posts)
-    # one row joined to one row
-    return jobs.select("*", both.select("posts").scalar().alias("posts"), both.select("posts_with_email").scalar().alias("posts_with_email"))
+    # both counts as one value, so the posts are read once
+    counts = _posts_counts(posts).select(F.struct("posts", "posts_with_email")).scalar()
+    return jobs.withColumn("_p", counts).select("*", "_p.*").drop("_p")
 
 
 def kpi_stats(df: DataFrame, posts: DataFrame) -> DataFrame:
@@ -109,12 +109,13 @@ def skill_demand(
 
 def skill_gap(demand: DataFrame, owned: DataFrame, skill: str = "skill", n_missing: int = C.GAP_ROWS) -> DataFrame:
     """Wanted skills split into owned and missing; only the first missing ones are listed."""
-    have = owned.select(F.lower(skill).alias("_k")).distinct()
-    wanted = demand.withColumn("_k", F.lower("skill"))
-    order = (F.desc("mentions"), F.col("first_at"), F.col("place"))
-    matched = wanted.join(have, "_k", "left_semi").withColumn("status", F.lit("have"))
-    missing = top_k(wanted.join(have, "_k", "left_anti"), n_missing, *order).withColumn("status", F.lit("missing"))
-    return matched.unionByName(missing).select("skill", "mentions", "status")
+    have = owned.select(F.lower(skill).alias("_k")).distinct().withColumn("_own", F.lit(True))
+    wanted = demand.withColumn("_k", F.lower("skill")).join(have, "_k", "left")
+    wanted = wanted.withColumn("status", F.when(F.col("_own"), "have").otherwise("missing"))
+    # the demanded skills are a few rows of a list
+    order = Window.partitionBy("status").orderBy(F.desc("mentions"), "first_at", "place")
+    listed = (F.col("status") == "have") | (F.col("_place") <= n_missing)
+    return wanted.withColumn("_place", F.row_number().over(order)).where(listed).select("skill", "mentions", "status")
 
 
 def skills_heatmap(df: DataFrame, order_by: str, n: int = C.HEATMAP_ROWS) -> DataFrame:

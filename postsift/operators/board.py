@@ -60,8 +60,8 @@ def sort_key(sort_by: str = "score") -> Column:
     }[sort_by]
 
 
-def grid_sort(df: DataFrame, sort_by: str, tie_break: str, limit: int | None = C.GRID_ROWS) -> DataFrame:
-    """Best first; rows without a date come last.  limit=None sorts the whole table."""
+def grid_sort(df: DataFrame, sort_by: str, tie_break: str, limit: int | None = None) -> DataFrame:
+    """All rows, best first; rows without a date come last.  *limit* cuts to the first ones."""
     order = (sort_key(sort_by).desc_nulls_last(), F.col(tie_break))
     return df.orderBy(*order) if limit is None else top_k(df, limit, *order)
 

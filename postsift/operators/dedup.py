@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift.functions.text import match_key
+from postsift.session import cut_lineage
 
 
 def order_struct(order_by: Sequence[str]) -> Column:
@@ -90,3 +91,12 @@ def first_n_per_group(df: DataFrame, group: str, n: int, order_by: Sequence[str]
 
     window = Window.partitionBy(group).orderBy(*order_by)
     return df.withColumn("rn", F.row_number().over(window)).where(F.col("rn") <= n)
+
+
+def numbered_rows(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
+    """The rows, stored, with a number that is unique and ascends in *order_by*.
+
+    A number made for each stored row cannot collide, unlike a hash of a key, and needs no key to be present.
+    """
+    ordered = df.orderBy(*order_by).withColumn(name, F.monotonically_increasing_id())
+    return cut_lineage(ordered, "numbered")

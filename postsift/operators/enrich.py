@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -97,13 +99,13 @@ def enrich_top(
 ) -> DataFrame:
     """Ask about the n best rows and add llm_score, llm_reason, llm_summary and skills.
 
-    The budget counts rows asked.  n is fixed, so the answers may be broadcast back.
+    The budget counts rows asked.  Rows that share an id share the answer; no row is multiplied.
     """
-    top = top_k(df, n, F.desc(by), id_col).repartition(tasks, id_col)
+    top = top_k(df, n, F.desc(by), id_col).dropDuplicates([id_col]).repartition(tasks, id_col)
     replies = ask(top, id_col, prompt_column() if prompt is None else prompt, answer)
     decoded = replies.select(F.col("id").alias(id_col), T.model_reply("reply").alias("_m"))
     fields = {"score": "llm_score", "reason": "llm_reason", "summary": "llm_summary", "skills": "skills"}
-    out = df.drop(*fields_present(df, fields)).join(F.broadcast(decoded), id_col, "left")
+    out = df.drop(*fields_present(df, fields)).join(decoded, id_col, "left")
     cols = [F.col(f"_m.{k}").alias(v) for k, v in fields.items() if k != "skills"]
     skills = F.coalesce(F.col("_m.skills"), F.array().cast("array<string>")).alias("skills")
     return out.select(*[c for c in out.columns if c != "_m"], *cols, skills)
@@ -114,19 +116,28 @@ def fields_present(df: DataFrame, fields: dict[str, str]) -> list[str]:
 
 
 def embed_text(df: DataFrame, id_col: str, text: Column, dim: int = 64) -> DataFrame:
-    """(id, embedding): hashed words and word pairs, unit length; NULL for an empty text.
+    """(id, embedding): the distinct words and pairs of neighbours, each hashed to a place and a sign; unit length.
+    NULL for a text without words.
 
-    A local stand-in for a remote embedding; any array<float> column serves instead.
+    Signs keep unlike texts near a right angle.  The hash is the first 32 bits of MD5: the lowest is the sign, the rest
+    modulo *dim* the place.  A local stand-in for a remote embedding; any array<float> column serves instead.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+
+    def hashed(term: str) -> int:
+        return int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+
+    @F.pandas_udf("array<float>")
+    def embed(lists: pd.Series) -> pd.Series:
+        out = []
+        for words in lists:
+            if words is None or not len(words):
+                out.append(None)
+                continue
+            terms = np.fromiter(map(hashed, {*words, *map(" ".join, zip(words, words[1:]))}), np.int64)
+            vector = np.bincount(terms // 2 % dim, weights=1 - 2 * (terms % 2), minlength=dim)
+            length = np.sqrt((vector * vector).sum())
+            out.append((vector / length if length else vector).astype(np.float32))
+        return pd.Series(out)
 
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    pairs = F.transform(
-        F.slice(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", F.lit(2), F.size("_w")).alias("b")), F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))),
-        lambda p: F.concat_ws(" ", p["a"], p["b"]),
-    )
-    rows = df.select(F.col(id_col), words.alias("_w")).where(F.size("_w") > 0).select(id_col, F.concat("_w", pairs).alias("_t"))
-    hashed = HashingTF(inputCol="_t", outputCol="_v", numFeatures=dim).transform(rows)
-    unit = Normalizer(inputCol="_v", outputCol="_u").transform(hashed)
-    return unit.select(id_col, vector_to_array("_u", "float32").alias("embedding"))
+    return df.select(F.col(id_col), embed(words).alias("embedding"))

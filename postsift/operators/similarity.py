@@ -17,8 +17,6 @@ Rows with equal vectors always share their fate, so they are collapsed first.
 Vectors that are missing or without length match nothing and are kept.
 """
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -28,17 +26,22 @@ from postsift.config import SIMILARITY
 from postsift.functions.vector import bands_for, has_length, planes, unit_rows
 from postsift.session import Rounds, cut_lineage, new_path
 
+#: Planes per block key.  Unrelated rows (at a right angle) share a block with chance 2 ** -BITS.
+BITS = 16
+
 
 def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(id, vec) of the rows that can match.  Stored, because a vector column is often the
     result of costly functions and is read several times."""
     stored = cut_lineage(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vec")), "vectors")
+    if not stored.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError(f"{id_col} is not unique")
     return stored.where(has_length("vec"))
 
 
 def _leaders_of(
     vectors: DataFrame, tau: float = SIMILARITY, blocking: str = "lsh", chunk: int = 2048, recall: float = 0.999,
-    bits: int | None = None, prefix: int = 1024, seed: int = 7,
+    bits: int = BITS, prefix: int = 1024, seed: int = 7,
 ) -> DataFrame:
     """(id, leader) for one row per distinct vector; leader is NULL for kept rows."""
     if not 0.0 < tau < 1.0:
@@ -197,13 +200,8 @@ def _blocks(rows: DataFrame, bands: int, bits: int, seed: int, chunk: int, round
 
 
 def _block_leaders(
-    rows: DataFrame, tau: float, recall: float, bits: int | None, prefix: int, chunk: int, seed: int
+    rows: DataFrame, tau: float, recall: float, bits: int, prefix: int, chunk: int, seed: int
 ) -> DataFrame:
-    count = rows.count()
-    if count == 0:
-        return rows.select("id", F.lit(None).cast("bigint").alias("leader"))
-    # unrelated rows share a block with chance 2^-bits: keep that near one row per block
-    bits = bits or min(60, max(8, math.ceil(math.log2(count))))
     rounds = Rounds(rows.sparkSession, "blocks")
     blocks = _blocks(rows, bands_for(tau, bits, recall), bits, seed, chunk, rounds)
     packs = max(1, blocks.count() // chunk)
@@ -213,11 +211,15 @@ def _block_leaders(
         "id", F.lit(None).cast("bigint").alias("leader"), F.col("needed").isNull().alias("kept")
     )
     state = rounds.keep(state, "state")
+    left = None
     order = Window.partitionBy("block").orderBy("id")
     while True:
         open_rows = state.where(F.col("leader").isNull() & ~F.col("kept")).select("id")
-        if open_rows.isEmpty():
+        before, left = left, open_rows.count()
+        if not left:
             break
+        if left == before:
+            raise RuntimeError("a round settled no row")
         # the first undecided rows of every block; the limit runs before the shuffle
         front = blocks.select("block", "id").join(open_rows, "id", "left_semi")
         front = rounds.keep(front.withColumn("place", F.row_number().over(order)).where(F.col("place") <= prefix).drop("place"), "front")
@@ -255,7 +257,8 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, tau: float = SIMILARI
 
     *id_col* is a BIGINT that is unique and gives the order.  Options in *how*: blocking
     "lsh" or "exact"; chunk, the rows one task compares at a time; and for blocks recall
-    (the chance that a pair at *tau* meets), bits per key, prefix and seed.
+    (the chance that a pair at *tau* meets), bits per key, prefix and seed.  None of them depends
+    on the number of rows, so adding unrelated rows changes no link.
 
     Copies of one vector yield one row each, never all their pairs.
     """
@@ -269,15 +272,12 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, tau: float = SIMILARI
 
 def dedup_semantic(
     df: DataFrame, id_col: str, vector: str, tau: float = SIMILARITY, *, salary: str = "salary",
-    max_rows: int | None = None, **how,
+    **how,
 ) -> DataFrame:
     """The kept rows.  A kept row without salary takes the known values of the first
-    row it absorbed that has one.
-
-    *max_rows* restates the limit above which the step is left out; by default there is none.
+    row it absorbed that has one.  Ids have to be unique; repeated ones are an error.
     """
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
-        return df
+    df = cut_lineage(df, "similar")  # read four times below
     names = [c for c in df.columns if c != id_col]
     links = similar_pairs(df, id_col, vector, tau, **how)
     paid = df.where(F.col(salary).isNotNull()).select(F.col(id_col).alias("id"))

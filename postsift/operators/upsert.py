@@ -36,8 +36,8 @@ def upsert(
     """Next snapshot of *target*.
 
     On a key match only *updated* columns change.  A new key takes *insert_only* from its
-    first batch row, *updated* from its last, *defaults* for user state and a hash of
-    the key as id.  blank_key="collide" lets all empty keys meet on one row.
+    first batch row, *updated* from its last, *defaults* (values or columns) for user state
+    and a hash of the key as id.  blank_key="collide" lets all empty keys meet on one row.
     """
     if blank_key == "reject":
         batch = batch.where(F.coalesce(F.col(key), F.lit("")) != "")
@@ -76,11 +76,15 @@ def upsert_metadata(target: DataFrame, batch: DataFrame, order_by: Sequence[str]
 
 def upsert_overwrite(
     target: DataFrame, batch: DataFrame, order_by: Sequence[str], key: str = "url",
-    columns: Sequence[str] = S.OVERWRITE_POSTING, **how,
+    columns: Sequence[str] = S.OVERWRITE_POSTING, as_of: Column | None = None, **how,
 ) -> DataFrame:
-    """Every supplied column comes from the batch; columns it does not supply stay."""
+    """Every supplied column comes from the batch; columns it does not supply stay.
+
+    A new row was first seen at *as_of*, by default the time of the run.
+    """
     have = set(target.columns) & set(batch.columns)
-    return upsert(target, batch, key, order_by, updated=[c for c in columns if c in have], **how)
+    defaults = S.USER_STATE | {"scraped_at": F.localtimestamp() if as_of is None else as_of}
+    return upsert(target, batch, key, order_by, updated=[c for c in columns if c in have], defaults=defaults, **how)
 
 
 def upsert_counts(target: DataFrame, batch: DataFrame, key: str = "url") -> DataFrame:
@@ -142,7 +146,7 @@ def write_snapshot(df: DataFrame, path: str, version: int, sort_by: str = "score
     return where
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, key: str = "url", buckets: int = 200) -> None:
+def write_bucketed(df: DataFrame, table: str, path: str, *, buckets: int, key: str = "url") -> None:
     """Write a snapshot as a table bucketed by its key.
 
     An upsert into such a table shuffles the batch only; the stored rows are joined where

@@ -32,18 +32,18 @@ def tab_applied(spark, sf):
     return board.grid_filter(scored(spark, sf), spec).select(*_CARD)
 
 
-@query("grid_sort", O.with_(O.SCORED, "SELECT id, CAST(coalesce(llm_score, score) AS INT) AS shown_score FROM s ORDER BY 2 DESC, 1 LIMIT 500"))
+@query("grid_sort", O.with_(O.SCORED, "SELECT id, CAST(coalesce(llm_score, score) AS INT) AS shown_score FROM s ORDER BY 2 DESC, 1"))
 def grid_sort(spark, sf):
     out = board.grid_sort(scored(spark, sf).select("id", "score", "llm_score"), "score", "id")
     return out.select("id", score.preferred_score().alias("shown_score"))
 
 
-@query("grid_sort_salary", O.with_(O.P, "SELECT id, salary FROM p ORDER BY coalesce(salary, 0) DESC, id LIMIT 500"))
+@query("grid_sort_salary", O.with_(O.P, "SELECT id, salary FROM p ORDER BY coalesce(salary, 0) DESC, id"))
 def grid_sort_salary(spark, sf):
     return board.grid_sort(V.postings(spark, sf).select("id", "salary"), "salary", "id")
 
 
-@query("grid_sort_date", O.with_(O.P, "SELECT id, posted_date FROM p ORDER BY posted_date DESC NULLS LAST, id LIMIT 500"))
+@query("grid_sort_date", O.with_(O.P, "SELECT id, posted_date FROM p ORDER BY posted_date DESC NULLS LAST, id"))
 def grid_sort_date(spark, sf):
     return board.grid_sort(V.postings(spark, sf).select("id", "posted_date"), "date", "id")
 
@@ -138,7 +138,7 @@ def _line(test: str, text: str) -> str:
     return f"CASE WHEN {test} THEN {text} END"
 
 
-@query("alert_text", O.with_(O.SCORED, f""", a AS (SELECT *, left(coalesce(description, ''), 300) AS llm_summary FROM s)
+@query("alert_text", O.with_(O.SCORED, f""", a AS (SELECT *, coalesce(description, '') AS llm_summary FROM s)
     SELECT id, concat_ws(chr(10), CASE WHEN score >= 80 THEN '🟢' WHEN score >= 60 THEN '🟡' ELSE '🟠' END || ' *' || {_esc('title')} || '*',
     '🏢 ' || {_esc('company')} || ' · 📍 ' || {_esc('location')}, '📊 Score: `' || score || '`' || coalesce('  🤖 AI: `' || llm_score || '`', ''),
     {_line('salary <> 0', "'💰 $' || format('{:,}', salary) || '/yr'")}, '📋 ' || replace(job_type, '_', '\\-'), {_line('easy_apply', "'⚡ Easy Apply'")},
@@ -146,7 +146,7 @@ def _line(test: str, text: str) -> str:
     {_line("url <> ''", "chr(10) || '[👉 Apply Here](' || url || ')'")}) AS message FROM a""").replace("\n, a AS", ", a AS"))
 def alert_text(spark, sf):
     skills = F.when(F.col("id") % 2 == 0, F.split(F.lit("a,b,c,d,e,f"), ","))
-    rows = scored(spark, sf).withColumns({"llm_summary": F.left(T.as_text("description"), F.lit(300)), "skills": skills})
+    rows = scored(spark, sf).withColumns({"llm_summary": T.as_text("description"), "skills": skills})
     return rows.select("id", publish.alert_text().alias("message"))
 
 

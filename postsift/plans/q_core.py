@@ -278,17 +278,42 @@ def dedup_semantic(spark, sf):
     return similarity.dedup_semantic(_paid_vectors(spark, sf), "id", "embedding", _TAU, blocking="exact").select("id", "salary", "title")
 
 
-@query("embed_local")
+def _embedded(rows: str, dim: int) -> str:
+    """SQL of (id, e) from rows (id, text): the vector of embed_text."""
+    return f"""w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM ({rows})),
+    terms AS (SELECT DISTINCT id, t FROM (SELECT id, unnest(w) AS t FROM w
+      UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)),
+    h AS (SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM terms),
+    sums AS (SELECT id, h // 2 % {dim} AS place, sum(1 - 2 * (h % 2))::DOUBLE AS v FROM h GROUP BY 1, 2),
+    n AS (SELECT id, sqrt(sum(v * v)) AS n FROM sums GROUP BY 1)"""
+
+
+@query("embed_local", "WITH " + O.P + ", " + _embedded("SELECT id, concat_ws(' ', title, company, location) AS text FROM p", 64) + """
+    SELECT id, CAST(place AS BIGINT) AS place, round(CAST(v / n AS FLOAT)::DOUBLE, 5) AS value FROM sums JOIN n USING (id) WHERE v <> 0""")
 def embed_local(spark, sf):
-    rows = V.postings(spark, sf)
-    return enrich.embed_text(rows, "id", F.concat_ws(" ", "title", "company", "location"))
+    """Places of the vectors that are not 0."""
+    vectors = enrich.embed_text(V.postings(spark, sf), "id", F.concat_ws(" ", "title", "company", "location"))
+    cells = vectors.select("id", F.posexplode("embedding").alias("place", "value")).where("value <> 0")
+    return cells.select("id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
-@query("dedup_semantic_blocks")
+_DIM = 256
+
+
+@query("dedup_semantic_blocks", "WITH RECURSIVE " + _embedded("SELECT doc_id AS id, text FROM documents", _DIM) + f""",
+    v AS MATERIALIZED (SELECT id, list(coalesce(v / n, 0) ORDER BY place) AS e FROM (SELECT id, n, unnest(range({_DIM})) AS place FROM n) LEFT JOIN sums USING (id, place) GROUP BY id),
+    one AS MATERIALIZED (SELECT e, min(id) AS id FROM v GROUP BY e),
+    pairs AS MATERIALIZED (SELECT b.id AS id, list(a.id ORDER BY a.id) AS before FROM one a JOIN one b ON a.id < b.id AND list_dot_product(a.e, b.e) >= {C.SIMILARITY} GROUP BY b.id),
+    o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY one.id) AS n, one.id, coalesce(before, []) AS before FROM one LEFT JOIN pairs USING (id)),
+    walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS leader
+      UNION ALL
+      SELECT o.n, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, o.id) END, o.id, list_min(list_intersect(before, kept)) FROM walk JOIN o ON o.n = walk.n + 1)
+    SELECT doc_id, CAST(n_chars AS INT) AS salary FROM documents WHERE doc_id NOT IN
+      (SELECT v.id FROM v JOIN one USING (e) JOIN walk ON walk.id = one.id WHERE v.id <> one.id OR walk.leader IS NOT NULL)""")
 def dedup_semantic_blocks(spark, sf):
     """Similarity dedup of all documents on local vectors, by blocks."""
     docs = V.texts(spark, sf, "documents", "doc_id")
-    vectors = enrich.embed_text(docs, "doc_id", F.col("text"))
+    vectors = enrich.embed_text(docs, "doc_id", F.col("text"), _DIM)
     rows = docs.select("doc_id", F.col("n_chars").cast("int").alias("salary")).join(vectors, "doc_id", "left")
     return similarity.dedup_semantic(rows, "doc_id", "embedding", blocking="lsh").select("doc_id", "salary")
 

@@ -231,7 +231,8 @@ def stream_ingest(spark, sf):
         F.concat(F.lit("e/"), F.col("user_id")).alias("url"), F.col("event_type").alias("title"),
         (F.col("event_id") % 101).cast("int").alias("score"), F.col("event_id").alias("seq"))
     schema = spark.createDataFrame([], "id BIGINT, url STRING, title STRING, score INT, notified BOOLEAN, applied BOOLEAN").schema
-    ingest.run_available(rows, new_path(spark, "ingest-log"), batch=ingest.upsert_batches(root, schema, ("seq",)))
+    log = new_path(spark, "ingest-log")
+    ingest.run_available(rows, log, batch=ingest.upsert_batches(root, schema, ("seq",), stream=log, buckets=8))
     return ingest.read_snapshot(spark, root, schema).select("url", "title", "score")
 
 
@@ -240,5 +241,6 @@ def alert_once(spark, sf):
     """Alerts from a stream, each key once."""
     root, sink = new_path(spark, "alerts-state"), new_path(spark, "alerts")
     rows = _event_stream(spark, sf).select(F.concat(F.lit("e/"), F.col("user_id")).alias("url"), (F.col("event_id") % 101).cast("int").alias("score"))
-    ingest.run_available(rows, new_path(spark, "alerts-log"), batch=ingest.alert_once_batches(root, sink))
+    log = new_path(spark, "alerts-log")
+    ingest.run_available(rows, log, batch=ingest.alert_once_batches(root, sink, stream=log))
     return spark.read.parquet(sink).select("url", "score")

@@ -10,7 +10,7 @@ from postsift import schema as S
 from postsift.operators import board, dedup, enrich, publish, upsert
 from postsift.plans import oracle as O, views as V
 from postsift.plans.q_board import stages
-from postsift.plans.q_core import scored
+from postsift.plans.q_core import _UNIQUE, scored
 from postsift.plans.registry import query
 from postsift.session import cut_lineage
 
@@ -43,7 +43,7 @@ _OLD_NEW = f"""{O.P}, r AS (SELECT *, {_SCORE} AS score, 'n' || id AS notes FROM
     t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM r WHERE scraped_at < {_CUT} AND url <> '') WHERE rn = 1),
     b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS up, row_number() OVER (PARTITION BY url ORDER BY id DESC) AS down FROM r WHERE scraped_at >= {_CUT}),
     bf AS (SELECT * FROM b WHERE up = 1 AND url <> ''), bl AS (SELECT * FROM b WHERE down = 1 AND url <> '')"""
-_OUT = ("url", "title", "company", "salary", "score", "llm_score", "posted_date", "easy_apply", "applicants", "job_type", "notified", "applied", "saved", "notes")
+_OUT = ("url", "title", "company", "salary", "score", "llm_score", "posted_date", "easy_apply", "applicants", "job_type", "scraped_at", "notified", "applied", "saved", "notes")
 
 
 def _upsert_sql(updated, first, body="FROM t FULL JOIN bl ON t.url = bl.url LEFT JOIN bf ON bl.url = bf.url") -> str:
@@ -54,7 +54,7 @@ def _upsert_sql(updated, first, body="FROM t FULL JOIN bl ON t.url = bl.url LEFT
             return f"CASE WHEN bl.url IS NOT NULL THEN bl.{c} ELSE t.{c} END AS {c}"
         if c in first:
             return f"CASE WHEN t.url IS NOT NULL THEN t.{c} ELSE bf.{c} END AS {c}"
-        other = "NULL" if c == "notes" else "false"
+        other = {"notes": "NULL", "scraped_at": f"TIMESTAMP '{V.AS_OF}'"}.get(c, "false")
         return f"CASE WHEN t.url IS NOT NULL THEN t.{c} ELSE {other} END AS {c}"
 
     md5 = "md5(CASE WHEN bl.url IS NOT NULL THEN bl.description ELSE t.description END) AS description"
@@ -72,7 +72,7 @@ def upsert_metadata(spark, sf):
 
 @query("upsert_overwrite", _upsert_sql(S.OVERWRITE_POSTING, ()))
 def upsert_overwrite(spark, sf):
-    return _show(upsert.upsert_overwrite(target(spark, sf), batch(spark, sf), ("id",)))
+    return _show(upsert.upsert_overwrite(target(spark, sf), batch(spark, sf), ("id",), as_of=V.as_of()))
 
 
 @query("upsert_counts", O.with_(_OLD_NEW, """SELECT (SELECT count(*) FROM b) AS attempted, (SELECT count(*) FROM bl WHERE url NOT IN (SELECT url FROM t)) AS inserted,
@@ -88,7 +88,7 @@ def blank_keys(spark, sf):
 
 @query("upsert_posts", O.with_(O.SOCIAL, """, tp AS (SELECT * FROM sp WHERE seq // 1000 < (SELECT max(conv_id) / 2 FROM conversations)),
     bp AS (SELECT * REPLACE (CAST(score + 1 AS INT) AS score) FROM sp)
-    SELECT coalesce(tp.post_url, bp.post_url) AS post_url, bp.author_name, bp.score, coalesce(tp.seq = tp.seq AND (tp.seq // 1000) % 2 = 0, false) AS saved FROM tp RIGHT JOIN bp ON tp.post_url = bp.post_url WHERE bp.post_url <> ''""").replace("\n, tp AS", ", tp AS"))
+    SELECT coalesce(tp.post_url, bp.post_url) AS post_url, bp.author_name, bp.score, CASE WHEN tp.post_url IS NULL THEN TIMESTAMP '2001-08-01 06:00:00' END AS scraped_at, coalesce(tp.seq = tp.seq AND (tp.seq // 1000) % 2 = 0, false) AS saved FROM tp RIGHT JOIN bp ON tp.post_url = bp.post_url WHERE bp.post_url <> ''""").replace("\n, tp AS", ", tp AS"))
 def upsert_posts(spark, sf):
     from postsift.plans.q_sources import social
 
@@ -98,8 +98,9 @@ def upsert_posts(spark, sf):
     stored = posts.where(conv < half).where(F.col("post_url") != "").select(
         F.xxhash64("post_url").alias("id"), *[c for c in posts.columns if c != "seq"], F.lit(False).alias("applied"), (conv % 2 == 0).alias("saved"))
     new = posts.withColumn("score", F.col("score") + 1)
-    out = upsert.upsert_overwrite(stored, new, ("seq",), "post_url", S.OVERWRITE_POST)
-    return out.select("post_url", "author_name", "score", "saved")
+    stored = stored.withColumn("scraped_at", F.lit(None).cast("timestamp_ntz"))
+    out = upsert.upsert_overwrite(stored, new, ("seq",), "post_url", S.OVERWRITE_POST, as_of=V.as_of())
+    return out.select("post_url", "author_name", "score", "scraped_at", "saved")
 
 
 @query("anti_new", O.with_(_OLD_NEW, "SELECT id, url FROM b WHERE up = 1 AND url NOT IN (SELECT url FROM t)"))
@@ -170,14 +171,64 @@ def length_model(prompts: pd.Series) -> pd.Series:
     return prompts.map(lambda p: '{"score": %d, "reason": "length", "summary": "", "skills": ["a", "b"]}' % (len(p) % 101))
 
 
-@query("enrich_topn", O.with_(O.SCORED, """, t AS (SELECT id FROM s ORDER BY score DESC, id LIMIT 150)
-    SELECT s.id, CASE WHEN t.id IS NOT NULL THEN CAST(length('Rate how well this posting fits the reader.' || chr(10) || 'Title: ' || title || chr(10) || 'Company: ' || company
+_MODEL_SQL = """CAST(length('Rate how well this posting fits the reader.' || chr(10) || 'Title: ' || title || chr(10) || 'Company: ' || company
     || chr(10) || 'Location: ' || location || chr(10) || 'Type: ' || job_type || chr(10) || 'Salary: '
     || CASE WHEN salary IS NULL OR salary = 0 THEN 'not listed' ELSE '' || salary END || chr(10) || 'Description: ' || left(coalesce(description, ''), 800) || chr(10)
-    || 'Answer with JSON only: {"score": 0-100, "reason": "", "summary": "", "skills": []}') % 101 AS INT) END AS llm_score,
+    || 'Answer with JSON only: {"score": 0-100, "reason": "", "summary": "", "skills": []}') % 101 AS INT)"""
+
+
+@query("enrich_topn", O.with_(O.SCORED, f""", t AS (SELECT id FROM s ORDER BY score DESC, id LIMIT 150)
+    SELECT s.id, CASE WHEN t.id IS NOT NULL THEN {_MODEL_SQL} END AS llm_score,
     CASE WHEN t.id IS NOT NULL THEN 'length' END AS llm_reason, CASE WHEN t.id IS NOT NULL THEN 'a,b' ELSE '' END AS skills FROM s LEFT JOIN t ON s.id = t.id""").replace("\n, t AS", ", t AS"))
 def enrich_topn(spark, sf):
     # the scored rows are read twice (top n, join back): store them once
     rows = cut_lineage(scored(spark, sf).select("id", "score", "title", "company", "location", "job_type", "salary", "description"), "scored")
     out = enrich.enrich_top(rows, "id", length_model)
     return out.select("id", "llm_score", "llm_reason", F.array_join("skills", ",").alias("skills"))
+
+
+# -- the whole run ------------------------------------------------------------
+_RUN = f"""{_UNIQUE + O.SCORED.removeprefix(O.P)}, good AS (SELECT * FROM s WHERE {O.REASON} IS NULL),
+    t AS (SELECT id FROM good ORDER BY score DESC, id LIMIT 150),
+    ee AS (SELECT good.*, CASE WHEN t.id IS NOT NULL THEN {_MODEL_SQL} END AS model FROM good LEFT JOIN t ON good.id = t.id),
+    old AS (SELECT * FROM (SELECT url, title, CAST((id * 7) % 101 AS INT) AS score, id % 4 = 0 AS notified, row_number() OVER (PARTITION BY url ORDER BY id) AS rn
+      FROM p_raw WHERE id % 2 = 0 AND url <> '') WHERE rn = 1),
+    f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS up, row_number() OVER (PARTITION BY url ORDER BY id DESC) AS down FROM ee WHERE url <> '')"""
+
+
+def daily_run(spark, sf):
+    """A run over all postings with a model, against a snapshot of every second one; URLs are blank and repeated."""
+    from postsift.plans import daily
+
+    rows = V.postings(spark, sf).drop("llm_score", "scraped_at", "notified", "applied", "saved")
+    even = V.postings(spark, sf).where("id % 2 = 0").select("id", "url", "title", F.expr("CAST((id * 7) % 101 AS INT)").alias("score"), "notified")
+    stored = S.conform(dedup.distinct_first(even, "url", ("id",)), S.POSTING)
+    return daily.run([rows], stored, V.as_of(), ("id",), answer=length_model)
+
+
+@query("daily_snapshot", O.with_(_RUN, """SELECT coalesce(o.url, l.url) AS url, coalesce(o.title, a.title) AS title, CASE WHEN l.url IS NOT NULL THEN l.score ELSE o.score END AS score, l.model AS llm_score,
+    coalesce(o.notified, false) OR CASE WHEN l.url IS NOT NULL THEN l.score ELSE o.score END >= 50 AS notified
+    FROM old o FULL JOIN (SELECT * FROM f WHERE down = 1) l ON o.url = l.url LEFT JOIN (SELECT * FROM f WHERE up = 1) a ON l.url = a.url"""))
+def daily_snapshot(spark, sf):
+    return daily_run(spark, sf).snapshot.select("url", "title", "score", "llm_score", "notified")
+
+
+@query("daily_scored", O.with_(_RUN, "SELECT id, url = '' AS rejected, score, model AS llm_score FROM ee"))
+def daily_scored(spark, sf):
+    """Every scored row once, and which of them have no key."""
+    run = daily_run(spark, sf)
+    rejected = run.rejected.select("row_id", F.lit(True).alias("rejected"))
+    return run.scored.join(rejected, "row_id", "left").select("id", F.coalesce("rejected", F.lit(False)).alias("rejected"), "score", "llm_score")
+
+
+@query("snapshot_buckets", O.with_(_OLD_NEW, """SELECT coalesce(t.url, bl.url) AS url, CASE WHEN t.url IS NOT NULL THEN t.title ELSE bf.title END AS title,
+    CASE WHEN bl.url IS NOT NULL THEN bl.score ELSE t.score END AS score FROM t FULL JOIN bl ON t.url = bl.url LEFT JOIN bf ON bl.url = bf.url"""))
+def snapshot_buckets(spark, sf):
+    """Stored and new rows written as two versions of a bucketed snapshot, and read back."""
+    from postsift.session import new_path
+    from postsift.streaming import ingest
+
+    root, schema = new_path(spark, "buckets"), spark.createDataFrame([], S.POSTING).schema
+    for number, rows in enumerate((target(spark, sf), batch(spark, sf))):
+        ingest.write_upsert(S.conform(rows, S.POSTING), root, schema, ("id",), buckets=8, stream="runs", batch_id=number)
+    return ingest.read_snapshot(spark, root, schema).select("url", "title", "score")

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SCAN_TASKS_CONF = "spark.postsift.scanTasks"
 
 
 def build_session(app: str = "postsift", master: str | None = None, **conf: str) -> SparkSession:
@@ -85,10 +86,9 @@ class Rounds:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan of few, small files as many partitions as there are cores.
+    """Deal the rows of a scan over the number of tasks that the session names, if it names one.
 
-    For costly per-row work over a small table.  A table with enough file splits (any
-    large one) is returned as it is, without a shuffle.
+    For costly per-row work over few, large files that cannot be split.  Without the setting nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    tasks = df.sparkSession.conf.get(SCAN_TASKS_CONF, None)
+    return df.repartition(int(tasks), key) if tasks else df

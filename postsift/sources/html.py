@@ -5,6 +5,7 @@ parser over Arrow batches, for nested cards chosen by selectors.
 """
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -73,6 +74,13 @@ class CardRules:
 
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Elements that end an open paragraph, and those that end an open one of their own kind, up to a limit.
+_ENDS_P = set(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr main menu nav ol p pre search section table ul".split()
+)
+_ENDS_OWN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+_P_LIMIT = {"table", "td", "th", "caption", "button", "object", "template"}
 
 
 class _Node:
@@ -81,35 +89,59 @@ class _Node:
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
-    def walk(self):
-        for child in self.children:
+    def _each(self):
+        """Nodes and texts below, in page order; pages nest as deep as they like."""
+        open_lists = [iter(self.children)]
+        while open_lists:
+            child = next(open_lists[-1], None)
+            if child is None:
+                open_lists.pop()
+                continue
+            yield child
             if isinstance(child, _Node):
-                yield child
-                yield from child.walk()
+                open_lists.append(iter(child.children))
+
+    def walk(self):
+        return (child for child in self._each() if isinstance(child, _Node))
 
     def text(self):
-        return "".join(c.text() if isinstance(c, _Node) else c.strip() for c in self.children)
+        return "".join(child.strip() for child in self._each() if not isinstance(child, _Node))
 
 
 class _Tree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = self.open = _Node("", {}, None)
+        self.count = Counter()
         self.feed(html)
         self.close()
 
+    def _end(self, tag, limits=()):
+        """Close the nearest open element of this name, unless a limit comes first."""
+        if not self.count[tag]:
+            return
+        node = self.open
+        while node.tag != tag:
+            if node.tag in limits:
+                return
+            node = node.parent
+        while self.open is not node.parent:
+            self.count[self.open.tag] -= 1
+            self.open = self.open.parent
+
     def handle_starttag(self, tag, attrs):
+        if tag in _ENDS_P:
+            self._end("p", _P_LIMIT)
+        if tag in _ENDS_OWN:
+            self._end(tag, _ENDS_OWN[tag])
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.open)
         self.open.children.append(node)
         if tag not in _VOID:
             self.open = node
+            self.count[tag] += 1
 
     def handle_endtag(self, tag):
-        node = self.open
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.open = node.parent
+        self._end(tag)
 
     def handle_data(self, data):
         if self.open.tag not in ("script", "style"):

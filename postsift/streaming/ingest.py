@@ -6,10 +6,12 @@ stops.  Its checkpoint folder records what was read, so a second run adds nothin
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -34,57 +36,148 @@ def run_available(df: DataFrame, checkpoint: str, *, sink: str | None = None, ba
     return query
 
 
-# -- snapshots ----------------------------------------------------------------
-def snapshot_path(root: str, version: int) -> str:
-    return os.path.join(root, f"v={version:020d}")
+# -- committed versions -------------------------------------------------------
+def _folder(root: str, kind: str, version: int) -> str:
+    return os.path.join(root, kind, f"v={version:020d}")
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Highest version with a success mark; an unfinished write is not seen."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(os.path.join(root, "v=*", "_SUCCESS"))
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    names = [f.getPath().getParent().getName() for f in (found or [])]
-    return max((int(n.partition("=")[2]) for n in names), default=None)
+    return [f.getPath().toString() for f in (found or [])]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    """The last committed version; a write without its record does not count."""
+    names = _glob(spark, os.path.join(root, "commits", "v=*", "_SUCCESS"))
+    return max((int(n.split("/")[-2].partition("=")[2]) for n in names), default=None)
+
+
+@dataclass
+class Commit:
+    """What a version consists of: the last batch of every stream, and where each bucket lies."""
+
+    version: int
+    streams: dict[str, int]
+    buckets: dict[str, int]
+
 
+def last_commit(spark: SparkSession, root: str) -> Commit:
+    version = latest_version(spark, root)
+    if version is None:
+        return Commit(0, {}, {})
+    return Commit(**json.loads(spark.read.text(_folder(root, "commits", version)).first()[0]))
 
-def read_snapshot(spark: SparkSession, root: str, schema: StructType, below: int | None = None) -> DataFrame:
-    version = latest_version(spark, root) if below is None else below - 1
-    if version is None or version < 0:
+
+def _commit(spark: SparkSession, root: str, done: Commit, keep: int) -> None:
+    """Record a version; then drop records beyond the last *keep*, and data that no record left names."""
+    record = spark.createDataFrame([(json.dumps(vars(done)),)], "value string").coalesce(1)
+    record.write.mode("overwrite").text(_folder(root, "commits", done.version))
+    for path in sorted(_glob(spark, os.path.join(root, "commits", "v=*")))[:-keep]:
+        _delete(spark, path)
+    kept = sorted(_glob(spark, os.path.join(root, "commits", "v=*", "_SUCCESS")))
+    needed = set()
+    for path in kept:
+        rec = json.loads(spark.read.text(path.rpartition("/")[0]).first()[0])
+        needed |= {(v, int(b)) for b, v in rec["buckets"].items()}
+    for path in _glob(spark, os.path.join(root, "data", "v=*", f"{BUCKET}=*")):
+        version, bucket = (int(part.partition("=")[2]) for part in path.split("/")[-2:])
+        if (version, bucket) not in needed:
+            _delete(spark, path)
+
+
+# -- snapshots ----------------------------------------------------------------
+BUCKET = "_bucket"
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def _read_buckets(spark: SparkSession, root: str, schema: StructType, where: dict[str, int]) -> DataFrame:
+    if not where:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(snapshot_path(root, version))
+    paths = [os.path.join(_folder(root, "data", v), f"{BUCKET}={b}") for b, v in sorted(where.items())]
+    return spark.read.schema(schema).parquet(*paths)
+
 
+def read_snapshot(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The last committed snapshot."""
+    return _read_buckets(spark, root, schema, last_commit(spark, root).buckets)
 
-def upsert_batches(root: str, schema: StructType, order_by: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: batch n turns version n-1 into version n.
 
-    Writing the same batch again gives the same version, so a retried batch does no harm.
+def write_upsert(
+    batch: DataFrame, root: str, schema: StructType, order_by: Sequence[str], *, buckets: int, stream: str, batch_id: int,
+    key: str = "url", keep: int = 3, upsert: Callable[..., DataFrame] = upsert_metadata,
+) -> bool:
+    """Upsert a batch into a stored snapshot; False if this batch of this stream is in it already.
+
+    Rows lie in *buckets* by a hash of their key.  Only the buckets that the batch touches are read and written, into a
+    folder of the new version; the commit record names, for every bucket, the version that holds it.  Nothing counts
+    before its record is written, so a batch that failed midway is done again from the last committed version.
+    Choose *buckets* so that one fits a few tasks, and keep it: a snapshot cannot change it.
+    """
+    spark = batch.sparkSession
+    last = last_commit(spark, root)
+    if last.streams.get(stream, -1) >= batch_id:
+        return False
+    batch = batch.where(F.coalesce(F.col(key), F.lit("")) != "").persist()
+    touched = [str(r[0]) for r in batch.select(bucket_of(key, buckets)).distinct().collect()]  # at most *buckets* rows
+    version = last.version + 1
+    if touched:
+        target = _read_buckets(spark, root, schema, {b: v for b, v in last.buckets.items() if b in touched})
+        rows = upsert(target, batch, order_by).withColumn(BUCKET, bucket_of(key, buckets))
+        rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(_folder(root, "data", version))
+    batch.unpersist()
+    done = Commit(version, last.streams | {stream: batch_id}, last.buckets | dict.fromkeys(touched, version))
+    _commit(spark, root, done, keep)
+    return True
+
+
+def upsert_batches(
+    root: str, schema: StructType, order_by: Sequence[str], *, stream: str, buckets: int, keep: int = 3
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over `write_upsert`.
+
+    *stream* names the stream by its checkpoint folder: batch numbers count within it, and a new checkpoint over an old
+    root goes on from what is stored.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        target = read_snapshot(batch.sparkSession, root, schema, below=batch_id)
-        upsert_metadata(target, batch, order_by).write.mode("overwrite").parquet(snapshot_path(root, batch_id))
+        write_upsert(batch, root, schema, order_by, buckets=buckets, stream=stream, batch_id=batch_id, keep=keep)
 
     return apply
 
 
-def alert_once_batches(root: str, sink: str, key: str = "url", at_least: int = C.ALERT_SCORE) -> Callable[[DataFrame, int], None]:
+def alert_once_batches(
+    root: str, sink: str, *, stream: str, key: str = "url", at_least: int = C.ALERT_SCORE, keep: int = 3
+) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that emits each key once over all runs.
 
-    The keys sent so far are one folder per batch; a retried batch overwrites its own and
-    does not see itself.
+    The keys sent are a folder per committed version; a batch whose record is missing is sent again into the same
+    folders.  *stream* is the checkpoint folder, as in `upsert_batches`.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        last = last_commit(spark, root)
+        if last.streams.get(stream, -1) >= batch_id:
+            return
         # one row per key before the join: a key that fills the batch costs it one row
         best = batch.where(F.col("score") >= at_least).groupBy(key).agg(F.max("score").alias("score"))
-        latest = latest_version(spark, os.path.join(root, "sent"))
-        if latest is not None and batch_id > 0:
-            sent = spark.read.parquet(os.path.join(root, "sent")).where(F.col("v").cast("bigint") < batch_id)
+        if last.version:
+            sent = spark.read.parquet(os.path.join(root, "sent")).where(F.col("v").cast("bigint") <= last.version)
             best = best.join(sent.select(key), key, "left_anti")
-        best.write.mode("overwrite").parquet(os.path.join(sink, f"v={batch_id:020d}"))
-        best.select(key).write.mode("overwrite").parquet(snapshot_path(os.path.join(root, "sent"), batch_id))
+        version = last.version + 1
+        out = os.path.join(sink, f"v={version:020d}")
+        best.write.mode("overwrite").parquet(out)
+        spark.read.schema(best.schema).parquet(out).select(key).write.mode("overwrite").parquet(_folder(root, "sent", version))
+        _commit(spark, root, Commit(version, last.streams | {stream: batch_id}, {}), keep)
 
     return apply
 

@@ -166,10 +166,22 @@ def test_no_vectors(spark):
         assert similarity.dedup_semantic(df, "id", "vec", blocking=how).count() == 2
 
 
-def test_size_limit_is_optional(spark):
-    df = frame(spark, [(i, [1.0, 0.0]) for i in range(5)])
-    assert similarity.dedup_semantic(df, "id", "vec", blocking="exact").count() == 1
-    assert similarity.dedup_semantic(df, "id", "vec", blocking="exact", max_rows=4).count() == 5
+def test_repeated_ids_are_an_error(spark):
+    df = spark.createDataFrame([(7, [1.0, 0.0], 1), (7, [1.0, 0.1], 2), (8, [0.0, 1.0], None)], "id long, vec array<double>, salary int")
+    with pytest.raises(ValueError):
+        similarity.dedup_semantic(df, "id", "vec", blocking="lsh")
+
+
+def test_unrelated_rows_change_no_link(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((40, 32))
+    rows = [(k, (base[k % 20] + 0.02 * rng.standard_normal(32)).tolist()) for k in range(60)]
+    more = rows + [(k, v.tolist()) for k, v in zip(range(100, 900), rng.standard_normal((800, 32)))]
+    links = [
+        {(r.id, r.kept_id) for r in similarity.similar_pairs(spark.createDataFrame(x, "id long, vec array<double>"), "id", "vec", 0.92).collect()}
+        for x in (rows, more)
+    ]
+    assert links[0] and links[0] == {l for l in links[1] if l[0] < 100}
 
 
 def test_first_n(spark):

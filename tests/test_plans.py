@@ -12,7 +12,7 @@ registry.load()
 
 # the only queries that are allowed to leave the JVM
 PYTHON = {
-    "similar_pairs", "similar_pairs_blocks", "dedup_semantic", "dedup_semantic_blocks", "enrich_topn", "strip_html_full", "page_cards",
+    "similar_pairs", "similar_pairs_blocks", "dedup_semantic", "embed_local", "dedup_semantic_blocks", "enrich_topn", "strip_html_full", "page_cards",
 }
 RUNS_A_STREAM = {"stream_6h_counts", "stream_dedup", "stream_ingest", "alert_once"}
 
@@ -28,7 +28,7 @@ def test_stays_in_the_jvm_without_cross_joins(spark, name):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-@pytest.mark.parametrize("name", ["jobs_top500", "digest_top10", "alerts_top15", "posts_top200", "posts_top20", "count_by_source_top8", "grid_sort", "run_top500", "run_top10", "untracked_top30"])
+@pytest.mark.parametrize("name", ["jobs_top500", "digest_top10", "alerts_top15", "posts_top200", "posts_top20", "count_by_source_top8", "run_top500", "run_top10", "untracked_top30"])
 def test_top_k_does_not_sort_everything(spark, name):
     assert "TakeOrderedAndProject" in plan(registry.QUERIES[name](spark, SF))
 
@@ -62,12 +62,14 @@ def test_score_is_computed_once_under_a_filter(spark):
     assert text.count("kubeflow") == 1
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    from postsift.session import spread
+def test_spread_follows_the_session(spark):
+    from postsift.session import SCAN_TASKS_CONF, spread
 
-    wide = spark.range(0, 1000, 1, 64)
-    assert "Exchange" not in plan(spread(wide, "id"))
-    assert "Exchange" in plan(spread(spark.range(0, 10, 1, 1), "id"))
+    rows = spark.range(10)
+    assert "Exchange" not in plan(spread(rows, "id"))
+    spark.conf.set(SCAN_TASKS_CONF, "8")
+    assert "Exchange" in plan(spread(rows, "id"))
+    spark.conf.unset(SCAN_TASKS_CONF)
 
 
 def test_upsert_into_buckets_moves_the_batch_only(spark, tmp_path):
@@ -94,4 +96,4 @@ def test_upsert_into_buckets_moves_the_batch_only(spark, tmp_path):
 
 
 def test_every_query_names_its_sql_or_a_reason():
-    assert set(registry.QUERIES) - set(registry.ORACLE) == {"embed_local", "dedup_semantic_blocks"}
+    assert set(registry.QUERIES) - set(registry.ORACLE) == set()

@@ -141,3 +141,19 @@ def test_profile(spark):
     got = prose.extract_profiles(docs, "id", "text").orderBy("doc_id").collect()
     assert (got[0].phone, got[0].email, got[0].skills) == ("(555) 123-4567", "me@x.example", ["Python", "dbt"])
     assert (got[1].phone, got[1].email, got[1].skills, got[1].years_experience) == ("", "", [], 0)
+
+
+def test_deep_and_broken_pages(spark):
+    rules = html.CardRules(cards=["div.card"], texts={"title": ["h2"]}, links={"link": ["a"]})
+    card = '<div class="card"><h2>T</h2><a href="/x">go</a>'
+    pages = ["<p>" * 100_000 + card, "<b><i>" * 50_000 + card + "</u>" * 50_000, "<ul><li>a<li>b" + card, card + "<", "</div>" * 10 + card]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id INT, html STRING")
+    got = html.extract_cards(df, rules, F.lit("http://e.example")).collect()
+    assert [(r.page_id, r.title, r.link) for r in sorted(got, key=lambda r: r.page_id)] == [(k, "T", "http://e.example/x") for k in range(5)]
+
+
+def test_implied_ends():
+    tree = html._Tree("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><p>e<p>f<div>g</div>")
+    items = [n.text() for n in tree.root.walk() if n.tag == "li"]
+    assert items == ["a", "bc", "c", "d"]
+    assert [n.text() for n in tree.root.walk() if n.tag == "p"] == ["e", "f"]

@@ -100,16 +100,53 @@ def test_whole_run(spark, tmp_path):
     target = spark.createDataFrame([], S.POSTING)
     first = daily.run([a, b], target, now, ("seq",))
     kept = first.snapshot.orderBy("url").collect()
-    assert [r.url for r in kept] == ["u1", "u4"] and all(r.score == 100 and not r.notified for r in kept)
+    assert [r.url for r in kept] == ["u1", "u4"] and all(r.score == 100 and r.notified for r in kept)
     assert [r.URL for r in first.export.orderBy("URL").collect()] == ["u1", "u4"]
     assert first.digest.count() == 2 and first.alerts.count() == 2
     assert first.raw_counts.get == {"rows": 5} and first.filter_counts.get["removed"] == 2
     path = upsert.write_snapshot(first.snapshot, str(tmp_path / "jobs"), 1)
     stored = spark.read.schema(target.schema).parquet(path)
-    stored = upsert.mark_notified(stored, stored.where("url = 'u1'").select("id"))
+    stored = upsert.mark_notified(stored.withColumn("notified", F.lit(False)), stored.where("url = 'u1'").select("id"))
     second = daily.run([a, b], stored, now, ("seq",), answer=lambda p: pd.Series(['{"score": 9, "skills": ["x"]}'] * len(p)))
     assert second.export.isEmpty() and [r.url for r in second.alerts.collect()] == ["u4"]
-    assert {r.url: (r.notified, r.llm_score, r.skills) for r in second.snapshot.collect()} == {"u1": (True, 9, ["x"]), "u4": (False, 9, ["x"])}
+    assert {r.url: (r.notified, r.llm_score, r.skills) for r in second.snapshot.collect()} == {"u1": (True, 9, ["x"]), "u4": (True, 9, ["x"])}
+
+
+def test_run_with_blank_and_repeated_urls(spark):
+    """Six rows stay six rows, whatever their URLs, with a model and similarity dedup; those without one come back."""
+    now = F.lit("2024-03-10 12:00:00").cast("timestamp_ntz")
+    urls = ["", None, "", "same", "same", "u6"]
+    rows = [posting(k, url=u) for k, u in enumerate(urls, 1)] + [posting(7, title="Data Engineer 1 again", salary=None, url="u7")]
+    vectors = [[float(k == n) for n in range(6)] for k in range(6)] + [[0.99, 0.1, 0.0, 0.0, 0.0, 0.0]]
+    raw = spark.createDataFrame([(*r, v) for r, v in zip(rows, vectors)], RAW + ", vec ARRAY<DOUBLE>")
+    posts = spark.createDataFrame(
+        [(1, "p1", "text", "a@b.example", 60), (2, "p2", "text", "", 90), (3, "", "text", "", 99)], "seq INT, post_url STRING, post_text STRING, contact_email STRING, score INT")
+    owned = spark.createDataFrame([("Spark",)], "skill STRING")
+    run = daily.run(
+        [raw], spark.createDataFrame([], S.POSTING), now, ("seq",), vector="vec", blocking="lsh", bits=4, posts=posts, owned=owned,
+        answer=lambda p: pd.Series(['{"score": 9, "skills": ["x"]}'] * len(p)))
+    scored = run.scored.collect()
+    assert len(scored) == 6 and len({r.row_id for r in scored}) == 6 and all(r.llm_score == 9 for r in scored)
+    assert [r.title for r in sorted(scored, key=lambda r: r.row_id)] == [f"Data Engineer {k}" for k in range(1, 7)]
+    assert run.rejected.count() == 3
+    assert {r.url: r.notified for r in run.snapshot.collect()} == {"same": True, "u6": True}
+    assert run.digest.count() == 2 and run.alerts.count() == 6
+    assert {r.skill.lower(): r.status for r in run.gap.collect()}.get("spark") == "have"
+    stored = run.post_snapshot.collect()
+    assert {r.post_url for r in stored} == {"p1", "p2"} and all(str(r.scraped_at) == "2024-03-10 12:00:00" for r in stored)
+    assert [r.post_url for r in run.post_alerts.collect()][0] == "p1"
+    assert {r.name: r.rows for r in run.summary.collect()} == {"s": 7, "TOTAL RAW": 7, "After filter": 6, "New": 2}
+    message = run.message.first().message
+    assert "Raw collected: `7`" in message and "After filter:  `6`" in message and "New in DB:     `2`" in message
+
+
+def test_overwrite_dates_new_rows(spark):
+    t = spark.createDataFrame([("u", "old", dt.datetime(2020, 1, 1))], "url STRING, title STRING, scraped_at TIMESTAMP_NTZ")
+    b = spark.createDataFrame([(1, "u", "a"), (2, "v", "b")], "seq INT, url STRING, title STRING")
+    at = F.lit("2024-03-10 12:00:00").cast("timestamp_ntz")
+    got = {r.url: (r.title, r.scraped_at) for r in upsert.upsert_overwrite(t, b, ("seq",), as_of=at, id_col=None).collect()}
+    assert got == {"u": ("a", dt.datetime(2020, 1, 1)), "v": ("b", dt.datetime(2024, 3, 10, 12))}
+    assert upsert.upsert_overwrite(t, b, ("seq",), id_col=None).where("scraped_at IS NULL").count() == 0
 
 
 def test_export_files(spark, tmp_path):
@@ -141,12 +178,12 @@ def land(spark, path, name, rows, schema):
 
 def test_stream_upsert_twice(spark, tmp_path):
     schema = "seq INT, url STRING, title STRING, score INT"
-    source, root, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    source, root, first_log = (str(tmp_path / n) for n in ("in", "out", "log"))
     target = spark.createDataFrame([], "id BIGINT, url STRING, title STRING, score INT, notified BOOLEAN").schema
 
-    def go():
-        rows = ingest.read_files(spark, source + "/*", schema)
-        ingest.run_available(rows, log, batch=ingest.upsert_batches(root, target, ("seq",)))
+    def go(log=first_log, path=source + "/*"):
+        rows = ingest.read_files(spark, path, schema)
+        ingest.run_available(rows, log, batch=ingest.upsert_batches(root, target, ("seq",), stream=log, buckets=4))
         return {r.url: (r.title, r.score) for r in ingest.read_snapshot(spark, root, target).collect()}
 
     land(spark, source, "a", [(1, "u", "first", 1), (2, "v", "first", 1), (3, "u", "late", 2)], schema)
@@ -156,19 +193,50 @@ def test_stream_upsert_twice(spark, tmp_path):
     land(spark, source, "b", [(4, "u", "again", 9), (5, "w", "new", 3)], schema)
     want = {"u": ("first", 9), "v": ("first", 1), "w": ("new", 3)}
     assert go() == want
-    # a retried batch rewrites its own version
+    # a batch that is committed is not applied again
     batch = spark.createDataFrame([(4, "u", "again", 9), (5, "w", "new", 3)], schema)
-    ingest.upsert_batches(root, target, ("seq",))(batch, ingest.latest_version(spark, root))
-    assert {r.url: (r.title, r.score) for r in ingest.read_snapshot(spark, root, target).collect()} == want
+    version = ingest.latest_version(spark, root)
+    ingest.upsert_batches(root, target, ("seq",), stream=first_log, buckets=4)(batch, 1)
+    assert ingest.latest_version(spark, root) == version
+    # a new checkpoint goes on from what is stored, though its batches count from 0
+    land(spark, str(tmp_path / "more"), "c", [(6, "x", "other", 5)], schema)
+    assert go(str(tmp_path / "log2"), str(tmp_path / "more") + "/*") == want | {"x": ("other", 5)}
+
+
+def test_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    root = str(tmp_path)
+    schema = spark.createDataFrame([], "id BIGINT, url STRING, title STRING, score INT, notified BOOLEAN").schema
+    rows = spark.createDataFrame([(k, f"u{k}", "t", 1) for k in range(200)], "seq INT, url STRING, title STRING, score INT")
+
+    def put(batch, n, **how):
+        return ingest.write_upsert(batch, root, schema, ("seq",), buckets=16, stream="s", batch_id=n, **how)
+
+    assert put(rows, 0) and not put(rows, 0)
+    assert put(rows.where("seq = 7").withColumn("score", F.lit(5)), 1)
+    assert len(os.listdir(os.path.join(root, "data", f"v={1:020d}"))) >= 16
+    second = [n for n in os.listdir(os.path.join(root, "data", f"v={2:020d}")) if n.startswith("_bucket")]
+    assert len(second) == 1
+    stored = ingest.read_snapshot(spark, root, schema)
+    assert stored.count() == 200 and stored.where("score = 5").count() == 1
+    # a write without a record is not read, and a later batch takes its version
+    rows.withColumn("_bucket", F.lit(0)).write.partitionBy("_bucket").parquet(os.path.join(root, "data", f"v={3:020d}"))
+    assert ingest.read_snapshot(spark, root, schema).count() == 200
+    assert put(rows.where("seq = 7").withColumn("score", F.lit(6)), 2, keep=1)
+    assert ingest.read_snapshot(spark, root, schema).where("score = 6").count() == 1
+    # nothing that the last record does not name is kept
+    kept = [n for v in os.listdir(os.path.join(root, "data")) for n in os.listdir(os.path.join(root, "data", v)) if n.startswith("_bucket")]
+    assert len(kept) == 16 and len(os.listdir(os.path.join(root, "commits"))) == 1
+    assert put(rows.limit(0), 3) and ingest.read_snapshot(spark, root, schema).count() == 200
 
 
 def test_alerts_once(spark, tmp_path):
     root, sink = str(tmp_path / "state"), str(tmp_path / "sent")
-    send = ingest.alert_once_batches(root, sink)
+    send = ingest.alert_once_batches(root, sink, stream="one")
     first = spark.createDataFrame([("a", 90), ("b", 10)], "url STRING, score INT")
     second = spark.createDataFrame([("a", 95), ("b", 60), ("c", 70)], "url STRING, score INT")
     for batch, number in ((first, 0), (first, 0), (second, 1), (second, 1)):
         send(batch, number)
+    ingest.alert_once_batches(root, sink, stream="a new checkpoint")(second, 0)
     assert sorted((r.url, r.score) for r in spark.read.parquet(sink).collect()) == [("a", 90), ("b", 60), ("c", 70)]
 
 
