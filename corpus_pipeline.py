@@ -38,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the bytes they decode to, and the ids."""
     path, pattern = tokenizer()
-    return bpe.digests(bpe.encode(docs, path, pattern), path, keep_ids=True)
+    return bpe.round_trip(docs, path, pattern, keep_ids=True)
 
 
 STAGES = [

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 from postsift.llm.common import per_worker, small_batches
 
 #: Bounds on what a Python worker keeps: transducer states, checked token pairs, and encodings of pieces (twice).
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 250_000, 300_000, 100_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 200_000, 300_000, 200_000
 #: Longer texts are split into pieces by and by, to bound the pieces alive at once.
 LONG_CHARS, PART = 1_000_000, 100_000
 #: A node of the trie with at most so many tokens below it is searched for one that can follow.
-FEW_TOKENS = 200
+FEW_TOKENS = 16
 _NEVER = 1 << 60
 
 
@@ -286,6 +286,9 @@ class Utf8Decoder:
             out.append(text)
         return "".join(out) + ("�" if left else "")
 
+    def data(self, ids) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
 
 def _ranks(df: DataFrame, path: str):
     """The rank file, read once by the driver; its size does not grow with the data."""
@@ -293,6 +296,18 @@ def _ranks(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read()), uuid.uuid4().hex
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def _encoded(encoder: Encoder, batch: pa.RecordBatch) -> tuple[list[array], pa.ListArray]:
+    """The ids of a batch's texts, also as one column."""
+    found = [encoder.encode(text or "") for text in batch.column(1).to_pylist()]
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    values = np.concatenate([np.frombuffer(f, np.int32) for f in found]) if found else np.zeros(0, np.int32)
+    return found, pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and the ids of its tokens.
 
@@ -305,54 +320,53 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(f"encoder:{key}", lambda: Encoder(read_ranks(ranks.value), pattern))
         for batch in small_batches(batches, 64):
-            found = [encoder.encode(text or "") for text in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            values = np.concatenate([np.frombuffer(f, np.int32) for f in found]) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))], names=["id", "ids"]
-            )
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _encoded(encoder, batch)[1]], names=["id", "ids"])
+
+    rows = _texts(docs, id_col, text_col)
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row: its id, the text of its token ids, and the tokens' bytes.  Null ids count as none."""
-    return _decoded(encoded, path, id_col, ids_col, "text string, data binary", lambda ids, text, data: (text, data))
+    ranks, key = _ranks(encoded, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = per_worker(f"decoder:{key}", lambda: Utf8Decoder({i: t for t, i in read_ranks(ranks.value).items()}))
+        for batch in small_batches(batches, 64):
+            lists = [ids or [] for ids in batch.column(1).to_pylist()]
+            texts = pa.array(map(decoder.text, lists), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(map(decoder.data, lists), pa.binary())], names=["id", "text", "data"])
 
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, text string, data binary").withColumnRenamed("id", id_col)
 
-def digests(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids", keep_ids: bool = False) -> DataFrame:
-    """One row per row: n_tokens, and SHA-256 digests of the ids in decimal, joined by spaces, and of the decoded bytes;
-    with *keep_ids* also the ids."""
-    from hashlib import sha256
 
-    def made(ids, text, data):
-        joined = " ".join(map(str, ids.tolist()))
-        return len(ids), sha256(joined.encode()).hexdigest(), sha256(data).hexdigest()
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False,
+) -> DataFrame:
+    """Encode each text as `encode` does, then decode its ids as `decode` does, in one pass.
 
-    return _decoded(encoded, path, id_col, ids_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", made, keep_ids)
+    One row per document: its id, n_tokens, and SHA-256 digests of the ids in decimal, joined by spaces, and of the
+    decoded bytes; with *keep_ids* also the ids.
+    """
+    from hashlib import sha256
 
+    ranks, key = _ranks(docs, path)
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
-def _decoded(encoded: DataFrame, path: str, id_col: str, ids_col: str, fields: str, made, keep_ids: bool = False) -> DataFrame:
-    ranks, key = _ranks(encoded, path)
-    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    schema = [(f.split()[0], types[f.split()[1]]) for f in fields.split(", ")]
+    def build() -> tuple[Encoder, Utf8Decoder]:
+        table = read_ranks(ranks.value)
+        return Encoder(table, pattern), Utf8Decoder({i: t for t, i in table.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = per_worker(f"decoder:{key}", lambda: Utf8Decoder({i: t for t, i in read_ranks(ranks.value).items()}))
+        encoder, decoder = per_worker(f"round-trip:{key}", build)
         for batch in small_batches(batches, 64):
-            rows = []
-            lists = batch.column(1)
-            for n in range(batch.num_rows):
-                ids = lists[n].values
-                ids = ids.to_numpy(zero_copy_only=False) if ids is not None else np.zeros(0, np.int32)
-                text = decoder.text(ids.tolist())
-                data = text.encode() if "�" not in text else b"".join(decoder.tokens[i] for i in ids.tolist())
-                rows.append(made(ids, text, data))
-            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), schema)]
-            names = ["id", *(n for n, _ in schema), *["ids"] * keep_ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *[lists] * keep_ids], names=names)
-
-    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    out = f"id {dict(rows.dtypes)['id']}, {fields}" + ", ids array<int>" * keep_ids
+            found, lists = _encoded(encoder, batch)
+            said = pa.array([sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in found], pa.string())
+            back = pa.array([sha256(decoder.text(ids).encode()).hexdigest() for ids in found], pa.string())
+            sizes = pa.array(map(len, found), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, said, back, *[lists] * keep_ids], names=names)
+
+    rows = _texts(docs, id_col, text_col)
+    out = f"id {dict(rows.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)

@@ -62,11 +62,10 @@ def op1(spark, sf):
 
 @query("op2_importance_resampling")
 def op2(spark, sf):
-    """Target: the documents labelled good.  As many are drawn as the labels have good ones, in proportion."""
+    """Target: documents labelled good.  As many are drawn as the labels have good ones, in proportion."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    good = labels.where("quality = 1").select("doc_id").distinct()
     share = labels.agg(F.avg("quality")).first()[0] or 0.0
-    drawn = resampling.resample(docs, docs.join(good, "doc_id", "left_semi"), share=share)
+    drawn = resampling.resample(docs, resampling.target_sample(docs, labels), share=share)
     return drawn.withColumn("kept", F.lit(True))
 
 
@@ -120,7 +119,7 @@ def tokenizer() -> tuple[str, str]:
 @query("op5_byte_bpe")
 def op5(spark, sf):
     path, pattern = tokenizer()
-    return bpe.digests(bpe.encode(table(spark, sf, "documents"), path, pattern), path)
+    return bpe.round_trip(table(spark, sf, "documents"), path, pattern)
 
 
 OP6_RULES = [

@@ -22,6 +22,8 @@ from postsift.session import cut_lineage
 #: Hash buckets of the n-grams: all that the models keep, whatever the corpus.
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
+#: Labelled documents that the target model is made from, at most.  The raw model counts all documents.
+TARGET_ROWS = 20_000
 #: Words whose hashes a Python worker remembers; words hashed at once.
 KNOWN, SLICE = 300_000, 200_000
 _MIX, _DOWN = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BUCKET_BITS)
@@ -101,6 +103,16 @@ def weigh(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
     return raw.mapInArrow(run, f"id {dict(raw.dtypes)['id']}, log_weight double, n_grams long, sample_key double")
 
 
+def target_sample(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", rows: int = TARGET_ROWS,
+) -> DataFrame:
+    """The documents labelled 1, at most *rows* ids of them, chosen by a hash of the id.  The texts are not shuffled: the
+    number of ids that travel to them is bounded.  Null ids and labels are left out."""
+    ids = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(id_col).distinct()
+    chosen = ids.orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    return docs.join(F.broadcast(chosen), id_col, "left_semi")
+
+
 def gumbel(name: object) -> float:
     """Standard Gumbel noise from a hash of an id."""
     text = b"" if name is None else str(name).encode()

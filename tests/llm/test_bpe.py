@@ -90,7 +90,9 @@ def test_round_trip_in_spark(spark, odd_documents, library):
     back = bpe.decode(encoded, PATH).collect()
     assert sorted(((r.doc_id, r.text) for r in back), key=key) == sorted(((r.doc_id, r.text or "") for r in rows), key=key)
     assert all(bytes(r.data) == r.text.encode() for r in back)
-    assert bpe.digests(bpe.encode(odd_documents.limit(0), PATH, public_tokenizers.PATTERN), PATH, keep_ids=True).count() == 0
+    assert bpe.round_trip(odd_documents.limit(0), PATH, public_tokenizers.PATTERN, keep_ids=True).count() == 0
+    kept = bpe.round_trip(odd_documents, PATH, public_tokenizers.PATTERN, keep_ids=True).collect()
+    assert sorted(((r.doc_id, list(r.ids)) for r in kept), key=key) == want and all(r.n_tokens == len(r.ids) for r in kept)
     null = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert bpe.decode(null, PATH).first().text == ""
 

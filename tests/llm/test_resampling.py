@@ -63,7 +63,8 @@ def test_long_texts_go_in_slices(monkeypatch):
 def test_prefers_the_target(spark):
     folder = "/root/testdata/sf0.1/"
     docs, labels = spark.read.parquet(folder + "documents.parquet"), spark.read.parquet(folder + "labels.parquet")
-    good = docs.join(labels.where("quality = 1 AND doc_id % 2 = 0").select("doc_id"), "doc_id", "left_semi")
+    good = R.target_sample(docs, labels.where("doc_id % 2 = 0"))
+    assert good.count() == labels.where("quality = 1 AND doc_id % 2 = 0").count() and R.target_sample(docs, labels, rows=5).count() == 5
     drawn = {r.doc_id for r in R.resample(docs, good, share=0.86).collect()}
     unseen = labels.where("doc_id % 2 = 1").collect()
     rate = lambda q: np.mean([r.doc_id in drawn for r in unseen if r.quality == q])
