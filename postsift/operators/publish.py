@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,6 +20,7 @@ CARD_BANDS = ((80, "green"), (60, "yellow"), (40, "orange"))
 CARD_LOWEST = "red"
 MODEL_BANDS = ((80, "green"), (60, "yellow"))
 MODEL_LOWEST = "slate"  # also the bands of social posts
+TOTAL = "TOTAL RAW"  # fixed value: the name of the total row
 
 
 def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
@@ -170,15 +171,29 @@ def run_message(
     return lines.select(F.array_join(F.concat(head, "lines"), "\n").alias("message"))
 
 
-def run_summary(per_source: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:
-    """(section, name, rows): counts per source label, then the size of each stage."""
-    out = source_rollup(per_source).select(F.lit("source").alias("section"), "name", "rows")
-    for name, df in stages.items():
-        out = out.unionByName(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("stage").alias("section"), F.lit(name).alias("name"), "rows"))
-    return out
+def run_summary(
+    per_source: DataFrame, stages: Mapping[str, Column] | None = None, known: Mapping[str, Column] | None = None, source: str = "source"
+) -> DataFrame:
+    """(section, name, rows): counts per source label, then the size of each stage.
+
+    *stages* are aggregates over the same rows and are taken in the same pass; *known* are values that the caller has.
+    """
+    stages, known = stages or {}, known or {}
+    label = F.split_part(F.col(source), F.lit(":"), F.lit(1))
+    slots = [value.alias(f"_s{i}") for i, value in enumerate(stages.values())]
+    counted = per_source.withColumn("_label", label).rollup("_label").agg(
+        F.count(F.lit(1)).alias("rows"), F.grouping("_label").alias("_all"), *slots)
+    is_total = F.col("_all") == 1
+
+    def line(section: str, name: Column, rows: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), name.alias("name"), rows.cast("bigint").alias("rows"))
+
+    own = line("source", F.when(is_total, F.lit(TOTAL)).otherwise(F.col("_label")), F.col("rows"))
+    sizes = [line("stage", F.lit(n), F.col(f"_s{i}")) for i, n in enumerate(stages)] + [line("stage", F.lit(n), v) for n, v in known.items()]
+    return counted.select(F.inline(F.when(is_total, F.array(own, *sizes)).otherwise(F.array(own))))
 
 
-def source_rollup(df: DataFrame, source: str = "source", total_label: str = "TOTAL RAW") -> DataFrame:
+def source_rollup(df: DataFrame, source: str = "source", total_label: str = TOTAL) -> DataFrame:
     """Rows per source, 'Prefix:x' counted under 'Prefix', and a total row."""
     label = F.split_part(F.col(source), F.lit(":"), F.lit(1))
     return (

@@ -81,9 +81,8 @@ def run(
     exported = publish.export_rows(publish.anti_new(best, target, "url", order_by))
     open_rows = board.unnotified(snapshot, C.ALERT_SCORE)
     new = publish.anti_new(scored.where(F.coalesce("url", F.lit("")) != ""), target, "url", order_by)
-    counted = {"After filter": scored, "New": new}
-    message = publish.run_message(
-        scored, ROW, F.lit(read.get["rows"]), *[df.agg(F.count(F.lit(1))).scalar() for df in (scored, new)])
+    kept_rows, new_rows = (df.agg(F.count(F.lit(1))).scalar() for df in (scored, new))
+    message = publish.run_message(scored, ROW, F.lit(read.get["rows"]), kept_rows, new_rows)
     out = Run(
         scored, blank_key_rows(scored, "url"),
         # the digest speaks of all open rows
@@ -91,7 +90,7 @@ def run(
         exported, publish.digest(open_rows, "id"),
         # alerts go out once: rows the snapshot marks as notified are left out
         publish.job_alerts(best.join(target.where("notified").select("url"), "url", "left_anti"), ROW),
-        publish.run_summary(union, counted), message, read, kept,
+        publish.run_summary(union, known={"After filter": kept_rows, "New": new_rows}), message, read, kept,
     )
     if owned is not None:
         out.gap = skill_gap(skill_demand(scored, ROW), owned)

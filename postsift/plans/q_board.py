@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postsift import config as C
 from postsift.functions import text as T
+from postsift.functions.text import computed_once
 from postsift.operators import analytics, board, classify, dedup, publish, score
 from postsift.plans import oracle as O, views as V
 from postsift.plans.q_core import classified, scored
@@ -163,17 +164,23 @@ def post_alert_text(spark, sf):
 _DROP = f"SELECT count(*) FROM c WHERE {O.REASON} IS NULL"
 
 
+def _new_urls():
+    return F.count_distinct(F.nullif("url", F.lit("")))
+
+
+def _reasoned(spark, sf):
+    """All postings with the reason that filters them out, each rule text read once."""
+    rows = computed_once(V.postings(spark, sf), _text=classify.rule_text())
+    return computed_once(rows, reason=classify.reject_reason(V.as_of(), text=F.col("_text"))).select("source", "url", "reason")
+
+
 @query("run_funnel", O.with_(O.CLASS, f"""SELECT 'source' AS section, split_part(source, ':', 1) AS name, count(*) AS rows FROM p GROUP BY 2
     UNION ALL SELECT 'source', 'TOTAL RAW', count(*) FROM p
     UNION ALL SELECT 'stage', 'after filter', ({_DROP})
     UNION ALL SELECT 'stage', 'new urls', count(*) FROM (SELECT DISTINCT url FROM p WHERE url <> '')"""))
 def run_funnel(spark, sf):
-    rows = V.postings(spark, sf)
-    stages = {
-        "after filter": classify.filter_pass(rows, V.as_of()),
-        "new urls": dedup.distinct_first(rows.select("id", "url"), "url", ("id",)),
-    }
-    return publish.run_summary(rows, stages)
+    rows = _reasoned(spark, sf)
+    return publish.run_summary(rows, {"after filter": F.count_if(F.col("reason").isNull()), "new urls": _new_urls()})
 
 
 # -- board --------------------------------------------------------------------
@@ -225,11 +232,10 @@ def run_top10(spark, sf):
     || string_agg(rank || '\\. `' || score || '` [' || {_esc('title')} || ' @ ' || {_esc('company')} || '](' || url || ')', chr(10) ORDER BY rank) AS message
     FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""))
 def run_message(spark, sf):
-    rows = V.postings(spark, sf)
-    count = F.count(F.lit(1))
-    kept = classify.filter_pass(rows, V.as_of()).agg(count).scalar()
-    new = dedup.distinct_first(rows.select("id", "url"), "url", ("id",)).agg(count).scalar()
-    return publish.run_message(scored(spark, sf), "id", rows.agg(count).scalar(), kept, new)
+    # the three counts are one value, taken in one pass
+    counts = _reasoned(spark, sf).agg(F.struct(
+        F.count(F.lit(1)).alias("raw"), F.count_if(F.col("reason").isNull()).alias("kept"), _new_urls().alias("new"))).scalar()
+    return publish.run_message(scored(spark, sf), "id", *[counts[c] for c in ("raw", "kept", "new")])
 
 
 @query("feedback_by_part", O.with_(O.SCORED, " UNION ALL ".join(

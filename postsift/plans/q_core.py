@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postsift import config as C
 from postsift.functions import parse as P, text as T
+from postsift.functions.vector import cosine
 from postsift.operators import analytics, classify, dedup, enrich, publish, score, similarity
 from postsift.plans import oracle as O, views as V
 from postsift.plans.registry import query
@@ -264,6 +265,15 @@ def similar_pairs_blocks(spark, sf):
     return similarity.similar_pairs(V.table(spark, sf, "embeddings"), "vec_id", "embedding", _TAU, blocking="lsh", bits=2, recall=1 - 1e-7)
 
 
+@query("vector_cosine", """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def vector_cosine(spark, sf):
+    """Each vector against the next one."""
+    rows = V.table(spark, sf, "embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(cosine("embedding", "after"), 6).alias("similarity"))
+
+
 def _paid_vectors(spark, sf):
     cells = (F.col("vec_id").alias("id"), "embedding", F.when(F.col("label") % 2 == 0, F.col("label") * 1000 + 1).cast("int").alias("salary"))
     return V.table(spark, sf, "embeddings").select(*cells, F.when(F.col("vec_id") % 3 > 0, F.concat(F.lit("t"), F.col("vec_id"))).alias("title"))

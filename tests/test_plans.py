@@ -41,6 +41,13 @@ def test_exact_dedup_shuffles_once_with_partial_aggregation(spark):
     assert "partial_min_by" in text
 
 
+@pytest.mark.parametrize("name,table,scans", [
+    ("run_funnel", "orders", 1), ("run_message", "orders", 2), ("kpi_analytics", "conversations", 1), ("skill_gap", "orders", 1)])
+def test_tables_are_read_once(spark, name, table, scans):
+    text = plan(registry.QUERIES[name](spark, SF))
+    assert len(re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", text)) == scans
+
+
 def test_first_n_limits_before_the_shuffle(spark):
     text = plan(registry.QUERIES["first_n_per_source"](spark, SF))
     assert re.search(r"WindowGroupLimit .*Partial", text) and re.search(r"WindowGroupLimit .*Final", text)
