@@ -11,7 +11,7 @@ States are built when first reached, and all are dropped when they become many.
 from __future__ import annotations
 
 import base64
-import uuid
+import hashlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from postsift.llm.common import per_worker, small_batches
 
 #: Bounds on what a Python worker keeps: transducer states, checked token pairs, and encodings of pieces (twice).
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 200_000, 300_000, 200_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 400_000, 300_000, 300_000
 #: Longer texts are split into pieces by and by, to bound the pieces alive at once.
 LONG_CHARS, PART = 1_000_000, 100_000
 #: A node of the trie with at most so many tokens below it is searched for one that can follow.
@@ -291,9 +291,13 @@ class Utf8Decoder:
 
 
 def _ranks(df: DataFrame, path: str):
-    """The rank file, read once by the driver; its size does not grow with the data."""
+    """The rank file, read once by the driver; its size does not grow with the data.
+
+    Its digest names what workers keep, so that later jobs of a session go on with the states that earlier ones found.
+    """
     with open(path, "rb") as file:
-        return df.sparkSession.sparkContext.broadcast(file.read()), uuid.uuid4().hex
+        data = file.read()
+    return df.sparkSession.sparkContext.broadcast(data), hashlib.md5(data).hexdigest()
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -318,7 +322,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     ranks, key = _ranks(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(f"encoder:{key}", lambda: Encoder(read_ranks(ranks.value), pattern))
+        encoder = per_worker(f"encoder:{key}{pattern}", lambda: Encoder(read_ranks(ranks.value), pattern))
         for batch in small_batches(batches, 64):
             yield pa.RecordBatch.from_arrays([batch.column(0), _encoded(encoder, batch)[1]], names=["id", "ids"])
 
@@ -359,7 +363,7 @@ def round_trip(
         return Encoder(table, pattern), Utf8Decoder({i: t for t, i in table.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = per_worker(f"round-trip:{key}", build)
+        encoder, decoder = per_worker(f"round-trip:{key}{pattern}", build)
         for batch in small_batches(batches, 64):
             found, lists = _encoded(encoder, batch)
             said = pa.array([sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in found], pa.string())
