@@ -97,6 +97,7 @@ def numbered_rows(df: DataFrame, order_by: Sequence[str], name: str) -> DataFram
     """The rows, stored, with a number that is unique and ascends in *order_by*.
 
     A number made for each stored row cannot collide, unlike a hash of a key, and needs no key to be present.
+    The rows are stored before they are sorted, too: a sort samples its input first, and would compute it twice.
     """
-    ordered = df.orderBy(*order_by).withColumn(name, F.monotonically_increasing_id())
+    ordered = cut_lineage(df, "unordered").orderBy(*order_by).withColumn(name, F.monotonically_increasing_id())
     return cut_lineage(ordered, "numbered")

@@ -42,7 +42,7 @@ def test_exact_dedup_shuffles_once_with_partial_aggregation(spark):
 
 
 @pytest.mark.parametrize("name,table,scans", [
-    ("run_funnel", "orders", 1), ("run_message", "orders", 2), ("kpi_analytics", "conversations", 1), ("skill_gap", "orders", 1)])
+    ("run_funnel", "orders", 1), ("kpi_analytics", "conversations", 1), ("skill_gap", "orders", 1)])
 def test_tables_are_read_once(spark, name, table, scans):
     text = plan(registry.QUERIES[name](spark, SF))
     assert len(re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", text)) == scans
