@@ -5,8 +5,8 @@ shingles and keeps them in text order; texts with many equal picks share most sh
 form band keys, texts with a band key in common are candidates, and an alignment decides: the similarity of two texts is
 the longest common subsequence of their shingles over all shingles of both, LCS / (n1 + n2 - LCS).
 
-Candidates in a bucket are not paired with each other.  All are compared with the bucket's first text; only those that
-fail stay for another round, with the first of them.  At the end, texts of a bucket that are still in different
+Candidates in a bucket are not paired with each other.  All are compared with the bucket's leader; only those that
+fail stay for another round, with leaders from among them.  At the end, texts of a bucket that are still in different
 components are compared unless the triangle inequality rules a link out (n1 + n2 - 2 LCS is a metric).  So a link
 between two texts of a bucket is found, or would join what is joined already, and a bucket of near copies costs as many
 comparisons as it has texts.
@@ -28,16 +28,17 @@ from postsift.session import Rounds
 SHINGLE = 5
 #: Two texts are near copies from this similarity on, as a fraction: 4/5.
 SIMILAR = (4, 5)
-#: At similarity 0.8 a pick agrees with chance 0.64, a band of two picks with 0.41: 24 bands miss 3 pairs in a million.
-BANDS, PICKS = 24, 2
+#: At similarity 0.8 a pick agrees with chance 0.64, a band of three picks with 0.26: 40 bands miss 6 pairs in a million.
+#: Texts that share a third of their shingles, by a common passage, meet in a band with chance 0.04.
+BANDS, PICKS = 40, 3
 #: Leaders of a bucket from its second round on; bridges tried at once from a text to another component.
-LEADERS, BRIDGES = 24, 16
+LEADERS, BRIDGES = 128, 64
 #: Shingles hashed at once; words whose hashes a task remembers.
 SLICE, KNOWN = 1 << 14, 300_000
 
 _RNG = np.random.default_rng(20_240_229)
-SEEDS = _RNG.integers(0, 1 << 63, BANDS * PICKS, dtype=np.uint64)
-FACTORS = _RNG.integers(0, 1 << 63, BANDS * PICKS, dtype=np.uint64) | np.uint64(1)
+SEEDS = _RNG.integers(0, 1 << 32, BANDS * PICKS, dtype=np.uint32)
+FACTORS = _RNG.integers(0, 1 << 32, BANDS * PICKS, dtype=np.uint32) | np.uint32(1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, SHINGLE + 1)], dtype=np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -87,19 +88,20 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     if not len(shingles):
         return np.zeros(0, np.int64)
     x = labelled(shingles)
-    n = len(SEEDS)
+    high = (x >> np.uint64(32)).astype(np.uint32)
+    n, last = len(SEEDS), np.iinfo(np.uint32).max
     rows = np.arange(n)
-    value = np.full((n, 4), np.iinfo(np.uint64).max, np.uint64)
+    value = np.full((n, 4), last, np.uint32)
     place = np.full((n, 4), -1, np.int64)
     for at in range(0, len(x), SLICE):
-        v = (x[None, at : at + SLICE] ^ SEEDS[:, None]) * FACTORS[:, None]
+        v = (high[None, at : at + SLICE] ^ SEEDS[:, None]) * FACTORS[:, None]
         for k in range(min(2, v.shape[1])):
             best = v.argmin(axis=1)
             value[:, 2 + k], place[:, 2 + k] = v[rows, best], at + best
-            v[rows, best] = np.iinfo(np.uint64).max
+            v[rows, best] = last
         order = np.argsort(value, axis=1, kind="stable")
         value, place = np.take_along_axis(value, order, 1), np.take_along_axis(place, order, 1)
-        value[:, 2:], place[:, 2:] = np.iinfo(np.uint64).max, -1
+        value[:, 2:], place[:, 2:] = last, -1
     two = np.sort(place[:, :2], axis=1)  # in text order; -1 where the text has one shingle
     first, second = np.where(two[:, 0] >= 0, x[two[:, 0]], np.uint64(0)), x[two[:, 1]]
     pick = _mix(first * _MIX + second).reshape(BANDS, PICKS)
@@ -197,16 +199,15 @@ def text_id(text_col: str) -> F.Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(a, b, similar, apart) of pairs (a, n_a, b, n_b) of text ids."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similar, apart) of pairs (a, n_a, b, n_b) of text ids; *texts* is (text_id, data), each text once."""
     part, whole = SIMILAR
     # a text that is too short for the other is no near copy; the rest are aligned
     worth = F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part
     near = pairs.where(worth).select("a", "b")
     far = pairs.where(~worth).select("a", "b", F.lit(False).alias("similar"), F.abs(F.col("n_a") - F.col("n_b")).alias("apart"))
     named = near.select(F.col("a").alias("text_id")).union(near.select("b")).distinct()
-    texts = docs.select(text_id(text_col).alias("text_id"), utf8(text_col).alias("data")).join(named, "text_id")
-    texts = texts.groupBy("text_id").agg(F.first("data").alias("data"))
+    texts = texts.join(named, "text_id")
     sides = near.join(texts.select(F.col("text_id").alias("b"), F.col("data").alias("data_b")), "b").join(
         texts.select(F.col("text_id").alias("a"), F.col("data").alias("data_a")), "a"
     ).select("a", "b", "data_a", "data_b")
@@ -234,48 +235,60 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _meetings(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Rounds) -> DataFrame:
-    """(bucket, a, b, n_b, led, similar, apart): in each bucket, all texts against leaders.
+def _meetings(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """(bucket, a, b, n_b, led, similar, apart): in each bucket, all texts against leaders; and the texts, stored.
 
-    In the first round a bucket has one leader, its least text.  Texts that are not near it stay, and later rounds take
-    the LEADERS first of them, until none is left: a bucket of at most LEADERS texts needs one more round.  led is
-    false where b is a leader itself.
+    In the first round a bucket has one leader, the text whose buckets hold the most rows: the text that a group of
+    copies stems from has the picks most of them kept.  Texts that are not near it stay, and later rounds take the
+    LEADERS first of them, until none is left: a bucket of at most LEADERS texts needs one more round.  led is false
+    where b is a leader itself.
     """
     texts = sketched.groupBy("text_id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    open_rows = texts.select(F.explode("bands").alias("bucket"), "text_id", "n")
+    rows = texts.select(F.explode("bands").alias("bucket"), "text_id", "n")
+    crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    open_rows = rounds.keep(rows.join(crowded, "bucket"), "crowded")
+    weights = open_rows.groupBy("text_id").agg(F.sum("size").alias("weight"))
+    open_rows = rounds.keep(open_rows.drop("size").join(weights, "text_id"), "open")
+    # only texts that meet others are moved and stored, once; later rounds read those that are still open
+    bodies = docs.select(text_id(text_col).alias("text_id"), utf8(text_col).alias("data"))
+    bodies = bodies.join(open_rows.select("text_id").distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.first("data").alias("data"))
+    bodies = now = rounds.keep(bodies, "texts")
     met, first = [], True
     while True:
         if first:
-            leaders = open_rows.groupBy("bucket").agg(F.min(F.struct("text_id", "n")).alias("lead"), F.count(F.lit(1)).alias("size"))
-            leaders = leaders.where("size > 1").select("bucket", F.col("lead.text_id").alias("a"), F.col("lead.n").alias("n_a"))
-            rows = open_rows.withColumn("place", F.lit(LEADERS + 1))
+            heaviest = F.max(F.struct("weight", "text_id", "n")).alias("lead")
+            leaders = open_rows.groupBy("bucket").agg(heaviest).select("bucket", F.col("lead.text_id").alias("a"), F.col("lead.n").alias("n_a"), F.lit(1).alias("at"))
+            placed = open_rows.withColumn("place", F.lit(LEADERS + 1))
         else:
             place = F.row_number().over(Window.partitionBy("bucket").orderBy("text_id"))
-            rows = rounds.keep(open_rows.withColumn("place", place), "placed")
-            leaders = rows.where(F.col("place") <= LEADERS).select("bucket", F.col("text_id").alias("a"), F.col("n").alias("n_a"))
-        # leaders are the least texts, so a < b pairs each with all that are no leaders, and leaders with each other once
-        led = rows.join(leaders, "bucket").where("a < text_id").select(
-            "bucket", "a", "n_a", F.col("text_id").alias("b"), F.col("n").alias("n_b"), (F.col("place") > LEADERS).alias("led")
+            placed = rounds.keep(open_rows.withColumn("place", place), "placed")
+            leaders = placed.where(F.col("place") <= LEADERS).select(
+                "bucket", F.col("text_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("at"))
+        # every text with the leaders before it: leaders meet each other once
+        led = placed.join(leaders, "bucket").where((F.col("at") < F.col("place")) & (F.col("a") != F.col("text_id"))).select(
+            "bucket", "a", "n_a", F.col("text_id").alias("b"), F.col("n").alias("n_b"), "weight", (F.col("place") > LEADERS).alias("led")
         )
         led = rounds.keep(led, "led")
-        checked = _verified(led.select("a", "n_a", "b", "n_b").distinct(), docs, text_col)
+        checked = _verified(led.select("a", "n_a", "b", "n_b").distinct(), now)
         sides = rounds.keep(led.join(checked, ["a", "b"]).drop("n_a"), f"met-{len(met)}")
         met.append(sides)
-        rest = sides.where("led").groupBy("bucket", F.col("b").alias("text_id"), F.col("n_b").alias("n")).agg(F.max("similar").alias("near"))
+        rest = sides.where("led").groupBy("bucket", F.col("b").alias("text_id"), F.col("n_b").alias("n"), "weight").agg(F.max("similar").alias("near"))
         open_rows, first = rounds.keep(rest.where("NOT near").drop("near"), "rest"), False
         if open_rows.isEmpty():
-            return _union(met)
+            return _union(met), bodies
+        now = rounds.keep(now.join(open_rows.select("text_id").distinct(), "text_id", "left_semi"), "open-texts")
 
 
 def near_roots(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Rounds) -> DataFrame:
     """(text_id, root) of all texts that have a near copy.
 
     After the meetings, texts near different leaders, or near a leader and near none, may still be linked with each
-    other.  Where their components differ and the distances to a leader allow a link, they are compared too: for each
-    text the BRIDGES likeliest of each other component, as long as there are any not yet compared.
+    other.  Where their components differ and the distances to all leaders that both have met allow a link, they are compared
+    too: for each text the BRIDGES texts of each other component that it shares the most buckets with, as long as there
+    are any not yet compared.
     """
     part, whole = SIMILAR
-    met = _meetings(sketched, docs, text_col, rounds)
+    met, bodies = _meetings(sketched, docs, text_col, rounds)
     links, tested = met.where("similar").select("a", "b"), met.select("a", "b")
     near = met.where("similar AND led").select("bucket", "a", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("apart").alias("near"))
     far = met.where("NOT similar AND led").select("bucket", "a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("apart").alias("far"))
@@ -284,17 +297,18 @@ def near_roots(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Roun
         roots = components(links, rounds)
         named = {c: roots.select(F.col("text_id").alias(c), F.col("root").alias(f"root_{c}")) for c in "xy"}
         sides = far.join(named["x"], "x", "left").withColumn("root_x", F.coalesce("root_x", "x"))
-        crossed = sides.join(near.join(named["y"], "y"), ["bucket", "a"]).where(
-            (F.col("root_x") != F.col("root_y")) & ((F.col("far") - F.col("near")) * (whole + part) <= (F.col("n_x") + F.col("n_y")) * (whole - part))
-        )
+        gap = F.max(F.col("far") - F.col("near")).alias("gap")
+        crossed = sides.join(near.join(named["y"], "y"), ["bucket", "a"]).where("root_x <> root_y").groupBy("x", "n_x", "y", "n_y", "root_y").agg(
+            gap, F.count(F.lit(1)).alias("shared")
+        ).where(F.col("gap") * (whole + part) <= (F.col("n_x") + F.col("n_y")) * (whole - part))
         x_first = F.col("x") < F.col("y")
         pairs = crossed.select(
-            "x", "root_y", (F.col("far") - F.col("near")).alias("gap"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+            "x", "root_y", "gap", "shared", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
             F.when(x_first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(x_first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"),
         ).join(tested, ["a", "b"], "left_anti")
-        likely = F.row_number().over(Window.partitionBy("x", "root_y").orderBy("gap", "a", "b"))
+        likely = F.row_number().over(Window.partitionBy("x", "root_y").orderBy(F.desc("shared"), "gap", "a", "b"))
         pairs = pairs.withColumn("place", likely).where(F.col("place") <= BRIDGES).select("a", "n_a", "b", "n_b").distinct()
-        checked = rounds.keep(_verified(pairs, docs, text_col), f"bridges-{turn}")
+        checked = rounds.keep(_verified(pairs, bodies), f"bridges-{turn}")
         turn += 1
         if checked.isEmpty():
             return roots
