@@ -68,7 +68,8 @@ NEGATIONS = frozenset(("has", "no", "with", "without", "not"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute: a name and its value.  Values are matched, so that no name is found in one; an open quote holds the rest.
+_ATTRIBUTE = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]*))?""")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -99,7 +100,10 @@ class Page:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)} if text else {}
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    return found
 
 
 def parse(html: str | None, slots: frozenset[int] = frozenset()) -> Page:

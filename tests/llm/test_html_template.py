@@ -59,6 +59,23 @@ def test_markup():
     assert H.main_text(own, NONE, NONE) == "Head\ntext"
 
 
+def test_words_in_attribute_values_are_no_attributes():
+    for value in ("overflow: hidden", "the hidden truth", "a hidden=x aria-hidden=true class=ad", "x role=navigation id=comments"):
+        for name in ("style", "title", "data-x", "aria-label"):
+            for quote in "\"'":
+                for tag in ("body", "div"):
+                    page = f"<{tag} {name}={quote}{value}{quote}><p>text</p></{tag}>"
+                    assert H.main_text(page, NONE, NONE) == "text", page
+    assert H.main_text("<div hidden-by=x data-hidden><p>text</p></div><p title=\"5\" hidden\">more</p>", NONE, NONE) == "text\nmore"
+    for real in ("hidden", "HIDDEN", "hidden=''", "title=\"x\"hidden", "a=b/c hidden", "style = 'x y' aria-hidden = \"true\"", "class = 'a nav'", "/hidden/"):
+        assert H.main_text(f"<div {real}><p>text</p></div><p>more</p>", NONE, NONE) == "more", real
+    # the path of a tag has its own class and id only
+    assert H.parse('<div aria-label="more id" title="a class=b">x</div>').tags.keys() == H.parse("<div>x</div>").tags.keys()
+    assert H.parse("<div class=a>x</div>").tags.keys() != H.parse("<div>x</div>").tags.keys()
+    assert H._attributes(" a b=1 c='2 d=3' class=first class=last e=\"open f=4") == {"a": "", "b": "1", "c": "2 d=3", "class": "first", "e": "open f=4"}
+    assert len(H._attributes(" a" * 200_000 + " " * 200_000)) == 1
+
+
 def test_broken_pages_never_fail():
     for page in (None, "", "plain", "<", "<p", "<p a='", "</p></p>", "<!-- open", "<script>x", "&am &amp &#x110000; &#0;", "<a b=\"c>d</a>e", "<p>" * 50_000 + "x"):
         assert isinstance(H.main_text(page, NONE, NONE), str)
