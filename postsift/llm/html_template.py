@@ -28,8 +28,8 @@ from postsift.session import cut_lineage
 MIN_PAGES = 20
 #: Shares of a host's pages on which a template's tags, and its constant texts, occur at least.
 TAG_SUPPORT, TEXT_SUPPORT = 0.5, 0.95
-#: A slot is entered if it holds this share of the text around it.
-SLOT_SHARE = 0.7
+#: Texts that all pages share are the template's if they hold at most this share of the text; else pages are near copies.
+FIXED_SHARE = 0.25
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -92,11 +92,11 @@ class Element:
 
 @dataclass
 class Page:
-    """tags: path -> [count, parent path, begins an article by name, chars of text inside, of them in links];
-    blocks: (text, text token, inside the chosen slots, inside an article by name)."""
+    """tags: path -> [count, parent path, begins an article by name, chars of text inside, of them in links, chars before the first];
+    blocks: (text, text token, inside the chosen slots, inside an article by name, path of the tag around it, chars in links)."""
 
     tags: dict[int, list] = field(default_factory=dict)
-    blocks: list[tuple[str, int, bool, bool]] = field(default_factory=list)
+    blocks: list[tuple[str, int, bool, bool, int, int]] = field(default_factory=list)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -117,17 +117,19 @@ def parse(html: str | None, slots: frozenset[int] = frozenset()) -> Page:
     stack = [Element("", 0, False, False, False, False)]
     opened: dict[str, int] = {}
     text: list[str] = []
-    links = 0
+    links = seen = 0
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, seen
         if text:
             block = " ".join("".join(text).split())
             top = stack[-1]
             if block:
-                page.blocks.append((block, _hash(block, top.path & 0xFFFFFFFF), top.inside, top.article))
+                links = min(links, len(block))
+                page.blocks.append((block, _hash(block, top.path & 0xFFFFFFFF), top.inside, top.article, top.path, links))
                 top.chars += len(block)
-                top.link_chars += min(links, len(block))
+                top.link_chars += links
+                seen += len(block)
             text.clear()
             links = 0
 
@@ -156,7 +158,8 @@ def parse(html: str | None, slots: frozenset[int] = frozenset()) -> Page:
         if part and not stack[-1].dropped:
             part = html_entities.unescape(part) if "&" in part else part
             text.append(part)
-            links += len(part) if stack[-1].link else 0
+            # a headline that links to its own page is no menu
+            links += len(part) if stack[-1].link and not opened.get("h1") else 0
 
     at, size = 0, len(html)
     while at < size:
@@ -188,7 +191,7 @@ def parse(html: str | None, slots: frozenset[int] = frozenset()) -> Page:
         path = _hash(_DIGITS.sub("", label.partition(">")[2]), parent.path & 0xFFFFFFFF)
         article, dropped = _kind(name, attributes, parent)
         own = article and (not parent.article or name == "article")
-        tag = page.tags.setdefault(path, [0, parent.path, own, 0, 0])
+        tag = page.tags.setdefault(path, [0, parent.path, own, 0, 0, seen])
         tag[0] += 1
         if name in RAW:
             # raw text up to its end tag
@@ -200,7 +203,7 @@ def parse(html: str | None, slots: frozenset[int] = frozenset()) -> Page:
     flush()
     while len(stack) > 1:
         pop()
-    page.tags[0] = [1, 0, False, stack[0].chars, stack[0].link_chars]
+    page.tags[0] = [1, 0, False, stack[0].chars, stack[0].link_chars, 0]
     return page
 
 
@@ -227,7 +230,7 @@ def _kind(name: str, attributes: dict[str, str], parent: Element) -> tuple[bool,
 
 TOKEN = (
     "host string, token long, is_text boolean, parent long, article boolean, n_pages long, total long, sign_a long, sign_b long, "
-    "chars long, link_chars long"
+    "chars long, link_chars long, start long"
 )
 
 
@@ -248,14 +251,20 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = parse(html)
             key = _hash(f"{url}\n{html}")
             a, b = key & 0x3FFFFFFF, key >> 32 & 0x3FFFFFFF
-            rows = [(token, False, parent, article, n, c, k) for token, (n, parent, article, c, k) in page.tags.items()]
-            texts: dict[int, int] = {}
-            for _, token, _, _ in page.blocks:
-                texts[token] = texts.get(token, 0) + 1
-            rows += [(token, True, 0, False, n, 0, 0) for token, n in texts.items()]
-            for token, is_text, parent, article, n, chars, links in rows:
-                s = sums.setdefault((host, token, is_text), [parent, article, 0, 0, 0, 0, 0, 0])
-                for i, more in enumerate((1, n, a * n, b * n, chars, links), 2):
+            rows = [(token, False, parent, article, n, c, k, start) for token, (n, parent, article, c, k, start) in page.tags.items()]
+            texts: dict[int, list[int]] = {}
+            for text, token, _, _, path, links in page.blocks:
+                # texts that differ in digits only, as counters and dates, are also one text of a place
+                label = _DIGITS.sub("", text)
+                label = _hash(label, path & 0xFFFFFFFF) if label != text and any(map(str.isalpha, label)) else token
+                for one in {token, label}:
+                    text_sums = texts.setdefault(one, [path, one != token, 0, 0, 0])
+                    for i, more in enumerate((1, len(text), links), 2):
+                        text_sums[i] += more
+            rows += [(token, True, *values, 0) for token, values in texts.items()]
+            for token, is_text, parent, article, n, chars, links, start in rows:
+                s = sums.setdefault((host, token, is_text), [parent, article, 0, 0, 0, 0, 0, 0, 0])
+                for i, more in enumerate((1, n, a * n, b * n, chars, links, start), 2):
                     s[i] += more
         if len(sums) > 50_000:
             yield emit()
@@ -271,51 +280,117 @@ class Token:
     token: int
     is_text: bool
     parent: int
+    #: Of a tag: begins an article by name; of a text: stands for texts that differ in digits.
     article: bool
     n_pages: int
     total: int
     sign: tuple[int, int]
     chars: int
     link_chars: int
+    start: int = 0
+    #: Of a tag: chars outside of links in texts that differ between pages, and of them in texts that differ in digits only.
+    loose: int = 0
+    labels: int = 0
+    #: Of a text: whether it belongs to the template.
+    fixed: bool = False
 
+    @property
+    def vector(self) -> tuple:
+        return (*self.sign, self.n_pages, self.total)
 
-def deduce(pages: int, tokens: list[Token]) -> tuple[list[int], list[int]]:
-    """(paths of the slots that hold the article, constant texts) of a host.
+    def held(self, labels: bool = True) -> int:
+        """Chars that may be an article's: none of what is mostly links."""
+        return self.loose - (0 if labels else self.labels) if 2 * self.link_chars < self.chars else 0
 
-    No slots means that the pages have no common one; then each page is read by its own tags.
-    """
+
+def _valid(pages: int, tokens: list[Token]) -> dict[int, Token]:
+    """Tags of the template: of classes of two tokens or more (a lone tag may be chance) on enough pages, and the root's."""
     classes: dict[tuple, list[Token]] = {}
     for t in tokens:
         if not t.is_text:
-            classes.setdefault((*t.sign, t.n_pages, t.total), []).append(t)
-    # valid: two tokens or more (a lone tag may be chance), on enough pages
+            classes.setdefault(t.vector, []).append(t)
     valid = {t.token: t for members in classes.values() for t in members if len(members) > 1 and t.n_pages >= TAG_SUPPORT * pages}
-    valid |= {t.token: t for t in tokens if not t.is_text and t.n_pages == t.total == pages}
-    constant = [t.token for t in tokens if t.is_text and pages >= MIN_PAGES and t.n_pages >= TEXT_SUPPORT * pages]
+    return valid | {t.token: t for t in tokens if not t.is_text and t.n_pages == t.total == pages}
+
+
+def _around(t: Token, tags: dict[int, Token]) -> Iterator[Token]:
+    """The tags around a token, innermost first."""
+    while t.is_text or t.token != 0:
+        t = tags.get(t.parent)
+        if t is None:
+            return
+        yield t
+
+
+def mark(pages: int, tokens: list[Token]) -> None:
+    """Find the template's texts, and how much text of each tag differs between pages.
+
+    A text belongs to the template if it has the vector of a template tag around it, once a page.  Pages that share more
+    than FIXED_SHARE of their text are near copies of an article, whose paragraphs are no template.
+    """
+    tags = {t.token: t for t in tokens if not t.is_text}
+    for t in tags.values():
+        t.loose = t.chars - t.link_chars
+    if pages < 2 or 0 not in tags:
+        return
+    valid = _valid(pages, tokens)
+    found = [t for t in tokens if t.is_text and t.n_pages == t.total > 1]
+    found = [t for t in found if any(a.token in valid and a.vector == t.vector for a in _around(t, tags))]
+    same = [t for t in found if not t.article]
+    twins = {(t.parent, t.chars, t.vector) for t in same}
+    found = [t for t in found if t.article and (t.parent, t.chars, t.vector) not in twins]
+    most = FIXED_SHARE * tags[0].loose
+    for texts, counted in ((same, "loose"), (found, "labels")):
+        most -= sum(t.chars - t.link_chars for t in texts)
+        if most < 0:
+            break
+        for t in texts:
+            t.fixed = True
+            for a in _around(t, tags):
+                setattr(a, counted, getattr(a, counted) + (t.chars - t.link_chars) * (-1 if counted == "loose" else 1))
+
+
+def deduce(pages: int, tokens: list[Token]) -> tuple[list[int], list[int]]:
+    """(paths of the slots that hold the article, constant texts) of a host.
+
+    No slots means that the pages have no common one; then each page is read by its own tags.
+    """
+    valid = _valid(pages, tokens)
+    tags = {t.token: t for t in tokens if not t.is_text}
+    constant = [t.token for t in tokens if t.is_text and not t.article and pages >= MIN_PAGES and t.n_pages >= TEXT_SUPPORT * pages]
     named = {t.token: t for t in valid.values() if t.article}
     if named:
-        by_path = {t.token: t for t in tokens if not t.is_text}
-        for t in sorted(named.values(), key=lambda t: t.chars):
-            # of nested ones, as an <article> in <main>, the inner one if it holds most of the text, else the outer one
-            around = by_path.get(t.parent)
-            while around is not None and around.token != 0 and around.token not in named:
-                around = by_path.get(around.parent)
-            if around is not None and around.token in named:
-                named.pop(around.token if t.chars >= SLOT_SHARE * around.chars else t.token)
-        best = max(t.chars for t in named.values())
-        return sorted(t.token for t in named.values() if t.chars >= 0.2 * best), constant
-    # else enter the nested slot that holds most of the text, as long as there is one; menus are mostly links
+        # of nested ones, as an <article> in <main>, the outer one
+        return sorted(t.token for t in named.values() if named.keys().isdisjoint(a.token for a in _around(t, tags))), constant
+    slot = _slot(valid, tags)
+    return ([slot.token] if slot else []), constant
+
+
+def _slot(valid: dict[int, Token], tags: dict[int, Token]) -> Token | None:
+    """The innermost tag that holds all text that differs between pages.
+
+    Left out are menus, which are mostly links, and what differs in digits only and follows the slot, as a page's date.
+    """
     inside: dict[int, list[Token]] = {}
-    for t in valid.values():
-        inside.setdefault(t.parent, []).append(t)
-    at = next((t for t in tokens if not t.is_text and t.token == 0), None)
-    slot = None
+    for t in tags.values():
+        if t.token != 0:
+            inside.setdefault(t.parent, []).append(t)
+    at, slot = tags.get(0), None
     while at is not None:
-        nested = [t for t in inside.get(at.token, ()) if t.token != 0 and t.total == t.n_pages and t.chars >= SLOT_SHARE * at.chars > 0]
-        nested = [t for t in nested if 2 * t.link_chars < t.chars]
-        at = max(nested, key=lambda t: (t.chars, t.token), default=None)
+        nested = inside.get(at.token, [])
+        # what stands in no frequent tag, or right here
+        sums = [getattr(at, n) - sum(getattr(t, n) for t in nested) for n in ("chars", "link_chars")]
+        rest = Token(0, False, 0, False, 0, 0, (0, 0), *sums, loose=at.loose - sum(t.loose for t in nested)).held()
+        found = []
+        for t in nested:
+            if t.token in valid and t.total == t.n_pages and 2 * t.link_chars < t.chars:
+                others = (o.held(not (o.n_pages == t.n_pages and o.start >= t.start + t.chars)) for o in nested if o is not t)
+                if rest <= 0 and not any(others):
+                    found.append(t)
+        # where no text differs, the largest
+        at = max(found, key=lambda t: (t.chars, t.token), default=None)
         slot = at or slot
-    return ([slot.token] if slot else []), constant
+    return slot
 
 
 def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -327,7 +402,7 @@ def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html")
     rows = pages.select(url_host(F.col(url_col)).alias("host"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     counted = rows.mapInArrow(_tokens, TOKEN).groupBy("host", "token", "is_text").agg(
         F.first("parent").alias("parent"), F.max("article").alias("article"),
-        *[F.sum(c).alias(c) for c in ("n_pages", "total", "sign_a", "sign_b", "chars", "link_chars")],
+        *[F.sum(c).alias(c) for c in ("n_pages", "total", "sign_a", "sign_b", "chars", "link_chars", "start")],
     )
     # a text of one page is no constant one
     counted = cut_lineage(counted.where("n_pages > 1 OR NOT is_text"), "html-tokens")
@@ -339,7 +414,9 @@ def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html")
         for batch in small_batches(batches, 64):
             found = []
             for n, tokens in zip(batch["pages"].to_pylist(), batch["tokens"].to_pylist()):
-                found.append(deduce(n, [Token(sign=(t.pop("sign_a"), t.pop("sign_b")), **t) for t in tokens]))
+                tokens = [Token(sign=(t.pop("sign_a"), t.pop("sign_b")), **t) for t in tokens]
+                mark(n, tokens)
+                found.append(deduce(n, tokens))
             lists = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch["host"], *lists], names=["host", "slots", "constant"])
 

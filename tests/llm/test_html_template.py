@@ -101,3 +101,34 @@ def test_same_vectors_make_a_class():
     assert H.deduce(10, [*root, lone]) == ([2], [])
     pair = token(5, 2, 6, 6, 9, 0)
     assert H.deduce(10, [*root, lone, pair])[0] == [4]
+
+
+def extracted(spark, pages, host="http://x.example"):
+    rows = [(k, f"{host}/{k}", page) for k, page in enumerate(pages)]
+    return {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def words(k, n=80):
+    """A text of its own for every k."""
+    return " ".join(f"{a}{chr(97 + (k * 7 + i * i) % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for i, a in enumerate("so it was said by them " .split() * (n // 6)))
+
+
+def test_headline_and_lead_beside_the_body_are_kept(spark):
+    def page(head, lead, k, low):
+        menu = f"<div id=menu><a href=/{k}>see page {words(k, 6)}</a></div>"
+        content = f"<h1>{head}</h1><div class=start>{lead}</div><div class=text><p>{words(k)}</p><p>{words(k + 100)}</p></div>"
+        return f"<html><body>{menu}<div id=content>{content}</div><div id=low><p>Page made {low}</p></div></body></html>"
+
+    text = lambda k: f"{words(k)}\n{words(k + 100)}"
+    for n in (1, 2, 6, 25):
+        got = extracted(spark, [page(f"Head {words(k, 6)}", f"Lead {words(k, 12)}", k, 10 + k) for k in range(n)])
+        low = "\nPage made 10" if n == 1 else ""
+        assert got == {k: f"Head {words(k, 6)}\nLead {words(k, 12)}\n{text(k)}{low}" for k in range(n)}
+    # headlines that differ in digits only are headlines; what differs in more than digits may be the article's
+    got = extracted(spark, [page(f"Head {k}", f"Lead {k}", k, words(k, 6)) for k in range(6)])
+    assert got == {k: f"Head {k}\nLead {k}\n{text(k)}\nPage made {words(k, 6)}" for k in range(6)}
+    assert extracted(spark, [f"<html><body><h1><a href=/>T</a></h1><p>{words(0)}</p></body></html>"]) == {0: f"T\n{words(0)}"}
+    main = [f"<html><body><main><h1>T {k}</h1><article><p>{words(k)}</p></article></main></body></html>" for k in range(4)]
+    assert extracted(spark, main) == {k: f"T {k}\n{words(k)}" for k in range(4)}
+    parts = [f"<html><body><article class=first>Lead {k}</article><article class=rest>{words(k)}</article></body></html>" for k in range(4)]
+    assert extracted(spark, parts) == {k: f"Lead {k}\n{words(k)}" for k in range(4)}
