@@ -30,6 +30,8 @@ MIN_PAGES = 20
 TAG_SUPPORT, TEXT_SUPPORT = 0.5, 0.95
 #: Texts that all pages share are the template's if they hold at most this share of the text; else pages are near copies.
 FIXED_SHARE = 0.25
+#: A container named as an article wins over the slot around it if it holds this share of the text that differs.
+NAMED_SHARE = 0.7
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -358,12 +360,24 @@ def deduce(pages: int, tokens: list[Token]) -> tuple[list[int], list[int]]:
     valid = _valid(pages, tokens)
     tags = {t.token: t for t in tokens if not t.is_text}
     constant = [t.token for t in tokens if t.is_text and not t.article and pages >= MIN_PAGES and t.n_pages >= TEXT_SUPPORT * pages]
-    named = {t.token: t for t in valid.values() if t.article}
-    if named:
-        # of nested ones, as an <article> in <main>, the outer one
-        return sorted(t.token for t in named.values() if named.keys().isdisjoint(a.token for a in _around(t, tags))), constant
     slot = _slot(valid, tags)
-    return ([slot.token] if slot else []), constant
+    named = _named(slot or tags.get(0), valid, tags)
+    return sorted(t.token for t in named) or ([slot.token] if slot else []), constant
+
+
+def _named(slot: Token | None, valid: dict[int, Token], tags: dict[int, Token]) -> list[Token]:
+    """The outermost containers in the slot that are named as articles, if one of them, once on every page, holds most of
+    the text; a slot that is named itself, or stands in one that is, stays whole."""
+    if slot is None or slot.article or any(a.article for a in _around(slot, tags)):
+        return []
+    found = []
+    for t in valid.values():
+        if t.article:
+            around = list(_around(t, tags))
+            if slot in around and not any(a.article and a.token in valid for a in around):
+                found.append(t)
+    best = max((t.loose for t in found if t.n_pages == t.total == slot.n_pages), default=0)
+    return found if best >= NAMED_SHARE * slot.loose and best > 0 else []
 
 
 def _slot(valid: dict[int, Token], tags: dict[int, Token]) -> Token | None:
@@ -425,9 +439,13 @@ def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html")
 
 def main_text(html: str | None, slots: frozenset[int], constant: frozenset[int]) -> str:
     """The article's blocks, joined by newlines: those in the template's slots, else, where the page has none of them,
-    those in an article by name, else all."""
+    those in an article by name, if they are most of its text, else all."""
     blocks = parse(html, slots).blocks
-    chosen = [b for b in blocks if b[2]] or [b for b in blocks if b[3]] or blocks
+    chosen = [b for b in blocks if b[2]]
+    if not chosen:
+        chosen = [b for b in blocks if b[3]]
+        if sum(len(b[0]) - b[5] for b in chosen) < NAMED_SHARE * sum(len(b[0]) - b[5] for b in blocks) or not chosen:
+            chosen = blocks
     # a page of nothing but constant texts keeps them
     return "\n".join(b[0] for b in [b for b in chosen if b[1] not in constant] or chosen)
 

@@ -132,3 +132,20 @@ def test_headline_and_lead_beside_the_body_are_kept(spark):
     assert extracted(spark, main) == {k: f"T {k}\n{words(k)}" for k in range(4)}
     parts = [f"<html><body><article class=first>Lead {k}</article><article class=rest>{words(k)}</article></body></html>" for k in range(4)]
     assert extracted(spark, parts) == {k: f"Lead {k}\n{words(k)}" for k in range(4)}
+
+
+def test_names_win_only_with_most_of_the_text(spark):
+    cards = "<article><h2>Card {0}</h2><p>teaser {0} of more</p></article>"
+    for n in (1, 5, 24):
+        pages = [f"<html><body><div id=text><p>{words(k)}</p><p>{words(k + 100)}</p></div>{cards.format(words(k, 6)) * c}</body></html>"
+                 for c in (1, 3) for k in range(n)]
+        got = extracted(spark, pages[:n])
+        assert all(f"{words(k)}\n{words(k + 100)}" in got[k] for k in range(n)), n
+        got = extracted(spark, pages[n:])
+        assert all(f"{words(k)}\n{words(k + 100)}" in got[k] for k in range(n)), n
+        # a named container with most of the text wins
+        pages = [f"<html><body><div id=x>Other {words(k, 6)}</div><article><p>{words(k)}</p></article></body></html>" for k in range(n)]
+        assert extracted(spark, pages) == {k: words(k) for k in range(n)}
+    # and on a page by itself
+    assert H.main_text(f"<div id=text>{words(1)}</div>{cards.format(1)}", NONE, NONE) == f"{words(1)}\nCard 1\nteaser 1 of more"
+    assert H.main_text(f"<div id=x>other</div><article>{words(1)}</article>", NONE, NONE) == words(1)
