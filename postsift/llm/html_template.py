@@ -24,10 +24,8 @@ from postsift.llm.common import small_batches
 from postsift.llm.url_rules import url_host
 from postsift.session import cut_lineage
 
-#: A host with fewer pages has no constant texts: what its few pages share may be their article.
-MIN_PAGES = 20
-#: Shares of a host's pages on which a template's tags, and its constant texts, occur at least.
-TAG_SUPPORT, TEXT_SUPPORT = 0.5, 0.95
+#: Share of a host's pages on which a template's tags and texts occur at least.
+TAG_SUPPORT = 0.5
 #: Texts that all pages share are the template's if they hold at most this share of the text; else pages are near copies.
 FIXED_SHARE = 0.25
 #: A container named as an article wins over the slot around it if it holds this share of the text that differs.
@@ -231,7 +229,7 @@ def _kind(name: str, attributes: dict[str, str], parent: Element) -> tuple[bool,
 
 
 TOKEN = (
-    "host string, token long, is_text boolean, parent long, article boolean, n_pages long, total long, sign_a long, sign_b long, "
+    "host string, token long, is_text boolean, copies long, parent long, article boolean, n_pages long, total long, sign_a long, sign_b long, "
     "chars long, link_chars long, start long"
 )
 
@@ -249,9 +247,9 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     for batch in small_batches(batches):
-        for host, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+        for host, html, copies in zip(*(c.to_pylist() for c in batch.columns)):
             page = parse(html)
-            key = _hash(f"{url}\n{html}")
+            key = _hash(html or "")
             a, b = key & 0x3FFFFFFF, key >> 32 & 0x3FFFFFFF
             rows = [(token, False, parent, article, n, c, k, start) for token, (n, parent, article, c, k, start) in page.tags.items()]
             texts: dict[int, list[int]] = {}
@@ -265,7 +263,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         text_sums[i] += more
             rows += [(token, True, *values, 0) for token, values in texts.items()]
             for token, is_text, parent, article, n, chars, links, start in rows:
-                s = sums.setdefault((host, token, is_text), [parent, article, 0, 0, 0, 0, 0, 0, 0])
+                s = sums.setdefault((host, token, is_text, copies), [parent, article, 0, 0, 0, 0, 0, 0, 0])
                 for i, more in enumerate((1, n, a * n, b * n, chars, links, start), 2):
                     s[i] += more
         if len(sums) > 50_000:
@@ -359,10 +357,11 @@ def deduce(pages: int, tokens: list[Token]) -> tuple[list[int], list[int]]:
     """
     valid = _valid(pages, tokens)
     tags = {t.token: t for t in tokens if not t.is_text}
-    constant = [t.token for t in tokens if t.is_text and not t.article and pages >= MIN_PAGES and t.n_pages >= TEXT_SUPPORT * pages]
     slot = _slot(valid, tags)
     named = _named(slot or tags.get(0), valid, tags)
-    return sorted(t.token for t in named) or ([slot.token] if slot else []), constant
+    slots = sorted(t.token for t in named) or ([slot.token] if slot else [])
+    fixed = [t for t in tokens if t.fixed and not t.article]
+    return slots, [t.token for t in fixed if not slots or any(a.token in slots for a in _around(t, tags))]
 
 
 def _named(slot: Token | None, valid: dict[int, Token], tags: dict[int, Token]) -> list[Token]:
@@ -410,18 +409,23 @@ def _slot(valid: dict[int, Token], tags: dict[int, Token]) -> Token | None:
 def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, slots, constant) of every host.
 
-    Sums per host and token are combined in the tasks before the shuffle, so a host with a third of the pages sends a
+    Repeated pages count as one: what counts is a page's content.  Sums per host and token are combined in the tasks before the shuffle, so a host with a third of the pages sends a
     row per token and task.  A host's template keeps tokens that half of its pages have: about as many as a page holds.
     """
-    rows = pages.select(url_host(F.col(url_col)).alias("host"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    counted = rows.mapInArrow(_tokens, TOKEN).groupBy("host", "token", "is_text").agg(
-        F.first("parent").alias("parent"), F.max("article").alias("article"),
-        *[F.sum(c).alias(c) for c in ("n_pages", "total", "sign_a", "sign_b", "chars", "link_chars", "start")],
-    )
+    rows = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.unhex(F.md5(F.coalesce(html_col, F.lit("")))).alias("content"))
+    # stored, so that its size is known and the pages are not shuffled to meet a few repeated contents
+    repeated = cut_lineage(rows.groupBy("host", "content").agg(F.count("*").alias("copies")).where("copies > 1"), "html-copies")
+    rows = rows.join(repeated, ["host", "content"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    sums = ("n_pages", "total", "sign_a", "sign_b", "chars", "link_chars", "start")
+    counted = rows.mapInArrow(_tokens, TOKEN).groupBy("host", "token", "is_text", "copies").agg(
+        F.first("parent").alias("parent"), F.max("article").alias("article"), *[F.sum(c).alias(c) for c in sums])
+    # every content of so many copies has gone into a sum as often
+    counted = counted.groupBy("host", "token", "is_text").agg(
+        F.first("parent").alias("parent"), F.max("article").alias("article"), *[F.sum(F.expr(f"{c} div copies")).alias(c) for c in sums])
     # a text of one page is no constant one
     counted = cut_lineage(counted.where("n_pages > 1 OR NOT is_text"), "html-tokens")
     hosts = counted.where("token = 0 AND NOT is_text").select("host", F.col("n_pages").alias("pages"))
-    frequent = counted.join(hosts, "host").where(F.col("n_pages") >= F.least(F.lit(TAG_SUPPORT), F.lit(TEXT_SUPPORT)) * F.col("pages"))
+    frequent = counted.join(hosts, "host").where(F.col("n_pages") >= TAG_SUPPORT * F.col("pages"))
     grouped = frequent.groupBy("host", "pages").agg(F.collect_list(F.struct(*[c for c in counted.columns if c != "host"])).alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,8 +450,9 @@ def main_text(html: str | None, slots: frozenset[int], constant: frozenset[int])
         chosen = [b for b in blocks if b[3]]
         if sum(len(b[0]) - b[5] for b in chosen) < NAMED_SHARE * sum(len(b[0]) - b[5] for b in blocks) or not chosen:
             chosen = blocks
-    # a page of nothing but constant texts keeps them
-    return "\n".join(b[0] for b in [b for b in chosen if b[1] not in constant] or chosen)
+    own = [i for i, b in enumerate(chosen) if b[1] not in constant]
+    # constant texts go before the first and after the last of the page's own; a page of nothing but them keeps them
+    return "\n".join(b[0] for b in (chosen[own[0] : own[-1] + 1] if own else chosen))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

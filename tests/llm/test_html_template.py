@@ -149,3 +149,24 @@ def test_names_win_only_with_most_of_the_text(spark):
     # and on a page by itself
     assert H.main_text(f"<div id=text>{words(1)}</div>{cards.format(1)}", NONE, NONE) == f"{words(1)}\nCard 1\nteaser 1 of more"
     assert H.main_text(f"<div id=x>other</div><article>{words(1)}</article>", NONE, NONE) == words(1)
+
+
+def test_constant_texts_go_by_one_rule_at_every_number_of_pages(spark):
+    own = lambda k: f"{words(k)}\n{words(k + 100)}"
+    noted = lambda k: f"<html><body><div class=x><p>Read our terms.</p><p>{words(k)}</p><p>{words(k + 100)}</p><p>All rights.</p></div></body></html>"
+    for n in (2, 19, 20, 21):
+        assert extracted(spark, [noted(k) for k in range(n)]) == {k: own(k) for k in range(n)}, n
+    # repeated pages are one page, by which nothing is known to be constant
+    whole = f"Read our terms.\n{own(1)}\nAll rights."
+    assert extracted(spark, [noted(1)] * 25) == dict.fromkeys(range(25), whole)
+    # repeated pages among others change nothing
+    assert extracted(spark, [noted(1)] * 30 + [noted(2)] * 3 + [noted(3)]) == {k: own(1 if k < 30 else 2 if k < 33 else 3) for k in range(34)}
+    # near copies of an article keep what they share, wherever the edited paragraph stands
+    for n in (2, 19, 20, 21, 30):
+        for at in (0, 2, 4):
+            parts = lambda k: [words(k + 100 if i == at else i) for i in range(5)]
+            pages = ["<html><body><div class=x><h1>Same head</h1>" + "".join(f"<p>{p}</p>" for p in parts(k)) + "</div></body></html>" for k in range(n)]
+            assert extracted(spark, pages) == {k: "\n".join(["Same head", *parts(k)]) for k in range(n)}, (n, at)
+    # a text that every page has among its own paragraphs stays
+    pages = [f"<html><body><div class=x><p>{words(k)}</p><p>So it goes.</p><p>{words(k + 100)}</p></div></body></html>" for k in range(25)]
+    assert extracted(spark, pages) == {k: f"{words(k)}\nSo it goes.\n{words(k + 100)}" for k in range(25)}
