@@ -72,6 +72,10 @@ class Rounds:
             self._delete(old)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def path(self, name: str) -> str:
+        """Where a kept table lies."""
+        return self._paths[name][0]
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         for name in names:
