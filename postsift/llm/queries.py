@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postsift.llm import bpe, chat, decontaminate, html_template, order_minhash, quality_rules, resampling, sharding, toxicity, url_rules
+from postsift.llm import (
+    bpe, chat, decontaminate, html_template, order_minhash, packing, prefix_trie, quality_rules, resampling, sharding, toxicity,
+    url_rules, whitening,
+)
 from postsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +172,56 @@ def op10(spark, sf):
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
     )
+
+
+@query("op11_whiten_embeddings")
+def op11(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op12_best_fit_packing")
+def op12(spark, sf):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+
+
+# crc32 bit by bit over the digits of an id; prefixes are texts whose parts say their lengths, so no two are confused.
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(coalesce(role, '')) || md5(coalesce(text, '')))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, max(pos) AS n,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 AS h
+  FROM t GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (
+  SELECT k.conv_id, t.pos AS depth, t.role, t.text FROM k JOIN t ON t.conv_id = k.base AND t.pos <= k.taken
+  UNION ALL SELECT k.conv_id, t.pos - k.h + k.taken, t.role, t.text FROM k JOIN t USING (conv_id) WHERE t.pos > k.h),
+p AS (
+  SELECT conv_id, depth, strlen(text) AS bytes,
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS pre
+  FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+q AS (SELECT *, sha256(pre) AS node, max(depth) OVER (PARTITION BY conv_id) = depth AS is_end FROM p),
+n AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM q GROUP BY node, depth),
+l AS (
+  SELECT n.*, pn.node AS p_node, pn.conv_id AS parent_conv_id FROM n
+  LEFT JOIN q pq ON pq.conv_id = n.conv_id AND pq.depth = n.depth - 1 LEFT JOIN n pn ON pn.node = pq.node AND pn.depth = pq.depth),
+m AS (SELECT l.*, coalesce(x.k, 0) AS n_children FROM l LEFT JOIN (SELECT p_node, count(*) AS k FROM l GROUP BY p_node) x ON x.p_node = l.node),
+s AS (
+  SELECT a.node, CAST(count(*) FILTER (m.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((m.n_convs - 1) * m.bytes) AS BIGINT) AS saved_tokens
+  FROM m JOIN q a ON a.conv_id = m.conv_id AND a.depth <= m.depth GROUP BY a.node)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM m JOIN s USING (node)
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark, sf):
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
