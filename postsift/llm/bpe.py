@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from postsift.llm.common import per_worker, small_batches
 
-#: Bounds on what a Python worker keeps: transducer states, checked token pairs, and encodings of pieces (twice).
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 400_000, 300_000, 300_000
+#: Bounds on what a Python worker keeps: transducer states, checked token pairs, and encodings of pieces (twice) of at
+#: most so many characters.  Together they stay under about 350 MB.
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 300_000, 200_000, 150_000, 64
 #: Longer texts are split into pieces by and by, to bound the pieces alive at once.
 LONG_CHARS, PART = 1_000_000, 100_000
 #: A node of the trie with at most so many tokens below it is searched for one that can follow.
@@ -176,6 +177,8 @@ class Transducer:
         for byte in piece:
             step = state.get(byte)
             if step is None:
+                if len(self.known) > self.max_states:  # within a piece of any length; the state at hand goes on
+                    self._reset()
                 step = self._step(state, byte)
             state, written = step
             if written:
@@ -198,8 +201,11 @@ class Encoder:
         if len(self.pieces) > MAX_PIECES:
             self.pieces, self.older = {}, self.pieces
         known, older, encode = self.pieces, self.older.get, self.transducer.encode
+        long = {}
         for piece in set(pieces).difference(known):
-            known[piece] = older(piece) or encode(piece.encode())
+            (known if len(piece) <= MAX_PIECE_CHARS else long)[piece] = older(piece) or encode(piece.encode())
+        if long:
+            return chain.from_iterable(known[p] if p in known else long[p] for p in pieces)
         return chain.from_iterable(map(known.__getitem__, pieces))
 
     def encode(self, text: str) -> array:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -33,13 +34,16 @@ def words(data: bytes | None) -> list[bytes]:
 def per_worker(key: str, build: Callable[[], object]) -> object:
     """A value kept for the life of a Python worker, as functions are unpickled anew for each task.
 
-    Only the latest value of a kind (the part of *key* before the colon) is kept.
+    A worker keeps one value in all: one with another key, of whatever operator, takes the place of the one before it
+    and frees its memory first.  Workers serve one stage after another, so what an earlier stage remembered would else
+    stay beside what the next one builds.  Callers bound what their value may grow to.
     """
     store = sys.modules.setdefault("_postsift_worker_values", types.ModuleType("_postsift_worker_values")).__dict__
-    kind = key.split(":", 1)[0]
-    if store.get(kind, (None,))[0] != key:
-        store[kind] = (key, build())
-    return store[kind][1]
+    if store.get("kept", (None,))[0] != key:
+        store["kept"] = (None,)
+        gc.collect()
+        store["kept"] = (key, build())
+    return store["kept"][1]
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -5,11 +5,12 @@ shingles and keeps them in text order; texts with many equal picks share most sh
 form band keys, texts with a band key in common are candidates, and an alignment decides: the similarity of two texts is
 the longest common subsequence of their shingles over all shingles of both, LCS / (n1 + n2 - LCS).
 
-Candidates in a bucket are not paired with each other.  All are compared with the bucket's leader; only those that
-fail stay for another round, with leaders from among them.  At the end, texts of a bucket that are still in different
-components are compared unless the triangle inequality rules a link out (n1 + n2 - 2 LCS is a metric).  So a link
-between two texts of a bucket is found, or would join what is joined already, and a bucket of near copies costs as many
-comparisons as it has texts.
+Candidates in a bucket are not paired with each other.  First all texts meet the heaviest one of their bucket; a group
+of copies is one component after that, and its buckets are closed.  A bucket stays open as long as its texts are in
+different components.  Texts of an open bucket that are outside its largest component are held against all others by
+512 minima, in blocks, within a task: the share of equal minima estimates that of shared shingles, so only pairs that may be
+similar come out, the likeliest of any two components first.  They are aligned, components are joined, and the next
+round takes more pairs of the components still apart, until none is left that was not aligned.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from postsift.llm.common import small_batches, unused, utf8, words
 from postsift.session import Rounds
@@ -31,14 +32,21 @@ SIMILAR = (4, 5)
 #: At similarity 0.8 a pick agrees with chance 0.64, a band of three picks with 0.26: 40 bands miss 6 pairs in a million.
 #: Texts that share a third of their shingles, by a common passage, meet in a band with chance 0.04.
 BANDS, PICKS = 40, 3
-#: Leaders of a bucket from its second round on; bridges tried at once from a text to another component.
-LEADERS, BRIDGES = 128, 64
-#: Shingles hashed at once; words whose hashes a task remembers.
-SLICE, KNOWN = 1 << 14, 300_000
+#: Texts of open buckets also get plain minima of so many hash functions, a byte of each.  Similar texts share 0.8 of
+#: all labelled shingles or more, so each minimum agrees with that chance: under 360 of 512 is five and a half
+#: deviations below, rarer than a pair that shares no band.  The first of them rule most pairs out alone.
+MINIMA, AGREE, FIRST, FIRST_AGREE = 512, 360, 64, 30
+#: Texts of a bucket that one task holds against each other (two blocks); pairs of two components tried in the
+#: first round, and so many times more in each later one.
+BLOCK, TRIED, MORE = 1024, 4, 16
+#: Shingles hashed at once; words whose hashes a task remembers; shingles of texts that it holds while it aligns.
+SLICE, KNOWN, HELD = 1 << 14, 300_000, 1_000_000
 
 _RNG = np.random.default_rng(20_240_229)
 SEEDS = _RNG.integers(0, 1 << 32, BANDS * PICKS, dtype=np.uint32)
 FACTORS = _RNG.integers(0, 1 << 32, BANDS * PICKS, dtype=np.uint32) | np.uint32(1)
+MIN_SEEDS = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
+MIN_FACTORS = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, SHINGLE + 1)], dtype=np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -83,10 +91,10 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
     return np.where(number > 0, _mix(shingles + number * _MIX), shingles)
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """The band keys of a text, none if it has no shingle."""
+def picks(shingles: np.ndarray) -> np.ndarray:
+    """Of each hash function the pair of a text's two smallest labelled shingles in text order; none without shingles."""
     if not len(shingles):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     x = labelled(shingles)
     high = (x >> np.uint64(32)).astype(np.uint32)
     n, last = len(SEEDS), np.iinfo(np.uint32).max
@@ -104,13 +112,33 @@ def bands(shingles: np.ndarray) -> np.ndarray:
         value[:, 2:], place[:, 2:] = last, -1
     two = np.sort(place[:, :2], axis=1)  # in text order; -1 where the text has one shingle
     first, second = np.where(two[:, 0] >= 0, x[two[:, 0]], np.uint64(0)), x[two[:, 1]]
-    pick = _mix(first * _MIX + second).reshape(BANDS, PICKS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    return _mix(first * _MIX + second)
+
+
+def bands(pick: np.ndarray) -> np.ndarray:
+    """The band keys of a text's picks."""
+    if not len(pick):
+        return np.zeros(0, np.int64)
+    pick, key = pick.reshape(BANDS, PICKS), np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(PICKS):
         key = _mix(key * _POWERS[k] + pick[:, k])
     return key.astype(np.int64)
 
 
+def minima(shingles: np.ndarray) -> bytes:
+    """One byte of the shingle that is least by each of MINIMA hash functions; a text without shingles has its own."""
+    x = labelled(shingles)
+    high = (x >> np.uint64(32)).astype(np.uint32)
+    least, which = np.full(MINIMA, np.iinfo(np.uint32).max, np.uint32), np.zeros(MINIMA, np.uint8)
+    for at in range(0, len(x), SLICE // 4):
+        v = (high[None, at : at + SLICE // 4] ^ MIN_SEEDS[:, None]) * MIN_FACTORS[:, None]
+        best = v.argmin(axis=1)
+        own = v[np.arange(MINIMA), best]
+        less = own < least
+        least[less], which[less] = own[less], x[at + best[less]].astype(np.uint8)
+    return which.tobytes()
+
+
 def links(n1: int, n2: int, common: int) -> bool:
     """True if *common* of n1 and n2 shingles make the texts similar."""
     part, whole = SIMILAR
@@ -183,7 +211,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for data in batch.column(2).to_pylist():
                 shingles = shingler.shingles(data)
                 sizes.append(len(shingles))
-                keys.append(bands(shingles))
+                keys.append(bands(picks(shingles)))
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
@@ -194,18 +222,30 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_id binary, n long, bands array<long>")
 
 
+def _signed(texts: DataFrame) -> DataFrame:
+    """(text_id, minima) of (text_id, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in small_batches(batches, 256):
+            found = [minima(shingler.shingles(data)) for data in batch["data"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["text_id"], pa.array(found, pa.binary())], names=["text_id", "minima"])
+
+    return texts.mapInArrow(run, "text_id binary, minima binary")
+
+
 def text_id(text_col: str) -> F.Column:
     """Names a text: equal texts have one name.  Null counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similar, apart) of pairs (a, n_a, b, n_b) of text ids; *texts* is (text_id, data), each text once."""
+    """(a, b, similar) of pairs (a, n_a, b, n_b) of text ids; *texts* is (text_id, data), each text once."""
     part, whole = SIMILAR
     # a text that is too short for the other is no near copy; the rest are aligned
     worth = F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part
     near = pairs.where(worth).select("a", "b")
-    far = pairs.where(~worth).select("a", "b", F.lit(False).alias("similar"), F.abs(F.col("n_a") - F.col("n_b")).alias("apart"))
+    far = pairs.where(~worth).select("a", "b", F.lit(False).alias("similar"))
     named = near.select(F.col("a").alias("text_id")).union(near.select("b")).distinct()
     texts = texts.join(named, "text_id")
     sides = near.join(texts.select(F.col("text_id").alias("b"), F.col("data").alias("data_b")), "b").join(
@@ -213,128 +253,208 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ).select("a", "b", "data_a", "data_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last, first = Shingler(), None, None
+        shingler, known, held = Shingler(), {}, 0
         for batch in small_batches(batches, 64):
             found = []
-            for a, data_a, data_b in zip(*(batch[n].to_pylist() for n in ("a", "data_a", "data_b"))):
-                if a != last:
-                    last, first = a, shingler.shingles(data_a)
-                found.append(align(first, shingler.shingles(data_b)))
-            yield pa.RecordBatch.from_arrays(
-                [batch["a"], batch["b"], pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.int64())],
-                names=["a", "b", "similar", "apart"],
-            )
+            for a, b, data_a, data_b in zip(*(batch[n].to_pylist() for n in ("a", "b", "data_a", "data_b"))):
+                for name, data in ((a, data_a), (b, data_b)):
+                    if name not in known:
+                        if held > HELD:
+                            known, held = {}, 0
+                        known[name] = shingler.shingles(data)
+                        held += len(known[name])
+                found.append(align(known[a] if a in known else shingler.shingles(data_a), known[b])[0])
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.bool_())], names=["a", "b", "similar"])
+
+    return sides.mapInArrow(run, "a binary, b binary, similar boolean").unionByName(far)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, n_a, b, n_b) with the lesser text first, each once."""
+    turned = F.col("a") > F.col("b")
+    other = {"a": "b", "b": "a", "n_a": "n_b", "n_b": "n_a"}
+    return pairs.select(*[F.when(turned, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in other.items()]).groupBy("a", "b").agg(
+        F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
+    )
+
 
-    return sides.mapInArrow(run, "a binary, b binary, similar boolean, apart long").unionByName(far)
+def _stars(rows: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b): every text with one of the heaviest texts of its buckets, the heaviest of them.  A text is heavy
+    if its buckets hold many rows: the text that a group of copies stems from has the picks most of them kept.  Each
+    pair comes once, so there are at most as many as texts.  *rows* is (bucket, text_id, n, size)."""
+    weights = rows.groupBy("text_id").agg(F.sum("size").alias("weight"))
+    heaviest = rows.join(weights, "text_id").groupBy("bucket").agg(F.max(F.struct("weight", "text_id", "n")).alias("lead"))
+    met = rows.join(heaviest, "bucket").where(F.col("lead.text_id") != F.col("text_id"))
+    met = met.groupBy("text_id").agg(F.first("n").alias("n"), F.max("lead").alias("lead"))
+    return _ordered(met.select(F.col("lead.text_id").alias("a"), F.col("lead.n").alias("n_a"), F.col("text_id").alias("b"), F.col("n").alias("n_b")))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
+def likely_pairs(signs: np.ndarray, roots: np.ndarray, n: np.ndarray, blocks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(first, second, more): rows of different components whose minima and sizes allow a link, the *most* likeliest of
+    any two components; and whether there are more.  Rows of the largest component are not held against each other.
+    Where the rows are of two blocks, only pairs across them count."""
+    part, whole = SIMILAR
+    largest = np.bincount(roots).argmax()
+    outside = np.flatnonzero(roots != largest)
+    left, right, agree = [], [], []
+    for at in range(0, len(outside), 64):
+        own = outside[at : at + 64]
+        some = (signs[own][:, None, :FIRST] == signs[None, :, :FIRST]).sum(axis=2, dtype=np.int16)
+        small, large = np.minimum(n[own][:, None], n[None, :]), np.maximum(n[own][:, None], n[None, :])
+        good = (some >= FIRST_AGREE) & (small * whole >= large * part) & (roots[own][:, None] != roots[None, :])
+        # two rows outside meet once
+        good &= (roots[None, :] == largest) | (own[:, None] < np.arange(len(n))[None, :])
+        if blocks[0] != blocks[-1] or (blocks != blocks[0]).any():
+            good &= blocks[own][:, None] != blocks[None, :]
+        i, j = np.nonzero(good)
+        for start in range(0, len(i), 20_000):
+            x, y = own[i[start : start + 20_000]], j[start : start + 20_000]
+            equal = (signs[x] == signs[y]).sum(axis=1)
+            left.append(x[equal >= AGREE])
+            right.append(y[equal >= AGREE])
+            agree.append(equal[equal >= AGREE])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    left, right, agree = np.concatenate(left), np.concatenate(right), np.concatenate(agree)
+    key = np.minimum(roots[left], roots[right]) * np.int64(len(n)) + np.maximum(roots[left], roots[right])
+    order = np.lexsort((right, left, -agree, key))
+    key = key[order]
+    begins = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    place = np.arange(len(key)) - np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
+    chosen = order[place < most]
+    return left[chosen], right[chosen], bool((place >= most).any())
+
+
+def _candidates(rows: DataFrame, signed: DataFrame, most: int) -> DataFrame:
+    """(a, b, n_a, n_b, more) from open buckets: *rows* is (bucket, text_id, n, root, size), *signed* (text_id, minima).
+
+    A bucket is held in blocks; a block meets itself and each other one in a group of its own, so no task holds more than
+    two blocks of a bucket.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = rows.withColumn("block", F.pmod(F.xxhash64("text_id"), blocks).cast("int"))
+    meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    meets = meets.select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "text_id", "n", "root"
+    ).join(signed, "text_id")
+    names = ["bucket", "i", "j"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if len({h[5] for h in held}) > 1:
+                numbers: dict[bytes, int] = {}
+                roots = np.array([numbers.setdefault(h[5], len(numbers)) for h in held])
+                found = np.stack([np.frombuffer(h[6], np.uint8) for h in held])
+                n, blocks = np.array([h[4] for h in held]), np.array([h[1] for h in held])
+                left, right, more = likely_pairs(found, roots, n, blocks, most)
+                out.extend((held[x][3], held[x][4], held[y][3], held[y][4], more) for x, y in zip(left.tolist(), right.tolist()))
+            held.clear()
+
+        def emit() -> pa.RecordBatch:
+            types = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["a", "n_a", "b", "n_b", "more"])
+            out.clear()
+            return batch
+
+        last = None
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("bucket", "block", "i", "text_id", "n", "root", "minima", "j"))):
+                if (group := (row[0], row[2], row[7])) != last:
+                    close()
+                    last = group
+                    if len(out) > 10_000:
+                        yield emit()
+                held.append(row)
+        close()
+        if out:
+            yield emit()
+
+    dealt = meets.repartition(*names).sortWithinPartitions(*names, "text_id")
+    found = dealt.mapInArrow(run, "a binary, n_a long, b binary, n_b long, more boolean")
+    turned = F.col("a") > F.col("b")
+    other = {"a": "b", "b": "a", "n_a": "n_b", "n_b": "n_a"}
+    found = found.select(*[F.when(turned, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in other.items()], "more")
+    return found.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max("more").alias("more"))
 
-def _meetings(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
-    """(bucket, a, b, n_b, led, similar, apart): in each bucket, all texts against leaders; and the texts, stored.
 
-    In the first round a bucket has one leader, the text whose buckets hold the most rows: the text that a group of
-    copies stems from has the picks most of them kept.  Texts that are not near it stay, and later rounds take the
-    LEADERS first of them, until none is left: a bucket of at most LEADERS texts needs one more round.  led is false
-    where b is a leader itself.
-    """
+def near_roots(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Rounds) -> DataFrame:
+    """(text_id, root) of all texts that share a bucket with another text; without a near copy the root is the text."""
     texts = sketched.groupBy("text_id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = texts.select(F.explode("bands").alias("bucket"), "text_id", "n")
     crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    open_rows = rounds.keep(rows.join(crowded, "bucket"), "crowded")
-    weights = open_rows.groupBy("text_id").agg(F.sum("size").alias("weight"))
-    open_rows = rounds.keep(open_rows.drop("size").join(weights, "text_id"), "open")
-    # only texts that meet others are moved and stored, once; later rounds read those that are still open
+    rows = rounds.keep(rows.join(crowded, "bucket"), "open")
+    stars = rounds.keep(_stars(rows), "stars")
+    roots = rounds.keep(rows.select("text_id").distinct().withColumn("root", F.col("text_id")), "roots")
+    # only texts that meet others are moved and stored, once
     bodies = docs.select(text_id(text_col).alias("text_id"), utf8(text_col).alias("data"))
-    bodies = bodies.join(open_rows.select("text_id").distinct(), "text_id", "left_semi").groupBy("text_id").agg(F.first("data").alias("data"))
-    bodies = now = rounds.keep(bodies, "texts")
-    met, first = [], True
-    while True:
-        if first:
-            heaviest = F.max(F.struct("weight", "text_id", "n")).alias("lead")
-            leaders = open_rows.groupBy("bucket").agg(heaviest).select("bucket", F.col("lead.text_id").alias("a"), F.col("lead.n").alias("n_a"), F.lit(1).alias("at"))
-            placed = open_rows.withColumn("place", F.lit(LEADERS + 1))
-        else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy("text_id"))
-            placed = rounds.keep(open_rows.withColumn("place", place), "placed")
-            leaders = placed.where(F.col("place") <= LEADERS).select(
-                "bucket", F.col("text_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("at"))
-        # every text with the leaders before it: leaders meet each other once
-        led = placed.join(leaders, "bucket").where((F.col("at") < F.col("place")) & (F.col("a") != F.col("text_id"))).select(
-            "bucket", "a", "n_a", F.col("text_id").alias("b"), F.col("n").alias("n_b"), "weight", (F.col("place") > LEADERS).alias("led")
-        )
-        led = rounds.keep(led, "led")
-        checked = _verified(led.select("a", "n_a", "b", "n_b").distinct(), now)
-        sides = rounds.keep(led.join(checked, ["a", "b"]).drop("n_a"), f"met-{len(met)}")
-        met.append(sides)
-        rest = sides.where("led").groupBy("bucket", F.col("b").alias("text_id"), F.col("n_b").alias("n"), "weight").agg(F.max("similar").alias("near"))
-        open_rows, first = rounds.keep(rest.where("NOT near").drop("near"), "rest"), False
-        if open_rows.isEmpty():
-            return _union(met), bodies
-        now = rounds.keep(now.join(open_rows.select("text_id").distinct(), "text_id", "left_semi"), "open-texts")
-
-
-def near_roots(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Rounds) -> DataFrame:
-    """(text_id, root) of all texts that have a near copy.
-
-    After the meetings, texts near different leaders, or near a leader and near none, may still be linked with each
-    other.  Where their components differ and the distances to all leaders that both have met allow a link, they are compared
-    too: for each text the BRIDGES texts of each other component that it shares the most buckets with, as long as there
-    are any not yet compared.
-    """
-    part, whole = SIMILAR
-    met, bodies = _meetings(sketched, docs, text_col, rounds)
-    links, tested = met.where("similar").select("a", "b"), met.select("a", "b")
-    near = met.where("similar AND led").select("bucket", "a", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("apart").alias("near"))
-    far = met.where("NOT similar AND led").select("bucket", "a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("apart").alias("far"))
-    turn = 0
+    bodies = bodies.join(roots.select("text_id"), "text_id", "left_semi").groupBy("text_id").agg(F.first("data").alias("data"))
+    bodies = rounds.keep(bodies, "texts")
+    fresh, tested, signed, most = stars, stars.select("a", "b"), None, TRIED
     while True:
-        roots = components(links, rounds)
-        named = {c: roots.select(F.col("text_id").alias(c), F.col("root").alias(f"root_{c}")) for c in "xy"}
-        sides = far.join(named["x"], "x", "left").withColumn("root_x", F.coalesce("root_x", "x"))
-        gap = F.max(F.col("far") - F.col("near")).alias("gap")
-        crossed = sides.join(near.join(named["y"], "y"), ["bucket", "a"]).where("root_x <> root_y").groupBy("x", "n_x", "y", "n_y", "root_y").agg(
-            gap, F.count(F.lit(1)).alias("shared")
-        ).where(F.col("gap") * (whole + part) <= (F.col("n_x") + F.col("n_y")) * (whole - part))
-        x_first = F.col("x") < F.col("y")
-        pairs = crossed.select(
-            "x", "root_y", "gap", "shared", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-            F.when(x_first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(x_first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"),
-        ).join(tested, ["a", "b"], "left_anti")
-        likely = F.row_number().over(Window.partitionBy("x", "root_y").orderBy(F.desc("shared"), "gap", "a", "b"))
-        pairs = pairs.withColumn("place", likely).where(F.col("place") <= BRIDGES).select("a", "n_a", "b", "n_b").distinct()
-        checked = rounds.keep(_verified(pairs, bodies), f"bridges-{turn}")
-        turn += 1
-        if checked.isEmpty():
-            return roots
-        links, tested = links.unionByName(checked.where("similar").select("a", "b")), tested.unionByName(checked.select("a", "b"))
+        checked = rounds.keep(_verified(fresh, bodies), "checked")
+        linked = checked.where("similar")
+        if signed is None or not linked.isEmpty():
+            roots = rounds.keep(_renamed(roots, "root", components(_between(linked, roots), rounds)), "roots")
+            # what is closed is read no more
+            current = rows.select("bucket", "text_id", "n", "size").join(roots, "text_id")
+            several = current.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+            rows = rounds.keep(current.join(several, "bucket", "left_semi"), "open")
+        while True:
+            if rows.isEmpty():
+                rounds.drop("open", "stars", "texts", "checked", "signed", "candidates", "fresh", "tested")
+                return roots
+            if signed is None:
+                signed = rounds.keep(_signed(bodies.join(rows.select("text_id").distinct(), "text_id", "left_semi")), "signed")
+            found = rounds.keep(_candidates(rows, signed, most), "candidates")
+            fresh = rounds.keep(found.join(tested, ["a", "b"], "left_anti"), "fresh")
+            more = not found.where("more").isEmpty()
+            most *= MORE
+            if not fresh.isEmpty():
+                break
+            if not more:
+                rows = rows.limit(0)
+        tested = rounds.keep(tested.unionByName(found.select("a", "b")).distinct(), "tested")
+
+
+def _renamed(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """*rows* with the values of a column replaced by their roots in *names* (text_id, root), where they have one."""
+    names = names.select(F.col("text_id").alias(column), F.col("root").alias("_root"))
+    return rows.join(names, column, "left").withColumn(column, F.coalesce("_root", column)).select(*rows.columns)
+
+
+def _between(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links as pairs of different roots, each once."""
+    return _renamed(_renamed(links.select("a", "b"), "a", roots), "b", roots).where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    ).distinct()
 
 
 def components(edges: DataFrame, rounds: Rounds) -> DataFrame:
     """(text_id, root) of every text with a link: root is the least text of its connected component.
 
-    Alternates two steps until nothing changes: each text ties its larger neighbours to its least neighbour, then its
-    smaller neighbours.  Minima are aggregated before the shuffle; a round stores its edges.
+    Each round ties every text to its least neighbour, if that is less than itself, follows these ties to their ends by
+    doubling, and replaces the texts of the links by these ends; links within what has become one text are gone.
     """
-    edges = rounds.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    edges, roots = rounds.keep(edges.select("a", "b").where("a <> b").distinct(), "edges"), None
     while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        larger = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = larger.groupBy("u").agg(F.min("v").alias("m"))
-        joined = larger.join(least, "u")
-        smaller = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", "m")).distinct()
-        edges = rounds.keep(smaller, "edges")
-        seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            return edges.select(F.col("u").alias("text_id"), F.col("v").alias("root"))
-        state = seen
+        both = edges.select(F.col("a").alias("text_id"), "b").union(edges.select("b", "a"))
+        least = both.groupBy("text_id").agg(F.min("b").alias("root"))
+        ties = rounds.keep(least.withColumn("root", F.least("root", "text_id")), "ties")
+        while True:
+            up = ties.where("root <> text_id").select(F.col("text_id").alias("root"), F.col("root").alias("next"))
+            moved = ties.join(up, "root", "left").select("text_id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+            moved = rounds.keep(moved, "moved")
+            ties = moved.select("text_id", "root")
+            if moved.where("moved").isEmpty():
+                break
+        roots = rounds.keep(ties if roots is None else _renamed(roots, "root", ties), "components")
+        edges = rounds.keep(_between(edges, ties), "edges")
+        if edges.isEmpty():
+            rounds.drop("edges", "ties", "moved")
+            return roots
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,7 +477,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, rounds: Rounds) -> Dat
     """(doc_id, text_id, root) of every document."""
     sketched = rounds.keep(_sketched(docs, id_col, text_col), "sketched")
     roots = near_roots(sketched, docs, text_col, rounds)
-    return sketched.select("doc_id", "text_id").join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    members = rounds.keep(sketched.select("doc_id", "text_id"), "members")
+    rounds.drop("sketched", "components")
+    return members.join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

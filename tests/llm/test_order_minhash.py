@@ -61,12 +61,12 @@ def test_labels_tell_occurrences_apart():
 def test_picks_keep_text_order(monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
-    turned = O.bands(x[::-1].copy())
-    assert not set(O.bands(x).tolist()) & set(turned.tolist())  # the same shingles in another order
-    whole = O.bands(x)
+    turned = O.bands(O.picks(x[::-1].copy()))
+    assert not set(O.bands(O.picks(x)).tolist()) & set(turned.tolist())  # the same shingles in another order
+    whole = O.picks(x)
     monkeypatch.setattr(O, "SLICE", 7)
-    assert np.array_equal(O.bands(x), whole)
-    assert len(O.bands(x[:1])) == O.BANDS and len(O.bands(x[:0])) == 0
+    assert np.array_equal(O.picks(x), whole)
+    assert len(O.bands(O.picks(x[:1]))) == O.BANDS and len(O.bands(O.picks(x[:0]))) == 0
 
 
 def test_bands_find_similar_texts():
@@ -76,12 +76,52 @@ def test_bands_find_similar_texts():
     for _ in range(400):
         x = rng.integers(0, 1 << 62, 180, dtype=np.uint64)
         y = np.concatenate([x[20:], rng.integers(0, 1 << 62, 20, dtype=np.uint64)])  # 160 of 200 shared
-        missed += not set(O.bands(x).tolist()) & set(O.bands(y).tolist())
+        missed += not set(O.bands(O.picks(x)).tolist()) & set(O.bands(O.picks(y)).tolist())
         z = np.concatenate([x[:30], rng.integers(0, 1 << 62, 150, dtype=np.uint64)])
-        met += bool(set(O.bands(x).tolist()) & set(O.bands(z).tolist()))
+        met += bool(set(O.bands(O.picks(x)).tolist()) & set(O.bands(O.picks(z)).tolist()))
     assert missed == 0 and met < 8
 
 
+def test_minima_of_similar_texts_agree(monkeypatch):
+    """At similarity 0.8 exactly no pair falls under the bound; at 0.6 hardly one reaches it."""
+    rng = np.random.default_rng(4)
+    near, far = [], []
+    for n in (9, 180, 180, 180, 900) * 12:
+        x = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+        for out, moved in ((near, n // 9), (far, n // 4)):
+            y = np.concatenate([x[moved:], rng.integers(0, 1 << 62, moved, dtype=np.uint64)])
+            one, two = (np.frombuffer(O.minima(v), np.uint8) for v in (x, y))
+            out.append(((one == two).sum(), (one == two)[: O.FIRST].sum()))
+    assert min(near)[0] >= O.AGREE and min(k for _, k in near) >= O.FIRST_AGREE and max(far)[0] < O.AGREE
+    whole = O.minima(x)
+    monkeypatch.setattr(O, "SLICE", 40)
+    assert O.minima(x) == whole and len(O.minima(x[:0])) == O.MINIMA
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_likely_pairs(seed, monkeypatch):
+    """In blocks and at once the same pairs; with enough tries, all pairs that may be similar."""
+    monkeypatch.setattr(O, "AGREE", 200)
+    monkeypatch.setattr(O, "FIRST_AGREE", 0)
+    rng = np.random.default_rng(seed)
+    size = 90
+    signs, roots, n = rng.integers(0, 2, (size, O.MINIMA), dtype=np.uint8), rng.integers(0, 5, size), rng.integers(80, 120, size)
+    roots[rng.random(size) < 0.5] = 2
+    largest = np.bincount(roots).argmax()
+    want = {
+        (i, j) for i in range(size) for j in range(i + 1, size)
+        if roots[i] != roots[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and (signs[i] == signs[j]).sum() >= 200
+    }
+    pairs = lambda *args: {(min(p), max(p)) for p in zip(*(x.tolist() for x in O.likely_pairs(*args)[:2]))}
+    assert pairs(signs, roots, n, np.zeros(size), 10**6) == want and len(want) > 50
+    blocks = np.arange(size) % 2
+    across = pairs(signs, roots, n, blocks, 10**6)
+    assert across == {(i, j) for i, j in want if blocks[i] != blocks[j]}
+    left, right, more = O.likely_pairs(signs, roots, n, np.zeros(size), 2)
+    kinds = [tuple(sorted((roots[i], roots[j]))) for i, j in zip(left, right)]
+    assert more and max(kinds.count(k) for k in kinds) == 2 and {tuple(sorted((roots[i], roots[j]))) for i, j in want} == set(kinds)
+
+
 def plain_classes(rows):
     """class id of each row, from all pairs."""
     sh = O.Shingler()
@@ -144,7 +184,7 @@ def test_texts_that_fail_meet_all_others(spark):
     assert sorted(got) == sorted(plain_classes(rows)) and {c for _, c, _ in got} == {0}
 
 
-def test_large_group_makes_no_square(spark, tmp_path):
+def test_large_group_makes_no_square(spark, monkeypatch):
     rnd = random.Random(5)
     base = [f"w{k}" for k in range(100)]
     rows = []
@@ -156,14 +196,18 @@ def test_large_group_makes_no_square(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     rounds = Rounds(spark, "test")
     sketched = rounds.keep(O._sketched(docs, "doc_id", "text"), "sketched")
-    assert O._meetings(sketched, docs, "text", rounds)[0].count() < 40 * 1500
+    compared = []
+    verified = O._verified
+    monkeypatch.setattr(O, "_verified", lambda pairs, texts: compared.append(pairs.count()) or verified(pairs, texts))
+    O.near_roots(sketched, docs, "text", rounds).count()
+    assert sum(compared) < 2 * 1500
     assert {r.class_id for r in O.near_duplicates(docs).collect()} == {0}
 
 
 def test_borderline_group(spark, monkeypatch):
     """Copies that are near their base, and mostly not near each other: all belong together."""
-    monkeypatch.setattr(O, "LEADERS", 2)
-    monkeypatch.setattr(O, "BRIDGES", 1)
+    monkeypatch.setattr(O, "BLOCK", 8)
+    monkeypatch.setattr(O, "TRIED", 1)
     rnd = random.Random(12)
     base = [f"w{k}" for k in range(150)]
     rows = [(0, " ".join(base))]

@@ -30,7 +30,16 @@ def encoder():
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80) | st.text("ab  \n\té'sll0<|>endoftext漢\x1c\x85\xa0²_ ", max_size=80) | st.just("<|endoftext|> a" + "b" * 200))
 def test_ids_are_those_of_the_library(encoder, library, text):
-    assert [i for part in encoder.parts(text) for i in part] == library(text)
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library(text)
+
+
+def test_both_expressions_agree(encoder):
+    """On every character that the plain expression may meet, alone and beside letters, digits, marks and spaces."""
+    for c in map(chr, range(0x2070)):
+        if not packing._ODD.search(c):
+            text = f"{c} a{c}a 1{c}1 .{c}. {c}{c}  {c}\n{c}"
+            assert encoder.plain.findall(text) == encoder.split.findall(text), hex(ord(c))
+    assert encoder.plain is not encoder.split and packing.plain_pattern(r"\p{Lu}+") is None
 
 
 def test_long_texts_and_forgetting(encoder, library, monkeypatch):
@@ -38,7 +47,7 @@ def test_long_texts_and_forgetting(encoder, library, monkeypatch):
     monkeypatch.setattr(packing, "PART", 7)
     monkeypatch.setattr(packing, "KNOWN", 5)
     text = "It's a long text,  with 1234 numbers\n\n and words. " * 40
-    assert [i for part in encoder.parts(text) for i in part] == library(text)
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library(text)
 
 
 def best_fit(counts, capacity):
