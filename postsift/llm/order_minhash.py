@@ -39,6 +39,8 @@ MINIMA, AGREE, FIRST, FIRST_AGREE = 512, 360, 64, 30
 #: Texts of a bucket that one task holds against each other (two blocks); pairs of two components tried in the
 #: first round, and so many times more in each later one.
 BLOCK, TRIED, MORE = 1024, 4, 16
+#: The bits of a band's key that tell it from a text's other bands.
+KEY = (1 << 31) - 1
 #: Shingles hashed at once; words whose hashes a task remembers; shingles of texts that it holds while it aligns.
 SLICE, KNOWN, HELD = 1 << 14, 300_000, 1_000_000
 
@@ -289,10 +291,13 @@ def _stars(rows: DataFrame) -> DataFrame:
     return _ordered(met.select(F.col("lead.text_id").alias("a"), F.col("lead.n").alias("n_a"), F.col("text_id").alias("b"), F.col("n").alias("n_b")))
 
 
-def likely_pairs(signs: np.ndarray, roots: np.ndarray, n: np.ndarray, blocks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def likely_pairs(
+    signs: np.ndarray, roots: np.ndarray, n: np.ndarray, blocks: np.ndarray, most: int, least: int = 0, keys: np.ndarray | None = None, band: int = 0,
+) -> tuple[np.ndarray, np.ndarray, bool]:
     """(first, second, more): rows of different components whose minima and sizes allow a link, the *most* likeliest of
-    any two components; and whether there are more.  Rows of the largest component are not held against each other.
-    Where the rows are of two blocks, only pairs across them count."""
+    any two components but for the *least* likeliest, which had their turn; and whether there are more.  Rows of the
+    largest component are not held against each other.  Where the rows are of two blocks, only pairs across them count.
+    With *keys*, the band keys of the rows, a pair counts only if *band* is the first one that the two have in common."""
     part, whole = SIMILAR
     largest = np.bincount(roots).argmax()
     outside = np.flatnonzero(roots != largest)
@@ -309,6 +314,9 @@ def likely_pairs(signs: np.ndarray, roots: np.ndarray, n: np.ndarray, blocks: np
         i, j = np.nonzero(good)
         for start in range(0, len(i), 20_000):
             x, y = own[i[start : start + 20_000]], j[start : start + 20_000]
+            if keys is not None:
+                here = (keys[x] == keys[y]).argmax(axis=1) == band
+                x, y = x[here], y[here]
             equal = (signs[x] == signs[y]).sum(axis=1)
             left.append(x[equal >= AGREE])
             right.append(y[equal >= AGREE])
@@ -321,15 +329,17 @@ def likely_pairs(signs: np.ndarray, roots: np.ndarray, n: np.ndarray, blocks: np
     key = key[order]
     begins = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     place = np.arange(len(key)) - np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
-    chosen = order[place < most]
+    chosen = order[(place >= least) & (place < most)]
     return left[chosen], right[chosen], bool((place >= most).any())
 
 
-def _candidates(rows: DataFrame, signed: DataFrame, most: int) -> DataFrame:
-    """(a, b, n_a, n_b, more) from open buckets: *rows* is (bucket, text_id, n, root, size), *signed* (text_id, minima).
+def _candidates(rows: DataFrame, signed: DataFrame, most: int, least: int) -> DataFrame:
+    """(a, b, n_a, n_b, more) from open buckets, each pair once: *rows* is (bucket, text_id, n, root, size), *signed*
+    (text_id, minima, keys).
 
     A bucket is held in blocks; a block meets itself and each other one in a group of its own, so no task holds more than
-    two blocks of a bucket.
+    two blocks of a bucket.  Texts that share several buckets are a pair in the one of their first common band only: it
+    is open as well, as it holds two components.  Bands are told apart by 31 bits of their keys here.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = rows.withColumn("block", F.pmod(F.xxhash64("text_id"), blocks).cast("int"))
@@ -348,8 +358,9 @@ def _candidates(rows: DataFrame, signed: DataFrame, most: int) -> DataFrame:
                 numbers: dict[bytes, int] = {}
                 roots = np.array([numbers.setdefault(h[5], len(numbers)) for h in held])
                 found = np.stack([np.frombuffer(h[6], np.uint8) for h in held])
-                n, blocks = np.array([h[4] for h in held]), np.array([h[1] for h in held])
-                left, right, more = likely_pairs(found, roots, n, blocks, most)
+                n, blocks, keys = np.array([h[4] for h in held]), np.array([h[1] for h in held]), np.stack([h[8] for h in held])
+                band = int((keys == held[0][0] & KEY).all(axis=0).argmax())
+                left, right, more = likely_pairs(found, roots, n, blocks, most, least, keys, band)
                 out.extend((held[x][3], held[x][4], held[y][3], held[y][4], more) for x, y in zip(left.tolist(), right.tolist()))
             held.clear()
 
@@ -361,7 +372,8 @@ def _candidates(rows: DataFrame, signed: DataFrame, most: int) -> DataFrame:
 
         last = None
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("bucket", "block", "i", "text_id", "n", "root", "minima", "j"))):
+            keys = batch["keys"].flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+            for row in zip(*(batch[c].to_pylist() for c in ("bucket", "block", "i", "text_id", "n", "root", "minima", "j")), keys):
                 if (group := (row[0], row[2], row[7])) != last:
                     close()
                     last = group
@@ -376,8 +388,7 @@ def _candidates(rows: DataFrame, signed: DataFrame, most: int) -> DataFrame:
     found = dealt.mapInArrow(run, "a binary, n_a long, b binary, n_b long, more boolean")
     turned = F.col("a") > F.col("b")
     other = {"a": "b", "b": "a", "n_a": "n_b", "n_b": "n_a"}
-    found = found.select(*[F.when(turned, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in other.items()], "more")
-    return found.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max("more").alias("more"))
+    return found.select(*[F.when(turned, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in other.items()], "more")
 
 
 def near_roots(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Rounds) -> DataFrame:
@@ -392,7 +403,7 @@ def near_roots(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Roun
     bodies = docs.select(text_id(text_col).alias("text_id"), utf8(text_col).alias("data"))
     bodies = bodies.join(roots.select("text_id"), "text_id", "left_semi").groupBy("text_id").agg(F.first("data").alias("data"))
     bodies = rounds.keep(bodies, "texts")
-    fresh, tested, signed, most = stars, stars.select("a", "b"), None, TRIED
+    fresh, tested, signed, least, most = stars, stars.select("a", "b"), None, 0, TRIED
     while True:
         checked = rounds.keep(_verified(fresh, bodies), "checked")
         linked = checked.where("similar")
@@ -402,16 +413,19 @@ def near_roots(sketched: DataFrame, docs: DataFrame, text_col: str, rounds: Roun
             current = rows.select("bucket", "text_id", "n", "size").join(roots, "text_id")
             several = current.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
             rows = rounds.keep(current.join(several, "bucket", "left_semi"), "open")
+            least = 0  # what are the likeliest pairs of two components is another question now
         while True:
             if rows.isEmpty():
                 rounds.drop("open", "stars", "texts", "checked", "signed", "candidates", "fresh", "tested")
                 return roots
             if signed is None:
-                signed = rounds.keep(_signed(bodies.join(rows.select("text_id").distinct(), "text_id", "left_semi")), "signed")
-            found = rounds.keep(_candidates(rows, signed, most), "candidates")
+                keys = texts.select("text_id", F.transform("bands", lambda k: k.bitwiseAND(F.lit(KEY)).cast("int")).alias("keys"))
+                signed = _signed(bodies.join(rows.select("text_id").distinct(), "text_id", "left_semi"))
+                signed = rounds.keep(signed.join(keys, "text_id"), "signed")
+            found = rounds.keep(_candidates(rows, signed, most, least), "candidates")
             fresh = rounds.keep(found.join(tested, ["a", "b"], "left_anti"), "fresh")
             more = not found.where("more").isEmpty()
-            most *= MORE
+            least, most = most, most * MORE
             if not fresh.isEmpty():
                 break
             if not more:

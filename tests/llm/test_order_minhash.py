@@ -122,6 +122,30 @@ def test_likely_pairs(seed, monkeypatch):
     assert more and max(kinds.count(k) for k in kinds) == 2 and {tuple(sorted((roots[i], roots[j]))) for i, j in want} == set(kinds)
 
 
+def test_a_pair_comes_out_of_its_first_common_band_only(monkeypatch):
+    """Over all bands, and over the turns of a round without a link, each likely pair comes once."""
+    monkeypatch.setattr(O, "AGREE", 200)
+    monkeypatch.setattr(O, "FIRST_AGREE", 0)
+    rng = np.random.default_rng(7)
+    size = 60
+    signs, roots, n = rng.integers(0, 2, (size, O.MINIMA), dtype=np.uint8), rng.integers(0, 4, size), np.full(size, 100)
+    keys = rng.integers(0, 3, (size, O.BANDS)).astype(np.int32)
+    found = []
+    for band in range(O.BANDS):
+        for key in range(3):  # a bucket
+            own = np.flatnonzero(keys[:, band] == key)
+            for least, most in ((0, 2), (2, 10**6)):
+                if len(own):
+                    left, right, _ = O.likely_pairs(signs[own], roots[own], n[own], np.zeros(len(own)), most, least, keys[own], band)
+                    found += [(min(p), max(p)) for p in zip(own[left].tolist(), own[right].tolist())]
+    # of a bucket's largest component no two rows meet, and they are in one component anyway
+    want = {
+        (i, j) for i in range(size) for j in range(i + 1, size)
+        if roots[i] != roots[j] and (keys[i] == keys[j]).any() and (signs[i] == signs[j]).sum() >= 200
+    }
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
+
+
 def plain_classes(rows):
     """class id of each row, from all pairs."""
     sh = O.Shingler()
