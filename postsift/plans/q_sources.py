@@ -154,7 +154,7 @@ def page_cards(spark, sf):
 
 
 # -- prose --------------------------------------------------------------------
-_EMAIL = "[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9.-]+"
+_EMAIL = "[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+"  # fixed value
 
 
 def _part(n: int, limit: int | None) -> str:
@@ -186,7 +186,7 @@ def social_extract(spark, sf):
 _SKILLS = f"[{', '.join(O.quote(s) for s in C.PROFILE_SKILLS)}]"
 
 
-@query("profile_extract", f"""SELECT doc_id, '' AS name, regexp_extract(text, '{_EMAIL}') AS email, trim(regexp_extract(text, '[+]?[\\d\\s\\-()]{{10,15}}'), E' \\t\\n\\r') AS phone,
+@query("profile_extract", f"""SELECT doc_id, '' AS name, regexp_extract(text, '{_EMAIL}') AS email, trim(regexp_extract(text, '[\\+]?[\\d\\s\\-\\(\\)]{{10,15}}'), E' \\t\\n\\r') AS phone,
     'Data Engineer' AS title, CAST(0 AS INT) AS years_experience, array_to_string(list_filter({_SKILLS}, lambda s: contains(lower(text), lower(s))), ',') AS skills FROM documents""")
 def profile_extract(spark, sf):
     out = prose.extract_profiles(V.texts(spark, sf, "documents", "doc_id"), "doc_id", "text")

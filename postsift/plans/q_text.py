@@ -104,7 +104,7 @@ def title_split(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", F.expr(text).alias("t")).select("p_partkey", company.alias("company"), title.alias("title"))
 
 
-_EMAIL = "[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9.-]+"
+_EMAIL = "[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+"  # fixed value
 
 
 @query("extract_email", f"SELECT doc_id, regexp_extract(text, '{_EMAIL}') AS email FROM documents")
