@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -52,43 +55,111 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with all its text at once; False if there is one of that name.
+
+    The text is written beside it first.  Hadoop's rename without overwriting takes one of many writers; local files,
+    where that is no single step, are linked.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    beside = os.path.join(os.path.dirname(os.path.dirname(path)), "staged", uuid.uuid4().hex)
+    target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    files = target.getFileSystem(conf)
+    files.mkdirs(target.getParent())
+    out = files.create(staged, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    try:
+        if files.getUri().getScheme() == "file":
+            os.link(staged.toUri().getPath(), target.toUri().getPath())
+        else:
+            kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            how = spark.sparkContext._gateway.new_array(kind, 1)
+            how[0] = kind.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(staged, target, how)
+    except FileExistsError:
+        return False
+    except Py4JJavaError:
+        if files.exists(target):
+            return False
+        raise
+    finally:
+        files.delete(staged, False)
+    return True
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n.rpartition("=")[2]) for n in _glob(spark, os.path.join(root, "commits", "v=*")))
+
+
 def latest_version(spark: SparkSession, root: str) -> int | None:
     """The last committed version; a write without its record does not count."""
-    names = _glob(spark, os.path.join(root, "commits", "v=*", "_SUCCESS"))
-    return max((int(n.split("/")[-2].partition("=")[2]) for n in names), default=None)
+    return max(_versions(spark, root), default=None)
 
 
 @dataclass
 class Commit:
-    """What a version consists of: the last batch of every stream, and where each bucket lies."""
+    """What a version consists of: the last batch of every stream, and the data folder of each bucket."""
 
     version: int
     streams: dict[str, int]
     buckets: dict[str, int]
 
 
+def _record(spark: SparkSession, root: str, version: int) -> Commit | None:
+    """The record of a version; None if it has been dropped meanwhile."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(root, "commits", version))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    stream = files.open(path)
+    try:
+        text = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return Commit(**json.loads(text))
+
+
 def last_commit(spark: SparkSession, root: str) -> Commit:
-    version = latest_version(spark, root)
-    if version is None:
-        return Commit(0, {}, {})
-    return Commit(**json.loads(spark.read.text(_folder(root, "commits", version)).first()[0]))
-
-
-def _commit(spark: SparkSession, root: str, done: Commit, keep: int) -> None:
-    """Record a version; then drop records beyond the last *keep*, and data that no record left names."""
-    record = spark.createDataFrame([(json.dumps(vars(done)),)], "value string").coalesce(1)
-    record.write.mode("overwrite").text(_folder(root, "commits", done.version))
-    for path in sorted(_glob(spark, os.path.join(root, "commits", "v=*")))[:-keep]:
-        _delete(spark, path)
-    kept = sorted(_glob(spark, os.path.join(root, "commits", "v=*", "_SUCCESS")))
-    needed = set()
-    for path in kept:
-        rec = json.loads(spark.read.text(path.rpartition("/")[0]).first()[0])
-        needed |= {(v, int(b)) for b, v in rec["buckets"].items()}
+    while True:
+        version = latest_version(spark, root)
+        if version is None:
+            return Commit(0, {}, {})
+        if found := _record(spark, root, version):
+            return found
+
+
+def _commit(spark: SparkSession, root: str, done: Commit, keep: int) -> bool:
+    """Record a version, unless another writer did; then drop records beyond the last *keep*, and data they left.
+
+    Data that no record names may be a writer's at work.  Its number is larger than the version that the writer began
+    from, so what is numbered up to the oldest record to keep belongs to nobody, or to a writer that has to start again.
+    """
+    if not _put_if_absent(spark, _folder(root, "commits", done.version), json.dumps(vars(done))):
+        return False
+    versions = _versions(spark, root)
+    if done.version not in versions[-keep:]:
+        return True
+    for version in versions[:-keep]:
+        _delete(spark, _folder(root, "commits", version))
+    needed = {(v, int(b)) for n in versions[-keep:] if (rec := _record(spark, root, n)) for b, v in rec.buckets.items()}
+    oldest = done.version - keep + 1
     for path in _glob(spark, os.path.join(root, "data", "v=*", f"{BUCKET}=*")):
-        version, bucket = (int(part.partition("=")[2]) for part in path.split("/")[-2:])
-        if (version, bucket) not in needed:
+        number, bucket = (int(part.partition("=")[2]) for part in path.split("/")[-2:])
+        if number <= oldest and (number, bucket) not in needed:
+            _delete(spark, path)
+    for path in _glob(spark, os.path.join(root, "claims", "v=*")):
+        if int(path.rpartition("=")[2]) <= oldest:
             _delete(spark, path)
+    return True
+
+
+def _claim(spark: SparkSession, root: str, after: int) -> int:
+    """A number larger than *after* for a data folder that no other writer has or gets."""
+    number = after + 1
+    while _glob(spark, _folder(root, "data", number)) or not _put_if_absent(spark, _folder(root, "claims", number), ""):
+        number += 1
+    return number
 
 
 # -- snapshots ----------------------------------------------------------------
@@ -118,25 +189,54 @@ def write_upsert(
     """Upsert a batch into a stored snapshot; False if this batch of this stream is in it already.
 
     Rows lie in *buckets* by a hash of their key.  Only the buckets that the batch touches are read and written, into a
-    folder of the new version; the commit record names, for every bucket, the version that holds it.  Nothing counts
-    before its record is written, so a batch that failed midway is done again from the last committed version.
+    data folder of a number of its own; the commit record names, for every bucket, the folder that holds it.  Nothing
+    counts before its record is written, so a batch that failed midway is done again from the last committed version.
     Choose *buckets* so that one fits a few tasks, and keep it: a snapshot cannot change it.
+
+    Several writers may share a root.  The record of a version is created by one of them.  Another one goes on: what it
+    wrote stands, under the next version, if nobody else wrote its buckets; if somebody did, or if *keep* versions have
+    gone by, it starts again from the last version.  All writers of a root use the same *keep*.
     """
     spark = batch.sparkSession
-    last = last_commit(spark, root)
-    if last.streams.get(stream, -1) >= batch_id:
+    if last_commit(spark, root).streams.get(stream, -1) >= batch_id:
         return False
     batch = batch.where(F.coalesce(F.col(key), F.lit("")) != "").persist()
     touched = [str(r[0]) for r in batch.select(bucket_of(key, buckets)).distinct().collect()]  # at most *buckets* rows
-    version = last.version + 1
-    if touched:
-        target = _read_buckets(spark, root, schema, {b: v for b, v in last.buckets.items() if b in touched})
-        rows = upsert(target, batch, order_by).withColumn(BUCKET, bucket_of(key, buckets))
-        rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(_folder(root, "data", version))
-    batch.unpersist()
-    done = Commit(version, last.streams | {stream: batch_id}, last.buckets | dict.fromkeys(touched, version))
-    _commit(spark, root, done, keep)
-    return True
+    try:
+        while True:
+            base = last = last_commit(spark, root)
+            number = 0
+            if touched:
+                number = _claim(spark, root, base.version)
+                try:
+                    target = _read_buckets(spark, root, schema, {b: v for b, v in base.buckets.items() if b in touched})
+                    rows = upsert(target, batch, order_by).withColumn(BUCKET, bucket_of(key, buckets))
+                    rows.repartition(BUCKET).write.partitionBy(BUCKET).parquet(_folder(root, "data", number))
+                except (Py4JJavaError, PySparkException):
+                    if _outdated(base, last_commit(spark, root), touched, keep):  # what it read from has been deleted
+                        _delete(spark, _folder(root, "data", number))
+                        continue
+                    raise
+            while last.streams.get(stream, -1) < batch_id and not _outdated(base, last, touched, keep):
+                done = Commit(last.version + 1, last.streams | {stream: batch_id}, last.buckets | dict.fromkeys(touched, number))
+                recorded = _commit(spark, root, done, keep)
+                last = last_commit(spark, root)
+                # a record that was put where one had been dropped long ago is no part of the last version
+                if recorded and last.streams.get(stream, -1) >= batch_id:
+                    return True
+                if recorded:
+                    _delete(spark, _folder(root, "commits", done.version))
+            if touched:
+                _delete(spark, _folder(root, "data", number))
+            if last.streams.get(stream, -1) >= batch_id:
+                return False
+    finally:
+        batch.unpersist()
+
+
+def _outdated(base: Commit, last: Commit, touched: Sequence[str], keep: int) -> bool:
+    """True if what was written from *base* cannot follow *last*."""
+    return last.version - base.version >= keep or any(last.buckets.get(b) != base.buckets.get(b) for b in touched)
 
 
 def upsert_batches(
@@ -160,7 +260,7 @@ def alert_once_batches(
     """A foreachBatch function that emits each key once over all runs.
 
     The keys sent are a folder per committed version; a batch whose record is missing is sent again into the same
-    folders.  *stream* is the checkpoint folder, as in `upsert_batches`.
+    folders.  *stream* is the checkpoint folder, as in `upsert_batches`.  One writer at a time.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -177,7 +277,8 @@ def alert_once_batches(
         out = os.path.join(sink, f"v={version:020d}")
         best.write.mode("overwrite").parquet(out)
         spark.read.schema(best.schema).parquet(out).select(key).write.mode("overwrite").parquet(_folder(root, "sent", version))
-        _commit(spark, root, Commit(version, last.streams | {stream: batch_id}, {}), keep)
+        if not _commit(spark, root, Commit(version, last.streams | {stream: batch_id}, {}), keep):
+            raise RuntimeError(f"another writer recorded version {version} in {root}: alerts have one writer")
 
     return apply
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pytest
@@ -229,6 +230,78 @@ def test_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
     assert put(rows.limit(0), 3) and ingest.read_snapshot(spark, root, schema).count() == 200
 
 
+SNAPSHOT = "id BIGINT, url STRING, title STRING, score INT, notified BOOLEAN"
+
+
+@pytest.mark.parametrize("keep", [1, 50])
+def test_two_writers_lose_no_row(spark, tmp_path, keep):
+    """Both write many batches to one root, partly into the same buckets; all rows and the last scores are there."""
+    root, schema = str(tmp_path), spark.createDataFrame([], SNAPSHOT).schema
+
+    def run(who):
+        for n in range(4):
+            rows = [(n, f"{who}{n}", "t", n), (n, f"{who}", "t", n)]
+            batch = spark.createDataFrame(rows, "seq INT, url STRING, title STRING, score INT").coalesce(1)
+            assert ingest.write_upsert(batch, root, schema, ("seq",), buckets=2, stream=who, batch_id=n, keep=keep)
+            assert not ingest.write_upsert(batch, root, schema, ("seq",), buckets=2, stream=who, batch_id=n, keep=keep)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(run, "ab"))
+    got = {r.url: r.score for r in ingest.read_snapshot(spark, root, schema).collect()}
+    assert got == {f"{w}{n}": n for w in "ab" for n in range(4)} | {"a": 3, "b": 3}
+    assert ingest.latest_version(spark, root) == 8 and len(os.listdir(os.path.join(root, "commits"))) == min(keep, 8)
+
+
+def test_a_record_is_put_once(spark, tmp_path):
+    """On local files, and through Hadoop's rename on a store of another scheme."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.records.link./store", f"file://{tmp_path}")
+    for root in (str(tmp_path / "local"), "viewfs://records/store/other"):
+        path = f"{root}/commits/v=1"
+        with ThreadPoolExecutor(4) as pool:
+            done = list(pool.map(lambda n: ingest._put_if_absent(spark, path, f"text {n}"), range(4 if root[0] == "/" else 1)))
+        assert sum(done) == 1 and not ingest._put_if_absent(spark, path, "late")
+        text = (tmp_path / ("local" if root[0] == "/" else "other") / "commits" / "v=1").read_text()
+        assert text == f"text {done.index(True)}"
+
+
+def test_writers_of_other_buckets_need_no_second_write(spark, tmp_path, monkeypatch):
+    root, schema = str(tmp_path), spark.createDataFrame([], SNAPSHOT).schema
+    rows = spark.createDataFrame([(k, f"u{k}", "t", 1) for k in range(40)], "seq INT, url STRING, title STRING, score INT")
+    one, other = (rows.where(ingest.bucket_of("url", 4) == b) for b in (1, 2))
+    commit, writes = ingest._commit, []
+
+    def late(spark, root, done, keep):  # another writer is faster, just before the record
+        monkeypatch.setattr(ingest, "_commit", commit)
+        assert ingest.write_upsert(other, root, schema, ("seq",), buckets=4, stream="other", batch_id=0)
+        return commit(spark, root, done, keep)
+
+    def counted(target, batch, order_by):
+        writes.append(1)
+        return ingest.upsert_metadata(target, batch, order_by)
+
+    monkeypatch.setattr(ingest, "_commit", late)
+    assert ingest.write_upsert(one, root, schema, ("seq",), buckets=4, stream="one", batch_id=0, upsert=counted)
+    assert ingest.read_snapshot(spark, root, schema).count() == one.count() + other.count() > 0
+    assert len(writes) == 1 and ingest.latest_version(spark, root) == 2
+
+
+def test_a_writer_that_dies_before_its_record_leaves_nothing(spark, tmp_path, monkeypatch):
+    root, schema = str(tmp_path), spark.createDataFrame([], SNAPSHOT).schema
+    batch = spark.createDataFrame([(1, "u", "t", 1)], "seq INT, url STRING, title STRING, score INT")
+    put = lambda n: ingest.write_upsert(batch.withColumn("score", F.lit(n)), root, schema, ("seq",), buckets=2, stream="s", batch_id=n, keep=2)
+    assert put(0)
+    with monkeypatch.context() as broken:
+        broken.setattr(ingest, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            put(1)
+    assert ingest.read_snapshot(spark, root, schema).first().score == 0
+    assert all(put(n) for n in range(1, 5)) and ingest.read_snapshot(spark, root, schema).first().score == 4
+    # what the dead one wrote is gone once no writer can be at work on it
+    left = [n for v in os.listdir(os.path.join(root, "data")) for n in os.listdir(os.path.join(root, "data", v)) if n.startswith("_bucket")]
+    assert len(left) == 2
+
+
 def test_alerts_once(spark, tmp_path):
     root, sink = str(tmp_path / "state"), str(tmp_path / "sent")
     send = ingest.alert_once_batches(root, sink, stream="one")
