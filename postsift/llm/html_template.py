@@ -49,7 +49,7 @@ P_SCOPE = frozenset("table td th caption button object template html body".split
 
 # Elements and names (in class, id and role) of what is no article.
 NO_ARTICLE = frozenset(
-    "aside audio button canvas datalist dialog fieldset footer form head header iframe input label menu meter nav noscript object "
+    "aside audio canvas datalist dialog fieldset footer head header iframe input menu meter nav noscript object "
     "optgroup option output progress script select style svg template textarea title video".split()
 )
 NO_ARTICLE_NAMES = frozenset(
@@ -60,6 +60,15 @@ NO_ARTICLE_NAMES = frozenset(
     "subscription toolbar topbar widget widgets".split()
 )
 ARTICLE_NAMES = frozenset("article articlebody article-body main maincontent main-content post-content entry-content story-body".split())
+#: Words beside those names that say nothing of a container.
+NEUTRAL_NAMES = frozenset(
+    "area bar block bottom box btn button buttons col column container content group holder inner item items left link links list "
+    "outer panel posts right row section site slot title top unit wrap wrapper zone".split()
+)
+COMMENT_NAMES = frozenset("comment comments disqus discussion replies reply respond responses".split())
+#: Words on them are read where they stand in a sentence.
+CONTROLS = frozenset(("button", "label"))
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: An article's own header holds its headline.
 IN_ARTICLE = frozenset(("header",))
 NEVER_NAMED = frozenset(("html", "body", "main", "article"))
@@ -82,10 +91,16 @@ def _hash(text: str, seed: int = 0) -> int:
 class Element:
     name: str
     path: int
+    #: Gives no text: never, or as a suspect that is not kept stands around it.
+    hard: bool
     dropped: bool
     article: bool
     inside: bool
     link: bool
+    control: bool = False
+    #: The innermost suspect around or at it, and how many containers named as articles.
+    suspect: int = 0
+    articles: int = 0
     chars: int = 0
     link_chars: int = 0
 
@@ -93,10 +108,42 @@ class Element:
 @dataclass
 class Page:
     """tags: path -> [count, parent path, begins an article by name, chars of text inside, of them in links, chars before the first];
-    blocks: (text, text token, inside the chosen slots, inside an article by name, path of the tag around it, chars in links)."""
+    blocks: (text, text token, inside the chosen slots, inside an article by name, path of the tag around it, chars in links, heading)."""
 
     tags: dict[int, list] = field(default_factory=dict)
-    blocks: list[tuple[str, int, bool, bool, int, int]] = field(default_factory=list)
+    blocks: list[tuple[str, int, bool, bool, int, int, bool]] = field(default_factory=list)
+
+
+@dataclass
+class Suspect:
+    """An element that its name or class calls no part of an article; the first stands for the page itself.
+
+    chars: text outside of links, with no other suspect nearer around it; articles: containers named as articles, alike;
+    around: such containers around the element, in whatever suspect.
+    """
+
+    parent: int
+    comments: bool = False
+    around: int = 0
+    chars: int = 0
+    articles: int = 0
+
+
+def _kept(suspects: list[Suspect]) -> frozenset[int]:
+    """Suspects that hold the article in spite of their names, as a layout called after its sidebar.
+
+    Such a one holds most of the page's text outside of links, and no container named as an article stands beside it.
+    Reader comments, which may be longer than their article, are kept only where no such container stands around them either.
+    """
+    chars = [s.chars for s in suspects]
+    for k in range(len(suspects) - 1, 0, -1):
+        chars[suspects[k].parent] += chars[k]
+    kept, articles = {0}, suspects[0].articles
+    for k, s in enumerate(suspects):
+        if k and s.parent in kept and 2 * chars[k] > chars[0] and articles <= (0 if s.comments else s.around):
+            kept.add(k)
+            articles += s.articles
+    return frozenset(kept)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -109,29 +156,40 @@ def _attributes(text: str) -> dict[str, str]:
 def parse(html: str | None, slots: frozenset[int] = frozenset()) -> Page:
     """Tags and text blocks of a page; what stands in menus, headers, forms and the like gives no block.
 
+    An element that holds the article is read whatever its class and id say: the page is read a second time where there is one.
     Never fails: unclosed, stray and nested tags of any depth are read as browsers do, roughly.
     """
-    page = Page()
     if not html:
-        return page
-    stack = [Element("", 0, False, False, False, False)]
+        return Page()
+    page, suspects = _read(html, slots, frozenset((0,)))
+    kept = _kept(suspects)
+    return _read(html, slots, kept)[0] if len(kept) > 1 else page
+
+
+def _read(html: str, slots: frozenset[int], kept: frozenset[int]) -> tuple[Page, list[Suspect]]:
+    """The page without the suspects that are not *kept*, and all suspects, numbered in page order."""
+    page, suspects = Page(), [Suspect(0)]
+    stack = [Element("", 0, False, False, False, False, False)]
     opened: dict[str, int] = {}
     text: list[str] = []
     links = seen = 0
+    spoken = False
 
     def flush() -> None:
-        nonlocal links, seen
+        nonlocal links, seen, spoken
         if text:
             block = " ".join("".join(text).split())
             top = stack[-1]
-            if block:
+            # what buttons and labels say alone is no text
+            if block and spoken:
                 links = min(links, len(block))
-                page.blocks.append((block, _hash(block, top.path & 0xFFFFFFFF), top.inside, top.article, top.path, links))
+                heading = any(opened.get(h) for h in HEADINGS)
+                page.blocks.append((block, _hash(block, top.path & 0xFFFFFFFF), top.inside, top.article, top.path, links, heading))
                 top.chars += len(block)
                 top.link_chars += links
                 seen += len(block)
             text.clear()
-            links = 0
+            links, spoken = 0, False
 
     def pop() -> None:
         top = stack.pop()
@@ -154,12 +212,16 @@ def parse(html: str | None, slots: frozenset[int] = frozenset()) -> Page:
                     break
 
     def say(part: str) -> None:
-        nonlocal links
-        if part and not stack[-1].dropped:
+        nonlocal links, spoken
+        top = stack[-1]
+        if part and not top.hard and not top.link:
+            suspects[top.suspect].chars += len(part.strip())
+        if part and not top.dropped:
+            spoken = spoken or (not top.control and not part.isspace())
             part = html_entities.unescape(part) if "&" in part else part
             text.append(part)
             # a headline that links to its own page is no menu
-            links += len(part) if stack[-1].link and not opened.get("h1") else 0
+            links += len(part) if top.link and not opened.get("h1") else 0
 
     at, size = 0, len(html)
     while at < size:
@@ -189,43 +251,56 @@ def parse(html: str | None, slots: frozenset[int] = frozenset()) -> Page:
         parent = stack[-1]
         label = f"{parent.path}>{name}.{attributes.get('class', '')}#{attributes.get('id', '')}"
         path = _hash(_DIGITS.sub("", label.partition(">")[2]), parent.path & 0xFFFFFFFF)
-        article, dropped = _kind(name, attributes, parent)
-        own = article and (not parent.article or name == "article")
-        tag = page.tags.setdefault(path, [0, parent.path, own, 0, 0, seen])
+        article, hard, named = _kind(name, attributes, parent)
+        suspect = parent.suspect
+        if named:
+            suspect = len(suspects)
+            suspects.append(Suspect(parent.suspect, named == "comments", parent.articles))
+        dropped = parent.dropped or hard or suspect not in kept
+        own = article and not hard and (not parent.article or name == "article")
+        suspects[suspect].articles += own
+        tag = page.tags.setdefault(path, [0, parent.path, own and not dropped, 0, 0, seen])
         tag[0] += 1
         if name in RAW:
             # raw text up to its end tag
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = end.end() if end else size
         elif name not in VOID:
-            stack.append(Element(name, path, dropped, article, parent.inside or path in slots, parent.link or name == "a"))
+            stack.append(Element(
+                name, path, hard, dropped, article, parent.inside or path in slots, parent.link or name == "a",
+                parent.control or name in CONTROLS, suspect, parent.articles + own))
             opened[name] = opened.get(name, 0) + 1
     flush()
     while len(stack) > 1:
         pop()
     page.tags[0] = [1, 0, False, stack[0].chars, stack[0].link_chars, 0]
-    return page
+    return page, suspects
+
 
+def _kind(name: str, attributes: dict[str, str], parent: Element) -> tuple[bool, bool, str]:
+    """(inside an article by name, never part of an article, "names" or "comments" of a suspect).
 
-def _kind(name: str, attributes: dict[str, str], parent: Element) -> tuple[bool, bool]:
-    """(inside an article by name, no part of an article)."""
-    if parent.dropped or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return parent.article, True
+    In an article a class or id makes a suspect only if all its words are such names or say nothing: `share-buttons` does,
+    `related-work` and `code-comment` do not.
+    """
+    if parent.hard or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return parent.article, True, ""
     named = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".strip()
     article = parent.article or name in ("article", "main") or attributes.get("itemprop", "").lower() == "articlebody"
     if name in NO_ARTICLE and not (parent.article and name in IN_ARTICLE):
-        return article, True
+        return article, True, ""
     if named:
         article = article or not ARTICLE_NAMES.isdisjoint(named.lower().split())
         if name not in NEVER_NAMED:
             for word in named.split():
-                pieces = [p.lower() for p in _NAME.findall(word)]
-                if not NEGATIONS.isdisjoint(pieces):
+                pieces = {p.lower() for p in _NAME.findall(word)}
+                found = pieces & NO_ARTICLE_NAMES
+                if not found or not NEGATIONS.isdisjoint(pieces):
+                    continue
+                if parent.article and (found <= IN_ARTICLE or not pieces <= NO_ARTICLE_NAMES | NEUTRAL_NAMES):
                     continue
-                for piece in pieces:
-                    if piece in NO_ARTICLE_NAMES and not (parent.article and piece in IN_ARTICLE):
-                        return article, True
-    return article, False
+                return article, False, "names" if COMMENT_NAMES.isdisjoint(found) else "comments"
+    return article, False, "names" if name == "form" else ""
 
 
 TOKEN = (
@@ -253,7 +328,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = key & 0x3FFFFFFF, key >> 32 & 0x3FFFFFFF
             rows = [(token, False, parent, article, n, c, k, start) for token, (n, parent, article, c, k, start) in page.tags.items()]
             texts: dict[int, list[int]] = {}
-            for text, token, _, _, path, links in page.blocks:
+            for text, token, _, _, path, links, _ in page.blocks:
                 # texts that differ in digits only, as counters and dates, are also one text of a place
                 label = _DIGITS.sub("", text)
                 label = _hash(label, path & 0xFFFFFFFF) if label != text and any(map(str.isalpha, label)) else token
@@ -451,8 +526,9 @@ def main_text(html: str | None, slots: frozenset[int], constant: frozenset[int])
         if sum(len(b[0]) - b[5] for b in chosen) < NAMED_SHARE * sum(len(b[0]) - b[5] for b in blocks) or not chosen:
             chosen = blocks
     own = [i for i, b in enumerate(chosen) if b[1] not in constant]
-    # constant texts go before the first and after the last of the page's own; a page of nothing but them keeps them
-    return "\n".join(b[0] for b in (chosen[own[0] : own[-1] + 1] if own else chosen))
+    # constant texts go before the first, if they are no headings, and after the last of the page's own; a page of nothing
+    # but them keeps them
+    return "\n".join(b[0] for i, b in enumerate(chosen) if not own or own[0] <= i <= own[-1] or (b[6] and i < own[0]))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

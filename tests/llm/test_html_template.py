@@ -170,3 +170,43 @@ def test_constant_texts_go_by_one_rule_at_every_number_of_pages(spark):
     # a text that every page has among its own paragraphs stays
     pages = [f"<html><body><div class=x><p>{words(k)}</p><p>So it goes.</p><p>{words(k + 100)}</p></div></body></html>" for k in range(25)]
     assert extracted(spark, pages) == {k: f"{words(k)}\nSo it goes.\n{words(k + 100)}" for k in range(25)}
+
+
+def test_a_container_with_the_article_is_read_whatever_its_name():
+    for name in ("layout sidebar-right", "page search-enabled", "elementor-widget-wrap", "related", "comment-enabled post"):
+        for inner in ("<article><h1>Head</h1><p>{0}</p></article>", "<h1>Head</h1><p>{0}</p>", "<div class='x widget'><h1>Head</h1><p>{0}</p></div>"):
+            menu = "<div class=sidebar><a href=/>one</a> menu</div>"
+            page = f"<body>{menu}<div class='{name}'>{inner.format(words(1))}{menu}<div id=comments>reader says so</div></div></body>"
+            assert H.main_text(page, NONE, NONE) == f"Head\n{words(1)}", (name, inner)
+    # long comments and a long sidebar are not the article, if one is named
+    for name in ("comments", "sidebar"):
+        page = f"<body><main><article><p>short text</p></article><div class={name}><p>{words(2)}</p></div></main></body>"
+        assert H.main_text(page, NONE, NONE) == "short text"
+    assert H.main_text(f"<article><p>short text</p><div class=comments>{words(2)}</div></article>", NONE, NONE) == "short text"
+    assert H.main_text("<article></article><div class=cookie-notice>we use</div>", NONE, NONE) == ""
+    # a form around the whole page
+    assert H.main_text(f"<body><form><div id=x><p>{words(1)}</p></div><label>Name</label><input></form></body>", NONE, NONE) == words(1)
+
+
+def test_names_inside_an_article_need_all_words():
+    for name in ("related-work", "search-results-text", "code-comment"):
+        page = f"<article><p>{words(1)}</p><section id={name}><p>own text</p></section></article>"
+        assert H.main_text(page, NONE, NONE) == f"{words(1)}\nown text", name
+    for name in ("share-buttons", "related-posts", "ad", "newsletter-signup", "comment-list"):
+        page = f"<article><p>{words(1)}</p><section id={name}><p>no text</p></section></article>"
+        assert H.main_text(page, NONE, NONE) == words(1), name
+
+
+def test_controls_in_sentences_and_shared_headings(spark):
+    page = "<article><p>Press <button>Go</button> now.</p><p><label>x</label> is defined</p><button>Share</button><button>Print</button></article>"
+    assert H.main_text(page, NONE, NONE) == "Press Go now.\nx is defined"
+    pages = [f"<html><body><div class=x><h1>Weekly letter</h1><p>{words(k)}</p><p>{words(k + 100)}</p></div></body></html>" for k in range(6)]
+    assert extracted(spark, pages) == {k: f"Weekly letter\n{words(k)}\n{words(k + 100)}" for k in range(6)}
+
+
+def test_clashing_columns_and_a_very_long_page(spark):
+    long = "word " * 400_000
+    rows = [(k, f"http://l.example/{k}", f"<html><body><article><p>{long if k == 3 else words(k)}</p></article></body></html>") for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit("clash") for n in ("content", "copies", "html_", "pages", "Text")})
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert got == {k: long.strip() if k == 3 else words(k) for k in range(5)}
