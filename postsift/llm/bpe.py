@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from postsift.llm.common import per_worker, small_batches
 
 #: Bounds on what a Python worker keeps: transducer states, checked token pairs, and encodings of pieces (twice) of at
-#: most so many characters.  Together they stay under about 350 MB.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 300_000, 200_000, 150_000, 64
+#: most so many characters.  Together they stay under about 250 MB.
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 200_000, 100_000, 100_000, 64
 #: Longer texts are split into pieces by and by, to bound the pieces alive at once.
 LONG_CHARS, PART = 1_000_000, 100_000
 #: A node of the trie with at most so many tokens below it is searched for one that can follow.
@@ -45,22 +45,24 @@ class Merges:
         self.tokens = {rank: token for token, rank in ranks.items()}
         # node 0 is the root; (node * 256 + byte) to node, and the token that ends at a node
         self.trie: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
+        self.token_at = array("i", [-1])
         # the tokens below a node are a range of all in byte order
-        self.sorted = [rank for _, rank in sorted(ranks.items())]
-        self.below: list[list[int]] = [[0, len(ranks)]]
+        self.sorted = array("i", [rank for _, rank in sorted(ranks.items())])
+        self.first, self.end = array("i", [0]), array("i", [len(ranks)])
         for place, rank in enumerate(self.sorted):
             node = 0
             for byte in self.tokens[rank]:
                 node = self.trie.setdefault(node * 256 + byte, len(self.token_at))
                 if node == len(self.token_at):
                     self.token_at.append(-1)
-                    self.below.append([place, place])
-                self.below[node][1] = place + 1
+                    self.first.append(place)
+                    self.end.append(place)
+                self.end[node] = place + 1
             self.token_at[node] = rank
         self._ends: dict[int, tuple[list, list]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._open: dict[tuple[int, int], bool] = {}
+        # by the first number times 2 ** 32 plus the second
+        self._pairs: dict[int, bool] = {}
+        self._open: dict[int, bool] = {}
 
     def parts(self, data: bytes, until: int = 1) -> list[bytes]:
         """Merge the pair of lowest rank, the first of equals, until *until* parts or no pair is left."""
@@ -90,11 +92,11 @@ class Merges:
 
     def adjacent(self, a: int, b: int) -> bool:
         """True if the encoding of the bytes of a and b is a, b."""
-        known = self._pairs.get((a, b))
+        known = self._pairs.get(a << 32 | b)
         if known is None:
             if len(self._pairs) > MAX_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self._check(a, b)
+            known = self._pairs[a << 32 | b] = self._check(a, b)
         return known
 
     def _check(self, a: int, b: int) -> bool:
@@ -107,16 +109,15 @@ class Merges:
                     return False
         return True
 
-
     def may_follow(self, last: int, node: int) -> bool:
         """False if no token below the node can follow *last*.  Nodes with many tokens are not searched."""
-        known = self._open.get((last, node))
+        known = self._open.get(last << 32 | node)
         if known is None:
             if len(self._open) > MAX_PAIRS:
                 self._open.clear()
-            first, end = self.below[node]
+            first, end = self.first[node], self.end[node]
             known = end - first > FEW_TOKENS or any(self.adjacent(last, t) for t in self.sorted[first:end])
-            self._open[last, node] = known
+            self._open[last << 32 | node] = known
         return known
 
 
@@ -128,25 +129,34 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[tuple, dict] = {}
-        self.start = self._state((((), -1, 0),))
-
-    def _state(self, configurations: tuple) -> dict:
-        """Configurations are (tokens not yet written, last token, trie node), the longest read part first."""
-        state = self.known.get(configurations)
-        if state is None:
-            written, _, node = configurations[-1]
-            state = self.known[configurations] = {"all": configurations, "end": None if node else written}
-        return state
+        self.known: dict[tuple, tuple[dict, tuple]] = {}
+        self.start = self._silent((((), -1, 0),))[0]
+
+    def _silent(self, configurations) -> tuple[dict, tuple]:
+        """The step into a state that writes nothing; all such steps are one object.
+
+        Configurations are (tokens not yet written, last token, trie node), the longest read part first.  A state keeps
+        them as one flat tuple, in which the number of tokens comes first.
+        """
+        flat: list[int] = []
+        for written, last, node in configurations:
+            flat += (len(written), *written, last, node)
+        key = tuple(flat)
+        step = self.known.get(key)
+        if step is None:
+            step = self.known[key] = ({"all": key, "end": None if node else written}, ())
+        return step
 
     def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
         """Follow all configurations over one byte."""
         trie, token_at, adjacent = self.merges.trie.get, self.merges.token_at, self.merges.adjacent
         known, may_follow = self.merges._open.get, self.merges.may_follow
         after, closed = [], None
-        for written, last, node in state["all"]:
-            node = trie(node * 256 + byte)
-            if node is None or last >= 0 and not ((go := known((last, node))) or go is None and may_follow(last, node)):
+        flat, at = state["all"], 0
+        while at < len(flat):
+            start, at = at + 1, at + flat[at] + 3
+            written, last, node = flat[start : at - 2], flat[at - 2], trie(flat[at - 1] * 256 + byte)
+            if node is None or last >= 0 and not ((go := known(last << 32 | node)) or go is None and may_follow(last, node)):
                 continue
             after.append((written, last, node))
             # as encodings are unique, at most one configuration ends a token here
@@ -163,7 +173,8 @@ class Transducer:
                 while written[: len(agreed)] != agreed:
                     agreed = agreed[:-1]
             after = [(written[len(agreed) :], last, node) for written, last, node in after]
-        step = state[byte] = (self._state(tuple(after)), agreed)
+        step = self._silent(after)
+        step = state[byte] = (step[0], agreed) if agreed else step
         return step
 
     def encode(self, piece: bytes) -> tuple[int, ...]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -31,6 +32,15 @@ def words(data: bytes | None) -> list[bytes]:
     return data.translate(_FOLD).split() if data else []
 
 
+def _give_back() -> None:
+    """Return what a worker freed to the system, where its allocators can; they would keep most of it for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def per_worker(key: str, build: Callable[[], object]) -> object:
     """A value kept for the life of a Python worker, as functions are unpickled anew for each task.
 
@@ -41,7 +51,7 @@ def per_worker(key: str, build: Callable[[], object]) -> object:
     store = sys.modules.setdefault("_postsift_worker_values", types.ModuleType("_postsift_worker_values")).__dict__
     if store.get("kept", (None,))[0] != key:
         store["kept"] = (None,)
-        gc.collect()
+        _give_back()
         store["kept"] = (key, build())
     return store["kept"][1]
 
