@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from postsift.llm.common import per_worker, small_batches
 
 #: Bounds on what a Python worker keeps: transducer states, checked token pairs, and encodings of pieces (twice) of at
-#: most so many characters.  Together they stay under about 250 MB.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 200_000, 100_000, 100_000, 64
+#: most so many characters.  Together they stay under about 260 MB (measured).
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE_CHARS = 200_000, 50_000, 60_000, 64
 #: Longer texts are split into pieces by and by, to bound the pieces alive at once.
 LONG_CHARS, PART = 1_000_000, 100_000
 #: A node of the trie with at most so many tokens below it is searched for one that can follow.
@@ -45,7 +45,7 @@ class Merges:
         self.tokens = {rank: token for token, rank in ranks.items()}
         # node 0 is the root; (node * 256 + byte) to node, and the token that ends at a node
         self.trie: dict[int, int] = {}
-        self.token_at = array("i", [-1])
+        self.token_at = [-1]  # a list, so that all encodings share one number object for each token
         # the tokens below a node are a range of all in byte order
         self.sorted = array("i", [rank for _, rank in sorted(ranks.items())])
         self.first, self.end = array("i", [0]), array("i", [len(ranks)])
@@ -58,7 +58,7 @@ class Merges:
                     self.first.append(place)
                     self.end.append(place)
                 self.end[node] = place + 1
-            self.token_at[node] = rank
+            self.token_at[node] = ranks[self.tokens[rank]]
         self._ends: dict[int, tuple[list, list]] = {}
         # by the first number times 2 ** 32 plus the second
         self._pairs: dict[int, bool] = {}
@@ -122,17 +122,17 @@ class Merges:
 
 
 class Transducer:
-    """Encodes pieces of bytes.  A state maps a byte to (next state, tokens written)."""
+    """Encodes pieces of bytes.  A step is (the next state's steps by byte, tokens written, its configurations)."""
 
     def __init__(self, merges: Merges, max_states: int = MAX_STATES):
         self.merges, self.max_states = merges, max_states
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[tuple, tuple[dict, tuple]] = {}
-        self.start = self._silent((((), -1, 0),))[0]
+        self.known: dict[tuple, tuple[dict, tuple, tuple]] = {}
+        self.start = self._silent((((), -1, 0),))
 
-    def _silent(self, configurations) -> tuple[dict, tuple]:
+    def _silent(self, configurations) -> tuple[dict, tuple, tuple]:
         """The step into a state that writes nothing; all such steps are one object.
 
         Configurations are (tokens not yet written, last token, trie node), the longest read part first.  A state keeps
@@ -144,15 +144,25 @@ class Transducer:
         key = tuple(flat)
         step = self.known.get(key)
         if step is None:
-            step = self.known[key] = ({"all": key, "end": None if node else written}, ())
+            step = self.known[key] = ({}, (), key)
         return step
 
-    def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
+    @staticmethod
+    def _end(flat: tuple) -> tuple[int, ...]:
+        """The tokens still to write where a piece ends: those of the last configuration, which has just ended a token."""
+        at, end = 0, 0
+        while end < len(flat):
+            at, end = end, end + flat[end] + 3
+        if flat[-1]:
+            raise ValueError("no token sequence: the ranks lack a byte")
+        return flat[at + 1 : end - 2]
+
+    def _step(self, here: tuple[dict, tuple, tuple], byte: int) -> tuple[dict, tuple, tuple]:
         """Follow all configurations over one byte."""
         trie, token_at, adjacent = self.merges.trie.get, self.merges.token_at, self.merges.adjacent
         known, may_follow = self.merges._open.get, self.merges.may_follow
         after, closed = [], None
-        flat, at = state["all"], 0
+        flat, at = here[2], 0
         while at < len(flat):
             start, at = at + 1, at + flat[at] + 3
             written, last, node = flat[start : at - 2], flat[at - 2], trie(flat[at - 1] * 256 + byte)
@@ -174,7 +184,7 @@ class Transducer:
                     agreed = agreed[:-1]
             after = [(written[len(agreed) :], last, node) for written, last, node in after]
         step = self._silent(after)
-        step = state[byte] = (step[0], agreed) if agreed else step
+        step = here[0][byte] = (step[0], agreed, step[2]) if agreed else step
         return step
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -184,17 +194,17 @@ class Transducer:
         if len(self.known) > self.max_states:
             self._reset()
         out: list[int] = []
-        state = self.start
+        here = self.start
         for byte in piece:
-            step = state.get(byte)
+            step = here[0].get(byte)
             if step is None:
                 if len(self.known) > self.max_states:  # within a piece of any length; the state at hand goes on
                     self._reset()
-                step = self._step(state, byte)
-            state, written = step
-            if written:
-                out += written
-        return (*out, *state["end"])
+                step = self._step(here, byte)
+            here = step
+            if here[1]:
+                out += here[1]
+        return (*out, *self._end(here[2]))
 
 
 class Encoder:
@@ -339,9 +349,9 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     ranks, key = _ranks(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(f"encoder:{key}{pattern}", lambda: Encoder(read_ranks(ranks.value), pattern))
-        for batch in small_batches(batches, 64):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _encoded(encoder, batch)[1]], names=["id", "ids"])
+        with per_worker(f"encoder:{key}{pattern}", lambda: Encoder(read_ranks(ranks.value), pattern)) as encoder:
+            for batch in small_batches(batches, 64):
+                yield pa.RecordBatch.from_arrays([batch.column(0), _encoded(encoder, batch)[1]], names=["id", "ids"])
 
     rows = _texts(docs, id_col, text_col)
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id_col)
@@ -352,11 +362,11 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: st
     ranks, key = _ranks(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = per_worker(f"decoder:{key}", lambda: Utf8Decoder({i: t for t, i in read_ranks(ranks.value).items()}))
-        for batch in small_batches(batches, 64):
-            lists = [ids or [] for ids in batch.column(1).to_pylist()]
-            texts = pa.array(map(decoder.text, lists), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(map(decoder.data, lists), pa.binary())], names=["id", "text", "data"])
+        with per_worker(f"decoder:{key}", lambda: Utf8Decoder({i: t for t, i in read_ranks(ranks.value).items()})) as decoder:
+            for batch in small_batches(batches, 64):
+                lists = [ids or [] for ids in batch.column(1).to_pylist()]
+                texts = pa.array(map(decoder.text, lists), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(map(decoder.data, lists), pa.binary())], names=["id", "text", "data"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, text string, data binary").withColumnRenamed("id", id_col)
@@ -380,13 +390,13 @@ def round_trip(
         return Encoder(table, pattern), Utf8Decoder({i: t for t, i in table.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = per_worker(f"round-trip:{key}{pattern}", build)
-        for batch in small_batches(batches, 64):
-            found, lists = _encoded(encoder, batch)
-            said = pa.array([sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in found], pa.string())
-            back = pa.array([sha256(decoder.text(ids).encode()).hexdigest() for ids in found], pa.string())
-            sizes = pa.array(map(len, found), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, said, back, *[lists] * keep_ids], names=names)
+        with per_worker(f"round-trip:{key}{pattern}", build) as (encoder, decoder):
+            for batch in small_batches(batches, 64):
+                found, lists = _encoded(encoder, batch)
+                said = pa.array([sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in found], pa.string())
+                back = pa.array([sha256(decoder.text(ids).encode()).hexdigest() for ids in found], pa.string())
+                sizes = pa.array(map(len, found), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, said, back, *[lists] * keep_ids], names=names)
 
     rows = _texts(docs, id_col, text_col)
     out = f"id {dict(rows.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

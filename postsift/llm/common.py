@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
+import threading
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,6 +19,9 @@ _FOLD = bytes(
     b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
 )
 
+#: A Python worker without a task for so long gives back what it remembers.
+IDLE_SECONDS = 5
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,19 +46,41 @@ def _give_back() -> None:
         trim(0)
 
 
-def per_worker(key: str, build: Callable[[], object]) -> object:
-    """A value kept for the life of a Python worker, as functions are unpickled anew for each task.
+def _let_go(store: dict) -> None:
+    """Drop what a worker keeps, unless a task uses it."""
+    with store["lock"]:
+        if not store["users"]:
+            store["kept"] = (None,)
+            _give_back()
+
+
+@contextmanager
+def per_worker(key: str, build: Callable[[], object]) -> Iterator[object]:
+    """A value that a Python worker keeps from task to task, as functions are unpickled anew for each.
 
     A worker keeps one value in all: one with another key, of whatever operator, takes the place of the one before it
-    and frees its memory first.  Workers serve one stage after another, so what an earlier stage remembered would else
-    stay beside what the next one builds.  Callers bound what their value may grow to.
+    and frees its memory first.  A worker that no task uses for IDLE_SECONDS lets its value go: a stage may end with
+    more workers than the next one needs, and what the idle ones remember would stay beside what the others build.
+    Callers bound what their value may grow to.
     """
     store = sys.modules.setdefault("_postsift_worker_values", types.ModuleType("_postsift_worker_values")).__dict__
-    if store.get("kept", (None,))[0] != key:
-        store["kept"] = (None,)
-        _give_back()
-        store["kept"] = (key, build())
-    return store["kept"][1]
+    with store.setdefault("lock", threading.Lock()):
+        if "timer" in store:
+            store.pop("timer").cancel()
+        store["users"] = store.get("users", 0) + 1
+        if store.get("kept", (None,))[0] != key:
+            store["kept"] = (None,)
+            _give_back()
+            store["kept"] = (key, build())
+        value = store["kept"][1]
+    try:
+        yield value
+    finally:
+        with store["lock"]:
+            store["users"] -= 1
+            timer = store["timer"] = threading.Timer(IDLE_SECONDS, _let_go, (store,))
+            timer.daemon = True
+            timer.start()
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

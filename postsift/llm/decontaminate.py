@@ -156,22 +156,22 @@ def _search(state: DataFrame, block: list, window: int, schema, count: bool = Fa
         "id", F.lit(0).cast("long").alias("n_words"), "spans", "items").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = per_worker(name, lambda: Searcher(patterns.value, window))
-        names = pa.schema([(f.name, _arrow(f.name)) for f in out.fields if f.name != "id"])
-        for batch in small_batches(batches):
-            sizes, spans, items = [], [], []
-            for data, old, had in zip(batch["data"].to_pylist(), batch["spans"].to_pylist(), batch["items"].to_pylist()):
-                text = words(data)
-                new, found = search.find(text)
-                old = [(s["start"], s["end"]) for s in old or ()]
-                sizes.append(len(text))
-                spans.append([{"start": a, "end": b} for a, b in (merge(old + new) if old else new)])
-                items.append(sorted(found | set(had or ())))
-            columns = {"n_words": sizes, "data": batch["data"], "spans": spans, "items": items}
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], *(columns[f.name] if f.name == "data" else pa.array(columns[f.name], f.type) for f in names)],
-                names=["id", *names.names],
-            )
+        with per_worker(name, lambda: Searcher(patterns.value, window)) as search:
+            names = pa.schema([(f.name, _arrow(f.name)) for f in out.fields if f.name != "id"])
+            for batch in small_batches(batches):
+                sizes, spans, items = [], [], []
+                for data, old, had in zip(batch["data"].to_pylist(), batch["spans"].to_pylist(), batch["items"].to_pylist()):
+                    text = words(data)
+                    new, found = search.find(text)
+                    old = [(s["start"], s["end"]) for s in old or ()]
+                    sizes.append(len(text))
+                    spans.append([{"start": a, "end": b} for a, b in (merge(old + new) if old else new)])
+                    items.append(sorted(found | set(had or ())))
+                columns = {"n_words": sizes, "data": batch["data"], "spans": spans, "items": items}
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"], *(columns[f.name] if f.name == "data" else pa.array(columns[f.name], f.type) for f in names)],
+                    names=["id", *names.names],
+                )
 
     return state.mapInArrow(run, out)
 
@@ -205,9 +205,9 @@ def _clean_rows(patterns, at: int, window: int):
     name = f"decontaminate:{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = per_worker(name, lambda: Searcher(patterns.value, window))
-        for batch in small_batches(batches):
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array([not search.hits(words(t)) for t in texts], pa.bool_()))
+        with per_worker(name, lambda: Searcher(patterns.value, window)) as search:
+            for batch in small_batches(batches):
+                texts = batch.column(at).cast(pa.binary()).to_pylist()
+                yield batch.filter(pa.array([not search.hits(words(t)) for t in texts], pa.bool_()))
 
     return run

@@ -129,21 +129,21 @@ def pieces(
     names = ["id", *(f.split()[0] for f in PIECE.split(", ")), *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(f"pieces:{key}", lambda: Encoder(shared.value, pattern))
-        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in small_batches(batches, 64):
-            at, rows, ids = [], [], []
-            for n, text in enumerate(batch.column(1).to_pylist()):
-                whole = encoder.ids(text or "") + end_id.to_bytes(4, "little")
-                for piece, (start, length) in enumerate(cut(len(whole) // 4, capacity)):
-                    one = whole[4 * start : 4 * (start + length)]
-                    at.append(n)
-                    rows.append((piece, start, length, zlib.crc32(one), part, seen[length]))
-                    seen[length] += 1
-                    if keep_ids:
-                        ids.append(np.frombuffer(one, "<i4"))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns, *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else [])], names=names)
+        with per_worker(f"pieces:{key}", lambda: Encoder(shared.value, pattern)) as encoder:
+            part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+            for batch in small_batches(batches, 64):
+                at, rows, ids = [], [], []
+                for n, text in enumerate(batch.column(1).to_pylist()):
+                    whole = encoder.ids(text or "") + end_id.to_bytes(4, "little")
+                    for piece, (start, length) in enumerate(cut(len(whole) // 4, capacity)):
+                        one = whole[4 * start : 4 * (start + length)]
+                        at.append(n)
+                        rows.append((piece, start, length, zlib.crc32(one), part, seen[length]))
+                        seen[length] += 1
+                        if keep_ids:
+                            ids.append(np.frombuffer(one, "<i4"))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns, *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else [])], names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, {PIECE}" + ", ids array<int>" * keep_ids).withColumnRenamed("id", id_col)

@@ -84,21 +84,21 @@ def weigh(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
     shared, key = docs.sparkSession.sparkContext.broadcast(ratio), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, ratio = per_worker(f"resampling:{key}", lambda: (Hasher(), shared.value))
-        for batch in small_batches(batches):
-            weights, sizes, keys = [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                weight, size = 0.0, 0
-                for found in hasher.buckets(text):
-                    weight += float(ratio[found].sum())
-                    size += len(found)
-                weights.append(weight)
-                sizes.append(size)
-                keys.append(weight + gumbel(name))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.float64())],
-                names=["id", "log_weight", "n_grams", "sample_key"],
-            )
+        with per_worker(f"resampling:{key}", lambda: (Hasher(), shared.value)) as (hasher, ratio):
+            for batch in small_batches(batches):
+                weights, sizes, keys = [], [], []
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    weight, size = 0.0, 0
+                    for found in hasher.buckets(text):
+                        weight += float(ratio[found].sum())
+                        size += len(found)
+                    weights.append(weight)
+                    sizes.append(size)
+                    keys.append(weight + gumbel(name))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.float64())],
+                    names=["id", "log_weight", "n_grams", "sample_key"],
+                )
 
     return raw.mapInArrow(run, f"id {dict(raw.dtypes)['id']}, log_weight double, n_grams long, sample_key double")
 

@@ -150,16 +150,16 @@ def _projected(rows: DataFrame, found: Whitener) -> DataFrame:
     shared, key = rows.sparkSession.sparkContext.broadcast(vars(found)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whitener = per_worker(f"whitening:{key}", lambda: Whitener(**shared.value))
-        for batch in small_batches(batches, 1024):
-            x = matrix(batch.column(1))
-            far = square_sums(centre(x, whitener.n, whitener.sums), 1)
-            w = whitener.project(x)
-            ends = np.arange(0, w.size + 1, w.shape[1] or 1, dtype=np.int32)
-            values = pa.array(w.ravel(), pa.float64(), mask=np.isnan(w.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(Decimal, far), _EXACT), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "deviation", "w"]
-            )
+        with per_worker(f"whitening:{key}", lambda: Whitener(**shared.value)) as whitener:
+            for batch in small_batches(batches, 1024):
+                x = matrix(batch.column(1))
+                far = square_sums(centre(x, whitener.n, whitener.sums), 1)
+                w = whitener.project(x)
+                ends = np.arange(0, w.size + 1, w.shape[1] or 1, dtype=np.int32)
+                values = pa.array(w.ravel(), pa.float64(), mask=np.isnan(w.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(map(Decimal, far), _EXACT), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "deviation", "w"]
+                )
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, deviation decimal(38,0), w array<double>")
 
