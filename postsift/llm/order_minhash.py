@@ -502,8 +502,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     rounds = Rounds(docs.sparkSession, "near-duplicates")
     members = _classes(docs, id_col, text_col, rounds)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")).alias("first")
-    name = unused(docs, "text_id")
-    chosen = members.groupBy("root").agg(first).select(F.col("first.doc_id").alias(id_col), F.col("first.text_id").alias(name))
-    rows = docs.withColumn(name, text_id(text_col)).dropDuplicates([id_col, name])
-    same = rows[name].eqNullSafe(chosen[name]) & rows[id_col].eqNullSafe(chosen[id_col])
-    return rows.join(chosen, same, "left_semi").drop(name)
+    # a struct with a null in it equals its like, so one key deals the rows for both steps and texts move once
+    key = unused(docs, "text_id")
+    chosen = members.groupBy("root").agg(first).select(F.struct("first.doc_id", "first.text_id").alias(key))
+    rows = docs.withColumn(key, F.struct(F.col(id_col).alias("doc_id"), text_id(text_col).alias("text_id")))
+    return rows.dropDuplicates([key]).join(chosen, key, "left_semi").drop(key)
