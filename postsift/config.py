@@ -171,5 +171,11 @@ class Rules:
     easy_apply_only: bool = False
     match: str = "substring"  # or "word"
 
+    @property
+    def text_terms(self) -> tuple[str, ...]:
+        """All terms that the rules look for in descriptions."""
+        phrases = (t for _, terms in self.job_type_phrases for t in terms)
+        return tuple(dict.fromkeys((*self.description_terms, *self.excluded_terms, *phrases)))
+
 
 DEFAULT_RULES = Rules()

@@ -147,7 +147,8 @@ def _line(test: str, text: str) -> str:
     {_line("url <> ''", "chr(10) || '[👉 Apply Here](' || url || ')'")}) AS message FROM a""").replace("\n, a AS", ", a AS"))
 def alert_text(spark, sf):
     skills = F.when(F.col("id") % 2 == 0, F.split(F.lit("a,b,c,d,e,f"), ","))
-    rows = scored(spark, sf).withColumns({"llm_summary": T.as_text("description"), "skills": skills})
+    # a message shows 200 characters of the summary
+    rows = scored(spark, sf, keep=200).withColumns({"llm_summary": T.as_text("description"), "skills": skills})
     return rows.select("id", publish.alert_text().alias("message"))
 
 
@@ -170,7 +171,7 @@ def _new_urls():
 
 def _reasoned(spark, sf):
     """All postings with the reason that filters them out, each rule text read once."""
-    rows = computed_once(V.postings(spark, sf), _text=classify.rule_text())
+    rows = computed_once(V.postings(spark, sf, V.for_rules()), _text=classify.rule_text())
     return computed_once(rows, reason=classify.reject_reason(V.as_of(), text=F.col("_text"))).select("source", "url", "reason")
 
 

@@ -14,12 +14,17 @@ from postsift.plans.registry import query
 FEED = ("id", "title", "company", "location", "salary", "url", "source", "easy_apply", "applicants", "posted_date")
 
 
-def classified(spark, sf):
-    return classify.classify(V.postings(spark, sf))
+def classified(spark, sf, keep=0, ref=False):
+    """Descriptions are searchable only, but for their first *keep* characters."""
+    return classify.classify(V.postings(spark, sf, V.for_rules(keep), ref))
 
 
-def scored(spark, sf, **how):
-    return score.add_score(classified(spark, sf), V.as_of(), **how)
+def scored(spark, sf, keep=0, ref=False, **how):
+    return score.add_score(classified(spark, sf, keep, ref), V.as_of(), **how)
+
+
+def _wanted(text):
+    return T.searchable(text, C.DEMAND_SKILLS)
 
 
 _KEYED = """k AS (SELECT *, md5(lower(trim(title)) || '|' || lower(trim(company)) || '|' || lower(trim(location))) AS k FROM p)"""
@@ -105,19 +110,19 @@ def type_label(spark, sf):
 
 @query("reject_reasons", O.with_(O.P, f"SELECT id, {O.REASON} AS reason FROM p"))
 def reject_reasons(spark, sf):
-    return classify.with_reasons(V.postings(spark, sf), V.as_of()).select("id", "reason")
+    return classify.with_reasons(V.postings(spark, sf, V.for_rules()), V.as_of()).select("id", "reason")
 
 
 @query("filter_pass", O.with_(O.CLASS, f"SELECT id, title, role_category, job_type FROM c WHERE {O.REASON} IS NULL"))
 def filter_pass(spark, sf):
-    return classify.filter_pass(V.postings(spark, sf), V.as_of()).select("id", "title", "role_category", "job_type")
+    return classify.filter_pass(V.postings(spark, sf, V.for_rules()), V.as_of()).select("id", "title", "role_category", "job_type")
 
 
 @query("filter_easy_only", O.with_(
     O.P, f"SELECT id, coalesce({O.REASON}, CASE WHEN easy_apply IS NOT DISTINCT FROM false THEN 'easy_apply_only mode' END) AS reason FROM p"))
 def filter_easy_only(spark, sf):
     rules = C.Rules(easy_apply_only=True)
-    return classify.with_reasons(V.postings(spark, sf), V.as_of(), rules).select("id", "reason")
+    return classify.with_reasons(V.postings(spark, sf, V.for_rules()), V.as_of(), rules).select("id", "reason")
 
 
 @query("keyword_gate", O.with_(
@@ -125,7 +130,8 @@ def filter_easy_only(spark, sf):
     f"SELECT comment_id FROM cm WHERE {O.any_of('lower(text)', C.FORUM_RELEVANT_TERMS)} AND {O.any_of('lower(text)', C.FORUM_SIGNAL_TERMS)}"))
 def keyword_gate(spark, sf):
     gate = classify.keyword_gate("text", C.FORUM_RELEVANT_TERMS, C.FORUM_SIGNAL_TERMS)
-    return V.comments(spark, sf).where(gate).select("comment_id")
+    searched = (*C.FORUM_RELEVANT_TERMS, *C.FORUM_SIGNAL_TERMS)
+    return V.comments(spark, sf, lambda text: T.searchable(text, searched)).where(gate).select("comment_id")
 
 
 # -- score --------------------------------------------------------------------
@@ -212,7 +218,7 @@ def _demand_sql(ctes: str, source: str) -> str:
 
 @query("skill_demand", O.with_(_demand_sql(O.P, "p"), "SELECT CAST(place AS INT) AS place, skill, mentions, first_at FROM dem"))
 def skill_demand(spark, sf):
-    return analytics.skill_demand(V.postings(spark, sf), "id")
+    return analytics.skill_demand(V.postings(spark, sf, _wanted), "id")
 
 
 _OWNED = """own AS (SELECT DISTINCT CASE p_brand WHEN 'Brand#1' THEN 'spark' WHEN 'Brand#2' THEN 'python' WHEN 'Brand#3' THEN 'aws'
@@ -228,7 +234,7 @@ def skill_gap(spark, sf):
     owned = V.table(spark, sf, "part").select(
         F.when(brand == "Brand#1", "Spark").when(brand == "Brand#2", "Python").when(brand == "Brand#3", "AWS")
         .when(brand == "Brand#4", "Go").otherwise("none").alias("skill"))
-    return analytics.skill_gap(analytics.skill_demand(V.postings(spark, sf), "id"), owned)
+    return analytics.skill_gap(analytics.skill_demand(V.postings(spark, sf, _wanted), "id"), owned)
 
 
 @query("skills_heatmap", f"""WITH t AS (SELECT doc_id, list_filter([{', '.join(O.quote(t) for t in _TERMS)}], lambda t: contains(lower(text), t)) AS skills FROM documents),
@@ -344,6 +350,6 @@ def run_top500(spark, sf):
     """Dedup, classify, filter, score and rank: the main path of a run."""
     from postsift.plans.daily import prepare
 
-    out = prepare(V.postings(spark, sf), V.as_of(), ("id",))
+    out = prepare(V.postings(spark, sf, V.for_rules()), V.as_of(), ("id",))
     cols = ("id", "title", "company", "location", "salary", "role_category", "job_type", "score")
     return publish.top_k(out.select(*cols), C.GRID_ROWS, F.desc("score"), "id")
