@@ -95,13 +95,15 @@ def ask(df: DataFrame, id_col: str, prompt: Column, answer: Answer) -> DataFrame
 
 def enrich_top(
     df: DataFrame, id_col: str, answer: Answer, *, by: str = "score", n: int = C.ENRICH_ROWS, tasks: int = 8,
-    prompt: Column | None = None,
+    prompt: Column | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ask about the n best rows and add llm_score, llm_reason, llm_summary and skills.
 
-    The budget counts rows asked.  Rows that share an id share the answer; no row is multiplied.
+    The budget counts rows asked.  Rows that share an id share the answer; no row is multiplied.  If *df* does not carry
+    the texts of the prompt, *fetch* puts them into the rows asked.
     """
-    top = top_k(df, n, F.desc(by), id_col).dropDuplicates([id_col]).repartition(tasks, id_col)
+    top = top_k(df, n, F.desc(by), id_col).dropDuplicates([id_col])
+    top = (top if fetch is None else fetch(top)).repartition(tasks, id_col)
     replies = ask(top, id_col, prompt_column() if prompt is None else prompt, answer)
     decoded = replies.select(F.col("id").alias(id_col), T.model_reply("reply").alias("_m"))
     fields = {"score": "llm_score", "reason": "llm_reason", "summary": "llm_summary", "skills": "skills"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -45,10 +45,10 @@ class Run:
 
 def prepare(
     raw: DataFrame, as_of: Column, order_by: Sequence[str], rules: C.Rules = C.DEFAULT_RULES, *,
-    vector: str | None = None, metrics: Observation | None = None, **similar,
+    vector: str | None = None, metrics: Observation | None = None, text_ref: str | None = None, **similar,
 ) -> DataFrame:
     """Raw rows to scored rows: exact dedup, optional similarity dedup, classify, filter, score."""
-    unique = dedup_exact(raw, order_by)
+    unique = dedup_exact(raw, order_by, text_ref=text_ref)
     if vector is not None:
         unique = dedup_semantic(numbered_rows(unique, order_by, ROW), ROW, vector, **similar).drop(ROW)
     return add_score(filter_pass(unique, as_of, rules, metrics), as_of, rules)
@@ -58,20 +58,21 @@ def run(
     sources: Sequence[DataFrame], target: DataFrame, as_of: Column, order_by: Sequence[str] = ("source", "seq"),
     rules: C.Rules = C.DEFAULT_RULES, *, answer: Answer | None = None, vector: str | None = None,
     posts: DataFrame | None = None, post_target: DataFrame | None = None, post_order: Sequence[str] = ("seq",),
-    owned: DataFrame | None = None, **similar,
+    owned: DataFrame | None = None, text_ref: str | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None, **similar,
 ) -> Run:
     """One scheduled run over landed rows against the stored snapshot *target*.
 
     *posts* are extracted social posts, stored into *post_target*; *owned* lists the reader's skills for the skill gap.
-    *order_by* has to be a total order of the raw rows.
+    *order_by* has to be a total order of the raw rows.  Descriptions may be `searchable` ones; then *text_ref* is a
+    column that goes with the description, and *fetch* puts whole texts into the rows that the model is asked about.
     """
     read, kept = Observation("raw"), Observation("filter")
     union = union_sources(*sources)
     raw = union.observe(read, F.count(F.lit(1)).alias("rows"))
     # stored before the model, because several steps read it
-    scored = numbered_rows(prepare(raw, as_of, order_by, rules, vector=vector, metrics=kept, **similar), order_by, ROW)
+    scored = numbered_rows(prepare(raw, as_of, order_by, rules, vector=vector, metrics=kept, text_ref=text_ref, **similar), order_by, ROW)
     if answer is not None:
-        scored = cut_lineage(enrich_top(scored, ROW, answer), "enriched")
+        scored = cut_lineage(enrich_top(scored, ROW, answer, fetch=fetch), "enriched")
     else:
         missing = {"llm_score": "int", "llm_reason": "string", "llm_summary": "string", "skills": "array<string>"}
         scored = scored.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in scored.columns})
