@@ -116,7 +116,7 @@ def extract_email(spark, sf):
     f"{O.P}, cm AS (SELECT id AS comment_id, {O.COMMENT.replace('o_orderkey', 'id')} AS text FROM p)",
     f"SELECT comment_id, regexp_replace(regexp_extract({O._PLAIN}, 'https?://\\S+'), '[.,)>]+$', '') AS url FROM cm"))
 def extract_url(spark, sf):
-    return V.comments(spark, sf).select("comment_id", T.first_url(T.plain_text("text")).alias("url"))
+    return V.comments(spark, sf).select("comment_id", T.first_url_of_html("text").alias("url"))
 
 
 _ENT = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
