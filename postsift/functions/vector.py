@@ -48,3 +48,14 @@ def bands_for(tau: float, bits: int, recall: float) -> int:
     """Bands of *bits* planes needed to meet a pair at *tau* in one band at least, with this chance."""
     hit = agree_probability(tau) ** bits
     return max(1, math.ceil(math.log(1.0 - recall) / math.log1p(-hit)))
+
+
+def most_signs_apart(tau: float, signs: int, miss: float) -> int:
+    """Of *signs* random planes, so many have a pair at *tau* on different sides at most, but for the chance *miss*."""
+    differ = 1.0 - agree_probability(tau)
+    beyond = 0.0
+    for apart in range(signs, 0, -1):
+        beyond += math.comb(signs, apart) * differ**apart * (1.0 - differ) ** (signs - apart)
+        if beyond > miss:
+            return apart
+    return 0

@@ -11,23 +11,29 @@ Neither form below compares all pairs:
   undecided rows in all its blocks and no earlier one of those is near.  Rows then
   meet only the new leaders of their blocks, in chunks of bounded size, so a block
   that holds a third of the data costs rows x leaders and not rows squared.  Within the blocks the result is
-  that of the sequential rule; *recall* sets how many blocks a row gets.
+  that of the sequential rule; *recall* sets how many blocks a row gets.  Most rows that meet in a block do so by
+  chance: a block keeps the rows whose sketches (signs by more planes) allow a near row in it, before any vector moves.
 
 Rows with equal vectors always share their fate, so they are collapsed first.
 Vectors that are missing or without length match nothing and are kept.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from postsift.config import SIMILARITY
-from postsift.functions.vector import bands_for, has_length, planes, unit_rows
+from postsift.functions.vector import bands_for, has_length, most_signs_apart, planes, unit_rows
 from postsift.session import Rounds, cut_lineage, new_path
 
 #: Planes per block key.  Unrelated rows (at a right angle) share a block with chance 2 ** -BITS.
 BITS = 16
+#: Planes of a row's sketch, 64 to a word, and the chance that it hides a near pair, as a part of the chance that blocks do.
+SKETCH, SKETCH_MISS = 256, 1e-3
 
 
 def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -128,6 +134,51 @@ def _block_keys(bands: int, bits: int, seed: int):
     return keys
 
 
+def _sketches(seed: int):
+    @F.pandas_udf(ArrayType(LongType()))
+    def sketch(vectors: pd.Series) -> pd.Series:
+        matrix = unit_rows(vectors)
+        side = matrix @ planes(matrix.shape[1], SKETCH, seed) > 0
+        return pd.Series(list(np.packbits(side, axis=1).view(np.int64)))
+
+    return sketch
+
+
+def _in_company(apart: int):
+    """(block, id) of the rows that differ from another one of their block in at most *apart* signs of their sketches.
+
+    Batches are ordered by block; a task holds one batch and the block at its end.
+    """
+
+    def near(block: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+        found, at, lag = np.zeros(len(block), bool), np.arange(len(block)), 0
+        while len(at):
+            lag += 1
+            at = at[at + lag < len(block)]
+            at = at[block[at] == block[at + lag]]
+            hit = at[np.bitwise_count(sketch[at] ^ sketch[at + lag]).sum(axis=1) <= apart]
+            found[hit] = found[hit + lag] = True
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, sketch = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, SKETCH // 64), np.uint64)
+
+        def emit(end: int) -> pa.RecordBatch:
+            some = near(block[:end], sketch[:end])
+            return pa.RecordBatch.from_arrays([pa.array(block[:end][some]), pa.array(ids[:end][some])], names=["block", "id"])
+
+        for batch in batches:
+            block = np.concatenate([block, batch["block"].to_numpy()])
+            ids = np.concatenate([ids, batch["id"].to_numpy()])
+            sketch = np.concatenate([sketch, batch["sketch"].flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64)])
+            end = int(np.searchsorted(block, block[-1])) if len(block) else 0
+            yield emit(end)
+            block, ids, sketch = block[end:], ids[end:], sketch[end:]
+        yield emit(len(block))
+
+    return run
+
+
 def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) of the runs of equal values in sorted arrays."""
     edges = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
@@ -183,19 +234,27 @@ def _pack(packs: int, *cols: str):
     return F.pmod(F.xxhash64(*cols), F.lit(packs))
 
 
-def _blocks(rows: DataFrame, bands: int, bits: int, seed: int, chunk: int, rounds: Rounds) -> DataFrame:
-    """(block, id, chunk, chunks) for all blocks of two rows or more.
+def _blocks(rows: DataFrame, tau: float, recall: float, bits: int, seed: int, chunk: int, rounds: Rounds) -> DataFrame:
+    """(block, id, chunk, chunks) for all blocks of two rows or more that may be near to another one.
 
     A block with more than *chunk* rows is spread over several chunks, so no task ever
-    holds more of it than that.
+    holds more of it than that; such blocks keep all their rows.
     """
-    keyed = rows.select("id", F.posexplode(_block_keys(bands, bits, seed)("vec")).alias("band", "key"))
-    keyed = rounds.keep(keyed.select("id", F.xxhash64("band", "key").alias("block")), "keys")
+    apart = most_signs_apart(tau, SKETCH, SKETCH_MISS * (1 - recall))
+    told = apart < SKETCH // 2  # else unrelated rows look near as well
+    side = [_sketches(seed + 1)("vec").alias("sketch")] if told else []
+    keyed = rows.select("id", *side, F.posexplode(_block_keys(bands_for(tau, bits, recall), bits, seed)("vec")).alias("band", "key"))
+    keyed = rounds.keep(keyed.select("id", F.xxhash64("band", "key").alias("block"), *["sketch"] * told), "keys")
+    if told:
+        hot = keyed.groupBy("block").count().where(F.col("count") > chunk).select("block")
+        cold = keyed.join(hot, "block", "left_anti").select("block", "id", "sketch")
+        some = cold.repartition("block").sortWithinPartitions("block").mapInArrow(_in_company(apart), "block BIGINT, id BIGINT")
+        keyed = rounds.keep(some.unionByName(keyed.join(hot, "block", "left_semi").select("block", "id")), "company")
     sizes = keyed.groupBy("block").count().where("count > 1")
     sizes = sizes.select("block", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     sized = keyed.join(sizes, "block")
     blocks = rounds.keep(sized.select("block", "id", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), "chunks"), "blocks")
-    rounds.drop("keys")
+    rounds.drop("keys", "company")
     return blocks
 
 
@@ -203,7 +262,7 @@ def _block_leaders(
     rows: DataFrame, tau: float, recall: float, bits: int, prefix: int, chunk: int, seed: int
 ) -> DataFrame:
     rounds = Rounds(rows.sparkSession, "blocks")
-    blocks = _blocks(rows, bands_for(tau, bits, recall), bits, seed, chunk, rounds)
+    blocks = _blocks(rows, tau, recall, bits, seed, chunk, rounds)
     packs = max(1, blocks.count() // chunk)
     needed = rounds.keep(blocks.groupBy("id").agg(F.count(F.lit(1)).alias("needed")), "needed")
     # a row alone in all its blocks is kept at once

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from postsift.operators import dedup, similarity
+from postsift.session import Rounds
 
 SCHEMA = "seq BIGINT, title STRING, company STRING, location STRING, salary INT, easy_apply BOOLEAN, description STRING, note STRING"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -184,6 +186,43 @@ def test_unrelated_rows_change_no_link(spark):
     assert links[0] and links[0] == {l for l in links[1] if l[0] < 100}
 
 
+def test_rows_that_meet_by_chance_leave_their_blocks(spark):
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=(40, 32))
+    near[1::2] = near[::2] + rng.normal(size=(20, 32)) * 0.05
+    vectors = np.concatenate([near, rng.normal(size=(1500, 32))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id BIGINT, vec ARRAY<FLOAT>").repartition(5)
+    rounds = Rounds(spark, "test")
+    cold = similarity._blocks(df, 0.97, 0.999, 4, 7, 10_000, rounds)
+    assert {r.id for r in cold.select("id").distinct().collect()} == set(range(40))
+    # blocks of more than a chunk keep all their rows
+    hot = similarity._blocks(df, 0.97, 0.999, 2, 7, 100, rounds)
+    assert hot.select("id").distinct().count() == len(vectors)
+    pairs = similarity.similar_pairs(df, "id", "vec", 0.97, blocking="lsh", bits=4)
+    assert {(r.id, r.kept_id) for r in pairs.collect()} == {(i + 1, i) for i in range(0, 40, 2)}
+
+
+def test_company_is_counted_across_batches():
+    rng = np.random.default_rng(9)
+    block = np.sort(rng.integers(-9, 9, 300))
+    sketch = rng.integers(0, 256, (300, similarity.SKETCH // 8), dtype=np.uint8)
+    bits = np.unpackbits(sketch, axis=1)
+    apart = 112
+    differ = (bits[:, None] != bits[None]).sum(axis=2)
+    expected = [i for i in range(300) if any(j != i and block[j] == block[i] and differ[i, j] <= apart for j in range(300))]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(block), pa.array(np.arange(300)), pa.array(sketch.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["block", "id", "sketch"])
+    for size in (1, 7, 300):
+        out = similarity._in_company(apart)(rows.slice(at, size) for at in range(0, 300, size))
+        assert [i for b in out for i in b["id"].to_pylist()] == expected and 0 < len(expected) < 300
+
+
+def test_signs_apart():
+    from postsift.functions.vector import most_signs_apart
+
+    assert most_signs_apart(0.97, 256, 1e-6) < 50 and most_signs_apart(0.3, 256, 1e-10) > 128 and most_signs_apart(0.5, 8, 2.0) == 0
+
+
 def test_first_n(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").alias("seq"))
     assert sorted(r.seq for r in dedup.first_n_per_group(df, "g", 2, ("seq",)).collect()) == [0, 1, 2, 3]
