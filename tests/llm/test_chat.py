@@ -76,5 +76,46 @@ def test_one_long_conversation_stays_linear(spark):
     assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == plain(rows)[7]
 
 
+def test_whole_examples_hold_their_context(spark, monkeypatch):
+    rows = [(1, 0, "system", "be"), (1, 1, "user", "q</s>"), (1, 2, "assistant", "a1"), (1, 3, "user", "q2 é"), (1, 4, "assistant", "[INST]"),
+            (1, 5, "user", "bye"), (None, 0, "user", "only a question"), (2, 0, "assistant", "a"), (2, 1, "assistant", "")]
+
+    def text(conv, n):
+        return "".join(f"{chat.TURN}{r}{chat.SAY}{chat.escape(t)}{chat.END}" for c, _, r, t in [x for x in rows if x[0] == conv][:n])
+
+    for part in (chat.PART_CHARS, 7):
+        monkeypatch.setattr(chat, "PART_CHARS", part)
+        examples = chat.whole_examples(table(spark, rows))
+        made = {}
+        for r in sorted(examples.collect(), key=lambda r: r.part):
+            whole, *_ = made.get((r.conv_id, r.example), ("",))
+            made[r.conv_id, r.example] = whole + r.text, r.trainable, r.loss_start, r.loss_end
+            assert len(r.text) <= part
+        assert {k: (t, learnt) for k, (t, learnt, *_) in made.items()} == {
+            (1, 0): (text(1, 3), True), (1, 1): (text(1, 5), True), (1, 2): (text(1, 6), False), (None, 0): (text(None, 1), False),
+            (2, 0): (text(2, 1), True), (2, 1): (text(2, 2), True)}
+        assert {k: chat.unescape(t[a:b]) for k, (t, _, a, b) in made.items()} == {
+            (1, 0): "a1", (1, 1): "[INST]", (1, 2): "", (None, 0): "", (2, 0): "a", (2, 1): ""}
+        got = chat.read_examples(examples)
+        assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got.collect()} == plain(rows)
+        assert sorted(got.collect(), key=str) == sorted(chat.digests(chat.prefix_examples(table(spark, rows))).collect(), key=str)
+
+
+def test_query_writes_whole_examples(spark, tmp_path, monkeypatch):
+    from postsift.llm import queries
+
+    table(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b")]).write.parquet(f"{tmp_path}/conversations.parquet")
+    asked, make = [], chat.whole_examples
+    monkeypatch.setattr(chat, "whole_examples", lambda turns: asked.append(make(turns)) or asked[0])
+    got = {r.conv_id: r for r in queries.op3(spark, str(tmp_path)).collect()}
+    texts = {(r.conv_id, r.example): r.text for r in asked[0].collect()}
+    assert got[1].formatted_chars == len(texts[1, 0]) + len(texts[1, 1]) and texts[1, 1].startswith(texts[1, 0])
+    assert got[-1].n_turns == 2 and got[-1].formatted_chars == len(texts[-1, 0])
+
+
+def test_whole_examples_of_an_empty_table(spark):
+    assert chat.read_examples(chat.whole_examples(table(spark, []))).count() == 0
+
+
 def test_empty_table(spark):
     assert chat.digests(chat.prefix_examples(table(spark, []))).count() == 0
