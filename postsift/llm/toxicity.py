@@ -1,9 +1,13 @@
-"""Toxicity: a convolutional text classifier with hashed word embeddings, trained in numpy on a bounded sample.
+"""Toxicity: a convolutional text classifier with hashed word embeddings, trained on all labelled rows.
 
 A word's embedding is the sum of the vectors its hashed parts select: the word and its beginnings.  Filters of several
 widths slide over the words of the whole text; each filter's largest response (max pooling) enters a logistic output.
 Thresholds are calibrated by language, which is told from the text's most frequent small words; a score is the logistic
 function of the distance to the threshold, so 0.5 is the threshold for every language.
+
+Labelled rows are dealt over shards of bounded size.  The first shard is learnt alone, in several epochs; from this
+common start each shard then learns its own rows, in tasks, and what the shards have changed is averaged, in rounds.
+Thresholds come from counts of the scores of all rows that were set aside for them.
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift.llm.common import per_worker, small_batches, utf8, words
+from postsift.session import Rounds
 
-#: Labelled rows the classifier learns from, at most: so many of each class, chosen by a hash of the id.  Longer texts
-#: (in characters) are left out of the sample, which bounds its size; all texts are scored whole.
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 2500, 20_000
+#: Bytes of text in a shard, about; rounds in which all shards learn, after the first one's epochs.
+SHARD_BYTES, ROUNDS = 16_000_000, 2
+#: Numbers of a model that are averaged together; parts of a score's unit that are told apart for a threshold.
+BLOCK, PARTS = 1 << 14, 256
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 12, (1, 2, 3)
 #: Beginnings (in bytes) that are hashed beside the whole word.
@@ -98,61 +104,102 @@ def _windows(by_word: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Adagrad on the logistic loss.  A fifth of the rows sets the thresholds and is not learnt from."""
+def _begin(seed: int = 7) -> np.ndarray:
+    """An untrained model and its Adagrad memory as one array; `_state` tells its parts."""
     rng = np.random.default_rng(seed)
-    vocabulary: dict[bytes, int] = {}
-    rows = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in t], dtype=np.int64) for t in texts]
-    buckets = np.array([[0] * (1 + len(BEGINNINGS)), *map(parts, vocabulary)], dtype=np.int64)
-    vectors = rng.normal(0, 0.15, (BUCKETS, DIM)).astype(np.float32)
+    vectors = rng.normal(0, 0.15, (BUCKETS, DIM))
     vectors[0] = 0
-    filters = [rng.normal(0, 1 / np.sqrt(DIM * w), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    n_filters = FILTERS * len(WIDTHS)
-    shifts, weights = np.zeros(n_filters, np.float32), rng.normal(0, 0.3, n_filters).astype(np.float32)
-    model = Model(vectors, filters, shifts, weights, 0.0, np.zeros(len(LANGUAGES)))
-    order = rng.permutation(len(rows))
-    held, learnt = order[: len(rows) // 5], order[len(rows) // 5 :]
-    seen = {"vectors": np.full((BUCKETS, DIM), 1e-3, np.float32), "filters": [np.full_like(f, 1e-3) for f in filters]}
-    seen |= {"shifts": np.full_like(shifts, 1e-3), "weights": np.full_like(weights, 1e-3), "bias": 1e-3}
+    filters = [rng.normal(0, 1 / np.sqrt(DIM * w), (w, DIM, FILTERS)) for w in WIDTHS]
+    n = FILTERS * len(WIDTHS)
+    values = np.concatenate([vectors.ravel(), *map(np.ravel, filters), np.zeros(n), rng.normal(0, 0.3, n), [0.0]])
+    return np.concatenate([values, np.full(len(values), 1e-3)]).astype(np.float32)
+
+
+def _state(flat: np.ndarray) -> tuple[Model, dict]:
+    """The model and the Adagrad memory in an array, as views of it but for the biases."""
+
+    def parts(values: np.ndarray) -> list:
+        out, at = [], 0
+        for shape in ((BUCKETS, DIM), *((w, DIM, FILTERS) for w in WIDTHS), *[(FILTERS * len(WIDTHS),)] * 2):
+            out.append(values[at : at + np.prod(shape)].reshape(shape))
+            at += np.prod(shape)
+        return [out[0], out[1:-2], *out[-2:], float(values[at])]
 
+    half = len(flat) // 2
+    seen = dict(zip(("vectors", "filters", "shifts", "weights", "bias"), parts(flat[half:])))
+    return Model(*parts(flat[:half]), np.zeros(len(LANGUAGES))), seen
+
+
+def train(flat: np.ndarray, texts: list[bytes], labels: np.ndarray, seed: int, epochs: int) -> np.ndarray:
+    """Adagrad on the logistic loss, from the state *flat* on, which stays as it is; the state reached."""
+    flat, rng = flat.copy(), np.random.default_rng(seed)
+    model, seen = _state(flat)
+    vocabulary: dict[bytes, int] = {}
+    rows = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(t)], dtype=np.int32) for t in texts]
+    buckets = np.array([[0] * (1 + len(BEGINNINGS)), *map(parts, vocabulary)], dtype=np.int32)
     for _ in range(epochs):
-        order = rng.permutation(learnt)
+        order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             _learn(model, seen, buckets, [rows[i] for i in order[at : at + BATCH]], labels[order[at : at + BATCH]])
-    check = held if len(held) >= 50 else order
-    scores = np.array([model.logits(_pool(model, buckets, [rows[i]]))[0] for i in check]) if len(check) else np.zeros(0)
-    model.thresholds = _thresholds(scores, labels[check] if len(check) else np.zeros(0), np.array([language(texts[i]) for i in check]))
-    return model
+    flat[len(flat) // 2 - 1], flat[-1] = model.bias, seen["bias"]
+    return flat
 
 
-def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents one after the other with padding between them, and where each begins."""
+def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents one after the other with padding between them, and where the windows of each begin and end.
+
+    Windows begin at a word, and so reach into no other document; those beyond SLICE are the next slice's.
+    """
     pad = np.zeros(PAD, np.int64)
-    starts = np.cumsum([0, *(max(1, len(r)) + PAD for r in rows)])
-    return np.concatenate([x for r in rows for x in (r if len(r) else np.zeros(1, np.int64), pad)]), starts
+    starts = np.cumsum([0, *(max(1, len(r)) + PAD for r in rows)])[:-1]
+    ends = starts + [max(1, min(len(r), SLICE)) for r in rows]
+    return np.concatenate([*(x for r in rows for x in (r if len(r) else np.zeros(1, np.int64), pad)), pad]), starts, ends
 
 
 def _pool(model: Model, buckets: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    text, starts = _padded(rows)
-    used, text = np.unique(text, return_inverse=True)
-    windows = _windows(model.responses(buckets[used])[text])
-    return np.concatenate([np.maximum.reduceat(h, starts[:-1]) for h in windows], axis=1)
+    return _chosen(model, buckets, rows)[0]
+
+
+def _chosen(model: Model, buckets: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each filter's largest response in each text, and by width the words of that window (text, place, filter).
+
+    Long texts go in slices that overlap by a window; short ones share a slice.
+    """
+    pooled = np.full((len(rows), len(WIDTHS), FILTERS), -np.inf, np.float32)
+    found = [np.zeros((len(rows), w, FILTERS), np.int64) for w in WIDTHS]
+
+    def look(part: list[np.ndarray], owner: list[int]) -> None:
+        text, starts, ends = _padded(part)
+        used, inverse = np.unique(text, return_inverse=True)
+        for k, h in enumerate(_windows(model.responses(buckets[used])[inverse])):
+            for d, a, b in zip(owner, starts, ends):
+                best = h[a:b].argmax(axis=0)
+                value = h[a + best, np.arange(FILTERS)]
+                up = value > pooled[d, k]
+                pooled[d, k, up] = value[up]
+                for j in range(WIDTHS[k]):
+                    found[k][d, j, up] = text[a + best[up] + j]
+
+    part, owner, size = [], [], 0
+    for n, row in enumerate(rows):
+        for at in range(0, max(1, len(row)), SLICE):
+            part.append(row[at : at + SLICE + PAD])
+            owner.append(n)
+            size += len(part[-1])
+            if size >= SLICE:
+                look(part, owner)
+                part, owner, size = [], [], 0
+    if part:
+        look(part, owner)
+    return pooled.reshape(len(rows), -1), found
 
 
 def _learn(model: Model, seen: dict, buckets: np.ndarray, rows: list[np.ndarray], labels: np.ndarray) -> None:
-    text, starts = _padded(rows)
-    used, inverse = np.unique(text, return_inverse=True)
-    own = model.vectors[buckets[used]].sum(axis=1)
-    by_word = np.concatenate([own @ place for f in model.filters for place in f], axis=1)[inverse]
-    windows = _windows(by_word)
     n = len(rows)
-    best = np.empty((n, len(WIDTHS), FILTERS), np.int64)
-    for d in range(n):
-        a, b = starts[d], min(starts[d + 1], len(windows[0]))
-        for k, h in enumerate(windows):
-            best[d, k] = a + h[a:b].argmax(axis=0)
+    pooled, found = _chosen(model, buckets, rows)
+    used = np.unique(np.concatenate([f.ravel() for f in found]))
+    own = model.vectors[buckets[used]].sum(axis=1)
     columns = np.arange(FILTERS)
-    pooled = np.concatenate([windows[k][best[:, k], columns] for k in range(len(WIDTHS))], axis=1)
     active = np.maximum(pooled + model.shifts, 0)
     error = 1 / (1 + np.exp(-np.clip(active @ model.weights + model.bias, -30, 30))) - labels
     error = (error / n).astype(np.float32)
@@ -174,7 +221,7 @@ def _learn(model: Model, seen: dict, buckets: np.ndarray, rows: list[np.ndarray]
         column = np.tile(columns, n)
         change = DECAY * model.filters[k]
         for j in range(w):
-            word = inverse[best[:, k].ravel() + j]
+            word = np.searchsorted(used, found[k][:, j].ravel())
             np.add.at(to_words, word, g[:, None] * model.filters[k][j].T[column])
             np.add.at(change[j].T, column, g[:, None] * own[word])
         changes.append(change)
@@ -190,13 +237,17 @@ def _learn(model: Model, seen: dict, buckets: np.ndarray, rows: list[np.ndarray]
     model.vectors[flat] -= RATE * change / np.sqrt(seen["vectors"][flat])
 
 
-def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the widest gap among thresholds with the fewest errors, both classes weighing the same."""
-    order = np.argsort(scores)
+def _best_threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """The middle of the widest gap among thresholds with the least errors, a row weighing one over the root of its class's
+    size: midway between equal rows, which pass over a rare class, and equal classes, where a few wrong labels of a rare
+    class move the threshold far.  With *counts*, a score stands for so many rows.
+    """
+    order = np.argsort(scores, kind="stable")
     s, y = scores[order], labels[order]
-    up, down = 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum())
+    c = np.ones(len(s)) if counts is None else counts[order]
+    up, down = (w / max(1, w.sum()) ** 0.5 for w in (c * y, c * (1 - y)))
     # errors when everything from place i on is called toxic
-    errors = np.concatenate([[0], np.cumsum(y * up)]) + np.concatenate([np.cumsum(((1 - y) * down)[::-1])[::-1], [0]])
+    errors = np.concatenate([[0], np.cumsum(up)]) + np.concatenate([np.cumsum(down[::-1])[::-1], [0]])
     edges = np.concatenate([[s[0] - 1], s, [s[-1] + 1]])
     gaps = edges[1:] - edges[:-1]
     good = np.flatnonzero(errors <= errors.min() + 1e-9)
@@ -204,15 +255,16 @@ def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((edges[i] + edges[i + 1]) / 2)
 
 
-def _thresholds(scores: np.ndarray, labels: np.ndarray, languages: np.ndarray) -> np.ndarray:
+def _thresholds(scores: np.ndarray, labels: np.ndarray, languages: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """A threshold for each language; one with under 20 rows of either class takes that of all rows."""
-    if not 0 < labels.sum() < len(labels):
+    counts = np.ones(len(scores)) if counts is None else counts
+    if not len(labels) or labels.min() == labels.max():
         return np.zeros(len(LANGUAGES))
-    out = np.full(len(LANGUAGES), _best_threshold(scores, labels))
+    out = np.full(len(LANGUAGES), _best_threshold(scores, labels, counts))
     for n in range(len(LANGUAGES)):
         own = languages == n
-        if min(labels[own].sum(), (1 - labels[own]).sum()) >= 20:
-            out[n] = _best_threshold(scores[own], labels[own])
+        if min((counts * labels)[own].sum(), (counts * (1 - labels))[own].sum()) >= 20:
+            out[n] = _best_threshold(scores[own], labels[own], counts[own])
     return out
 
 
@@ -242,11 +294,17 @@ class Scorer:
     def _pooled(self, texts: list[list[bytes]]) -> np.ndarray:
         if len(self.row) > KNOWN:
             self._forget()
-        padded, starts = _padded([self._rows(t) for t in texts])
-        return np.concatenate([np.maximum.reduceat(h, starts[:-1]) for h in _windows(self.table[padded])], axis=1)
+        padded, starts, ends = _padded([self._rows(t) for t in texts])
+        places = np.column_stack([starts, ends]).ravel()
+        return np.concatenate([np.maximum.reduceat(h, places)[::2] for h in _windows(self.table[padded])], axis=1)
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
-        """One score per text.  Long texts go in slices that overlap by a window; short ones share a slice."""
+        """One score per text, from 0 to 1."""
+        limits = self.model.thresholds[[language(t) for t in texts]]
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts) - limits, -700, 700)))
+
+    def logits(self, texts: list[list[bytes]]) -> np.ndarray:
+        """One value per text, without thresholds.  Long texts go in slices that overlap by a window; short ones share a slice."""
         pooled = np.full((len(texts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
         part, owner, size = [], [], 0
         for n, text in enumerate(texts):
@@ -259,8 +317,7 @@ class Scorer:
                     part, owner, size = [], [], 0
         if part:
             np.maximum.at(pooled, owner, self._pooled(part))
-        limits = self.model.thresholds[[language(t) for t in texts]]
-        return 1 / (1 + np.exp(-np.clip(self.model.logits(pooled) - limits, -700, 700)))
+        return self.model.logits(pooled)
 
 
 def held_out(id_col: str) -> Column:
@@ -270,9 +327,8 @@ def held_out(id_col: str) -> Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS,
 ) -> Model:
-    """Train on labelled documents that are not held out: at most *per_class* of each class, of at most *max_chars*.
+    """Train on all labelled documents that are not held out, whole texts; a fifth of them, by a hash, sets the thresholds.
 
     Null ids, labels and texts are left out.  Without rows of both classes the model is untrained and gives every text
     the same side of the threshold as its weights happen to; callers decide whether that is an error.
@@ -280,16 +336,101 @@ def fit(
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(
         ~held_out("id") & F.col("label").isin(0, 1)
     ).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data")).where(F.length(text_col) <= max_chars)
-    chosen = [
-        # 2 x per_class ids, so that missing and long texts leave enough
-        usable.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(2 * per_class) for y in (0, 1)
-    ]
-    rows: list[tuple] = []
-    for ids in chosen:  # the number of ids broadcast is bounded by the parameter
-        rows += texts.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id"), "id", "data").limit(per_class).collect()
-    tokens = [words(bytes(r["data"])) for r in rows]
-    return train(tokens, np.array([r["label"] for r in rows], dtype=np.float32))
+    texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data")).where(~held_out("id") & F.col("data").isNotNull())
+    sizes = docs.select(F.col(id_col).alias("id"), F.octet_length(text_col).alias("size"))
+    shards = -(-(sizes.join(usable, "id").agg(F.sum("size")).first()[0] or 1) // SHARD_BYTES)
+    rounds = Rounds(docs.sparkSession, "toxicity")
+    # a shard is a partition of the join, so texts are shuffled once
+    named = texts.repartition(shards, "id").join(usable.repartition(shards, "id"), "id").withColumn("hash", F.xxhash64("id", "data"))
+    check = F.pmod("hash", F.lit(5)) == 0
+    rows = named.select(F.spark_partition_id().alias("shard"), check.alias("check"), "label", "hash", "data")
+    rows = rounds.keep(rows.sortWithinPartitions("hash", "data", "label"), "rows")
+    learnt = rows.where("NOT check")
+    flat = _round(learnt.where("shard = 0"), _begin(), EPOCHS)
+    for _ in range(0 if learnt.where("shard > 0").isEmpty() else ROUNDS):
+        flat = _round(learnt, flat, 1)
+    model = _state(flat)[0]
+    found = _counts(rows.where("check"), model)
+    if found[3].sum() < 50:
+        found = _counts(rows, model)
+    model.thresholds = _thresholds(*found)
+    rounds.drop("rows")
+    return model
+
+
+def _round(rows: DataFrame, flat: np.ndarray, epochs: int) -> np.ndarray:
+    """The state after each shard of *rows* (shard, label, data) has learnt its rows from the state *flat* on.
+
+    A number of the model is the mean over the shards that changed it, weighted by their rows, so words that few shards
+    have move as far as the others.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(flat)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, texts, labels, size = -1, [], [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal texts, labels, size
+            if texts:
+                reached, n = train(shared.value, texts, np.array(labels, np.float32), shard, epochs), len(texts)
+                cells = [(at // BLOCK, shard, n, reached[at : at + BLOCK].tobytes()) for at in range(0, len(reached), BLOCK)]
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), types)], names=["block", "shard", "n", "reached"])
+            texts, labels, size = [], [], 0
+
+        for batch in small_batches(batches):
+            for owner, label, data in zip(*(batch[c].to_pylist() for c in ("shard", "label", "data"))):
+                # many copies of a row may make a shard large
+                if owner != shard or size > 2 * SHARD_BYTES:
+                    yield from close()
+                    shard = owner
+                texts.append(data)
+                labels.append(label)
+                size += len(data)
+        yield from close()
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = start = moved = weight = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if block is not None:
+                now = (start + moved / np.maximum(weight, 1)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([now.tobytes()], pa.binary())], names=["block", "reached"])
+
+        for batch in batches:
+            for owner, n, reached in zip(*(batch[c].to_pylist() for c in ("block", "n", "reached"))):
+                if owner != block:
+                    yield from close()
+                    block, start = owner, shared.value[owner * BLOCK : (owner + 1) * BLOCK].astype(np.float64)
+                    moved, weight = np.zeros(len(start)), np.zeros(len(start))
+                change = np.frombuffer(reached, np.float32) - start
+                moved += n * change
+                weight += n * (change != 0)
+        yield from close()
+
+    found = rows.select("shard", "label", "data").mapInArrow(learn, "block int, shard int, n long, reached binary")
+    dealt = found.repartition("block").sortWithinPartitions("block", "shard", "n", "reached")
+    out = flat.copy()
+    for block, reached in dealt.mapInArrow(mean, "block int, reached binary").collect():  # one model
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(reached, np.float32)
+    return out
+
+
+def _counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores without thresholds to the nearest of PARTS a unit, labels, languages, and how many rows have them."""
+    shared, key = rows.sparkSession.sparkContext.broadcast(vars(model)), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with per_worker(f"toxicity:{key}", lambda: Scorer(Model(**shared.value))) as scorer:
+            for batch in small_batches(batches, 256):
+                texts = [words(t) for t in batch["data"].to_pylist()]
+                place = np.rint(np.clip(scorer.logits(texts), -700, 700) * PARTS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(place), batch["label"], pa.array(map(language, texts), pa.int32())], names=["place", "label", "language"])
+
+    counted = rows.select("label", "data").mapInArrow(run, "place long, label int, language int").groupBy("place", "label", "language").count()
+    found = np.array(counted.orderBy("place", "label", "language").collect(), np.float64).reshape(-1, 4)
+    return found[:, 0] / PARTS, found[:, 1], found[:, 2], found[:, 3]
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

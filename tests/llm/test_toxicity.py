@@ -121,3 +121,57 @@ def test_odd_labels(spark, odd_documents):
     assert T.score(odd_documents, T.fit(odd_documents, labels)).count() == odd_documents.count()
     untrained = T.fit(odd_documents, labels.limit(0))
     assert T.score(odd_documents, untrained).where("score IS NULL OR isnan(score)").count() == 0
+
+
+def test_long_texts_are_learnt(spark):
+    filler = "some plain words stand here and nothing else happens " * 450
+    rows = [(i, filler + f" zorgle {i} " + filler if i % 4 == 0 else filler[: 90 + i] + f" {i}", int(i % 4 == 0)) for i in range(240)]
+    assert len(rows[0][1]) > 40_000
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = T.score(table, T.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))).collect()
+    assert {r.doc_id: r.predicted for r in got} == {i: toxic for i, _, toxic in rows}
+
+
+def test_windows_of_long_texts_are_found_in_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(1, 40, n) for n in (0, 1, 3, 200, 49, 50, 51)]
+    buckets = np.array([[0] * (1 + len(T.BEGINNINGS)), *(T.parts(b"word%d" % k) for k in range(40))])
+    model = T._state(T._begin())[0]
+    whole, found = T._chosen(model, buckets, rows)
+    assert np.allclose(whole, np.concatenate([T._pool(model, buckets, [r]) for r in rows]), atol=1e-6)
+    monkeypatch.setattr(T, "SLICE", 50)
+    sliced, again = T._chosen(model, buckets, rows)
+    assert np.allclose(whole, sliced, atol=1e-6) and all(np.array_equal(a, b) for a, b in zip(found, again))
+
+
+def test_a_score_does_not_depend_on_the_text_beside_it():
+    scorer = T.Scorer(T._state(T._begin())[0])
+    texts = [[b"w%d" % (n * k) for k in range(n)] for n in range(30)]
+    assert np.allclose(scorer.scores(texts), [scorer.scores([t])[0] for t in texts], atol=1e-6)
+
+
+def test_shards_are_averaged_over_those_that_changed_a_number(spark):
+    texts = {0: [(1, "alpha alpha common"), (0, "beta common")], 1: [(1, "gamma common"), (0, "delta common"), (0, "delta plain")]}
+    rows = [(s, y, bytearray(t.encode())) for s, some in texts.items() for y, t in some]
+    begin = T._begin()
+    got = T._round(spark.createDataFrame(rows, "shard int, label int, data binary").repartition(2, "shard").sortWithinPartitions("shard", "data"), begin, 2)
+    alone = {s: T.train(begin, [t.encode() for _, t in sorted(some, key=lambda r: r[1])], np.array([y for y, _ in sorted(some, key=lambda r: r[1])], np.float32), s, 2) for s, some in texts.items()}
+    moved = {s: a != begin for s, a in alone.items()}
+    only = moved[0] & ~moved[1]
+    assert only.sum() > T.DIM and np.array_equal(got[only], alone[0][only])
+    both = moved[0] & moved[1]
+    assert both.sum() > T.DIM and np.allclose(got[both], (2 * alone[0] + 3 * alone[1])[both] / 5, atol=1e-6)
+    assert np.array_equal(got[~moved[0] & ~moved[1]], begin[~moved[0] & ~moved[1]])
+
+
+def test_every_row_is_learnt_or_sets_a_threshold(spark, monkeypatch):
+    seen = {"learnt": 0, "counted": 0}
+    turn, count = T._round, T._counts
+    monkeypatch.setattr(T, "SHARD_BYTES", 9_000)
+    monkeypatch.setattr(T, "EPOCHS", 1)
+    monkeypatch.setattr(T, "_round", lambda rows, *a: (seen.update(learnt=rows.count(), shards=rows.select("shard").distinct().count()), turn(rows, *a))[1])
+    monkeypatch.setattr(T, "_counts", lambda rows, *a: (seen.update(counted=rows.count()), count(rows, *a))[1])
+    docs = spark.range(6500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    labels = docs.select("doc_id", F.lit(0).alias("toxic"))
+    T.fit(docs, labels)
+    assert seen["learnt"] + seen["counted"] == labels.where(~T.held_out("doc_id")).count() > 5000 and seen["shards"] > 2
