@@ -26,6 +26,8 @@ from postsift.session import Rounds
 
 #: Bytes of text in a shard, about; rounds in which all shards learn, after the first one's epochs.
 SHARD_BYTES, ROUNDS = 16_000_000, 2
+#: Slots for each labelled row, and at most, in the bitmap that keeps texts without a label from being moved.
+SLOTS, MOST_SLOTS = 16, 1 << 28
 #: Numbers of a model that are averaged together; parts of a score's unit that are told apart for a threshold.
 BLOCK, PARTS = 1 << 14, 256
 
@@ -337,11 +339,13 @@ def fit(
         ~held_out("id") & F.col("label").isin(0, 1)
     ).distinct()
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data")).where(~held_out("id") & F.col("data").isNotNull())
+    texts = _may_be_in(texts, usable, min(MOST_SLOTS, SLOTS * labels.count()))
     sizes = docs.select(F.col(id_col).alias("id"), F.octet_length(text_col).alias("size"))
     shards = -(-(sizes.join(usable, "id").agg(F.sum("size")).first()[0] or 1) // SHARD_BYTES)
     rounds = Rounds(docs.sparkSession, "toxicity")
-    # a shard is a partition of the join, so texts are shuffled once
-    named = texts.repartition(shards, "id").join(usable.repartition(shards, "id"), "id").withColumn("hash", F.xxhash64("id", "data"))
+    # a shard is a partition of the join, so texts are shuffled once; a join of more partitions makes no more shards
+    named = texts.repartition(shards, "id").join(usable.repartition(shards, "id"), "id").coalesce(shards)
+    named = named.withColumn("hash", F.xxhash64("id", "data"))
     check = F.pmod("hash", F.lit(5)) == 0
     rows = named.select(F.spark_partition_id().alias("shard"), check.alias("check"), "label", "hash", "data")
     rows = rounds.keep(rows.sortWithinPartitions("hash", "data", "label"), "rows")
@@ -358,6 +362,22 @@ def fit(
     return model
 
 
+def _may_be_in(rows: DataFrame, ids: DataFrame, slots: int) -> DataFrame:
+    """The *rows* whose id is in *ids*, and a few more, without a shuffle of the rows.
+
+    Ids are hashed to slots of a bitmap, which is sent to the rows in pieces of 4 KB, its size bounded by *slots*.
+    """
+
+    def slot() -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(max(1, slots)))
+
+    bits = ids.groupBy(F.bitmap_bucket_number(slot()).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot())).alias("_bits"))
+    place = F.bitmap_bit_position(slot())
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(slot())).join(F.broadcast(bits), "_bucket")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _round(rows: DataFrame, flat: np.ndarray, epochs: int) -> np.ndarray:
     """The state after each shard of *rows* (shard, label, data) has learnt its rows from the state *flat* on.
 

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from postsift.llm import toxicity as T
 from postsift.llm.common import words
@@ -175,3 +175,24 @@ def test_every_row_is_learnt_or_sets_a_threshold(spark, monkeypatch):
     labels = docs.select("doc_id", F.lit(0).alias("toxic"))
     T.fit(docs, labels)
     assert seen["learnt"] + seen["counted"] == labels.where(~T.held_out("doc_id")).count() > 5000 and seen["shards"] > 2
+
+
+def test_shards_follow_the_bytes_and_not_the_partitions(spark, monkeypatch):
+    """A model travels for each shard, so a join in many partitions must not make many of them."""
+    seen, turn, repartition = {}, T._round, DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *cols: repartition(self, max(n, 31) if isinstance(n, int) else n, *cols))
+    monkeypatch.setattr(T, "SHARD_BYTES", 9_000)
+    monkeypatch.setattr(T, "EPOCHS", 1)
+    monkeypatch.setattr(T, "_round", lambda rows, *a: (seen.update(shards=rows.select("shard").distinct().count()), turn(rows, *a))[1])
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), "id").alias("text"))
+    T.fit(docs, docs.select("doc_id", F.lit(0).alias("toxic")))
+    assert 2 <= seen["shards"] <= 3
+
+
+def test_texts_without_a_label_are_not_moved(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("id"), F.lit("text").alias("data"))
+    ids = spark.createDataFrame([(n, n % 2) for n in (*range(-5, 400), None, 19_999)], "id long, label int")
+    got = {r.id for r in T._may_be_in(rows.dropna(), ids, 16 * 400).collect()}
+    wanted = {n for n in (*range(400), 19_999) if n % 7}
+    assert wanted <= got and len(got) < len(wanted) + 3000
+    assert T._may_be_in(rows, ids.limit(0), 0).count() == 0
