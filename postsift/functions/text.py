@@ -40,10 +40,13 @@ def computed_once(df: DataFrame, **cells: Column) -> DataFrame:
     """Add columns that the optimizer will neither inline nor compute a second time.
 
     A one-element array of a struct is turned into columns: filters on them stay above
-    it, so a costly text search is not repeated below the filter.
+    it, so a costly text search is not repeated below the filter.  The cells are columns
+    before that, as Spark interprets what stands inside a generator.
     """
-    row = F.struct(*[cell.alias(name) for name, cell in cells.items()])
-    return df.select("*", F.inline(F.array(row)))
+    ahead = {name: f"_ahead_{name}" for name in cells}
+    row = F.struct(*[F.col(held).alias(name) for name, held in ahead.items()])
+    out = df.select("*", *[cell.alias(ahead[name]) for name, cell in cells.items()])
+    return out.select("*", F.inline(F.array(row))).drop(*ahead.values())
 
 
 def as_text(c: Column | str, is_array: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift import config as C
-from postsift.functions.parse import age_seconds
+from postsift.functions.parse import seconds_after
 from postsift.functions.text import any_term, as_text, computed_once, let, term_count
 
 PARTS = ("title", "keywords", "freshness", "applicants", "easy_apply", "remote", "salary", "company")
@@ -16,13 +16,13 @@ def score_parts(as_of: Column, rules: C.Rules = C.DEFAULT_RULES) -> Column:
     title, description, location, company = (
         F.lower(as_text(c)) for c in ("title", "description", "location", "company")
     )
-    hours = age_seconds("posted_date", as_of) / 3600
     count = F.col("applicants").try_cast("int")
     pay = F.col("salary").try_cast("double")
 
     fresh = F.lit(0)
     for bound, points in reversed(C.FRESHNESS_POINTS):
-        fresh = F.when(hours <= bound, F.lit(points)).otherwise(fresh)
+        # an age is compared as a clock reading: no arithmetic for each row
+        fresh = F.when(F.col("posted_date") >= seconds_after(as_of, F.lit(-3600 * bound)), F.lit(points)).otherwise(fresh)
     crowd = F.lit(0)
     for bound, points in reversed(C.APPLICANT_POINTS):
         crowd = F.when(count < bound, F.lit(points)).otherwise(crowd)

@@ -156,3 +156,26 @@ def test_alert_text(spark):
     assert full == "\n".join([
         "🟢 *A\\.B*", "🏢 C · 📍 D", "📊 Score: `85`  🤖 AI: `90`", "💰 $1,000/yr", "📋 full\\-time", "⚡ Easy Apply", "🔗 Source: s", "🛠 x · y", "\n_Good\\!_", "\n[👉 Apply Here](u)"])
     assert short == "🟠 *T*\n🏢 C · 📍 L\n📊 Score: `10`"
+
+
+def test_freshness_at_its_bounds(spark):
+    """Ages are compared to the microsecond; unknown and future times are as they were."""
+    as_of = F.lit("2001-08-01 06:00:00").cast("timestamp_ntz")
+    rows = [("2001-07-31 18:00:00", 25), ("2001-07-31 17:59:59.999999", 20), ("2001-07-31 06:00:00", 20), ("2001-07-31 05:59:59.999999", 10),
+            ("2001-07-30 06:00:00", 10), ("2001-07-29 06:00:00", 5), ("2001-07-29 05:59:59.999999", 0), ("2001-08-09 00:00:00", 25), (None, 0)]
+    df = spark.createDataFrame(rows, "at string, want int").select("want", F.col("at").cast("timestamp_ntz").alias("posted_date"))
+    out = df.withColumns({c: F.lit(None).cast("string") for c in ("title", "description", "location", "company", "applicants", "salary")}).withColumn("easy_apply", F.lit(False))
+    parts = score.score_parts(as_of)
+    assert [r for r in out.select("want", parts["freshness"].alias("got")).collect() if r.got != r.want] == []
+    plan = out.select(parts["freshness"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal" not in plan and "extract" not in plan
+
+
+def test_cells_are_computed_outside_the_generator(spark):
+    """Spark interprets a generator's expressions; the cells have to be compiled, once, below filters on them."""
+    df = spark.range(5).select("id", F.concat(F.lit("Text "), F.col("id").cast("string")).alias("t"))
+    out = T.computed_once(df, _x=F.lower("t"), _y=F.length("t")).where("_x = 'text 3' AND _y > 0")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "lower" not in generate and plan.count("lower(") == 1
+    assert out.columns == ["id", "t", "_x", "_y"] and [tuple(r) for r in out.collect()] == [(3, "Text 3", "text 3", 6)]
