@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from postsift.llm import toxicity as T
 from postsift.llm.common import words
@@ -179,8 +179,9 @@ def test_every_row_is_learnt_or_sets_a_threshold(spark, monkeypatch):
 
 def test_shards_follow_the_bytes_and_not_the_partitions(spark, monkeypatch):
     """A model travels for each shard, so a join in many partitions must not make many of them."""
-    seen, turn, repartition = {}, T._round, DataFrame.repartition
-    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *cols: repartition(self, max(n, 31) if isinstance(n, int) else n, *cols))
+    frame = type(spark.range(0))
+    seen, turn, repartition = {}, T._round, frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: repartition(self, max(n, 31) if isinstance(n, int) else n, *cols))
     monkeypatch.setattr(T, "SHARD_BYTES", 9_000)
     monkeypatch.setattr(T, "EPOCHS", 1)
     monkeypatch.setattr(T, "_round", lambda rows, *a: (seen.update(shards=rows.select("shard").distinct().count()), turn(rows, *a))[1])
