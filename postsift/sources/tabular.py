@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postsift import config as C
 from postsift.functions import parse as P, text as T
-from postsift.operators.dedup import first_n_per_group
 from postsift.sources.feeds import TEXT_CHARS
 
 
@@ -37,16 +34,10 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalize_rss(
-    df: DataFrame, as_of: Column, source: str, *, labelled_title: bool, per_feed: int | None = None,
-    feed: str = "feed", seq: str = "seq", fetch: Callable[[DataFrame], DataFrame] | None = None,
+    df: DataFrame, as_of: Column, source: str, *, labelled_title: bool, seq: str = "seq",
 ) -> DataFrame:
-    """RSS items.  With *labelled_title* the title reads 'Company: Role' and all rows are remote;
-    otherwise the author is the company and pay is looked for in the summary.  If *df* carries no descriptions, *fetch*
-    puts them into the first *per_feed* items of each feed."""
-    if per_feed is not None:
-        df = first_n_per_group(df, feed, per_feed, (seq,)).drop("rn")
-    if fetch is not None:
-        df = fetch(df)
+    """All RSS items.  With *labelled_title* the title reads 'Company: Role' and all rows are remote;
+    otherwise the author is the company and pay is looked for in the summary."""
     summary = F.coalesce("description", F.lit(""))
     if labelled_title:
         company, title = T.split_label("title")

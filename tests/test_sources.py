@@ -1,6 +1,7 @@
 """Landed files: JSON, RSS, HTML, forum and social text."""
 
 import datetime as dt
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -63,6 +64,23 @@ def test_rss_file(spark, tmp_path):
     assert (got["u1"].company, got["u1"].salary, got["u1"].location) == ("Boss", 90000, "United States")
 
 
+def test_rss_query_returns_all_items_of_a_feed(spark, tmp_path):
+    from postsift.plans import registry
+
+    registry.load()
+    names = {"nation": "0 AS n_nationkey, 'N' AS n_name, 4 AS n_regionkey", "customer": "1 AS c_custkey, 'C' AS c_name, 0 AS c_nationkey, 'BUILDING' AS c_mktsegment"}
+    for name, cells in names.items():
+        spark.sql(f"SELECT {cells}").write.parquet(f"{tmp_path}/{name}.parquet")
+    orders = spark.range(140).select((F.col("id") * 3).alias("o_orderkey"), F.lit(1).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit(5.0).alias("o_totalprice"),
+                                     F.lit(NOW).alias("o_orderdate"), F.lit("2-HIGH").alias("o_orderpriority"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0, "x" * 700), (1, "y" * 700)], "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES["rss_normalize"](spark, str(tmp_path)).collect()
+    assert sorted(r.seq for r in rows) == [3 * n for n in range(140)]  # one feed: its number of items is not bounded
+    shown = hashlib.md5(b"x" * 500).hexdigest()
+    assert {r.description for r in rows if r.seq % 2 == 0 and r.seq % 17 and r.seq % 19} == {shown}
+
+
 def test_tabular(spark):
     schema = ("title STRING, site STRING, company STRING, location STRING, job_url STRING, description STRING, interval STRING, min_amount DOUBLE, max_amount DOUBLE, "
               "date_posted DATE, is_easy_apply BOOLEAN, num_applicants STRING")
