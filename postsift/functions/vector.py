@@ -29,8 +29,8 @@ def has_length(v: Column | str) -> Column:
 
 
 def unit_rows(vectors) -> np.ndarray:
-    """Stack a pandas column of vectors to a matrix with rows of length one."""
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    """Stack a pandas column of vectors, or take a matrix, to a matrix with rows of length one."""
+    matrix = vectors if isinstance(vectors, np.ndarray) else np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift import config as C
 from postsift.functions import text as T
+from postsift.functions.digest import md5_prefixes
 from postsift.operators.publish import top_k
 
 PROMPT = (
@@ -117,29 +117,56 @@ def fields_present(df: DataFrame, fields: dict[str, str]) -> list[str]:
     return [c for c in fields.values() if c in df.columns]
 
 
-def embed_text(df: DataFrame, id_col: str, text: Column, dim: int = 64) -> DataFrame:
-    """(id, embedding): the distinct words and pairs of neighbours, each hashed to a place and a sign; unit length.
-    NULL for a text without words.
+#: Bytes of text whose terms are hashed together.
+_HASHED = 1 << 22
+
+
+def _term_vectors(texts: list[bytes], dim: int) -> list[np.ndarray | None]:
+    """The vectors of `embed_text` for lower-case texts."""
+    out, some, size = [], [], 0
+    for text in texts:
+        some.append(b" ".join(text.split()))
+        size += len(some[-1])
+        if size >= _HASHED:
+            out += _hashed_vectors(some, dim)
+            some, size = [], 0
+    return out + _hashed_vectors(some, dim)
+
+
+def _hashed_vectors(texts: list[bytes], dim: int) -> list[np.ndarray | None]:
+    """The same for texts of words with one blank between them: white space is nowhere else, so a line break ends a text."""
+    full = [t for t in texts if t]
+    data = np.frombuffer(b"".join(t + b"\n" for t in full), np.uint8)
+    ends = np.flatnonzero((data == 32) | (data == 10))
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    last = data[ends] == 10
+    paired = np.flatnonzero(~last)
+    words, pairs = md5_prefixes(data, starts, ends), md5_prefixes(data, starts[paired], ends[paired + 1])
+    till = np.flatnonzero(last) + 1  # words up to the end of each text; it has one pair less than words
+    vectors, at = [], 0
+    for n, end in enumerate(till):
+        # 64 bits of the digest tell the terms of a text apart
+        terms = np.sort(np.concatenate([words[at:end], pairs[at - n:end - n - 1]]))
+        terms = (terms[np.concatenate([[True], terms[1:] != terms[:-1]])] >> np.uint64(32)).astype(np.int64)
+        vector = np.bincount((terms >> 1) % dim, weights=1 - 2 * (terms & 1), minlength=dim)
+        length = np.sqrt((vector * vector).sum())
+        vectors.append((vector / length if length else vector).astype(np.float32))
+        at = end
+    rest = iter(vectors)
+    return [next(rest) if t else None for t in texts]
+
+
+def embed_text(df: DataFrame, id_col: str, text: Column, dim: int = 64, *keep: str) -> DataFrame:
+    """(id, embedding) and the columns *keep*: the distinct words and pairs of neighbours, each hashed to a place and a sign;
+    unit length.  NULL for a text without words.
 
     Signs keep unlike texts near a right angle.  The hash is the first 32 bits of MD5: the lowest is the sign, the rest
     modulo *dim* the place.  A local stand-in for a remote embedding; any array<float> column serves instead.
     """
 
-    def hashed(term: str) -> int:
-        return int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
-
     @F.pandas_udf("array<float>")
-    def embed(lists: pd.Series) -> pd.Series:
-        out = []
-        for words in lists:
-            if words is None or not len(words):
-                out.append(None)
-                continue
-            terms = np.fromiter(map(hashed, {*words, *map(" ".join, zip(words, words[1:]))}), np.int64)
-            vector = np.bincount(terms // 2 % dim, weights=1 - 2 * (terms % 2), minlength=dim)
-            length = np.sqrt((vector * vector).sum())
-            out.append((vector / length if length else vector).astype(np.float32))
-        return pd.Series(out)
-
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return df.select(F.col(id_col), embed(words).alias("embedding"))
+    def embed(texts: pd.Series) -> pd.Series:
+        # bytes are split at ASCII white space, as Spark's \s does
+        return pd.Series(_term_vectors([t or b"" for t in texts], dim), dtype=object)
+
+    return df.select(F.col(id_col), *keep, embed(F.lower(text).cast("binary")).alias("embedding"))

@@ -24,7 +24,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from postsift.config import SIMILARITY
 from postsift.functions.vector import bands_for, has_length, most_signs_apart, planes, unit_rows
@@ -34,30 +33,61 @@ from postsift.session import Rounds, cut_lineage, new_path
 BITS = 16
 #: Planes of a row's sketch, 64 to a word, and the chance that it hides a near pair, as a part of the chance that blocks do.
 SKETCH, SKETCH_MISS = 256, 1e-3
+#: Rows whose block keys are computed at once.
+KEYED = 1024
 
 
 def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, vec) of the rows that can match.  Stored, because a vector column is often the
-    result of costly functions and is read several times."""
-    stored = cut_lineage(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vec")), "vectors")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vec"))
+
+
+def _checked(stored: DataFrame, id_col: str) -> DataFrame:
+    """The rows (id, vec) that can match, out of stored ones."""
     if not stored.groupBy("id").count().where("count > 1").isEmpty():
         raise ValueError(f"{id_col} is not unique")
-    return stored.where(has_length("vec"))
+    return stored.where(F.col("id").isNotNull() & has_length("vec"))
+
+
+def _same(vec: str) -> list:
+    """Keys under which equal vectors meet, so that the vectors themselves need not move: two hashes of the numbers
+    (0.0 and -0.0 hash alike, as do all NaN) and one of the places of NULLs, which the other two pass over."""
+    places = F.transform(vec, lambda x: x.isNull())
+    return [F.xxhash64(vec).alias("_h1"), F.xxhash64(F.lit(1), vec).alias("_h2"), F.xxhash64(places).alias("_h3")]
+
+
+def _copies(rows: DataFrame, rounds: Rounds) -> DataFrame:
+    """(id, head): rows with the vector of an earlier row, and the first one that has it."""
+    keyed = rounds.keep(rows.select("id", *_same("vec")), "same")
+    keys = ["_h1", "_h2", "_h3"]
+    heads = keyed.groupBy(*keys).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # one head per vector; a vector that many rows share is split by the adaptive skew join
+    copies = rounds.keep(keyed.join(heads, keys).where(F.col("id") != F.col("head")).select("id", "head"), "copies")
+    rounds.drop("same")
+    return copies
 
 
 def _leaders_of(
-    vectors: DataFrame, tau: float = SIMILARITY, blocking: str = "lsh", chunk: int = 2048, recall: float = 0.999,
+    rows: DataFrame, tau: float = SIMILARITY, blocking: str = "lsh", chunk: int = 2048, recall: float = 0.999,
     bits: int = BITS, prefix: int = 1024, seed: int = 7,
 ) -> DataFrame:
-    """(id, leader) for one row per distinct vector; leader is NULL for kept rows."""
+    """(id, leader) of the rows that have a leader; *rows* have distinct vectors."""
     if not 0.0 < tau < 1.0:
         raise ValueError("tau has to lie between 0 and 1")
-    rows = cut_lineage(vectors.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"), "distinct")
     if blocking == "exact":
-        return _scan_leaders(rows, tau, chunk)
-    if blocking == "lsh":
-        return _block_leaders(rows, tau, recall, bits, prefix, 4 * chunk, seed)
-    raise ValueError(f"unknown blocking {blocking!r}")
+        fate = _scan_leaders(cut_lineage(rows, "distinct"), tau, chunk)
+    elif blocking == "lsh":
+        fate = _block_leaders(rows, tau, recall, bits, prefix, 4 * chunk, seed)
+    else:
+        raise ValueError(f"unknown blocking {blocking!r}")
+    return fate.where(F.col("leader").isNotNull())
+
+
+def _links(rows: DataFrame, **how) -> DataFrame:
+    """(id, kept_id) of the stored *rows* (id, vec): each copy goes where the first row with its vector goes."""
+    copies = _copies(rows, Rounds(rows.sparkSession, "copies"))
+    fate = _leaders_of(rows.join(copies, "id", "left_anti"), **how)
+    copied = copies.join(fate.withColumnsRenamed({"id": "head"}), "head", "left")
+    return fate.select("id", F.col("leader").alias("kept_id")).unionByName(copied.select("id", F.coalesce("leader", "head").alias("kept_id")))
 
 
 # -- exact --------------------------------------------------------------------
@@ -122,26 +152,37 @@ def _scan_leaders(rows: DataFrame, tau: float, chunk: int) -> DataFrame:
 
 
 # -- blocks -------------------------------------------------------------------
-def _block_keys(bands: int, bits: int, seed: int):
-    weights = 1 << np.arange(bits, dtype=np.int64)
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow list column as rows of length one."""
+    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(vectors.value_lengths().to_numpy())
+    if len(set(np.diff(ends, prepend=0))) != 1:
+        raise ValueError("vectors differ in length")
+    return unit_rows(flat.astype(np.float64).reshape(len(vectors), -1))
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def keys(vectors: pd.Series) -> pd.Series:
-        matrix = unit_rows(vectors)
-        side = (matrix @ planes(matrix.shape[1], bands * bits, seed) > 0).reshape(len(matrix), bands, bits)
-        return pd.Series(list(side.astype(np.int64) @ weights))
-
-    return keys
 
+def _block_keys(bands: int, bits: int, seed: int, sketches: bool):
+    """(block, id) of each row and band, with the row's sketch.  A block is the number of its band and the signs by its planes."""
+    weights = 1 << np.arange(bits, dtype=np.int64)
 
-def _sketches(seed: int):
-    @F.pandas_udf(ArrayType(LongType()))
-    def sketch(vectors: pd.Series) -> pd.Series:
-        matrix = unit_rows(vectors)
-        side = matrix @ planes(matrix.shape[1], SKETCH, seed) > 0
-        return pd.Series(list(np.packbits(side, axis=1).view(np.int64)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, KEYED):
+                batch = whole.slice(at, KEYED)
+                matrix = _matrix(batch["vec"])
+                dim, n = matrix.shape[1], len(matrix)
+                if dim not in drawn:
+                    drawn[dim] = planes(dim, bands * bits, seed), planes(dim, SKETCH, seed + 1)
+                side = (matrix @ drawn[dim][0] > 0).reshape(n, bands, bits)
+                block = side @ weights + (np.arange(bands, dtype=np.int64) << bits)
+                cells = [pa.array(block.reshape(-1)), pa.array(np.repeat(batch["id"].to_numpy(), bands))]
+                if sketches:
+                    sketch = np.packbits(matrix @ drawn[dim][1] > 0, axis=1).view(np.int64)
+                    flat = pa.array(np.repeat(sketch, bands, axis=0).reshape(-1))
+                    cells.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sketch.shape[1], dtype=np.int32)), flat))
+                yield pa.RecordBatch.from_arrays(cells, names=["block", "id", "sketch"][:len(cells)])
 
-    return sketch
+    return run
 
 
 def _in_company(apart: int):
@@ -242,9 +283,8 @@ def _blocks(rows: DataFrame, tau: float, recall: float, bits: int, seed: int, ch
     """
     apart = most_signs_apart(tau, SKETCH, SKETCH_MISS * (1 - recall))
     told = apart < SKETCH // 2  # else unrelated rows look near as well
-    side = [_sketches(seed + 1)("vec").alias("sketch")] if told else []
-    keyed = rows.select("id", *side, F.posexplode(_block_keys(bands_for(tau, bits, recall), bits, seed)("vec")).alias("band", "key"))
-    keyed = rounds.keep(keyed.select("id", F.xxhash64("band", "key").alias("block"), *["sketch"] * told), "keys")
+    keys = _block_keys(bands_for(tau, bits, recall), bits, seed, told)
+    keyed = rounds.keep(rows.select("id", "vec").mapInArrow(keys, "block BIGINT, id BIGINT" + ", sketch ARRAY<BIGINT>" * told), "keys")
     if told:
         hot = keyed.groupBy("block").count().where(F.col("count") > chunk).select("block")
         cold = keyed.join(hot, "block", "left_anti").select("block", "id", "sketch")
@@ -261,15 +301,14 @@ def _blocks(rows: DataFrame, tau: float, recall: float, bits: int, seed: int, ch
 def _block_leaders(
     rows: DataFrame, tau: float, recall: float, bits: int, prefix: int, chunk: int, seed: int
 ) -> DataFrame:
+    """(id, leader) of the rows that meet others in their blocks; all other rows are kept."""
     rounds = Rounds(rows.sparkSession, "blocks")
     blocks = _blocks(rows, tau, recall, bits, seed, chunk, rounds)
     packs = max(1, blocks.count() // chunk)
     needed = rounds.keep(blocks.groupBy("id").agg(F.count(F.lit(1)).alias("needed")), "needed")
-    # a row alone in all its blocks is kept at once
-    state = rows.select("id").join(needed, "id", "left").select(
-        "id", F.lit(None).cast("bigint").alias("leader"), F.col("needed").isNull().alias("kept")
-    )
-    state = rounds.keep(state, "state")
+    # the rounds read the vectors of these rows only
+    rows = rounds.keep(rows.join(needed.select("id"), "id", "left_semi"), "rows")
+    state = rounds.keep(needed.select("id", F.lit(None).cast("bigint").alias("leader"), F.lit(False).alias("kept")), "state")
     left = None
     order = Window.partitionBy("block").orderBy("id")
     while True:
@@ -306,7 +345,7 @@ def _block_leaders(
             ),
             "state",
         )
-    rounds.drop("blocks", "needed", "front", "new")
+    rounds.drop("blocks", "needed", "rows", "front", "new")
     return state.select("id", "leader")
 
 
@@ -321,12 +360,8 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, tau: float = SIMILARI
 
     Copies of one vector yield one row each, never all their pairs.
     """
-    rows = _vectors(df, id_col, vector)
-    fate = _leaders_of(rows, tau, **how)
-    heads = rows.join(fate, "id").select("vec", F.col("id").alias("head"), "leader")
-    # one head per vector; a vector that many rows share is split by the adaptive skew join
-    out = rows.join(heads, "vec").select("id", F.coalesce("leader", "head").alias("kept_id"))
-    return out.where(F.col("id") != F.col("kept_id"))
+    # stored, because a vector column is often the result of costly functions and is read several times
+    return _links(_checked(cut_lineage(_vectors(df, id_col, vector), "vectors"), id_col), tau=tau, **how)
 
 
 def dedup_semantic(
@@ -336,9 +371,9 @@ def dedup_semantic(
     """The kept rows.  A kept row without salary takes the known values of the first
     row it absorbed that has one.  Ids have to be unique; repeated ones are an error.
     """
-    df = cut_lineage(df, "similar")  # read four times below
+    df = cut_lineage(df, "similar")  # read several times below
     names = [c for c in df.columns if c != id_col]
-    links = similar_pairs(df, id_col, vector, tau, **how)
+    links = _links(_checked(_vectors(df, id_col, vector), id_col), tau=tau, **how)
     paid = df.where(F.col(salary).isNotNull()).select(F.col(id_col).alias("id"))
     donors = links.join(paid, "id").groupBy("kept_id").agg(F.min("id").alias("_donor"))
     kept = (

@@ -329,8 +329,7 @@ _DIM = 256
 def dedup_semantic_blocks(spark, sf):
     """Similarity dedup of all documents on local vectors, by blocks."""
     docs = V.texts(spark, sf, "documents", "doc_id")
-    vectors = enrich.embed_text(docs, "doc_id", F.col("text"), _DIM)
-    rows = docs.select("doc_id", F.col("n_chars").cast("int").alias("salary")).join(vectors, "doc_id", "left")
+    rows = enrich.embed_text(docs.withColumn("salary", F.col("n_chars").cast("int")), "doc_id", F.col("text"), _DIM, "salary")
     return similarity.dedup_semantic(rows, "doc_id", "embedding", blocking="lsh").select("doc_id", "salary")
 
 

@@ -217,6 +217,60 @@ def test_company_is_counted_across_batches():
         assert [i for b in out for i in b["id"].to_pylist()] == expected and 0 < len(expected) < 300
 
 
+def test_equal_vectors_meet_without_moving(spark):
+    nan, wide = float("nan"), [0.5, -1.0, 2.0]
+    vectors = [(0, wide), (1, [0.0, 1.0, 0.0]), (2, wide), (3, [-0.0, 1.0, 0.0]), (4, [1.0, None, 2.0]), (5, [None, 1.0, 2.0]), (6, [1.0, None, 2.0]),
+               (7, [nan, 1.0, 0.0]), (8, [nan, 1.0, 0.0]), (9, wide), (None, wide)]
+    df = spark.createDataFrame(vectors, "id BIGINT, vec ARRAY<DOUBLE>").repartition(4)
+    for how in ("exact", "lsh"):
+        links = similarity.similar_pairs(df, "id", "vec", blocking=how)
+        assert {tuple(r) for r in links.collect()} == {(2, 0), (9, 0), (3, 1), (6, 4), (8, 7)}
+        # what is left to do joins ids, not vectors
+        assert "vec" not in links._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digests_of_many_strings():
+    import hashlib
+
+    from postsift.functions.digest import md5_prefixes
+
+    rng = np.random.default_rng(3)
+    data, at = rng.integers(0, 256, 5000, dtype=np.uint8), rng.integers(0, 4800, 3000)
+    ends = at + rng.integers(0, 140, 3000)
+    ends[:200] = at[:200] + np.arange(200)
+    want = [int(hashlib.md5(data[a:b].tobytes()).hexdigest()[:16], 16) for a, b in zip(at, ends)]
+    assert md5_prefixes(data, at, ends).tolist() == want
+    assert len(md5_prefixes(data, at[:0], ends[:0])) == 0
+
+
+def test_embedding_counts_distinct_terms(spark, monkeypatch):
+    import hashlib
+    import re
+
+    from postsift.operators import enrich
+
+    rng = random.Random(6)
+    bits = ["a", "B", "Ä", "word", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\x85", "\xa0", "\x1c", "x" * 54, "y" * 56, "\0", "\u2028"]
+    texts = ["", None, " \n", "a", "a a a", *("".join(rng.choices(bits, k=rng.randrange(60))) for _ in range(300))]
+
+    def plain(text):
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", (text or "").lower()) if w]
+        out = np.zeros(32)
+        for term in {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}:
+            h = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+            out[h // 2 % 32] += 1 - 2 * (h % 2)
+        length = np.sqrt((out * out).sum())
+        return (out / length if length else out).astype(np.float32).tolist() if words else None
+
+    for size in (1, 1 << 22):
+        monkeypatch.setattr(enrich, "_HASHED", size)
+        got = enrich._term_vectors([(t or "").lower().encode() for t in texts], 32)
+        assert [None if v is None else v.tolist() for v in got] == [plain(t) for t in texts]
+    df = spark.createDataFrame([(i, t, i % 7) for i, t in enumerate(texts)], "id INT, text STRING, n INT")
+    rows = enrich.embed_text(df, "id", F.col("text"), 32, "n").collect()
+    assert {r.id: (r.n, r.embedding) for r in rows} == {i: (i % 7, plain(t)) for i, t in enumerate(texts)}
+
+
 def test_signs_apart():
     from postsift.functions.vector import most_signs_apart
 
