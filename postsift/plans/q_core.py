@@ -45,8 +45,12 @@ _FILL = ", ".join(
     FROM h LEFT JOIN d ON h.k = d.k LEFT JOIN e ON h.k = e.k LEFT JOIN t ON h.k = t.k""",
 ))
 def dedup_exact(spark, sf):
-    out = dedup.dedup_exact(V.postings(spark, sf), ("id",))
-    return out.select(*FEED, "llm_score", F.md5("description").alias("description_md5"))
+    # digests are what is returned, so they move instead of the texts
+    digest = F.when(F.col("description") == "", F.lit("").cast("binary")).otherwise(F.unhex(F.md5("description")))
+    rows = V.postings(spark, sf).select(*FEED, "llm_score", digest.alias("description"))
+    out = dedup.dedup_exact(rows, ("id",))
+    shown = F.when(F.length("description") == 0, F.md5(F.lit(""))).otherwise(F.lower(F.hex("description")))
+    return out.select(*FEED, "llm_score", shown.alias("description_md5"))
 
 
 @query("match_key", O.with_(f"{O.P}, {_KEYED}", "SELECT id, k AS key FROM k"))

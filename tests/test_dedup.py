@@ -62,6 +62,27 @@ def test_empty_as_null(spark):
     assert dedup.dedup_exact(df, ("seq",), treat_empty_as_null=True).first().description == "text"
 
 
+def test_digests_move_instead_of_texts(spark, monkeypatch):
+    from postsift.plans import registry
+    from tests.conftest import SF
+
+    registry.load()
+    given = []
+    monkeypatch.setattr(dedup, "dedup_exact", lambda df, *a, f=dedup.dedup_exact: given.append(df) or f(df, *a))
+    registry.QUERIES["dedup_exact"](spark, SF)
+    assert given[0].agg(F.max(F.length("description"))).first()[0] == 16
+
+
+def test_binary_descriptions(spark):
+    rows = [(1, "a", None, None), (2, "a", 5, ""), (3, "a", 6, "t"), (4, "b", 1, None), (5, "b", 2, "u"), (6, "c", None, None), (7, "c", None, "v"), (8, "c", 3, "")]
+    df = spark.createDataFrame(rows, "seq INT, title STRING, salary INT, description STRING").withColumns(
+        {"company": F.lit(""), "location": F.lit(""), "easy_apply": F.lit(True)})
+    want = {1: (5, ""), 4: (1, "u"), 6: (3, "v")}
+    assert {r.seq: (r.salary, r.description) for r in dedup.dedup_exact(df, ("seq",)).collect()} == want
+    out = dedup.dedup_exact(df.withColumn("description", F.col("description").cast("binary")), ("seq",))
+    assert {r.seq: (r.salary, r.description) for r in out.collect()} == {k: (n, bytearray(t.encode())) for k, (n, t) in want.items()}
+
+
 def test_distinct_first(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, ""), (4, ""), (5, None), (6, "b")], "seq INT, url STRING")
     seqs = lambda blank: sorted(r.seq for r in dedup.distinct_first(df, "url", ("seq",), blank).collect())
